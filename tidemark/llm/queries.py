@@ -1,6 +1,8 @@
 """Names of the queries of this subpackage, and their SQL where SQL can express them."""
 
+from tidemark.llm.language import op10_language
+from tidemark.llm.packing import op6_packing
 from tidemark.llm.secrets import op1_secrets
 
-QUERIES = {"op1_secrets": op1_secrets}
+QUERIES = {"op1_secrets": op1_secrets, "op6_packing": op6_packing, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
