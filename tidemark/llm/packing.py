@@ -17,12 +17,12 @@ own; a null doc_id stays null; an empty table gives no pieces; other columns are
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +34,13 @@ WINDOW = 2048
 LEAST_TIER = 256
 FLUSH = 1 << 19
 STEP_TOKENS = 1 << 17
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
-#: Text of these characters only: NFC and white space change nothing there, and lower() is the library's.
-UNUSUAL = regex.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ–—‘’“”…]")
-#: Fixed value: how the vocabulary file splits a word.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Text without these characters: NFC changes nothing there, and lower() is the library's.
+UNUSUAL = re.compile("[^\x00-\x7e\xa1-įı-ɏ–—‘’“”…]")
+CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Fixed value: how the vocabulary file splits a lower-case text, its classes spelt out for those characters.
+SPLIT = re.compile("[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|'(?:[stmd]|re|ve|ll)|[^ \t\n\ra-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 
 
 class WordTokenizer:
@@ -47,7 +48,7 @@ class WordTokenizer:
     text are those of its words, which are kept in a bounded dictionary."""
 
     def __init__(self, path: str | None = None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -55,53 +56,45 @@ class WordTokenizer:
             path = public_tokenizers.path(TOKENIZER)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # Words come in lower case and split, so that the same merges do without the regular expressions.
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
         for token, i in self.library.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends, self.words = ends, {}
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=np.int64)
-        last = np.flatnonzero(self.ends[ids])
-        cut = last[np.cumsum([len(SPLIT.findall(w)) for w in new]) - 1] + 1
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for w, end in zip(new, cut.tolist(), strict=True):
-            self.words[w] = raw[at * 4 : end * 4]
+        """Every word ends with a token that is marked as a word's end."""
+        ids = np.array(self.merges.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+            self.words[w] = raw[at:end]
             at = end
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids and the closing one, unsigned 32-bit."""
-        split, odd, closing = [], {}, CLOSING_ID.to_bytes(4, "little")
-        for i, text in enumerate(texts):
-            if UNUSUAL.search(text):
-                odd[i], words = text, []
-            else:
-                words = text.lower().split()
-            split.append(words)
-        out = []
-        for i, words in enumerate(split):
-            if i in odd:
-                got = np.array(self.library.encode_batch_fast([odd[i]], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-            else:
-                try:
-                    got = b"".join(map(self.words.__getitem__, words))
-                except KeyError:
-                    ahead = [w for later in split[i:] for w in later]
-                    known = self.words
-                    new = list(dict.fromkeys(w for w in ahead if w not in known))
-                    if len(new) + len(known) > CACHED_WORDS:
-                        new = list(dict.fromkeys(words))
-                        known.clear()
-                    for k in range(0, len(new), 20_000):
-                        self._learn(new[k : k + 20_000])
-                    try:
-                        got = b"".join(map(self.words.__getitem__, words))
-                    except KeyError:  # more distinct words in one text than are kept
-                        got = np.array(self.library.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-            out.append(np.frombuffer(got + closing, dtype="<u4"))
-        return out
+        known = self.words
+        found: list = []  # bytes, or the text's words
+        for text in texts:
+            odd = not text.isascii() and UNUSUAL.search(text) or CONTROL.search(text)
+            found.append(self._whole(text) if odd else SPLIT.findall(text.lower()))
+        new: set[str] = set()
+        for words in found:
+            if isinstance(words, list):
+                new.update(set(words).difference(known))
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = {w for words in found if isinstance(words, list) for w in words}
+        listed = list(new)
+        for k in range(0, len(listed), 20_000):
+            self._learn(listed[k : k + 20_000])
+        closing = CLOSING_ID.to_bytes(4, "little")
+        get = known.__getitem__
+        return [np.frombuffer((x if isinstance(x, bytes) else b"".join(map(get, x))) + closing, dtype="<u4") for x in found]
 
 
 _TOKENIZERS: dict[str | None, WordTokenizer] = {}
