@@ -2,7 +2,8 @@
 
 from tidemark.llm.language import op10_language
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.quality import op8_quality
 from tidemark.llm.secrets import op1_secrets
 
-QUERIES = {"op1_secrets": op1_secrets, "op6_packing": op6_packing, "op10_language": op10_language}
+QUERIES = {"op1_secrets": op1_secrets, "op6_packing": op6_packing, "op8_quality": op8_quality, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
