@@ -1,21 +1,23 @@
 """Names of the queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, topk
 from tidemark.llm.html import op5_html
 from tidemark.llm.language import op10_language
 from tidemark.llm.mixing import op2_mixing
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.quality import op8_quality
 from tidemark.llm.secrets import op1_secrets
+from tidemark.llm.topk import op4_topk
 from tidemark.llm.urls import op9_urls
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
+    "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE}
