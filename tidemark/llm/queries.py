@@ -2,6 +2,7 @@
 
 from tidemark.llm import mixing, topk
 from tidemark.llm.html import op5_html
+from tidemark.llm.jaccard import op7_jaccard
 from tidemark.llm.language import op10_language
 from tidemark.llm.mixing import op2_mixing
 from tidemark.llm.packing import op6_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_packing": op6_packing,
+    "op7_jaccard": op7_jaccard,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_language": op10_language,
