@@ -8,12 +8,14 @@ from tidemark.llm.mixing import op2_mixing
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.quality import op8_quality
 from tidemark.llm.secrets import op1_secrets
+from tidemark.llm.suffixes import op3_suffixes
 from tidemark.llm.topk import op4_topk
 from tidemark.llm.urls import op9_urls
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
+    "op3_suffixes": op3_suffixes,
     "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_packing": op6_packing,
