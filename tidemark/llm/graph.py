@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import written
 
 #: A side with at most so many rows of a few numbers is broadcast (some 10 MB); a larger one is shuffled.
 BROADCAST_ROWS = 300_000
@@ -13,26 +13,26 @@ BROADCAST_ROWS = 300_000
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it is counted to be small. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the component's smallest node.
 
     Alternates large-star and small-star steps until nothing changes: each step rewires every node to the
-    smallest node next to it, and the number of rounds grows with the logarithm of the diameter.
+    smallest node next to it, and the number of rounds grows with the logarithm of the diameter. Each
+    round's edges are a written table, so plans and lineage stay short.
     """
-    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(small(checkpointed(least)), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
-        star = down.join(small(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(star.union(least.select("u", F.col("m").alias("v"))).distinct())
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        star = large.join(small(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(star.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

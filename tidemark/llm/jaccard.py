@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import bounded_batches, checkpointed, map_rows, read, written
+from tidemark.llm.common import bounded_batches, map_rows, read, written
 from tidemark.llm.graph import components, small
 
 N2, K2 = 3, 1
@@ -201,7 +201,12 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
-    return by_bucket(blobs, meet, "a long, b long")
+    def fewer(batches):  # of a task's buckets together
+        links = np.concatenate([np.zeros((0, 2), np.int64), *[np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]])
+        links = forest(links)
+        yield pa.RecordBatch.from_pydict({"a": links[:, 0].copy(), "b": links[:, 1].copy()})
+
+    return by_bucket(blobs, meet, "a long, b long").mapInArrow(fewer, "a long, b long")
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -299,21 +304,21 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     """The description of all rows of docs (doc_id, text), and (entity, class) of entities that link."""
     own = written(described(docs, n), "shingles")
     clusters = components(candidate_links(docs, n, percent)).select(F.col("node").alias("entity"), F.col("root").alias("cluster"))
-    clusters = checkpointed(clusters)
+    clusters = written(clusters, "jaccard")
     first = own.where("doc_id is not null").join(small(clusters), "entity").groupBy("entity", "cluster").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    first = checkpointed(first)
+    first = written(first, "jaccard")
     load = first.groupBy("cluster").agg(F.min("entity").alias("leader"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = checkpointed(first.join(small(checkpointed(load)), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"))
-    links = checkpointed(verified(docs, members, n, percent, False))
-    found = checkpointed(components(links))
+    members = written(first.join(small(written(load, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
+    links = written(verified(docs, members, n, percent, False), "jaccard")
+    found = written(components(links), "jaccard")
     large = members.where("blocks > 1")
     if large.limit(1).count():
         rooted = large.join(small(found), F.col("entity") == F.col("node"), "left").withColumn("own", F.coalesce("root", "entity"))
         open_clusters = rooted.groupBy("cluster").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cluster")
-        rest = checkpointed(large.join(small(checkpointed(open_clusters)), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"))
+        rest = written(large.join(small(written(open_clusters, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
         if rest.limit(1).count():
             more = verified(docs, rest, n, percent, True)
-            found = checkpointed(components(links.union(more)))
+            found = written(components(links.union(more)), "jaccard")
     return own, found.select(F.col("node").alias("entity"), F.col("root").alias("class"))
 
 
@@ -322,18 +327,18 @@ def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     own, found = classes(docs, n, percent)
     named = own.join(small(found), "entity", "left").select("doc_id", "n_shingles", F.coalesce("class", "entity").alias("class"))
-    named = checkpointed(named)
+    named = written(named, "jaccard")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class", "least")
-    met = named.join(small(checkpointed(least)), "class", "left")
+    met = named.join(small(written(least, "jaccard")), "class", "left")
     return met.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without those linked to a smaller doc_id and without
     repeats of a doc_id with the same text."""
-    ids = checkpointed(components_of(docs, n, percent))
+    ids = written(components_of(docs, n, percent), "jaccard")
     gone = ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(checkpointed(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(small(written(gone, "jaccard")), F.col("doc_id") == F.col("_gone"), "left_anti")
     again = ids.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import bounded_batches, checkpointed, read, shared_dir, written
+from tidemark.llm.common import bounded_batches, read, shared_dir, written
 from tidemark.llm.graph import small
 
 LENGTH = 50
@@ -289,7 +289,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_
     long_enough = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     sums = long_enough.select("doc_id", F.sha2("text", 256).alias("sum"), F.octet_length("text").cast("long").alias("n"))
     first = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = checkpointed(sums.join(small(checkpointed(first)), "sum").where("doc_id > least").select("doc_id", "sum", "n"))
+    copies = written(sums.join(small(written(first, "copies")), "sum").where("doc_id > least").select("doc_id", "sum", "n"), "copies")
     bare = F.lit(hashlib.sha256(b"").hexdigest())
     whole = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), bare.alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_text else []))
     gone = copies.select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).distinct()
