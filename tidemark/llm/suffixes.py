@@ -42,8 +42,8 @@ from tidemark.llm.graph import small
 
 LENGTH = 50
 #: A perfect difference set: the differences of its members are all remainders by V.
-V, D = 31, (1, 5, 11, 24, 25, 27)
-CHUNK_BYTES = 8 << 20
+V, D = 21, (0, 1, 4, 14, 16)
+CHUNK_BYTES = 4 << 20
 BUCKET_SUFFIXES = 1 << 20
 NO_ID = 2**63 - 1
 
