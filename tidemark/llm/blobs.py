@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import batch_of
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -48,6 +50,6 @@ def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]],
 
     def packed(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for columns in found:
-            yield pa.RecordBatch.from_pydict(columns)
+            yield batch_of(columns, out)
 
     return sorted_rows.mapInArrow(run, out)

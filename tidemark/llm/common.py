@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,23 +24,32 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+
+
+@functools.cache
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Of "name type, name type"; workers have no session to parse it with."""
+    return pa.schema([(name, ARROW[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def batch_of(columns: dict, ddl: str) -> pa.RecordBatch:
+    """A batch of the schema, whatever types empty columns would get."""
+    schema = arrow_schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], names=schema.names)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Applies make()(batch), a dict of columns by name, to each Arrow batch. make runs once a task."""
     bounded_batches(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kinds = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             if batch.num_rows:
-                out = work(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], names=arrow.names)
+                yield batch_of(work(batch), schema)
 
-    return df.mapInArrow(run, kinds)
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.llm.common import written
 
 #: A side with at most so many rows of a few numbers is broadcast (some 10 MB); a larger one is shuffled.
 BROADCAST_ROWS = 300_000
+ONE_TASK = 1_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -16,14 +19,51 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def forest(links: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """Which of the links (rows of two) are needed to connect what all of them connect, and the root of
+    each node, the smallest one next to it by links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(p, p)
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(links.tolist()):
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            kept.append(i)
+    return np.array(kept, dtype=np.int64), {x: root(x) for x in list(parent)}
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b); root is the component's smallest node.
+    """(node, root) of every node of edges (a, b), written; root is the component's smallest node.
+
+    The edges are written and counted. Up to ONE_TASK edges (16 MB of numbers) are settled by union-find
+    in one task; more take distributed rounds, which give the same.
+    """
+    e = written(edges.where("a <> b").select("a", "b"), "edges")
+    return written(_by_union(e) if e.count() <= ONE_TASK else _by_rounds(e), "components")
+
+
+def _by_union(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]
+        _, roots = forest(np.concatenate([np.zeros((0, 2), np.int64), *parts]))
+        yield pa.RecordBatch.from_pydict({"node": pa.array(list(roots), pa.int64()), "root": pa.array(list(roots.values()), pa.int64())})
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
 
-    Alternates large-star and small-star steps until nothing changes: each step rewires every node to the
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """Alternates large-star and small-star steps until nothing changes: each step rewires every node to the
     smallest node next to it, and the number of rounds grows with the logarithm of the diameter. Each
     round's edges are a written table, so plans and lineage stay short.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -6,9 +6,10 @@ symmetric difference. The feature domain is dealt to n1 groups of N2 parts each;
 holds few of the differing elements, at most K2, and then some N2 - K2 of its parts hold none. So a set's
 signatures are, for each group and each choice of N2 - K2 parts, a hash of its elements there: two similar
 sets share one. Sets that have no element in chosen parts would all share that signature; each band gets
-SPARE more groups than needed, so that a set with up to SPARE such groups can leave these signatures out,
-and one with more adds instead its prefix: of the elements in order of hash, the first of which two
-similar sets must share one.
+some groups more than needed, so that a set with up to so many such groups can leave these signatures out.
+Elements of very many documents are left out of the signatures, which makes no difference larger. A set
+that has too few elements then adds the signatures of all its elements, and if those are too few as well
+its prefix: of the elements in a fixed order, the first of which two similar sets must share one.
 
 Sets that share a signature form clusters (connected components of the candidate links). Within a cluster
 the links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import bounded_batches, map_rows, read, written
-from tidemark.llm.graph import components, small
+from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, written
+from tidemark.llm.graph import components, forest, small
 
 N2, K2 = 3, 1
 BUCKETS = 512
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+COMMON, LEAST_IN_TASK, MOST_COMMON = 24, 3, 300_000
 CHOICES = list(itertools.combinations(range(N2), N2 - K2))
 
 
@@ -110,35 +112,78 @@ class Bands:
         return needed + spare, spare
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
+def _projections(elements: np.ndarray, bands: Bands, band: int, salt: np.uint64) -> tuple[np.ndarray, bool]:
+    """The signatures of a band that hold an element, and whether more groups lack one than are spare."""
+    groups, spare = bands.groups(band)
+    parts = groups * N2
+    found, bare = [], np.zeros(groups, dtype=bool)
+    with np.errstate(over="ignore"):
+        of = ((elements >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        sums, counts = np.zeros(parts, np.uint64), np.bincount(of, minlength=parts)
+        np.add.at(sums, of, mix(elements ^ salt))
+        sums, counts = sums.reshape(groups, N2), counts.reshape(groups, N2)
+        place = mix(np.arange(1, groups + 1, dtype=np.uint64) ^ salt)
+        for c, chosen in enumerate(CHOICES):
+            x = place + STEPS[8 + c]
+            for p in chosen:
+                x = x + sums[:, p] * STEPS[16 + p]
+            empty = sum(counts[:, p] for p in chosen) == 0
+            bare |= empty
+            found.append(mix(x)[~empty])
+    return np.concatenate(found), int(bare.sum()) > spare
+
+
+def signatures(elements: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
+    """Of one set. Elements in common (sorted) are left out at first: that makes no difference larger,
+    so the counting argument holds, and sets don't meet for a passage that many documents have."""
     size, found = len(elements), []
-    own = bands.of(size)
+    known = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] == elements if len(common) else np.zeros(size, bool)
+    rare, own = elements[~known], bands.of(size)
     for band in (own, own + 1):
-        with np.errstate(over="ignore"):
-            salt = mix(np.array([band + 1], dtype=np.uint64))[0]
-            if bands.differing(band) == 0:  # equal sets only, and those are one entity
-                continue
-            groups, spare = bands.groups(band)
-            parts = groups * N2
-            of = ((elements >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            sums, counts = np.zeros(parts, np.uint64), np.bincount(of, minlength=parts)
-            np.add.at(sums, of, mix(elements ^ salt))
-            sums, counts = sums.reshape(groups, N2), counts.reshape(groups, N2)
-            place = mix(np.arange(1, groups + 1, dtype=np.uint64) ^ salt)
-            empty_groups = np.zeros(groups, dtype=bool)
-            for c, chosen in enumerate(CHOICES):
-                x = place + STEPS[8 + c]
-                for p in chosen:
-                    x = x + sums[:, p] * STEPS[16 + p]
-                empty = sum(counts[:, p] for p in chosen) == 0
-                empty_groups |= empty
-                found.append(mix(x)[~empty])
-            if empty_groups.sum() > spare:
-                least = -(-size * bands.percent // 100)  # what a similar set shares with this one
-                found.append(mix(elements[: size - least + 1] * STEPS[32] + salt))
+        if bands.differing(band) == 0:  # equal sets only, and those are one entity
+            continue
+        salt = mix(np.array([band + 1], dtype=np.uint64))[0]
+        sig, bare = _projections(rare, bands, band, salt)
+        found.append(sig)
+        if bare:  # what these sets share may be common elements only
+            sig, bare = _projections(elements, bands, band, ~salt)
+            found.append(sig)
+        if bare:
+            least = -(-size * bands.percent // 100)  # what a similar set shares with this one
+            with np.errstate(over="ignore"):
+                found.append(mix(np.concatenate([rare, elements[known]])[: size - least + 1] * STEPS[32] + salt))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def common_elements(docs: DataFrame, n: int, least: int = COMMON, most: int = MOST_COMMON) -> np.ndarray:
+    """Shingles of at least so many documents, sorted: the most frequent ones, most at most. All documents
+    are counted, task by task, and counts below LEAST_IN_TASK of a task are left out. Any choice gives the
+    same links; this one keeps signature groups small."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+
+        def counted():
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            pick = times >= LEAST_IN_TASK
+            return batch_of({"e": values[pick].view(np.int64), "n": times[pick].astype(np.int64)}, "e long, n long")
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(shingles(text, n))
+                size += len(held[-1])
+            if size > 4_000_000:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    sums = docs.select("text").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = sums.orderBy(F.desc("n"), "e").limit(most).select("e").toArrow()["e"]  # 8 bytes each
+    return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
+
+
 def described(docs: DataFrame, n: int) -> DataFrame:
     """Per row of docs: doc_id, the set's size and its fingerprint (null if empty)."""
 
@@ -154,7 +199,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
 
 def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between entities that share a signature: a forest of them for each task's buckets."""
-    bands = Bands(percent)
+    bands, common = Bands(percent), common_elements(docs, n)
     bounded_batches(docs.sparkSession)
 
     def deal(batches):
@@ -165,7 +210,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 s = shingles(text, n)
                 if len(s) and (e := fingerprint(s)) not in seen:
                     seen.add(e)
-                    sig = signatures(s, bands)
+                    sig = signatures(s, bands, common)
                     if len(sig):
                         found.append(sig)
                         entities.append(e)
@@ -197,37 +242,18 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
         first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
         pick = first != who
         links = np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
-        links = forest(links)
+        links = links[forest(links)[0]]
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
     def fewer(batches):  # of a task's buckets together
         links = np.concatenate([np.zeros((0, 2), np.int64), *[np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]])
-        links = forest(links)
-        yield pa.RecordBatch.from_pydict({"a": links[:, 0].copy(), "b": links[:, 1].copy()})
+        links = links[forest(links)[0]]
+        yield batch_of({"a": links[:, 0].copy(), "b": links[:, 1].copy()}, "a long, b long")
 
     return by_bucket(blobs, meet, "a long, b long").mapInArrow(fewer, "a long, b long")
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """As few of the links as connect what all of them connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(p, p)
-            x = parent[x]
-        return x
-
-    kept = []
-    for i, (a, b) in enumerate(links.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append(i)
-    return links[kept]
-
-
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Places of the similar pairs: within left, or between left and right. By matrix products of the
     0/1 matrices over the elements that more than one set has."""
@@ -293,7 +319,8 @@ def verified(docs: DataFrame, members: DataFrame, n: int, percent: int, pairs_of
             return
         found = linked(list(sides[0].values()), list(sides[1].values()) if pairs_of_blocks else None, percent)
         right = names[1] if pairs_of_blocks else names[0]
-        links = forest(np.array([(names[0][i], right[j]) for i, j in found], dtype=np.int64).reshape(-1, 2))
+        links = np.array([(names[0][i], right[j]) for i, j in found], dtype=np.int64).reshape(-1, 2)
+        links = links[forest(links)[0]]
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
@@ -304,13 +331,12 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     """The description of all rows of docs (doc_id, text), and (entity, class) of entities that link."""
     own = written(described(docs, n), "shingles")
     clusters = components(candidate_links(docs, n, percent)).select(F.col("node").alias("entity"), F.col("root").alias("cluster"))
-    clusters = written(clusters, "jaccard")
     first = own.where("doc_id is not null").join(small(clusters), "entity").groupBy("entity", "cluster").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     first = written(first, "jaccard")
     load = first.groupBy("cluster").agg(F.min("entity").alias("leader"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
     members = written(first.join(small(written(load, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
     links = written(verified(docs, members, n, percent, False), "jaccard")
-    found = written(components(links), "jaccard")
+    found = components(links)
     large = members.where("blocks > 1")
     if large.limit(1).count():
         rooted = large.join(small(found), F.col("entity") == F.col("node"), "left").withColumn("own", F.coalesce("root", "entity"))
@@ -318,7 +344,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
         rest = written(large.join(small(written(open_clusters, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
         if rest.limit(1).count():
             more = verified(docs, rest, n, percent, True)
-            found = written(components(links.union(more)), "jaccard")
+            found = components(links.union(more))
     return own, found.select(F.col("node").alias("entity"), F.col("root").alias("class"))
 
 
@@ -337,8 +363,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without those linked to a smaller doc_id and without
     repeats of a doc_id with the same text."""
     ids = written(components_of(docs, n, percent), "jaccard")
-    gone = ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(written(gone, "jaccard")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(written(ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard"))
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = ids.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
 

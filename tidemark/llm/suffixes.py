@@ -32,12 +32,11 @@ import hashlib
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import bounded_batches, read, shared_dir, written
+from tidemark.llm.common import batch_of, bounded_batches, read, shared_dir, written
 from tidemark.llm.graph import small
 
 LENGTH = 50
@@ -136,6 +135,11 @@ def bits_by_bucket(answers: list[dict], keys: np.ndarray, buckets: int) -> np.nd
     return out
 
 
+CHUNKS = "chunk long, n long, data binary, ends binary, ids binary"
+COVER_KEYS = "bucket int, chunk long, keys binary, more binary"
+SUFFIX_KEYS = COVER_KEYS + ", docs binary"
+
+
 def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """docs (doc_id, text) as chunks, in a table bucketed by chunk in the shared folder."""
     spark = docs.sparkSession
@@ -150,7 +154,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             nonlocal base, parts, ids, ends, size
             out = {"chunk": base, "n": size, "data": b"".join(parts), "ends": np.array(ends, "<i8").tobytes(), "ids": np.array(ids, "<i8").tobytes()}
             base, parts, ids, ends, size = base + 1, [], [], [], 0
-            return pa.RecordBatch.from_pylist([out])
+            return batch_of({k: [v] for k, v in out.items()}, CHUNKS)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -164,7 +168,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    chunks = docs.mapInArrow(run, "chunk long, n long, data binary, ends binary, ids binary")
+    chunks = docs.mapInArrow(run, CHUNKS)
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,9 +193,9 @@ def cover_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> DataF
                 _, edge = dealt(keys, buckets)
                 used = np.flatnonzero(np.diff(edge))
                 cuts = [(int(edge[b]), int(edge[b + 1])) for b in used]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "chunk": [row["chunk"]] * len(used), "keys": [encode(keys[x:y] >> np.uint64(64 - bits)) for x, y in cuts], "more": [np.packbits(twice[x:y]).tobytes() for x, y in cuts]})
+                yield batch_of({"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [encode(keys[x:y] >> np.uint64(64 - bits)) for x, y in cuts], "more": [np.packbits(twice[x:y]).tobytes() for x, y in cuts]}, COVER_KEYS)
 
-    return chunks.select("chunk", "data", "ends", "ids").mapInArrow(run, "bucket int, chunk long, keys binary, more binary")
+    return chunks.select("chunk", "data", "ends", "ids").mapInArrow(run, COVER_KEYS)
 
 
 def tied_in_bucket(bucket: int, rows: list[dict]):
@@ -204,7 +208,7 @@ def tied_in_bucket(bucket: int, rows: list[dict]):
         at = np.searchsorted(tied, k)
         found = tied[np.minimum(at, len(tied) - 1)] == k if len(tied) else np.zeros(len(k), bool)
         bits.append(np.packbits(found | np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(k)).astype(bool)).tobytes())
-    yield {"chunk": [r["chunk"] for r in rows], "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": bits}
+    yield {"chunk": [r["chunk"] for r in rows], "bucket": [bucket] * len(rows), "bits": bits}
 
 
 def tied_places(chunk: Chunk, answers: list[dict] | None, buckets: int) -> np.ndarray:
@@ -220,16 +224,16 @@ def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> Data
                 _, _, keys, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets))
                 _, edge = dealt(keys, buckets)
                 used = np.flatnonzero(np.diff(edge))
-                out = {"bucket": pa.array(used, pa.int32()), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": []}
+                out = {"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": []}
                 for b in used:
                     x, y = edge[b], edge[b + 1]
                     docs, of = np.unique(least[x:y], return_inverse=True)
                     out["keys"].append(encode(keys[x:y]))
                     out["more"].append(of.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
                     out["docs"].append(docs.astype("<i8").tobytes())
-                yield pa.RecordBatch.from_pydict(out)
+                yield batch_of(out, SUFFIX_KEYS)
 
-    return chunks.select("chunk", "data", "ends", "ids", "tied").mapInArrow(run, "bucket int, chunk long, keys binary, more binary, docs binary")
+    return chunks.select("chunk", "data", "ends", "ids", "tied").mapInArrow(run, SUFFIX_KEYS)
 
 
 def smaller_in_bucket(bucket: int, rows: list[dict]):
@@ -243,13 +247,15 @@ def smaller_in_bucket(bucket: int, rows: list[dict]):
     least[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     cut = np.cumsum([len(k) for k in keys])[:-1]
     bits = [np.packbits(a < b).tobytes() for a, b in zip(np.split(least, cut), docs, strict=True)]
-    yield {"chunk": [r["chunk"] for r in rows], "bucket": pa.array([bucket] * len(rows), pa.int32()), "bits": bits}
+    yield {"chunk": [r["chunk"] for r in rows], "bucket": [bucket] * len(rows), "bits": bits}
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def marked(chunks: DataFrame, length: int, bits: int, buckets: int, with_text: bool) -> DataFrame:
+    schema = RESULT + ", kept binary" * with_text
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -275,9 +281,9 @@ def marked(chunks: DataFrame, length: int, bits: int, buckets: int, with_text: b
                     start = end
                 if with_text:
                     out["kept"] = kept_text
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, {"kept_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
+                yield batch_of(out, schema)
 
-    return chunks.select("chunk", "data", "ends", "ids", "tied", "smaller").mapInArrow(run, RESULT + ", kept binary" * with_text)
+    return chunks.select("chunk", "data", "ends", "ids", "tied", "smaller").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

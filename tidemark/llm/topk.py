@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, read
+from tidemark.llm.common import batch_of, bounded_batches, read
 
 SCALE = 64
 PIVOTS = 12
@@ -52,6 +52,9 @@ def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
+BLOCKS = "ids binary, n long, v binary, far binary"
+
+
 def packed(df: DataFrame, size: int, pivots: np.ndarray | None = None) -> DataFrame:
     """Blocks of at most size rows: ids, vectors and, given pivots, squared distances to them less the norm."""
 
@@ -72,15 +75,15 @@ def packed(df: DataFrame, size: int, pivots: np.ndarray | None = None) -> DataFr
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, min(size, batch.num_rows - at))
                 if held and held + part.num_rows > size:
-                    yield pa.RecordBatch.from_pylist([block(ids, vs)])
+                    yield batch_of({c: [x] for c, x in block(ids, vs).items()}, BLOCKS)
                     ids, vs, held = [], [], 0
                 ids.append(part.column(0).to_numpy())
                 vs.append(matrix(part.column(1)))
                 held += part.num_rows
         if held:
-            yield pa.RecordBatch.from_pylist([block(ids, vs)])
+            yield batch_of({c: [x] for c, x in block(ids, vs).items()}, BLOCKS)
 
-    return df.select("id", "v").mapInArrow(run, "ids binary, n long, v binary, far binary")
+    return df.select("id", "v").mapInArrow(run, BLOCKS)
 
 
 def fit_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
