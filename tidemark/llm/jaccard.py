@@ -361,11 +361,11 @@ def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without those linked to a smaller doc_id and without
-    repeats of a doc_id with the same text."""
+    repeats of a doc_id with the same text, which become one row."""
     ids = written(components_of(docs, n, percent), "jaccard")
     gone = small(written(ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard"))
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = ids.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    again = ids.groupBy("doc_id").count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
 
 
