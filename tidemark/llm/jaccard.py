@@ -372,3 +372,23 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query 7: three-word shingles, similarity of 0.9 or more."""
     return components_of(read(spark, sf_dir, "documents"), 3, 90)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d
+), e AS (
+  SELECT md5(array_to_string(list_sort(s), chr(10))) AS e, min(doc_id) AS least, any_value(s) AS s, any_value(len(s)) AS n FROM l WHERE len(s) > 0 GROUP BY 1
+), x AS (SELECT least, n, unnest(s) AS s FROM e),
+p AS (
+  SELECT a.least AS a, b.least AS b FROM x a JOIN x b ON a.s = b.s AND a.least <> b.least
+  GROUP BY a.least, b.least, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r AS (
+  SELECT least AS node, least AS to_node FROM e UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.to_node
+), c AS (SELECT node, min(to_node) AS component FROM r GROUP BY 1)
+SELECT l.doc_id, CAST(len(l.s) AS BIGINT) AS n_shingles, CAST(coalesce(c.component, l.doc_id) AS BIGINT) AS component_id
+FROM l LEFT JOIN e ON len(l.s) > 0 AND e.e = md5(array_to_string(list_sort(l.s), chr(10))) LEFT JOIN c ON c.node = e.least
+"""

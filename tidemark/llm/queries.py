@@ -1,6 +1,6 @@
 """Names of the queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import mixing, topk
+from tidemark.llm import jaccard, mixing, suffixes, topk
 from tidemark.llm.html import op5_html
 from tidemark.llm.jaccard import op7_jaccard
 from tidemark.llm.language import op10_language
@@ -24,4 +24,4 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op3_suffixes": suffixes.ORACLE, "op4_topk": topk.ORACLE, "op7_jaccard": jaccard.ORACLE}

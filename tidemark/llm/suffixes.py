@@ -316,3 +316,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query 3: every whole text of documents, strings of 50 bytes."""
     return dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT rn, doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS t FROM d, unnest(range(0, len(h) // 2 - {LENGTH - 1})) u(i)
+), f AS (SELECT t, min(doc_id) AS least FROM s GROUP BY 1),
+g AS (SELECT rn, i FROM s JOIN f USING (t) WHERE least < doc_id),
+b AS (SELECT rn, i, CASE WHEN i <= coalesce(lag(i) OVER (PARTITION BY rn ORDER BY i), -1000) + {LENGTH} THEN 0 ELSE 1 END AS first FROM g),
+k AS (SELECT rn, i, sum(first) OVER (PARTITION BY rn ORDER BY i) AS span FROM b),
+r AS (SELECT rn, span, min(i) AS a, max(i) + {LENGTH} AS z FROM k GROUP BY ALL),
+m AS (SELECT rn, count(*) AS spans, sum(z - a) AS removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE
+    array_to_string(list_transform(range(1, spans + 2), lambda j: substr(h, 2 * CAST(CASE WHEN j = 1 THEN 0 ELSE z[j - 1] END AS BIGINT) + 1, 2 * CAST(CASE WHEN j > spans THEN len(h) // 2 ELSE a[j] END - CASE WHEN j = 1 THEN 0 ELSE z[j - 1] END AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN m USING (rn)
+"""
