@@ -87,6 +87,31 @@ def fold_log_order(spark, sf_dir):
     return folded(spark, sf_dir, order="log")
 
 
+LOG_FOLD = f"WITH {cs(order='log')}" + FOLDED.format(by="lsn DESC, arrival DESC", more=AFTER.format(gate=GATE))
+
+
+def interleaved(spark, sf_dir, key="row"):
+    routed = delivery.route(change_stream(spark, sf_dir, key), PARTITIONS)
+    return delivery.interleave(routed, seed=11).withColumn("arrival", F.struct("arrival_key", "partition", "offset"))
+
+
+@query(LOG_FOLD)
+def fold_interleaved(spark, sf_dir):
+    """Partitions keep their order, so any interleaving gives what log order gives."""
+    return folding.fold(interleaved(spark, sf_dir), SLOT).select(*COLUMNS, "lsn")
+
+
+@query(LOG_FOLD)
+def fold_interleaved_open(spark, sf_dir):
+    """Even without the guard, while the record key is the row's key."""
+    return folding.fold(interleaved(spark, sf_dir), SLOT, guard=False).select(*COLUMNS, "lsn")
+
+
+@query(LOG_FOLD)
+def fold_compacted(spark, sf_dir):
+    return folding.fold(delivery.compact(change_stream(spark, sf_dir, order="log")), SLOT).select(*COLUMNS, "lsn")
+
+
 @query(f"WITH {cs(ties=True)}" + FOLDED.format(by="lsn DESC, arrival DESC", more=AFTER.format(gate=GATE)))
 def fold_ties(spark, sf_dir):
     return folded(spark, sf_dir, ties=True)
