@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import batch_of
+from tidemark.llm.common import batch_of, trimmed
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -22,6 +22,53 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def encode(x: np.ndarray) -> bytes:
+    """Sorted unsigned numbers: their differences by bytes of one place, which compresses well."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def decode(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    n = (len(raw) - 1) // width
+    d = np.zeros((n, 8), np.uint8)
+    d[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+
+
+#: What keyed() makes: for each bucket its keys in order, the owner of each (a place in owners), and the owners.
+KEYED = "bucket int, keys binary, at binary, owners binary"
+KEY_SHIFT = np.uint64(16)  # keys are compared by their upper 48 bits
+
+
+def keyed(keys: np.ndarray, of: np.ndarray, owners: np.ndarray, buckets: int) -> dict:
+    """Rows of KEYED for keys and the places of their owners, at most 65536 owners."""
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    _, edge = dealt(keys, buckets)
+    rows = {"bucket": np.flatnonzero(np.diff(edge)).astype(np.int32), "keys": [], "at": [], "owners": []}
+    for b in rows["bucket"].tolist():
+        x, y = edge[b], edge[b + 1]
+        used, at = np.unique(of[x:y], return_inverse=True)
+        rows["keys"].append(encode(keys[x:y] >> KEY_SHIFT))
+        rows["at"].append(at.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+        rows["owners"].append(owners[used].astype("<i8").tobytes())
+    return rows
+
+
+def unkeyed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (upper bits) and owners of a bucket's rows, in order of both."""
+    keys, who = [], []
+    for r in rows:
+        keys.append(decode(r["keys"]))
+        at = np.ascontiguousarray(np.frombuffer(r["at"], np.uint8).reshape(2, -1).T).view("<u2").ravel()
+        who.append(np.frombuffer(r["owners"], "<i8")[at])
+    keys, who = np.concatenate(keys), np.concatenate(who)
+    order = np.lexsort((who, keys))
+    return keys[order], who[order]
+
+
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the keys by bucket (the high bits), and where each bucket begins in it."""
     of = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -52,4 +99,4 @@ def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]],
         for columns in found:
             yield batch_of(columns, out)
 
-    return sorted_rows.mapInArrow(run, out)
+    return sorted_rows.mapInArrow(trimmed(run), out)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +42,19 @@ def batch_of(columns: dict, ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], names=schema.names)
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, after which the worker gives memory back: workers live on, and their next task may be another kind."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no such call but in glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return outer
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Applies make()(batch), a dict of columns by name, to each Arrow batch. make runs once a task."""
     bounded_batches(df.sparkSession)
@@ -49,7 +65,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
             if batch.num_rows:
                 yield batch_of(work(batch), schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

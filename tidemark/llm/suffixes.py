@@ -35,33 +35,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import batch_of, bounded_batches, read, shared_dir, written
+from tidemark.llm.blobs import by_bucket, dealt, decode, encode, mix
+from tidemark.llm.common import batch_of, bounded_batches, read, shared_dir, trimmed, written
 from tidemark.llm.graph import small
 
 LENGTH = 50
 #: A perfect difference set: the differences of its members are all remainders by V.
 V, D = 21, (0, 1, 4, 14, 16)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20  # places in a chunk are 32-bit numbers
 BUCKET_SUFFIXES = 1 << 20
 NO_ID = 2**63 - 1
 
 
-def encode(x: np.ndarray) -> bytes:
-    """Sorted unsigned numbers: their differences by bytes of one place, which compresses well."""
-    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def decode(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    n = (len(raw) - 1) // width
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
-
-
 class Chunk:
     """Texts one after another: data, the end of each, and their ids."""
 
@@ -90,7 +75,7 @@ class Chunk:
     def cover(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the cover suffixes: place, number of the key, and of the keys, sorted: value, seen in two documents."""
         depth = self.length - V + 1
-        at = (np.arange(0, self.size, V)[:, None] + np.array(D)[None, :]).ravel()
+        at = (np.arange(0, self.size, V, dtype=np.int32)[:, None] + np.array(D, dtype=np.int32)[None, :]).ravel()
         at = at[at + depth <= self.size]
         doc = self.doc(at)
         keep = at + depth <= self.ends[np.minimum(doc, len(self.ends) - 1)]
@@ -100,8 +85,8 @@ class Chunk:
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        number = np.zeros(len(h), np.int64)
-        number[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(h))))
+        number = np.zeros(len(h), np.int32)
+        number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
         last = np.append(new[1:], len(h)) - 1
         return at, number, h[new], doc[new] != doc[last]
 
@@ -110,18 +95,19 @@ class Chunk:
         edge = np.zeros(self.size + 1, np.int32)
         np.add.at(edge, np.maximum(tied - (V - 1), 0), 1)
         np.add.at(edge, tied + 1, -1)
-        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0).astype(np.int32)
         return at[self.fits(at, self.length)]
 
     def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the candidates: place, number of the key, and of the keys, sorted: value, smallest id here."""
         at = self.candidates(tied)
-        h, own = self.hashes(at, self.length), self.ids[self.doc(at)]
-        order = np.lexsort((own, h))
-        h, own = h[order], own[order]
+        h, doc = self.hashes(at, self.length), self.doc(at).astype(np.int32)
+        rank = np.argsort(np.argsort(self.ids, kind="stable")).astype(np.int32)  # of the documents by id
+        order = np.lexsort((rank[doc], h))
+        h, own = h[order], self.ids[doc[order]]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        number = np.zeros(len(h), np.int64)
-        number[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(h))))
+        number = np.zeros(len(h), np.int32)
+        number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
         return at, number, h[new], own[new]
 
 
@@ -168,7 +154,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    chunks = docs.mapInArrow(run, CHUNKS)
+    chunks = docs.mapInArrow(trimmed(run), CHUNKS)
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -195,7 +181,7 @@ def cover_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> DataF
                 cuts = [(int(edge[b]), int(edge[b + 1])) for b in used]
                 yield batch_of({"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [encode(keys[x:y] >> np.uint64(64 - bits)) for x, y in cuts], "more": [np.packbits(twice[x:y]).tobytes() for x, y in cuts]}, COVER_KEYS)
 
-    return chunks.select("chunk", "data", "ends", "ids").mapInArrow(run, COVER_KEYS)
+    return chunks.select("chunk", "data", "ends", "ids").mapInArrow(trimmed(run), COVER_KEYS)
 
 
 def tied_in_bucket(bucket: int, rows: list[dict]):
@@ -233,7 +219,7 @@ def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> Data
                     out["docs"].append(docs.astype("<i8").tobytes())
                 yield batch_of(out, SUFFIX_KEYS)
 
-    return chunks.select("chunk", "data", "ends", "ids", "tied").mapInArrow(run, SUFFIX_KEYS)
+    return chunks.select("chunk", "data", "ends", "ids", "tied").mapInArrow(trimmed(run), SUFFIX_KEYS)
 
 
 def smaller_in_bucket(bucket: int, rows: list[dict]):
@@ -266,7 +252,7 @@ def marked(chunks: DataFrame, length: int, bits: int, buckets: int, with_text: b
                 edge = np.zeros(chunk.size + 1, np.int32)
                 np.add.at(edge, gone, 1)
                 np.add.at(edge, gone + length, -1)
-                cover = np.cumsum(edge[:-1]) > 0
+                cover = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 start, out, data = 0, {k.split()[0]: [] for k in RESULT.split(", ")}, np.frombuffer(chunk.raw, np.uint8)
                 kept_text = []
                 for doc_id, end in zip(chunk.ids.tolist(), chunk.ends.tolist(), strict=True):
@@ -283,7 +269,7 @@ def marked(chunks: DataFrame, length: int, bits: int, buckets: int, with_text: b
                     out["kept"] = kept_text
                 yield batch_of(out, schema)
 
-    return chunks.select("chunk", "data", "ends", "ids", "tied", "smaller").mapInArrow(run, schema)
+    return chunks.select("chunk", "data", "ends", "ids", "tied", "smaller").mapInArrow(trimmed(run), schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
