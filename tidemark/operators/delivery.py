@@ -77,17 +77,24 @@ def same_key_inversions(events: DataFrame, order: str = "arrival") -> DataFrame:
 def inversions(events: DataFrame, order: str = "arrival", width: int = 4096) -> DataFrame:
     """One row: all pairs that arrive against their log positions, equal positions not counted.
 
-    Bits of the position's rank are settled one block level at a time: at each level, within a block of
-    positions, records of the upper half that arrive before records of the lower half are counted by a
-    running sum. So it takes log2(n) aggregations over n rows, and never pairs records.
+    One bit of the position is settled at a time: within a block of positions that agree in the higher
+    bits, records of the upper half that arrive before records of the lower half are counted. The running
+    counts are made within stretches of width arrivals and added up over the stretches before, so that no
+    task holds a whole block. It takes as many rows as records times bits, and never pairs records. order
+    is a number.
     """
-    rank = events.select(F.col(order).alias("x"), F.dense_rank().over(Window.orderBy("lsn")).alias("r"))
-    depth = max(1, int(rank.agg(F.max("r")).first()[0] or 1).bit_length())
-    levels = rank.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    levels = levels.withColumn("block", F.expr("shiftright(r - 1, level + 1)")).withColumn("upper", F.expr("shiftright(r - 1, level) & 1"))
-    before = Window.partitionBy("level", "block").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    counted = levels.withColumn("ahead", F.coalesce(F.sum("upper").over(before), F.lit(0)))
-    return counted.agg(F.coalesce(F.sum(F.when(F.col("upper") == 0, F.col("ahead"))), F.lit(0)).cast("long").alias("inversions"))
+    ends = events.agg(F.min("lsn").alias("low"), F.max("lsn").alias("high")).first()  # one row
+    low, depth = ends["low"] or 0, max(1, int((ends["high"] or 0) - (ends["low"] or 0)).bit_length())
+    rows = events.select(F.col(order).alias("x"), (F.col("lsn") - low).alias("r")).withColumn("stretch", F.expr(f"x div {int(width)}"))
+    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    levels = levels.withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("upper", F.expr("shiftright(r, level) & 1"))
+    at = ["level", "block", "stretch"]
+    sums = levels.groupBy(*at).agg(F.sum("upper").alias("n"))
+    earlier = Window.partitionBy("level", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    counted = levels.withColumn("here", F.coalesce(F.sum("upper").over(within), F.lit(0))).join(sums, at)
+    return counted.agg(F.coalesce(F.sum(F.when(F.col("upper") == 0, F.col("ahead") + F.col("here"))), F.lit(0)).cast("long").alias("inversions"))
 
 
 def disorder(events: DataFrame, order: str = "arrival") -> DataFrame:
