@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph, jaccard, suffixes, topk
+from tidemark.llm import blobs, graph, jaccard, suffixes, topk
 
 SCHEMA = "doc_id long, text string"
 
@@ -78,7 +78,7 @@ def test_suffixes_edges(spark):
 def test_sorted_numbers_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     for v in (x, x >> np.uint64(40), x[:1], np.array([0, 0, 2**64 - 1], dtype=np.uint64)):
-        assert (suffixes.decode(suffixes.encode(v)) == v).all()
+        assert (blobs.decode(blobs.encode(v)) == v).all()
 
 
 # --- Jaccard ---

@@ -69,9 +69,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset, in local
+    mode only, one of our own."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():

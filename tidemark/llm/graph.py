@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import trimmed, written
 
 #: A side with at most so many rows of a few numbers is broadcast (some 10 MB); a larger one is shuffled.
 BROADCAST_ROWS = 300_000
@@ -55,7 +55,7 @@ def _by_union(edges: DataFrame) -> DataFrame:
         _, roots = forest(np.concatenate([np.zeros((0, 2), np.int64), *parts]))
         yield pa.RecordBatch.from_pydict({"node": pa.array(list(roots), pa.int64()), "root": pa.array(list(roots.values()), pa.int64())})
 
-    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+    return edges.coalesce(1).mapInArrow(trimmed(run), "node long, root long")
 
 
 def _by_rounds(edges: DataFrame) -> DataFrame:

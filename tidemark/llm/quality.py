@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_rows, read
+from tidemark.llm.common import bounded_batches, map_rows, read, trimmed
 
 SAMPLE_ROWS = 10_000
 # Fixed values of the contract.
@@ -245,7 +245,7 @@ def keep_good(docs: DataFrame, trees: Trees, least_score: float = 0.5) -> DataFr
                 good = [not base_failed(c[0], c[4]) and s >= least_score for (c, _), s in zip(found, score, strict=True)]
                 yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import bounded_batches, map_rows, read
+from tidemark.llm.common import bounded_batches, map_rows, read, trimmed
 
 # Fixed values of the contract: the three base patterns and the least lengths of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -210,7 +210,7 @@ def redact(docs: DataFrame, model: MarkovPair | None = None, mark: str = "[SECRE
                     columns[at_n] = pa.array([changed.get(i, x) for i, x in enumerate(n)], columns[at_n].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

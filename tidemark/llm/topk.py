@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_of, bounded_batches, read
+from tidemark.llm.common import batch_of, bounded_batches, read, trimmed
 
 SCALE = 64
 PIVOTS = 12
@@ -83,7 +83,7 @@ def packed(df: DataFrame, size: int, pivots: np.ndarray | None = None) -> DataFr
         if held:
             yield batch_of({c: [x] for c, x in block(ids, vs).items()}, BLOCKS)
 
-    return df.select("id", "v").mapInArrow(run, BLOCKS)
+    return df.select("id", "v").mapInArrow(trimmed(run), BLOCKS)
 
 
 def fit_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     out_s.append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
-    hits = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    hits = pairs.mapInArrow(trimmed(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
