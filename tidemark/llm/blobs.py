@@ -39,6 +39,7 @@ def decode(raw: bytes) -> np.ndarray:
 
 #: What keyed() makes: for each bucket its keys in order, the owner of each (a place in owners), and the owners.
 KEYED = "bucket int, keys binary, at binary, owners binary"
+HELD_ROWS = 500_000
 KEY_SHIFT = np.uint64(16)  # keys are compared by their upper 48 bits
 
 
@@ -76,27 +77,38 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]], out: str, key: str = "bucket") -> DataFrame:
+def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]], out: str, key: str = "bucket", fold: Callable[[list[dict]], dict] | None = None) -> DataFrame:
     """Calls work(bucket, rows) for each bucket of df, whose rows come together in one task, and yields
-    the rows it returns. df: the bucket's number in the column key, and binary columns."""
+    the columns it returns. df: the bucket's number in the column key, and binary columns. fold makes one
+    of several such columns; given it, a task yields once, for all its buckets."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartition(n, key).sortWithinPartitions(key)
 
-    def run(batches):
+    def found(batches) -> Iterator[dict]:
         now, rows = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row[key] != now:
                     if rows:
-                        yield from packed(work(now, rows))
+                        yield from work(now, rows)
                     now, rows = row[key], []
                 rows.append(row)
         if rows:
-            yield from packed(work(now, rows))
-
-    def packed(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        for columns in found:
-            yield batch_of(columns, out)
+            yield from work(now, rows)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for columns in found(batches):
+            if fold is None:
+                yield batch_of(columns, out)
+                continue
+            held.append(columns)
+            size += len(next(iter(columns.values())))
+            if size > HELD_ROWS:
+                held = [fold(held)]
+                size = 0
+        if held:
+            yield batch_of(fold(held), out)
 
     return sorted_rows.mapInArrow(trimmed(run), out)

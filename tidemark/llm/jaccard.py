@@ -11,8 +11,8 @@ Elements of very many documents are left out of the signatures, which makes no d
 that has too few elements then adds the signatures of all its elements, and if those are too few as well
 its prefix: of the elements in a fixed order, the first of which two similar sets must share one.
 
-Sets that share a signature form clusters (connected components of the candidate links). Within a cluster
-the links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into
+Sets that share a signature form clusters (connected components of the candidate links). Clusters too large
+for one block are formed anew, by elements of the sets' prefixes, rarest first. Within a cluster the links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into
 blocks by hash, first each block and the cluster's leader, then pairs of blocks where that has left more
 than one component. Copies (equal sets) are one entity throughout, so groups of copies never make pairs.
 
@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.blobs import by_bucket, dealt, mix
-from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, written
+from tidemark.llm.blobs import KEYED, by_bucket, dealt, keyed, mix, unkeyed
+from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, trimmed, written
 from tidemark.llm.graph import components, forest, small
 
 N2, K2 = 3, 1
-BUCKETS = 512
+BUCKET_NUMBERS = 1 << 20
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 COMMON, LEAST_IN_TASK, MOST_COMMON = 24, 3, 300_000
 CHOICES = list(itertools.combinations(range(N2), N2 - K2))
@@ -173,13 +173,13 @@ def common_elements(docs: DataFrame, n: int, least: int = COMMON, most: int = MO
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, n))
                 size += len(held[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield counted()
                 held, size = [], 0
         if held:
             yield counted()
 
-    sums = docs.select("text").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sums = docs.select("text").mapInArrow(trimmed(run), "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = sums.orderBy(F.desc("n"), "e").limit(most).select("e").toArrow()["e"]  # 8 bytes each
     return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
 
@@ -197,9 +197,34 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n_shingles long, entity long")
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between entities that share a signature: a forest of them for each task's buckets."""
-    bands, common = Bands(percent), common_elements(docs, n)
+def links_of(blobs: DataFrame) -> DataFrame:
+    """Links (a, b) between owners that share a key of blobs (KEYED): a forest of them for each task."""
+
+    def meet(_, rows):
+        keys, who = unkeyed(rows)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+        pick = first != who
+        links = np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
+        links = links[forest(links)[0]]
+        if len(links):
+            yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
+
+    def fewer(found):  # of a task's buckets together
+        links = np.stack([np.concatenate([x[c] for x in found]) for c in "ab"], 1)
+        links = links[forest(links)[0]]
+        return {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
+
+    return by_bucket(blobs, meet, "a long, b long", fold=fewer)
+
+
+def buckets_for(numbers: int) -> int:
+    return min(1 << 22, max(64, numbers // BUCKET_NUMBERS))
+
+
+def candidate_links(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
+    """Links (a, b) between entities that share a signature; total is the number of all shingles."""
+    bands, common, buckets = Bands(percent), common_elements(docs, n), buckets_for(total)
     bounded_batches(docs.sparkSession)
 
     def deal(batches):
@@ -215,43 +240,90 @@ def candidate_links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         found.append(sig)
                         entities.append(e)
             if found:
-                keys, of = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
-                table = np.array(entities, dtype="<i8")
-                order, at = dealt(keys, BUCKETS)
-                keys, of = keys[order], of[order]
-                rows = [b for b in range(BUCKETS) if at[b + 1] > at[b]]
-                used = [np.unique(of[at[b] : at[b + 1]], return_inverse=True) for b in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows, pa.int32()),
-                        pa.array([keys[at[b] : at[b + 1]].astype("<u8").tobytes() for b in rows], pa.binary()),
-                        pa.array([i.astype("<u2").tobytes() for _, i in used], pa.binary()),
-                        pa.array([table[u].tobytes() for u, _ in used], pa.binary()),
-                    ],
-                    names=["bucket", "keys", "at", "entities"],
-                )
-
-    blobs = docs.select("text").mapInArrow(deal, "bucket int, keys binary, at binary, entities binary")
+                of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield batch_of(keyed(np.concatenate(found), of, np.array(entities, dtype=np.int64), buckets), KEYED)
 
-    def meet(_, rows):
-        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-        who = np.concatenate([np.frombuffer(r["entities"], "<i8")[np.frombuffer(r["at"], "<u2")] for r in rows])
-        order = np.lexsort((who, keys))
-        keys, who = keys[order], who[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pick = first != who
-        links = np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
-        links = links[forest(links)[0]]
-        if len(links):
-            yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
+    return links_of(docs.select("text").mapInArrow(trimmed(deal), KEYED))
 
-    def fewer(batches):  # of a task's buckets together
-        links = np.concatenate([np.zeros((0, 2), np.int64), *[np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]])
-        links = links[forest(links)[0]]
-        yield batch_of({"a": links[:, 0].copy(), "b": links[:, 1].copy()}, "a long, b long")
 
-    return by_bucket(blobs, meet, "a long, b long").mapInArrow(fewer, "a long, b long")
+def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between members that share an element of their prefixes, the elements of fewest
+    members first. Similar sets share one; sets that only have a passage in common mostly don't, because
+    their own elements come first.
+
+    Elements meet by bucket and are counted; those of several members go to the buckets of their owners,
+    which choose the prefixes, and these meet by bucket again.
+    """
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = buckets_for(total)
+    chosen = docs.where("doc_id is not null").join(small(members.select("doc_id", "entity")), "doc_id").select("text", "entity")
+
+    def deal(batches):
+        for batch in batches:
+            sets, owners = [], []
+            for text, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, n)
+                if len(s) and fingerprint(s) == e:
+                    sets.append(s)
+                    owners.append(e)
+            if sets:
+                yield batch_of(keyed(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array(owners, dtype=np.int64), buckets), KEYED)
+
+    def count(_, rows):
+        keys, who = unkeyed(rows)
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])
+        keys, who = keys[once], who[once]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.diff(np.append(new, len(keys)))
+        times = np.repeat(times, times)
+        keys, who, times = keys[times > 1], who[times > 1], times[times > 1]
+        home = mix(who.view(np.uint64))
+        order, edge = dealt(home, buckets)
+        used = np.flatnonzero(np.diff(edge))
+        if len(used):
+            parts = [order[edge[b] : edge[b + 1]] for b in used]
+            yield {"bucket": used.astype(np.int32), "keys": [keys[p].astype("<u8").tobytes() for p in parts], "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [np.minimum(times[p], 2**31).astype("<u4").tobytes() for p in parts]}
+
+    sizes = members.select("entity", F.col("n_shingles").cast("long").alias("n"))
+    own = sizes.mapInArrow(lambda batches: _homes(batches, buckets), "bucket int, keys binary, who binary, times binary")
+    shared = by_bucket(chosen.mapInArrow(trimmed(deal), KEYED), count, "bucket int, keys binary, who binary, times binary")
+
+    def choose(_, rows):
+        size: dict[int, int] = {}
+        for r in rows:
+            if not r["keys"]:
+                size.update(zip(np.frombuffer(r["who"], "<i8").tolist(), np.frombuffer(r["times"], "<u4").tolist(), strict=True))
+        rows = [r for r in rows if r["keys"]]
+        if not rows:
+            return
+        keys, who, times = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("who", "<i8"), ("times", "<u4")))
+        order = np.lexsort((keys, times, who))
+        keys, who = keys[order], who[order]
+        start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        end = np.append(start[1:], len(who))
+        sets, owners = [], []
+        for a, b in zip(start.tolist(), end.tolist(), strict=True):
+            all_of = size.get(int(who[a]), b - a)
+            # one more than needed, in case two elements of a set have one key
+            prefix = all_of - -(-all_of * percent // 100) + 2 - (all_of - (b - a))
+            if prefix > 0:
+                sets.append(mix(keys[a : min(b, a + prefix)]))
+                owners.append(int(who[a]))
+        for at in range(0, len(sets), 60_000):
+            part = sets[at : at + 60_000]
+            yield keyed(np.concatenate(part), np.repeat(np.arange(len(part)), [len(s) for s in part]), np.array(owners[at : at + 60_000], dtype=np.int64), buckets)
+
+    return links_of(by_bucket(shared.unionByName(own), choose, KEYED))
+
+
+def _homes(batches, buckets: int):
+    """The sizes of entities, dealt to the entities' own buckets."""
+    for batch in batches:
+        who, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        order, edge = dealt(mix(who.view(np.uint64)), buckets)
+        used = np.flatnonzero(np.diff(edge))
+        parts = [order[edge[b] : edge[b + 1]] for b in used]
+        yield batch_of({"bucket": used.astype(np.int32), "keys": [b""] * len(used), "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [n[p].astype("<u4").tobytes() for p in parts]}, "bucket int, keys binary, who binary, times binary")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -327,24 +399,35 @@ def verified(docs: DataFrame, members: DataFrame, n: int, percent: int, pairs_of
     return by_bucket(met, check, "a long, b long", key="key")
 
 
+def described_clusters(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """members (doc_id, entity, n_shingles) with cluster, leader and blocks."""
+    own = written(members.join(small(clusters.select(F.col("node").alias("entity"), F.col("root").alias("cluster"))), "entity"), "jaccard")
+    load = own.groupBy("cluster").agg(F.min("entity").alias("leader"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    return written(own.join(small(written(load, "jaccard")), "cluster").select("doc_id", "entity", "n_shingles", "cluster", "leader", "blocks"), "jaccard")
+
+
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The description of all rows of docs (doc_id, text), and (entity, class) of entities that link."""
     own = written(described(docs, n), "shingles")
-    clusters = components(candidate_links(docs, n, percent)).select(F.col("node").alias("entity"), F.col("root").alias("cluster"))
-    first = own.where("doc_id is not null").join(small(clusters), "entity").groupBy("entity", "cluster").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    first = written(first, "jaccard")
-    load = first.groupBy("cluster").agg(F.min("entity").alias("leader"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = written(first.join(small(written(load, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
+    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+    clusters = components(candidate_links(docs, n, percent, total))
+    own.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files that nothing refers to any longer
+    first = own.where("doc_id is not null").join(small(clusters), F.col("entity") == F.col("node")).groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    members = described_clusters(written(first, "jaccard"), clusters)
+    large = members.where("blocks > 1")
+    if large.limit(1).count():  # sets meet there by passages rather than as copies
+        tight = components(prefix_links(docs, large, n, percent))
+        again = described_clusters(large.select("doc_id", "entity", "n_shingles"), tight)
+        members = written(members.where("blocks = 1").unionByName(again), "jaccard")
     links = written(verified(docs, members, n, percent, False), "jaccard")
     found = components(links)
     large = members.where("blocks > 1")
     if large.limit(1).count():
         rooted = large.join(small(found), F.col("entity") == F.col("node"), "left").withColumn("own", F.coalesce("root", "entity"))
         open_clusters = rooted.groupBy("cluster").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cluster")
-        rest = written(large.join(small(written(open_clusters, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "leader", "blocks"), "jaccard")
+        rest = written(large.join(small(written(open_clusters, "jaccard")), "cluster").select(*large.columns), "jaccard")
         if rest.limit(1).count():
-            more = verified(docs, rest, n, percent, True)
-            found = components(links.union(more))
+            found = components(links.union(verified(docs, rest, n, percent, True)))
     return own, found.select(F.col("node").alias("entity"), F.col("root").alias("class"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, map_rows, read
+from tidemark.llm.common import bounded_batches, map_rows, read, trimmed
 
 FEATURES = 1 << 15
 SAMPLE_ROWS = 3000
@@ -102,7 +102,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["f", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(trimmed(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(FEATURES + 1, dtype=np.int64)
     df[sums["f"].to_numpy()] = sums["n"].to_numpy()
     return int(df[FEATURES]), df[:FEATURES]
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_rows(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), make, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: LanguageModel, least_score: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is known with least_score at least."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
@@ -207,7 +207,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least_score: float = 0.5)
                 good.append(lang != UNKNOWN and score >= least_score)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def held_out() -> F.Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import bounded_batches, read
+from tidemark.llm.common import bounded_batches, read, trimmed
 
 TOKENIZER = "word_bpe_49k.json"
 CLOSING_ID = 1
@@ -34,7 +34,7 @@ WINDOW = 2048
 LEAST_TIER = 256
 FLUSH = 1 << 19
 STEP_TOKENS = 1 << 17
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 #: Text without these characters: NFC changes nothing there, and lower() is the library's.
 UNUSUAL = re.compile("[^\x00-\x7e\xa1-įı-ɏ–—‘’“”…]")
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, window: int = WINDOW, least_tier: int = LEAST_TIER, st
         packer.finish()
         yield from drained()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
