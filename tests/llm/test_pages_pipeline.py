@@ -76,6 +76,17 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0
 
 
+def test_urls_bad_section_among_many(spark):
+    """A section of its own purity stays, however many siblings it has and however rare they are."""
+    for sections, most in ((24, 40), (25, 40), (200, 40), (200, 1)):
+        rows = [(f"http://many.example/s{chr(97 + s // 26)}{chr(97 + s % 26)}/{s * 100 + k}", s * 100 + k, int(s == 7)) for s in range(sections) for k in range(40 if s == 7 else most)]
+        pages = spark.createDataFrame([(i, u) for u, i, _ in rows], "page_id long, url string")
+        labels = spark.createDataFrame([(i, 1 - b, 0) for _, i, b in rows], "doc_id long, quality int, toxic int")
+        got = {r.page_id: r for r in urls.judge(pages, labels, rules=()).collect()}
+        assert {i: got[i].verdict for _, i, _ in rows} == {i: "block" if b else "allow" for _, i, b in rows}
+        assert len({r.template for r in got.values()}) == 2  # the siblings are alike
+
+
 @pytest.fixture(scope="module")
 def documents(spark, tmp_path_factory):
     words = {"en": "the and of that was with from they which house over under never".split(), "de": "der die und nicht eine mit für auf haus werden über unter".split()}

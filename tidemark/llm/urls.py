@@ -1,10 +1,10 @@
 """URL filter: fixed rules, and a tree of path templates per host.
 
 Segments of a path are generalised first by their form (runs of digits become #). Then the tree is built
-level by level over all rows: a node with many different children, or children each seen hardly ever,
-gets one wildcard child; of the other children those whose labelled purity doesn't differ from their
-siblings' (a z test) are merged under the wildcard, and those that differ stay. A template is rejected if
-its share of bad labels, smoothed towards its host's and that towards the share of all, is high.
+level by level over all rows: each child of a node is judged by itself, however many there are. Children
+seen hardly ever, and those whose labelled purity doesn't differ from their siblings' (a z test), are merged
+under one wildcard child; those that differ stay. A template is rejected if its share of bad labels,
+smoothed towards its host's and that towards the share of all, is high.
 
 Everything is a DataFrame aggregation: counts by (host, template), so no host's rows meet in one task.
 
@@ -26,8 +26,7 @@ from tidemark.llm.common import read, written
 # Fixed values of the contract: the rules, in order of writing.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LEVELS = 5  # deeper segments are one tail
-MOST_CHILDREN = 24
-LEAST_MEAN = 3.0  # rows a child, below which the children are a variable segment
+LEAST_ROWS = 3  # of more than two children, one with fewer rows is a value of a variable segment
 Z = 2.0
 SMOOTHING = 8.0
 BAD_SHARE = 0.5
@@ -73,13 +72,13 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
         has = F.size("tokens") >= level
         at = tree.withColumn("token", F.when(has, F.element_at("tokens", F.least(F.lit(level), F.greatest(F.size("tokens"), F.lit(1))))))
         child = at.where("token is not null").groupBy("host", "template", "token").agg(*sums)
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("rows"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = child.join(node, ["host", "template"])
-        variable = (F.col("children") > MOST_CHILDREN) | ((F.col("children") > 2) & (F.col("rows") < LEAST_MEAN * F.col("children")))
+        rare = (F.col("children") > 2) & (F.col("n") < LEAST_ROWS)
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
         z = (F.col("bad") - F.col("labelled") * share) / F.sqrt(F.greatest(F.col("labelled"), F.lit(1)) * share * (1 - share))
         # a wildcard needs no merging; the tail mark of a path too deep stays what it is
-        named = F.when(variable | ((F.col("children") > 1) & (F.abs(z) < Z)), F.lit(WILD)).otherwise(F.col("token"))
+        named = F.when(rare | ((F.col("children") > 1) & (F.abs(z) < Z)), F.lit(WILD)).otherwise(F.col("token"))
         step = both.select("host", "template", "token", named.alias("next"))
         met = at.join(step, ["host", "template", "token"], "left")
         tree = written(met.select("host", "tokens", "n", "labelled", "bad", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat("template", F.array("next"))).alias("template")), "urls")
