@@ -76,6 +76,19 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels).count() == 0
 
 
+def test_urls_deep_branches(spark):
+    """Branches that first differ below the fifth segment are told apart; alike ones are one template."""
+    rows = [(f"http://deep.example/a/b/c/d/e/f/{'spam' if k % 2 else 'good'}/{k}", k, k % 2) for k in range(200)]
+    rows += [(f"http://deep.example/a/b/c/d/e/f/good/{'x/' * (k % 3)}{'yz'[k % 2]}/{k}", k, 0) for k in range(200, 260)]
+    rows += [("http://long.example/" + "q/" * 3000 + f"{k}", k, None) for k in range(300, 302)]
+    pages = spark.createDataFrame([(i, u) for u, i, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for _, i, b in rows if b is not None], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urls.judge(pages, labels, rules=()).collect()}
+    assert {i: got[i].verdict for _, i, b in rows} == {i: "block" if b else "allow" for _, i, b in rows}
+    assert {got[i].template for i in range(1, 200, 2)} == {"/a/b/c/d/e/f/spam/#"}
+    assert {got[i].template for i in (300, 301)} == {"/" + "q/" * 3000 + "#"}
+
+
 def test_urls_bad_section_among_many(spark):
     """A section of its own purity stays, however many siblings it has and however rare they are."""
     for sections, most in ((24, 40), (25, 40), (200, 40), (200, 1)):

@@ -17,6 +17,7 @@ longer host; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from tidemark.llm.common import read, written
 
 # Fixed values of the contract: the rules, in order of writing.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-LEVELS = 5  # deeper segments are one tail
 LEAST_ROWS = 3  # of more than two children, one with fewer rows is a value of a variable segment
 Z = 2.0
 SMOOTHING = 8.0
@@ -53,35 +53,59 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """LEVELS segments at most, digits and long hexadecimal runs generalised; the rest is one tail."""
-    plain = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{12,}", "#"), "[0-9]+", "#"))
-    return F.when(F.size(plain) > LEVELS, F.concat(F.slice(plain, 1, LEVELS), F.array(F.lit("**")))).otherwise(plain)
+    """All segments, digits and long hexadecimal runs generalised."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{12,}", "#"), "[0-9]+", "#"))
+
+
+def _alike_tails(tails: DataFrame) -> DataFrame:
+    """Finishes the templates of nodes in which no test can tell branches apart: a segment on which all
+    paths of the node agree stays, any other is the wildcard. The same as going level by level."""
+    rest = F.slice("tokens", F.size("template") + 1, F.size("tokens"))
+    each = tails.select("host", "template", F.posexplode(rest).alias("at", "token"))
+    each = each.groupBy("host", "template", "at").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    named = F.struct("at", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILD).alias("name"))
+    names = each.groupBy("host", "template").agg(F.sort_array(F.collect_list(named)).alias("names"))
+    more = F.slice(F.col("names.name"), 1, F.size("tokens") - F.size("template"))
+    return tails.join(names, ["host", "template"]).select("host", "tokens", "n", "labelled", "bad", F.concat("template", more).alias("template"))
 
 
 def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Per (host, tokens): its template, and the template's labelled counts and smoothed share of bad.
 
     pages has host, tokens and doc_id (of what the page shows, or null); labels doc_id and bad (0 or 1).
+    The loop goes as deep as a node's labels can still tell its branches apart, without a limit.
     """
     counted = pages.select("host", "tokens", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
     known = pages.where("doc_id is not null").join(labels, "doc_id").select("host", "tokens", F.lit(0).alias("n"), F.lit(1).alias("labelled"), "bad")
     sums = [F.sum(c).cast("long").alias(c) for c in ("n", "labelled", "bad")]
+    columns = ["host", "tokens", "n", "labelled", "bad", "template"]
     tree = counted.unionByName(known).groupBy("host", "tokens").agg(*sums)
-    tree = written(tree.withColumn("template", F.array().cast("array<string>")), "urls")
-    for level in range(1, LEVELS + 1):
-        has = F.size("tokens") >= level
-        at = tree.withColumn("token", F.when(has, F.element_at("tokens", F.least(F.lit(level), F.greatest(F.size("tokens"), F.lit(1))))))
-        child = at.where("token is not null").groupBy("host", "template", "token").agg(*sums)
+    tree = written(tree.withColumn("template", F.array().cast("array<string>")).withColumn("alike", F.lit(False)), "urls")
+    done, tails, level = [], [], 0
+    while True:
+        done.append(tree.where((~F.col("alike")) & (F.size("tokens") == level)).select(columns))
+        tails.append(tree.where("alike").select(columns))
+        at, level = tree.where((~F.col("alike")) & (F.size("tokens") > level)), level + 1
+        if at.isEmpty():
+            break
+        at = at.withColumn("token", F.element_at("tokens", level))
+        child = at.groupBy("host", "template", "token").agg(*sums)
         node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = child.join(node, ["host", "template"])
         rare = (F.col("children") > 2) & (F.col("n") < LEAST_ROWS)
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
         z = (F.col("bad") - F.col("labelled") * share) / F.sqrt(F.greatest(F.col("labelled"), F.lit(1)) * share * (1 - share))
-        # a wildcard needs no merging; the tail mark of a path too deep stays what it is
+        # a wildcard needs no merging
         named = F.when(rare | ((F.col("children") > 1) & (F.abs(z) < Z)), F.lit(WILD)).otherwise(F.col("token"))
-        step = both.select("host", "template", "token", named.alias("next"))
-        met = at.join(step, ["host", "template", "token"], "left")
-        tree = written(met.select("host", "tokens", "n", "labelled", "bad", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat("template", F.array("next"))).alias("template")), "urls")
+        # z**2 of any part of the node, here or deeper, is under the node's good or bad labels and a half, and under a half if it has only one sort
+        good = F.col("all_labelled") - F.col("all_bad")
+        alike = (F.least(good, F.col("all_bad")) == 0) | (F.greatest(good, F.col("all_bad")) + 0.5 <= Z * Z)
+        step = both.select("host", "template", "token", F.when(~alike, named).alias("next"))
+        met = at.join(step, ["host", "template", "token"])
+        template = F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat("template", F.array("next")))
+        tree = written(met.select(*columns[:-1], template.alias("template"), F.col("next").isNull().alias("alike")), "urls")
+    tree = reduce(DataFrame.unionByName, [*done, _alike_tails(reduce(DataFrame.unionByName, tails))])
+    tree = written(tree, "urls")
     total = tree.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()  # one row
     overall = ((total["b"] or 0) + 0.5) / ((total["n"] or 0) + 1.0) if total["n"] else 0.0
     host = tree.groupBy("host").agg(((F.sum("bad") + SMOOTHING * overall) / (F.sum("labelled") + SMOOTHING)).alias("host_share"))
