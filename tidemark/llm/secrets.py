@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two order-2 character models are trained on labelled samples: random strings (keys, digests, tokens)
-and ordinary identifiers. A token of the text whose mean log-likelihood ratio exceeds the threshold is
-a span of kind "markov", unless it overlaps a span of a fixed pattern.
+and ordinary identifiers. What spans of the fixed patterns leave of a token of the text is a span of kind
+"markov" if its mean log-likelihood ratio exceeds the threshold; else each of its parts between delimiters
+that does, and each stretch of it that exceeds the threshold for the best stretch of an identifier.
 
 Defined results: a null text counts as empty and has no spans; rows are judged one by one, so repeated
 rows give repeated results and ties can't arise; a null doc_id is kept; an empty table gives an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ with the short ones dropped
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20  # of a candidate, of its parts and stretches
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART = re.compile(rf"[A-Za-z0-9]{{{LEAST},}}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET) + 1  # and one symbol for the start of a string
@@ -94,14 +98,49 @@ class MarkovPair:
 
     ratio: np.ndarray
     threshold: float
+    inner: float = np.inf  # the threshold of stretches inside a string
 
-    def score(self, s: str) -> float:
+    def ratios(self, s: str) -> np.ndarray:
         x = np.concatenate([[0, 0], _codes(s)])
-        return float(self.ratio[x[:-2], x[1:-1], x[2:]].mean())
+        return self.ratio[x[:-2], x[1:-1], x[2:]]
+
+    def score(self, s: str) -> float:
+        return float(self.ratios(s).mean())
+
+    def stretch_scores(self, s: str) -> np.ndarray:
+        """The mean over each stretch of LEAST characters, by its start."""
+        sums = np.concatenate([[0.0], np.cumsum(self.ratios(s))])
+        return (sums[LEAST:] - sums[:-LEAST]) / LEAST
 
     def is_secret(self, s: str) -> bool:
-        """Digits and letters both, and a mean log-likelihood ratio over the threshold."""
-        return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and self.score(s) > self.threshold
+        """A letter at least (what has none is a number), and a mean log-likelihood ratio over the threshold."""
+        return any(c.isalpha() for c in s) and self.score(s) > self.threshold
+
+    def secrets_in(self, s: str) -> list[tuple[int, int]]:
+        """The whole of s if it is a secret, else the parts and stretches that are, these to the delimiters around them."""
+        if len(s) < LEAST:
+            return []
+        if self.is_secret(s):
+            return [(0, len(s))]
+        found = [m.span() for m in PART.finditer(s) if m.end() - m.start() < len(s) and self.is_secret(m.group())]
+        cuts = [-1, *(i for i, c in enumerate(s) if c in "+/_=-"), len(s)]
+        end = 0
+        for a in np.flatnonzero(self.stretch_scores(s) > self.inner).tolist():
+            if a + LEAST > end and any(c.isalpha() for c in s[a : a + LEAST]):
+                start, end = cuts[bisect_left(cuts, a + 1) - 1] + 1, cuts[bisect_left(cuts, a + LEAST)]
+                found.append((start, end))
+        return _joined(found)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _log_model(strings: list[str], smoothing: float) -> np.ndarray:
@@ -118,13 +157,16 @@ def _log_model(strings: list[str], smoothing: float) -> np.ndarray:
 
 def train(samples: list[tuple[str, int]] | None = None, smoothing: float = 20.0, quantile: float = 0.995) -> MarkovPair:
     """Fits both models on all samples but each fifth; the threshold is the given quantile of the
-    held-out identifiers' scores, and at least 0.25 nats a character."""
+    held-out identifiers' scores, and at least 0.25 nats a character. For stretches it is that quantile of
+    the held-out identifiers' best stretches, and at least 1 nat, as it is the best of many."""
     samples = labelled_samples() if samples is None else samples
     fit, held = [x for i, x in enumerate(samples) if i % 10 > 1], [x for i, x in enumerate(samples) if i % 10 <= 1]
     models = [_log_model([s for s, y in fit if y == k], smoothing) for k in (0, 1)]
     pair = MarkovPair(models[1] - models[0], 0.0)
     scores = [pair.score(s) for s, y in held if not y and s]
-    return MarkovPair(pair.ratio, max(0.25, float(np.quantile(scores, quantile)) if scores else 0.25))
+    threshold = max(0.25, float(np.quantile(scores, quantile)) if scores else 0.25)
+    best = [float(pair.stretch_scores(s).max()) for s, y in held if not y and len(s) >= LEAST]
+    return MarkovPair(pair.ratio, threshold, max(1.0, float(np.quantile(best, quantile)) if best else 1.0))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,11 +183,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, model: MarkovPair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
-    more = []
+    taken = _joined([(a, b) for a, _, b in base])
+    more, k = [], 0
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and model.is_secret(m.group()):
-            more.append((a, 3, b))
+        a, end = m.span()
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        free, i = [], k
+        while i < len(taken) and taken[i][0] < end:
+            free.append((a, taken[i][0]))
+            a, i = taken[i][1], i + 1
+        for a, b in [*free, (a, end)]:
+            more += [(a + x, 3, a + y) for x, y in model.secrets_in(text[a:b])]
     return base, sorted(base + more) if more else base
 
 
