@@ -28,6 +28,28 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<svg width='1' /><article><p>Text after.</p></article>", ["Text after."]),
+        ("<svg><g><path d='M0'><article><p>Text after.</p><p>More.</p></article>", ["Text after.", "More."]),
+        *((f"<div><{t} class=x></div><article><p>Text after.</p><p>More.</p></article>", ["Text after.", "More."]) for t in ("object", "noscript", "select", "iframe", "template", "math", "svg")),
+        *((f"<p>Before.</p><{t}>Inside it.</{t}><p>After.</p>", ["Before.", "Inside it.", "After."]) for t in ("object", "noscript", "math")),
+        ("<p>One <svg viewBox='0'><title>Icon</title><g><path d='M0'/></g></svg>paragraph <svg/>only.</p>", ["One paragraph only."]),
+        ("<p>Where <math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mi>b</mi></mfrac></math> holds.</p>", ["Where a=1b holds."]),
+        ("<p>Start <svg><path/></p><p>Next.</p>", ["Start", "Next."]),
+        ("<script>var a = '<p>no</p>'</script><style>p{}</style><p>Yes.</p><textarea>no</textarea>", ["Yes."]),
+    ],
+)
+def test_html_drops_no_text(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+def test_html_keeps_the_paragraph_around_an_object():
+    first, inner, last = html.blocks("<article><p>First <object>inner text</object> last words.</p></article>")
+    assert "t:p" in first.above and first.above == last.above and inner.tag == "object"
+
+
 def test_html_field():
     model = html.train()
     pages = html.labelled_pages(80, seed=5)

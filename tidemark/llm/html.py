@@ -27,8 +27,16 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+RAW = frozenset("script style textarea title".split())
+#: their content is blocks of its own, but a paragraph around them goes on
+WITHIN = frozenset("noscript template iframe object select".split())
+FOREIGN = frozenset(("svg", "math"))
+#: elements that end an open svg or math, as it can't hold them
+PLAIN = frozenset("""address article aside b big blockquote body br button caption center cite code col colgroup dd del details dialog div
+dl dt em embed fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link
+main menu meta nav noscript object ol optgroup option p pre q ruby s samp section select small span strike strong sub summary sup table
+tbody td template textarea tfoot th thead tr tt u ul var""".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup svg time tt u var wbr br".split())
 #: a new element of the key closes an open one of the value
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: kinds of element, by words in class, id and role names
@@ -82,6 +90,7 @@ class _Open:
     tag: str
     above: frozenset
     block: str
+    root: int = 0  # the place of the svg or math it is in
 
 
 def blocks(page: str) -> list[Block]:
@@ -122,7 +131,31 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        closing = m[1] or m[4]
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        closed = attributes.rstrip().endswith("/")
+        root = stack[-1].root
+        if root and closing:  # within svg and math no tag ends a block
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            if k >= root:
+                drop(k)
+            elif k:
+                drop(root)
+            if not 0 < k < root:
+                continue
+        elif root and tag in PLAIN:
+            drop(root)
+        elif root:
+            top, close = stack[-1], None
+            if tag in RAW and not closed:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif not closed:
+                stack.append(_Open(tag, top.above, top.block, root))
+                state["a"] += tag == "a"
+            if tag in ("text", "desc", "annotation"):
+                parts.append(" ")
+            continue
         if tag not in INLINE:
             end()
         if closing:
@@ -135,23 +168,22 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or closed and tag in FOREIGN:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        if tag not in INLINE:  # a paragraph ends where another block begins; so do items and cells
+        if tag not in INLINE and tag not in WITHIN:  # a paragraph ends where another block begins; so do items and cells
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
                     drop(k)
                 elif stack[k].tag not in INLINE:
                     break
-        top, attributes = stack[-1], m[3] or m[6] or ""
-        inline = tag in INLINE
+        top, inline = stack[-1], tag in INLINE
         more = kinds_of(attributes) if attributes else ()
         above = top.above if inline and not more else top.above.union(more) if inline else top.above.union(more, ("t:" + tag,))
-        stack.append(_Open(tag, above, top.block if inline else tag))
+        stack.append(_Open(tag, above, top.block if inline else tag, len(stack) if tag in FOREIGN else 0))
         state["a"] += tag == "a"
     end()
     return found
