@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import delivery, envelope, fold, merge
+from tidemark.plans import queries
 
 SCHEMA = "lsn long, op string, a long, b long, qty long, tombstone boolean, seq long, arrival long, topic string, record_key string"
 SLOT = ["a", "b"]
@@ -218,3 +219,21 @@ def test_delivery(spark):
         delivery.batches(e, 0)
     with pytest.raises(ValueError):
         delivery.route(e, 0)
+
+
+def test_shuffled_order_has_no_ties(spark):
+    """Beyond the prime too: ties of the scattered number go by seq, whatever the tasks."""
+    prime = 1_000_003
+    seqs = [k + prime * p for k in (0, 1, 2, 5000, 999_999) for p in (0, 1, 2, 7, 10**12)]
+    want = sorted(seqs, key=lambda s: (s * 7919 % prime, s))
+    for rows in (seqs, seqs[::-1]):
+        df = spark.createDataFrame([(s,) for s in rows], "seq long").repartition(3).withColumn("arrival", delivery.scattered(F.col("seq")))
+        assert [r.seq for r in df.orderBy("arrival").collect()] == want and df.select("arrival").distinct().count() == len(seqs)
+        assert [(r.arrival, r.seq) for r in queries.dense(df).orderBy("arrival").collect()] == list(enumerate(want, 1))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_open_fold_takes_the_later_of_a_period(spark, turned):
+    rows = [(10 + i, "u", 1, 1, i, False, 4 + 1_000_003 * i, None, "t", "k") for i in range(3)]
+    e = spark.createDataFrame(rows[::-1] if turned else rows, SCHEMA).coalesce(1).withColumn("arrival", delivery.scattered(F.col("seq")))
+    assert [r.qty for r in fold.fold(e, ["a", "b"], guard=False).collect()] == [2]

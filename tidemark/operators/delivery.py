@@ -28,9 +28,13 @@ def interleave(routed: DataFrame, seed: int = 0) -> DataFrame:
     return routed.join(draws, (F.col("partition") == F.col("_p")) & (F.col("offset") == F.col("_o"))).drop("_p", "_o")
 
 
+PERIODS = 1 << 43  # of the prime, below 2**63
+
+
 def scattered(seq: Column, prime: int = 1_000_003, factor: int = 7919) -> Column:
-    """An order without any order: a permutation of the numbers below the prime."""
-    return (seq * factor) % prime
+    """An order without any order, by (seq * factor) % prime and then by seq: no two numbers from 0 get the same."""
+    whole = seq.cast("long")
+    return (whole % prime * factor) % prime * F.lit(PERIODS) + F.call_function("div", whole, F.lit(prime))
 
 
 def shuffle(events: DataFrame, seed: int = 0) -> DataFrame:

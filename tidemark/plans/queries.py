@@ -43,10 +43,10 @@ def cs(key: str = "row", order: str = "shuffled", ties: bool = False) -> str:
 ), ev AS (SELECT *, {arrival} AS arrival FROM e0)"""
 
 
-def dense(events: DataFrame) -> DataFrame:
-    """arrival as a rank from 1. arrival is a permutation of fewer than 1000003 numbers, so ranks are
-    counted over blocks of it: rows of earlier blocks, plus the place in the own block."""
-    block = F.expr("arrival div 4096")
+def dense(events: DataFrame, order: str = "shuffled") -> DataFrame:
+    """arrival as a rank from 1. No two rows have the same arrival, so ranks are counted over blocks of it:
+    rows of earlier blocks, plus the place in the own block."""
+    block = F.expr(f"arrival div {64 * delivery.PERIODS if order == 'shuffled' else 4096}")
     counts = events.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
     own = F.row_number().over(Window.partitionBy("_block").orderBy("arrival"))
@@ -58,7 +58,7 @@ RANKED = ", rk AS (SELECT * EXCLUDE (arrival), row_number() OVER (ORDER BY arriv
 
 
 def batched(spark: SparkSession, sf_dir: str, key: str = "row", order: str = "shuffled", size: int = 250) -> DataFrame:
-    return delivery.batches(dense(change_stream(spark, sf_dir, key, order)), size)
+    return delivery.batches(dense(change_stream(spark, sf_dir, key, order), order), size)
 
 
 def bt(key: str = "row", order: str = "shuffled", size: int = 250) -> str:
@@ -271,7 +271,7 @@ def disorder_same_key(spark, sf_dir):
 k AS (SELECT count(*) AS n FROM ev a JOIN ev b ON a.record_key = b.record_key AND a.arrival < b.arrival AND a.lsn > b.lsn)
 SELECT (SELECT count(*) FROM ev) AS records, i.n AS inversions, k.n AS same_key, i.n - k.n AS cross_key FROM i, k""")
 def disorder_total(spark, sf_dir):
-    return delivery.disorder(change_stream(spark, sf_dir))
+    return delivery.disorder(dense(change_stream(spark, sf_dir)))
 
 
 LINES = """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
@@ -397,7 +397,7 @@ FACTORS = (7919, 104729, 15485863, 32452843)
 
 def gap(spark, sf_dir, factor: int, size: int) -> DataFrame:
     first = dense(change_stream(spark, sf_dir)).select("seq", F.expr("(arrival - 1) div 250 + 1").alias("before"))
-    again = dense(change_stream(spark, sf_dir).withColumn("arrival", F.col("seq") * factor % 1_000_003)).select("seq", F.expr(f"(arrival - 1) div {size} + 1").alias("after"))
+    again = dense(change_stream(spark, sf_dir).withColumn("arrival", delivery.scattered(F.col("seq"), factor=factor))).select("seq", F.expr(f"(arrival - 1) div {size} + 1").alias("after"))
     return recovery.resume_gap(first.join(again, "seq"), 7)
 
 
@@ -454,7 +454,7 @@ def lag_sql(f: float, excluded: bool, tail: str = " SELECT * FROM rv") -> str:
 
 
 def lagged(spark, sf_dir, f: float):
-    events = dense(change_stream(spark, sf_dir, order="log"))
+    events = dense(change_stream(spark, sf_dir, order="log"), "log")
     n = events.count()
     applied, back = delivery.prefix_cut(events, f, n)
     source = folding.fold(events, SLOT, on_tombstone="ignore").select(*COLUMNS)
