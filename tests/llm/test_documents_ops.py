@@ -166,6 +166,14 @@ def test_quality_counts(spark, odd):
     assert quality.judge(df.limit(0), trees).count() == 0
 
 
+def test_distinct_in_block_reads_to_the_end():
+    varied, same = [b"w%d" % i for i in range(100)], [b"x"] * 99
+    assert quality.distinct_in_block(varied + same) == pytest.approx((100 + 99 * 0.02) / 199)
+    assert quality.distinct_in_block(same + [b"x"] + varied[:50]) == pytest.approx((100 * 0.01 + 50 * 0.51) / 150)
+    assert quality.distinct_in_block(varied + [b"x"] * 100) == pytest.approx(0.505)
+    assert quality.distinct_in_block(varied) == 1 and quality.distinct_in_block([b"x"] * 50) == 0.02 and quality.distinct_in_block([]) == 0
+
+
 def test_quality_trees():
     rng = np.random.default_rng(3)
     x = rng.uniform(size=(2000, 3))

@@ -73,9 +73,13 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def distinct_in_block(words: list[bytes], size: int = 100) -> float:
-    """Mean share of distinct words over whole blocks: unlike the share in all, it doesn't fall with length."""
-    blocks = [words[i : i + size] for i in range(0, max(len(words) - size, 0) + 1, size)]
-    return float(np.mean([len(set(b)) / max(len(b), 1) for b in blocks]))
+    """Mean share of distinct words over blocks: unlike the share in all, it doesn't fall with length. The last
+    block is the last size words, and weighs as many of them as no block before has."""
+    n = len(words)
+    starts = [*range(0, n - size, size), max(n - size, 0)]
+    shares = [len(set(b)) / max(len(b), 1) for b in (words[i : i + size] for i in starts)]
+    new = [*(size for _ in starts[1:]), n - size * (len(starts) - 1)]
+    return float(np.average(shares, weights=new)) if n else 0.0
 
 
 def statistics(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
