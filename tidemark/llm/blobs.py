@@ -40,6 +40,7 @@ def decode(raw: bytes) -> np.ndarray:
 #: What keyed() makes: for each bucket its keys in order, the owner of each (a place in owners), and the owners.
 KEYED = "bucket int, keys binary, at binary, owners binary"
 HELD_ROWS = 500_000
+MERGED_ROWS = 20_000
 KEY_SHIFT = np.uint64(16)  # keys are compared by their upper 48 bits
 
 
@@ -47,14 +48,13 @@ def keyed(keys: np.ndarray, of: np.ndarray, owners: np.ndarray, buckets: int) ->
     """Rows of KEYED for keys and the places of their owners, at most 65536 owners."""
     order = np.argsort(keys, kind="stable")
     keys, of = keys[order], of[order]
-    _, edge = dealt(keys, buckets)
-    rows = {"bucket": np.flatnonzero(np.diff(edge)).astype(np.int32), "keys": [], "at": [], "owners": []}
-    for b in rows["bucket"].tolist():
-        x, y = edge[b], edge[b + 1]
-        used, at = np.unique(of[x:y], return_inverse=True)
+    _, used, edge = dealt(keys, buckets)
+    rows = {"bucket": used.astype(np.int32), "keys": [], "at": [], "owners": []}
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        named, at = np.unique(of[x:y], return_inverse=True)
         rows["keys"].append(encode(keys[x:y] >> KEY_SHIFT))
         rows["at"].append(at.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
-        rows["owners"].append(owners[used].astype("<i8").tobytes())
+        rows["owners"].append(owners[named].astype("<i8").tobytes())
     return rows
 
 
@@ -70,30 +70,40 @@ def unkeyed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], who[order]
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys by bucket (the high bits), and where each bucket begins in it."""
-    of = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys by bucket (the high bits), the buckets that get any, and where each of them
+    begins in the order (and the end)."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(of, kind="stable")
-    return order, np.searchsorted(of[order], np.arange(buckets + 1))
+    of = of[order]
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return order, of[begin], np.append(begin, len(of))
 
 
-def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]], out: str, key: str = "bucket", fold: Callable[[list[dict]], dict] | None = None) -> DataFrame:
+def by_bucket(df: DataFrame, work: Callable[[int, list[dict]], Iterator[dict]], out: str, key: str = "bucket", fold: Callable[[list[dict]], dict] | None = None, merge: Callable[[list[dict]], dict] | None = None, once: tuple[str, ...] = ()) -> DataFrame:
     """Calls work(bucket, rows) for each bucket of df, whose rows come together in one task, and yields
     the columns it returns. df: the bucket's number in the column key, and binary columns. fold makes one
-    of several such columns; given it, a task yields once, for all its buckets."""
+    of several such columns; given it, a task yields once, for all its buckets. merge makes one row of many;
+    given it, a task never holds more than MERGED_ROWS of a bucket. Rows alike in key and once count once."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = df.repartition(n, key).sortWithinPartitions(key)
+    sorted_rows = df.repartition(n, key).sortWithinPartitions(key, *once)
 
     def found(batches) -> Iterator[dict]:
-        now, rows = None, []
+        now, rows, before = None, [], None
         for batch in batches:
             for row in batch.to_pylist():
                 if row[key] != now:
                     if rows:
                         yield from work(now, rows)
-                    now, rows = row[key], []
+                    now, rows, before = row[key], [], None
+                if once:
+                    if before == (this := tuple(row[c] for c in once)):
+                        continue
+                    before = this
                 rows.append(row)
+                if merge and len(rows) > MERGED_ROWS:
+                    rows = [merge(rows)]
         if rows:
             yield from work(now, rows)
 

@@ -11,15 +11,24 @@ Elements of very many documents are left out of the signatures, which makes no d
 that has too few elements then adds the signatures of all its elements, and if those are too few as well
 its prefix: of the elements in a fixed order, the first of which two similar sets must share one.
 
-Sets that share a signature form clusters (connected components of the candidate links). Clusters too large
-for one block are formed anew, by elements of the sets' prefixes, rarest first. Within a cluster the links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into
-blocks by hash, first each block and the cluster's leader, then pairs of blocks where that has left more
-than one component. Copies (equal sets) are one entity throughout, so groups of copies never make pairs.
+Signatures are owned by sketches rather than sets: a set's sketch is a hash of its least elements in a few
+fixed orders, which near copies mostly share. Sets of one sketch are candidates of each other, so that what
+meets by signature is the sketches, and candidate links are between these. Each batch of documents keeps
+one owner of a signature and links the others to it before anything is shuffled, and what a task has linked
+goes by one name in it; tasks that gather signatures keep one owner of each too, as they come. A signature of very many documents is thus neither a long list nor many links.
+
+Sketches that share a signature form clusters (connected components of the candidate links). Clusters too
+large for one block are formed anew, by elements of the sets' prefixes, rarest first. Within a cluster the
+links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into blocks
+by hash, first each block and the cluster's leader, then pairs of blocks where that has left more than one
+component. Copies (equal sets) are one entity throughout, so groups of copies never make pairs.
 
 Defined results: a null or empty text has an empty set, which links with nothing; fewer than n words make
-one shingle; repeated rows and equal sets are linked; a null doc_id takes part, but a component is named by
-its smallest id that isn't null (null if there is none); an empty table gives an empty result; other
-columns are ignored by components_of() and kept by one_of_each().
+one shingle; repeated rows and equal sets are linked; a row with a null doc_id takes part like any other
+(links lead through it), but a component is named by its smallest id that isn't null (null if there is
+none); an empty table gives an empty result; other columns are ignored by components_of() and kept by
+one_of_each(), which keeps a row of null doc_id only if its component has no id, one for the component, or
+if its set is empty.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.blobs import KEYED, by_bucket, dealt, keyed, mix, unkeyed
 from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, trimmed, written
@@ -39,6 +49,7 @@ N2, K2 = 3, 1
 BUCKET_NUMBERS = 1 << 20
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 COMMON, LEAST_IN_TASK, MOST_COMMON = 24, 3, 300_000
+SKETCH = 3
 CHOICES = list(itertools.combinations(range(N2), N2 - K2))
 
 
@@ -85,6 +96,22 @@ def fingerprint(elements: np.ndarray) -> int:
         return int(mix(np.array([x], dtype=np.uint64)).view(np.int64)[0])
 
 
+def rare_of(elements: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements that aren't in common (sorted), and those that are."""
+    if not len(common):
+        return elements, elements[:0]
+    known = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] == elements
+    return elements[~known], elements[known]
+
+
+def sketch(elements: np.ndarray, rare: np.ndarray) -> int:
+    """A hash of the least rare elements (of any, if none is rare) in SKETCH orders."""
+    with np.errstate(over="ignore"):
+        of = rare if len(rare) else elements
+        least = [mix(of ^ STEPS[40 + k]).min() for k in range(SKETCH)]
+        return int(mix((np.array(least, dtype=np.uint64) * STEPS[48 : 48 + SKETCH]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
 class Bands:
     """Size bands for a similarity of percent / 100: least and largest size of each, and its k."""
 
@@ -137,8 +164,8 @@ def signatures(elements: np.ndarray, bands: Bands, common: np.ndarray) -> np.nda
     """Of one set. Elements in common (sorted) are left out at first: that makes no difference larger,
     so the counting argument holds, and sets don't meet for a passage that many documents have."""
     size, found = len(elements), []
-    known = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] == elements if len(common) else np.zeros(size, bool)
-    rare, own = elements[~known], bands.of(size)
+    rare, known = rare_of(elements, common)
+    own = bands.of(size)
     for band in (own, own + 1):
         if bands.differing(band) == 0:  # equal sets only, and those are one entity
             continue
@@ -151,7 +178,7 @@ def signatures(elements: np.ndarray, bands: Bands, common: np.ndarray) -> np.nda
         if bare:
             least = -(-size * bands.percent // 100)  # what a similar set shares with this one
             with np.errstate(over="ignore"):
-                found.append(mix(np.concatenate([rare, elements[known]])[: size - least + 1] * STEPS[32] + salt))
+                found.append(mix(np.concatenate([rare, known])[: size - least + 1] * STEPS[32] + salt))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -184,53 +211,87 @@ def common_elements(docs: DataFrame, n: int, least: int = COMMON, most: int = MO
     return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
-    """Per row of docs: doc_id, the set's size and its fingerprint (null if empty)."""
+def described(docs: DataFrame, n: int, common: np.ndarray) -> DataFrame:
+    """Per row of docs: doc_id, the set's size, its fingerprint and its sketch (both null if it's empty)."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "entity": [fingerprint(s) if len(s) else None for s in sets]}
+            entities = [fingerprint(s) if len(s) else None for s in sets]
+            return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "entity": entities, "sketch": [sketch(s, rare_of(s, common)[0]) if len(s) else None for s in sets]}
 
         return work
 
-    return map_rows(docs, make, "doc_id long, n_shingles long, entity long")
+    return map_rows(docs, make, "doc_id long, n_shingles long, entity long, sketch long")
+
+
+def _starred(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys and their owners: the keys in order, the smallest owner of each, and links of the others to it."""
+    order = np.lexsort((who, keys))
+    keys, who = keys[order], who[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+    pick = first != who
+    return keys[new], who[new], np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
+
+
+def _fewest(links: list[np.ndarray]) -> np.ndarray:
+    links = np.concatenate([np.zeros((0, 2), np.int64), *links])
+    return links[forest(links)[0]]
 
 
 def links_of(blobs: DataFrame) -> DataFrame:
-    """Links (a, b) between owners that share a key of blobs (KEYED): a forest of them for each task."""
+    """Links (a, b) between owners that share a key of blobs (KEYED): a forest of them for each task. A
+    row without places (at) holds links instead: their ends are its keys and its owners."""
+
+    def gathered(rows):
+        parts = [r for r in rows if "starred" in r]
+        plain = [r for r in rows if "starred" not in r and r["at"]]
+        links = [np.stack([np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["owners"], "<i8")], 1) for r in rows if "starred" not in r and not r["at"]]
+        keys, who = [p["starred"][0] for p in parts], [p["starred"][1] for p in parts]
+        if plain:
+            more = unkeyed(plain)
+            keys, who = [*keys, more[0]], [*who, more[1]]
+        if keys:
+            starred = _starred(np.concatenate(keys), np.concatenate(who))
+            links.append(starred[2])
+        else:
+            starred = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return {"starred": (starred[0], starred[1], _fewest([*(p["starred"][2] for p in parts), *links]))}
 
     def meet(_, rows):
-        keys, who = unkeyed(rows)
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pick = first != who
-        links = np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
-        links = links[forest(links)[0]]
+        links = gathered(rows)["starred"][2]
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
     def fewer(found):  # of a task's buckets together
-        links = np.stack([np.concatenate([x[c] for x in found]) for c in "ab"], 1)
-        links = links[forest(links)[0]]
+        links = _fewest([np.stack([x["a"], x["b"]], 1) for x in found])
         return {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
-    return by_bucket(blobs, meet, "a long, b long", fold=fewer)
+    return by_bucket(blobs, meet, "a long, b long", fold=fewer, merge=gathered)
+
+
+def own_links(found: np.ndarray, buckets: int) -> dict:
+    """Rows of KEYED with a task's own links, dealt to buckets by their first ends."""
+    order, used, edge = dealt(mix(found[:, 0].copy().view(np.uint64)), buckets)
+    parts = [found[order[x:y]] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return {"bucket": used.astype(np.int32), "keys": [p[:, 0].astype("<i8").tobytes() for p in parts], "at": [b""] * len(parts), "owners": [p[:, 1].astype("<i8").tobytes() for p in parts]}
 
 
 def buckets_for(numbers: int) -> int:
-    return min(1 << 22, max(64, numbers // BUCKET_NUMBERS))
+    return max(64, numbers // BUCKET_NUMBERS)
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
-    """Links (a, b) between entities that share a signature; total is the number of all shingles."""
-    bands, common, buckets = Bands(percent), common_elements(docs, n), buckets_for(total)
+def candidate_links(docs: DataFrame, n: int, percent: int, total: int, common: np.ndarray) -> DataFrame:
+    """Links (a, b) between sketches whose sets share a signature; total is the number of all shingles."""
+    bands, buckets = Bands(percent), buckets_for(total)
     bounded_batches(docs.sparkSession)
 
     def deal(batches):
         seen: set[int] = set()
+        links, roots = np.zeros((0, 2), np.int64), {}
         for batch in batches:
-            entities, found = [], []
+            owners, found = [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, n)
                 if len(s) and (e := fingerprint(s)) not in seen:
@@ -238,14 +299,42 @@ def candidate_links(docs: DataFrame, n: int, percent: int, total: int) -> DataFr
                     sig = signatures(s, bands, common)
                     if len(sig):
                         found.append(sig)
-                        entities.append(e)
+                        owners.append(sketch(s, rare_of(s, common)[0]))
             if found:
-                of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                yield batch_of(keyed(np.concatenate(found), of, np.array(entities, dtype=np.int64), buckets), KEYED)
+                names, of = np.unique(np.array(owners, dtype=np.int64), return_inverse=True)
+                # places of names in order of names, so that the smallest is kept
+                keys, at, own = _starred(np.concatenate(found), np.repeat(of, [len(x) for x in found]))
+                if len(own):  # what this task has linked goes by one name from here on
+                    links = np.concatenate([links, names[own]])
+                    pick, roots = forest(links)
+                    links = links[pick]
+                names = np.array([roots.get(x, x) for x in names.tolist()], dtype=np.int64)
+                yield batch_of(keyed(keys, at, names, buckets), KEYED)
+        if len(links):
+            yield batch_of(own_links(links, buckets), KEYED)
 
     return links_of(docs.select("text").mapInArrow(trimmed(deal), KEYED))
 
 
+def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """text and the columns of members (doc_id, entity, ...): rows of docs that may have a member's set.
+    Members without a doc_id are found by their sets."""
+    found = docs.where("doc_id is not null").join(small(members.where("doc_id is not null")), "doc_id").select("text", *members.columns)
+    bare = members.where("doc_id is null")
+    if not bare.limit(1).count():
+        return found
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
+            return {"text": batch.column(0), "entity": [fingerprint(s) if len(s) else None for s in sets]}
+
+        return work
+
+    nulls = map_rows(docs.where("doc_id is null").select("text"), make, "text string, entity long").where("entity is not null")
+    return found.unionByName(nulls.join(small(bare), "entity").select("text", *members.columns))
+
+
 def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between members that share an element of their prefixes, the elements of fewest
     members first. Similar sets share one; sets that only have a passage in common mostly don't, because
@@ -256,7 +345,7 @@ def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     """
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = buckets_for(total)
-    chosen = docs.where("doc_id is not null").join(small(members.select("doc_id", "entity")), "doc_id").select("text", "entity")
+    chosen = texts_of(docs, members.select("doc_id", "entity"), n).select("text", "entity")
 
     def deal(batches):
         for batch in batches:
@@ -278,10 +367,9 @@ def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
         times = np.repeat(times, times)
         keys, who, times = keys[times > 1], who[times > 1], times[times > 1]
         home = mix(who.view(np.uint64))
-        order, edge = dealt(home, buckets)
-        used = np.flatnonzero(np.diff(edge))
+        order, used, edge = dealt(home, buckets)
         if len(used):
-            parts = [order[edge[b] : edge[b + 1]] for b in used]
+            parts = [order[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield {"bucket": used.astype(np.int32), "keys": [keys[p].astype("<u8").tobytes() for p in parts], "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [np.minimum(times[p], 2**31).astype("<u4").tobytes() for p in parts]}
 
     sizes = members.select("entity", F.col("n_shingles").cast("long").alias("n"))
@@ -320,9 +408,8 @@ def _homes(batches, buckets: int):
     """The sizes of entities, dealt to the entities' own buckets."""
     for batch in batches:
         who, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        order, edge = dealt(mix(who.view(np.uint64)), buckets)
-        used = np.flatnonzero(np.diff(edge))
-        parts = [order[edge[b] : edge[b + 1]] for b in used]
+        order, used, edge = dealt(mix(who.view(np.uint64)), buckets)
+        parts = [order[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         yield batch_of({"bucket": used.astype(np.int32), "keys": [b""] * len(used), "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [n[p].astype("<u4").tobytes() for p in parts]}, "bucket int, keys binary, who binary, times binary")
 
 
@@ -360,7 +447,7 @@ def verified(docs: DataFrame, members: DataFrame, n: int, percent: int, pairs_of
 
     Within each block, and between it and the cluster's leader; or between all pairs of blocks.
     """
-    chosen = docs.where("doc_id is not null").join(small(members), "doc_id")
+    chosen = texts_of(docs, members, n)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -396,28 +483,32 @@ def verified(docs: DataFrame, members: DataFrame, n: int, percent: int, pairs_of
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
-    return by_bucket(met, check, "a long, b long", key="key")
+    return by_bucket(met, check, "a long, b long", key="key", once=("side", "entity"))
 
 
-def described_clusters(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """members (doc_id, entity, n_shingles) with cluster, leader and blocks."""
-    own = written(members.join(small(clusters.select(F.col("node").alias("entity"), F.col("root").alias("cluster"))), "entity"), "jaccard")
-    load = own.groupBy("cluster").agg(F.min("entity").alias("leader"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    return written(own.join(small(written(load, "jaccard")), "cluster").select("doc_id", "entity", "n_shingles", "cluster", "leader", "blocks"), "jaccard")
+def described_clusters(members: DataFrame, clusters: DataFrame, by: str) -> DataFrame:
+    """members (doc_id, entity, n_shingles, sketch) with cluster, leader and blocks, those whose cluster has
+    more than one; clusters (node, root) are of the column by. A sketch can be a cluster by itself."""
+    own = members.join(small(clusters.select(F.col("node").alias(by), F.col("root").alias("cluster"))), by, "left" if by == "sketch" else "inner")
+    own = written(own.withColumn("cluster", F.coalesce("cluster", by)), "jaccard")
+    load = own.groupBy("cluster").agg(F.min("entity").alias("leader"), F.count(F.lit(1)).alias("sets"), F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    load = written(load.where("sets > 1"), "jaccard")
+    return written(own.join(small(load), "cluster").select("doc_id", "entity", "n_shingles", "sketch", "cluster", "leader", "blocks"), "jaccard")
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The description of all rows of docs (doc_id, text), and (entity, class) of entities that link."""
-    own = written(described(docs, n), "shingles")
+    common = common_elements(docs, n)
+    own = written(described(docs, n, common), "shingles")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    clusters = components(candidate_links(docs, n, percent, total))
+    clusters = components(candidate_links(docs, n, percent, total, common))
     own.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files that nothing refers to any longer
-    first = own.where("doc_id is not null").join(small(clusters), F.col("entity") == F.col("node")).groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    members = described_clusters(written(first, "jaccard"), clusters)
+    first = own.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    members = described_clusters(first, clusters, "sketch")
     large = members.where("blocks > 1")
     if large.limit(1).count():  # sets meet there by passages rather than as copies
         tight = components(prefix_links(docs, large, n, percent))
-        again = described_clusters(large.select("doc_id", "entity", "n_shingles"), tight)
+        again = described_clusters(large.select("doc_id", "entity", "n_shingles", "sketch"), tight, "entity")
         members = written(members.where("blocks = 1").unionByName(again), "jaccard")
     links = written(verified(docs, members, n, percent, False), "jaccard")
     found = components(links)
@@ -431,25 +522,48 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     return own, found.select(F.col("node").alias("entity"), F.col("root").alias("class"))
 
 
-def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): the size of its set, and the smallest doc_id that links lead to."""
+def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, entity, class (null if the set is empty) and the component's smallest id."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     own, found = classes(docs, n, percent)
-    named = own.join(small(found), "entity", "left").select("doc_id", "n_shingles", F.coalesce("class", "entity").alias("class"))
+    named = own.join(small(found), "entity", "left").select("doc_id", "n_shingles", "entity", F.coalesce("class", "entity").alias("class"))
     named = written(named, "jaccard")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class", "least")
-    met = named.join(small(written(least, "jaccard")), "class", "left")
-    return met.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(small(written(least, "jaccard")), "class", "left").select("doc_id", "n_shingles", "entity", "class", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs (doc_id, text): the size of its set, and the smallest doc_id that links lead to."""
+    return _named(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without those linked to a smaller doc_id and without
-    repeats of a doc_id with the same text, which become one row."""
-    ids = written(components_of(docs, n, percent), "jaccard")
+    repeats of a doc_id with the same text, which become one row. Of a component without any doc_id one
+    row stays, of the others no row of null doc_id."""
+    ids = written(_named(docs, n, percent), "jaccard")
     gone = small(written(ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard"))
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = ids.groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
+    again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    bare = ids.where("doc_id is null and entity is not null")
+    if not bare.limit(1).count():
+        return kept
+    # rows have no name here but their sets: one set of each class without an id stays, by one of its rows
+    names, extra = docs.columns, max(docs.columns, key=len) + "_"  # no column's name
+    one = written(bare.where("component_id is null").groupBy("class").agg(F.min("entity").alias(extra)).select(extra), "jaccard")
+
+    def entity_of(batches):
+        for batch in batches:
+            sets = [shingles(t, n) for t in batch.column(names.index("text")).to_pylist()]
+            found = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, extra])
+
+    bounded_batches(docs.sparkSession)
+    nulls = docs.where("doc_id is null").mapInArrow(trimmed(entity_of), StructType([*docs.schema.fields, StructField(extra, LongType())]))
+    stay = nulls.join(small(one), extra).dropDuplicates([extra]).unionByName(nulls.where(F.col(extra).isNull()))
+    return kept.where("doc_id is not null").unionByName(stay.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

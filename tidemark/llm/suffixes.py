@@ -113,10 +113,10 @@ class Chunk:
 
 def bits_by_bucket(answers: list[dict], keys: np.ndarray, buckets: int) -> np.ndarray:
     """The answers of all buckets to a chunk's sorted keys, in order."""
-    _, edge = dealt(keys, buckets)  # sorted keys are in order of bucket already
+    _, used, edge = dealt(keys, buckets)  # sorted keys are in order of bucket already
     out = np.zeros(len(keys), dtype=bool)
-    for a in answers:
-        lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
+    for a, k in zip(answers, np.searchsorted(used, [a["bucket"] for a in answers]).tolist(), strict=True):
+        lo, hi = edge[k], edge[k + 1]
         out[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo)
     return out
 
@@ -176,9 +176,8 @@ def cover_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, keys, twice = Chunk(row["data"], row["ends"], row["ids"], length, bits).cover()
-                _, edge = dealt(keys, buckets)
-                used = np.flatnonzero(np.diff(edge))
-                cuts = [(int(edge[b]), int(edge[b + 1])) for b in used]
+                _, used, edge = dealt(keys, buckets)
+                cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
                 yield batch_of({"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [encode(keys[x:y] >> np.uint64(64 - bits)) for x, y in cuts], "more": [np.packbits(twice[x:y]).tobytes() for x, y in cuts]}, COVER_KEYS)
 
     return chunks.select("chunk", "data", "ends", "ids").mapInArrow(trimmed(run), COVER_KEYS)
@@ -208,11 +207,9 @@ def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> Data
             for row in batch.to_pylist():
                 chunk = Chunk(row["data"], row["ends"], row["ids"], length, bits)
                 _, _, keys, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets))
-                _, edge = dealt(keys, buckets)
-                used = np.flatnonzero(np.diff(edge))
+                _, used, edge = dealt(keys, buckets)
                 out = {"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": []}
-                for b in used:
-                    x, y = edge[b], edge[b + 1]
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     docs, of = np.unique(least[x:y], return_inverse=True)
                     out["keys"].append(encode(keys[x:y]))
                     out["more"].append(of.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -289,7 +286,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_
     rest = docs.join(small(gone), (F.col("doc_id") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sum")), "left_anti")
     chunks = chunk_table(rest, chunk_bytes)
     total = chunks.agg(F.sum("n")).first()[0] or 0  # one number
-    buckets = min(1 << 22, max(128, total * len(D) // V // BUCKET_SUFFIXES))
+    buckets = max(128, total * len(D) // V // BUCKET_SUFFIXES)
     bits = min(64, max(40, total.bit_length() + 10))
     tied = written(by_bucket(cover_keys(chunks, length, bits, buckets), tied_in_bucket, "chunk long, bucket int, bits binary"), "tied")
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files that nothing refers to any longer
