@@ -1,6 +1,7 @@
 """Secrets, language, quality, packing and mixing: contracts against brute force, and the odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import language, mixing, packing, quality, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TABLES = "/root/testdata/sf0.01"
 LONG = "Ein sehr langer Text, der weitergeht. " * 20_000
 ODD = [
     (1, None, None, None, None),
@@ -209,13 +211,39 @@ def test_tokenizer_is_the_library():
 
     import public_tokenizers
 
+    library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))  # untouched, with its default switches
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [x for t in added for x in (f"a {t} b", f"a{t}b {t.upper()}", t, t[:-1] + " é " + t, "word " * 50 + t)]
+    texts += ["", "It's 12ab don't WE'LL o'clock", "Straße ẞ İstanbul Σς A\u0301", "a\tb\x1cc\u00a0d\u2003e", "“x” – y… <|endoftext|>", "ǅ ²³ ½ ª ÷ × µ", "'s's''t", LONG[:5000]]
+    for text, ids in zip(texts, packing.WordTokenizer().ids(texts), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert added and packing.WordTokenizer().ids([f"a {added[0]} b"])[0].tolist() != packing.WordTokenizer().ids(["a b"])[0].tolist()
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="needs the given tables")
+def test_tokenizer_on_all_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    library.encode_special_tokens = True
-    texts = ["", "It's 12ab don't WE'LL o'clock", "Straße ẞ İstanbul Σς A\u0301", "a\tb\x1cc\u00a0d\u2003e", "“x” – y… <|endoftext|>", "ǅ ²³ ½ ª ÷ × µ", "'s's''t", LONG[:5000]]
+    texts = [t or "" for t in pq.read_table(f"{TABLES}/documents.parquet")["text"].to_pylist()]
     for text, ids in zip(texts, packing.WordTokenizer().ids(texts), strict=True):
         assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_step_groups_are_balanced():
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = [2 ** rng.randint(0, 11) for _ in range(rng.randint(1, 400))]
+        filled = Counter()
+        for g, n in zip(packing.balanced(sizes, 8192), sizes, strict=True):
+            filled[g] += n
+        assert max(filled.values()) <= 8192 and max(filled.values()) - min(filled.values()) <= 2048
+        assert len(filled) == -(-sum(sizes) // 8192)
+
+
 def check_packed(rows, n_docs):
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -248,6 +276,7 @@ def test_packing(spark, odd):
             joined += p.ids
         assert at == pieces[0].doc_tokens and joined[-1] == 1
         assert ids is None or joined == ids.tolist()
+    assert len({r.sequence_id for r in rows}) == len({(r.sequence_id, r.step_group) for r in rows})
     groups = Counter()
     for s in {(r.sequence_id, r.step_group, r.sequence_tokens) for r in rows}:
         groups[s[1]] += s[2]
@@ -255,6 +284,8 @@ def test_packing(spark, odd):
     assert packing.pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.Packer(lambda p: None, window=100)
+    with pytest.raises(ValueError):
+        packing.pack(df, step_tokens=3000)
 
 
 # --- mixing ---
@@ -264,6 +295,7 @@ def test_mixing(spark, odd):
     df = more_columns(odd)
     out = mixing.mix(df)
     assert out.columns == df.columns
+    assert mixing.mix(df.withColumn("Copy", F.lit("x")), with_copy=True).columns == [*df.columns, "copy", "order_key"]
     again = mixing.mix(df, with_copy=True)
     assert sorted(again.select("doc_id", "copy").collect(), key=str) == sorted(mixing.mix(df, with_copy=True).select("doc_id", "copy").collect(), key=str)
     assert mixing.mix(df.limit(0)).count() == 0

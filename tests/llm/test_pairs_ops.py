@@ -118,6 +118,44 @@ def test_jaccard(spark, monkeypatch, n, percent):
     assert sorted(map(tuple, jaccard.components_of(df, n, percent).collect()), key=str) == want
 
 
+def test_jaccard_null_ids(spark):
+    """Rows without an id link like others: as near copies, as bridges, and among themselves."""
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join([*w[2:], "x1", "x2"]), " ".join([*w[4:], "x1", "x2", "x3", "x4"])
+    other = [f"v{i}" for i in range(40)]
+    alone = [f"u{i}" for i in range(40)]
+    rows = [(1, a), (None, b), (3, c), (None, " ".join(other)), (None, " ".join(other)), (None, " ".join([*other[1:], "y"])), (9, " ".join(alone)), (None, " ".join([*alone[1:], "z"])), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_entity", F.lit("x")).repartition(3)
+    assert sorted(map(tuple, jaccard.components_of(df).collect()), key=str) == plain_components(rows, 5, 80)
+    found = {(r.doc_id, r.component_id) for r in jaccard.components_of(df).collect()}
+    assert (3, 1) in found and (None, 1) in found  # linked through a row without an id only
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    stay = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(x for x, _ in stay if x) == [1, 9]
+    assert sorted((t or "") for x, t in stay if x is None)[:2] == ["", ""] and len([1 for x, t in stay if x is None and t]) == 1
+
+
+def test_jaccard_bridges_without_ids(spark):
+    rng = random.Random(8)
+    rows = [(None if rng.random() < 0.4 else d, t) for d, t in corpus(9, 120)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(map(tuple, jaccard.components_of(df, 3, 80).collect()), key=str) == plain_components(rows, 3, 80)
+
+
+def test_links_of_in_pieces(spark, monkeypatch):
+    """Rows of a bucket are merged as they come, with the same components."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        keys = rng.integers(0, 60, 30).astype(np.uint64) << np.uint64(40)
+        rows += [dict(zip(("bucket", "keys", "at", "owners"), x, strict=True)) for x in zip(*blobs.keyed(keys, rng.integers(0, 5, 30), rng.integers(0, 500, 5), 4).values(), strict=True)]
+    df = spark.createDataFrame([{k: int(v) if k == "bucket" else bytes(v) for k, v in r.items()} for r in rows], blobs.KEYED)
+    want = {r.node: r.root for r in graph.components(jaccard.links_of(df)).collect()}
+    monkeypatch.setattr(blobs, "MERGED_ROWS", 3)
+    assert {r.node: r.root for r in graph.components(jaccard.links_of(df)).collect()} == want and want
+
+
 def test_signatures_meet():
     """Sets at exactly the threshold share a signature, whatever elements are common."""
     rng = np.random.default_rng(4)
@@ -187,7 +225,32 @@ def test_topk(spark, monkeypatch):
     assert [tuple(r) for r in topk.search(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
 
 
-def test_topk_huge_numbers():
+def test_topk_huge_numbers(spark):
     x = np.array([[2.0**40, -(2.0**40)], [2.0**40, 2.0**40]])
-    assert topk.scores(x, np.array([2.0**21, 1.0])).tolist() == [2**61 - 2**40, 2**61 + 2**40]
-    assert topk.scores(x, np.array([2.0**40, 2.0**40])).tolist() == [0, 2**63 - 1]
+    assert topk.scores(np.array([[2.0**21, 1.0]]), x).tolist() == [[2**61 - 2**40, 2**61 + 2**40]]
+    assert topk.scores(np.array([[2.0**40, 2.0**40]]), x).tolist() == [[0, 2**63 - 1]]
+    rows = [(0, [2.0**30, 1.0]), (1, [-(2.0**30), 1.0]), (2, [2.0**29, 0.5]), (20, [0.0, 0.0]), (20, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    end = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = [(q, r, i, end(s)) for q, r, i, s in plain_topk(rows, 3)]
+    assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0, 3).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("spread, most", [(0.05, 0.4), (3.0, 1.0)])
+def test_topk_leaves_out(spread, most):
+    """Bounds leave most candidates out where vectors lie in groups, and never one that counts."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 16))
+    x = np.floor(64 * (centres[rng.integers(0, 20, 3000)] + spread * rng.normal(size=(3000, 16))))
+    ids, q_ids = np.arange(3000), np.arange(0, 3000, 20)
+    pivots = x[rng.permutation(3000)[:24]]
+    far = topk.angles(x, pivots)
+    order = np.argsort(far.argmin(1), kind="stable")
+    q = x[q_ids]
+    reach = topk.first_reach(q_ids, q, ids[:300], x[:300], 20)
+    who, found_ids, found, scored = topk.best_of_block(q_ids, q, far[q_ids], topk.Cells(ids[order], x[order], far[order]), 20, reach)
+    s = topk.scores(q, x)
+    s[np.arange(len(q)), q_ids] = -(2**60)
+    want = [sorted(zip((-s[i]).tolist(), ids.tolist(), strict=True))[:20] for i in range(len(q))]
+    assert [[(-int(c), int(b)) for a, b, c in zip(who, found_ids, found, strict=True) if a == i] for i in range(len(q))] == want
+    assert scored <= most * s.size
