@@ -1,14 +1,17 @@
 """Exact top-k by inner product, with a pivot table for elimination.
 
-Vectors become integers, floor(64 x). For each candidate the distances to PIVOTS pivot vectors are
-computed once, when its block is made. An inner product is a distance after adding one coordinate to
-each candidate that brings all of a block to one norm; the triangle inequality at each pivot then gives
-a lower bound of that distance, the largest of them an upper bound of the score. A query evaluates the
-candidates of a block in order of their bounds and stops when no bound reaches its k-th best score.
+Vectors become integers, floor(64 x). Distances are angles, for which the triangle inequality holds: an inner
+product is |q| |x| cos(angle), so a lower bound of the angle is an upper bound of the score. The angles of
+each candidate to PIVOTS pivots are computed once, when its block is made, and the candidates of a block are
+put in cells by their nearest pivot. For a query and a cell, the cell's range of angles to every pivot gives
+the largest lower bound; a query goes through the cells in order of their bounds and stops when none reaches
+its k-th best score. Within a cell single candidates are left out by their own largest lower bounds, at those
+pivots that can exclude any there at all. What is left is scored by matrix products. A query's k-th best score
+among the sampled rows is a lower bound of the final one, so no block begins without one.
 
 Queries and candidates meet in blocks: pairs of (block of queries, block of candidates) are dealt over
 the cluster, and each task holds one pair. Per pair and query at most k rows leave, and a window keeps
-the best k. Nothing is broadcast but the pivots.
+the best k. Nothing is broadcast but the sample and its pivots, of a fixed number of rows.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter
 vector counts as filled up with zeros; ties go to the smaller vec_id; rows of the query's own vec_id are
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch_of, bounded_batches, read, trimmed
 
 SCALE = 64
-PIVOTS = 12
+PIVOTS = 32
 PIVOT_SAMPLE = 512  # rows, those with the smallest hashes, of which pivots are chosen farthest first
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
-CANDIDATES_A_SALT = 1 << 16
+QUERY_BLOCK = 4096
+CANDIDATE_BLOCK = 4096
+CANDIDATES_A_SALT = 4096
+SLACK = 4e-6  # angles are kept as 32-bit numbers
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,23 +59,26 @@ def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
 BLOCKS = "ids binary, n long, v binary, far binary"
 
 
-def packed(df: DataFrame, size: int, pivots: np.ndarray | None = None) -> DataFrame:
-    """Blocks of at most size rows: ids, vectors and, given pivots, squared distances to them less the norm."""
+def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of the rows to the pivots; a vector of zeros has a right angle to everything."""
+    x, p = fit_width(x, pivots)
+    size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
+    return np.arccos(np.clip(np.divide(x @ p.T, size, out=np.zeros(size.shape), where=size > 0), -1, 1)).astype(np.float32)
+
+
+def packed(df: DataFrame, size: int, pivots: np.ndarray) -> DataFrame:
+    """Blocks of at most size rows: ids, vectors and angles to the pivots, in order of the nearest pivot."""
 
     def block(ids: list, vs: list) -> dict:
         width = max(v.shape[1] for v in vs)
         v = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in vs])
-        far = b""
-        if pivots is not None:
-            p, y = fit_width(pivots, v)
-            far = ((p * p).sum(1)[None, :] - 2 * y @ p.T).astype("<f8").tobytes()
-        return {"ids": np.concatenate(ids).astype("<i8").tobytes(), "n": len(v), "v": v.astype("<f8").tobytes(), "far": far}
+        far = angles(v, pivots)
+        order = np.argsort(far.argmin(1), kind="stable")
+        return {"ids": np.concatenate(ids)[order].astype("<i8").tobytes(), "n": len(v), "v": v[order].astype("<f8").tobytes(), "far": far[order].tobytes()}
 
     def run(batches):
         ids, vs, held = [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, min(size, batch.num_rows - at))
                 if held and held + part.num_rows > size:
@@ -91,45 +98,116 @@ def fit_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.pad(a, ((0, 0), (0, w - a.shape[1]))), np.pad(b, ((0, 0), (0, w - b.shape[1])))
 
 
-def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; doubles hold them unless the components are huge."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(x.shape[-1], 1) < 2**53:
-        return (x @ q).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
-    return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], dtype=np.int64)
-
-
-def best_of_block(qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The k best candidates of a block for one query, evaluated in order of their bounds."""
-    found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = min(len(ids), chunk)
-    near = np.argpartition(-bound, first - 1)[:first] if first < len(ids) else np.arange(len(ids))
-    rest = None
-    while len(near):
-        keep = near[ids[near] != qid]
-        found_ids, found = np.concatenate([found_ids, ids[keep]]), np.concatenate([found, scores(x[keep], q)])
-        order = np.lexsort((found_ids, -found))[:k]
-        found_ids, found = found_ids[order], found[order]
-        worst = float(found[-1]) if len(found) == k else -np.inf
-        if rest is None:
-            left = bound >= worst
-            left[near] = False
-            rest = np.flatnonzero(left)
-            rest = rest[np.argsort(-bound[rest])]
-        while len(rest) and bound[rest[-1]] < worst:
-            rest = rest[: np.searchsorted(-bound[rest], -worst, side="right")]
-        near, rest = rest[:chunk], rest[chunk:]
-    return found_ids, found
-
-
-def choose_pivots(df: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
-    rows = df.orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(sample).select("v").toArrow()["v"].combine_chunks()
-    x = matrix(rows) if len(rows) else np.zeros((1, 1))
-    chosen, far = [0], np.full(len(x), np.inf)
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of the rows; doubles hold them unless the components are huge."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(x.shape[1], 1) < 2**53:
+        return (q @ x.T).astype(np.int64)
+    exact = [[sum(int(a) * int(b) for a, b in zip(r, t, strict=True)) for t in x] for r in q]
+    return np.array([[min(max(s, -(2**63)), 2**63 - 1) for s in r] for r in exact], dtype=np.int64).reshape(len(q), len(x))
+
+
+def best(who: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each asker: highest score, then smallest id."""
+    order = np.lexsort((ids, ~found, who))
+    who, ids, found = who[order], ids[order], found[order]
+    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
+    place = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+    return who[place < k], ids[place < k], found[place < k]
+
+
+def highest(low: np.ndarray, q_norm: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Upper bounds of scores for angles of at least low and candidates' norms from least to most."""
+    cos = np.cos(np.minimum(np.maximum(low.astype(np.float64) - SLACK, 0), np.pi))
+    return q_norm * np.where(cos > 0, most, least) * cos * (1 + 1e-9) + q_norm * most * 1e-9 + 1e-3
+
+
+class Cells:
+    """Candidates of a block in order of their nearest pivots, as cells."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray):
+        self.ids, self.x, self.far, self.norm = ids, x, far, np.linalg.norm(x, axis=1)
+        near = far.argmin(1)
+        self.begin = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+        self.end = np.append(self.begin[1:], len(ids))
+        self.low, self.high = np.minimum.reduceat(far, self.begin), np.maximum.reduceat(far, self.begin)
+        self.least, self.most = np.minimum.reduceat(self.norm, self.begin), np.maximum.reduceat(self.norm, self.begin)
+
+
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, cells: Cells, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(place of the query, id, score) of the best candidates of a block that reach a query's k-th best score
+    so far (reach, floats), and how many pairs were scored."""
+    q_norm, n_cells = np.linalg.norm(q, axis=1), len(cells.begin)
+    low = np.zeros((len(q), n_cells), np.float32)
+    for p in range(q_far.shape[1]):
+        own = q_far[:, p, None]
+        np.maximum(low, np.maximum(cells.low[None, :, p] - own, own - cells.high[None, :, p]), out=low)
+    bound = highest(low, q_norm[:, None], cells.least[None, :], cells.most[None, :])
+    turn = np.argsort(-bound, axis=1, kind="stable")
+    who, ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    reach, scored, at, step = reach.copy(), 0, 0, 1
+    while at < n_cells:
+        now = turn[:, at : at + step]
+        rows, places = np.nonzero(np.take_along_axis(bound, now, 1) >= reach[:, None])
+        if not len(rows):
+            break  # bounds only fall from here on
+        chosen, parts = now[rows, places], [(who, ids, found)]
+        for c in np.unique(chosen).tolist():
+            group, inside = rows[chosen == c], slice(int(cells.begin[c]), int(cells.end[c]))
+            for hit in _scored(group, inside, q_ids, q, q_norm, q_far, cells, reach, c):
+                scored += hit[3]
+                parts.append(hit[:3])
+        who, ids, found = best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
+        full = np.flatnonzero(np.bincount(who, minlength=len(q)) == k)
+        last = np.searchsorted(who, full, side="right") - 1
+        reach[full] = np.maximum(reach[full], found[last].astype(np.float64))
+        at, step = at + step, max(1, at + step)
+    return who, ids, found, scored
+
+
+def _scored(group, inside, q_ids, q, q_norm, q_far, cells, reach, c):
+    """The candidates of one cell that reach a query of the group."""
+    x, ids = cells.x[inside], cells.ids[inside]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.arccos(np.clip(np.nan_to_num(reach[group] / (q_norm[group] * cells.most[c]), nan=-1, neginf=-1), -1, 1))
+    own = q_far[group]
+    can = np.flatnonzero((np.maximum(np.abs(own - cells.low[c]), np.abs(cells.high[c] - own)) > need[:, None]).any(0))
+    if len(can):  # pivots at which the farthest candidate of the cell would be left out
+        low = np.zeros((len(group), len(ids)), np.float32)
+        for p in can.tolist():
+            np.maximum(low, np.abs(own[:, p, None] - cells.far[None, inside, p]), out=low)
+        norm = cells.norm[None, inside]
+        open_to = highest(low, q_norm[group][:, None], norm, norm) >= reach[group][:, None]
+        left = open_to.any(1)
+        group, open_to = group[left], open_to[left]
+        pick = open_to.any(0)
+        x, ids = x[pick], ids[pick]
+        if not len(group):
+            return
+    s = scores(q[group], x)
+    i, j = np.nonzero((s >= reach[group][:, None]) & (ids[None, :] != q_ids[group][:, None]))
+    yield group[i], ids[j], s[i, j], s.size
+
+
+def choose_pivots(df: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled rows' ids and vectors, and those of them that are pivots, the farthest by angle first."""
+    rows = df.orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(sample).select("id", "v").toArrow()
+    ids, x = rows["id"].to_numpy(), matrix(rows["v"].combine_chunks()) if rows.num_rows else np.zeros((0, 1))
+    if not len(x):
+        return ids, x, np.zeros((1, 1))
+    chosen, near = [0], np.full(len(x), np.inf)
     while len(chosen) < min(n, len(x)):
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
-        chosen.append(int(far.argmax()))
-    return x[chosen]
+        near = np.minimum(near, angles(x, x[chosen[-1:]])[:, 0])
+        chosen.append(int(near.argmax()))
+    return ids, x, x[chosen]
+
+
+def first_reach(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the k-th best score among these rows, as a float that isn't above it; else minus infinity."""
+    if len(ids) <= k:
+        return np.full(len(q), -np.inf)
+    a, b = fit_width(q, x)
+    s = np.where(ids[None, :] == q_ids[:, None], -np.inf, scores(a, b).astype(np.float64))
+    return np.sort(s, axis=1)[:, -k]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -137,41 +215,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     bounded_batches(spark)
     base = usable(vectors)
-    pivots = choose_pivots(base)
+    sample_ids, sample, pivots = choose_pivots(base)
     asked = usable(vectors.where(is_query)).groupBy("id").agg(F.min("v").alias("v"))
     n, m = base.count(), asked.count()
     blocks, salts = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // CANDIDATES_A_SALT))
-    candidates = packed(base, CANDIDATE_BLOCK, pivots).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
-    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * salts, 100_000))
+    candidates = packed(base, CANDIDATE_BLOCK, pivots).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts).cast("long")))
+    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, "block", "salt")
     dealt = asked.repartition(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    queries = packed(dealt, QUERY_BLOCK).select(F.pmod(F.xxhash64("ids", F.lit(1)), F.lit(blocks)).alias("block"), F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("v").alias("q_v"))
-    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = candidates.join(queries, ["block", "salt"]).select("ids", "n", "v", "far", "q_ids", "q_n", "q_v")
+    queries = packed(dealt, QUERY_BLOCK, pivots).select(F.spark_partition_id().alias("block"), F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("v").alias("q_v"), F.col("far").alias("q_far"))
+    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(tasks, "block", "salt")
+    pairs = candidates.join(queries.hint("shuffle_merge"), ["block", "salt"]).select("ids", "n", "v", "far", "q_ids", "q_n", "q_v", "q_far")
 
     def run(batches):
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = np.frombuffer(row["v"], "<f8").reshape(row["n"], -1), np.frombuffer(row["q_v"], "<f8").reshape(row["q_n"], -1)
+                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                x, q = (np.frombuffer(row[v], "<f8").reshape(row[c], -1) for v, c in (("v", "n"), ("q_v", "q_n")))
+                far, q_far = (np.frombuffer(row[v], "<f4").reshape(row[c], -1) for v, c in (("far", "n"), ("q_far", "q_n")))
+                reach = first_reach(q_ids, q, sample_ids, sample, k)
                 x, q = fit_width(x, q)
-                p, q = fit_width(pivots, q)
-                x, _ = fit_width(x, p)
-                norm = (x * x).sum(1)
-                top = norm.max(initial=0.0)  # all candidates of the block are brought to this norm
-                far = np.sqrt(np.maximum(np.frombuffer(row["far"], "<f8").reshape(row["n"], -1) + top, 0))
-                own = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * q @ p.T, 0))
-                size = (q * q).sum(1) + top
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(qids)):
-                    low = np.abs(far[:, 0] - own[i, 0])
-                    for j in range(1, far.shape[1]):
-                        np.maximum(low, np.abs(far[:, j] - own[i, j]), out=low)
-                    bound = (size[i] - low * low) / 2 + 1e-9 * size[i] + 1e-3
-                    found_ids, found = best_of_block(int(qids[i]), q[i], ids, x, bound, k)
-                    out_q.append(np.full(len(found), qids[i]))
-                    out_v.append(found_ids)
-                    out_s.append(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+                who, found_ids, found, _ = best_of_block(q_ids, q, q_far, Cells(ids, x, far), k, reach)
+                yield batch_of({"query_id": q_ids[who], "vec_id": found_ids, "score": found}, "query_id long, vec_id long, score long")
 
     hits = pairs.mapInArrow(trimmed(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
