@@ -10,52 +10,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import let
+
+# The patterns of a line and of a field, and what each action is in an envelope.
 LINE = r"(?s)^table ([^:]+): (INSERT|UPDATE|DELETE): (.*)$"
 #: Possessive, so that very long values don't exhaust the stack of the regular expression engine.
 FIELD = r"(?:^|\s)([A-Za-z_][A-Za-z0-9_]*)\[((?:[^\[\]]|\[\])*)\]:('(?:[^']++|'')*+'|\S*)"
 QUOTED = r"'(?:[^']++|'')*+'"
 OPS = {"INSERT": "c", "UPDATE": "u", "DELETE": "d"}
+HEAD = r"^table [^:]+: (?:INSERT|UPDATE|DELETE): "
+NEW, OLD, NOTHING = "new-tuple:", ("old-key:", "old-tuple:"), "(no-tuple-data)"
+
+
+def _value(v: Column) -> Column:
+    quoted = v.startswith("'")
+    whole = quoted & v.endswith("'") & (F.length(v) > 1)
+    inner = F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))
+    return F.when(v == "null", F.lit(None).cast("string")).when(whole, inner).when(quoted, F.raise_error(F.lit("unterminated quoted value"))).otherwise(v)
 
 
 def image(fragment: Column) -> Column:
     """The fields of a fragment as a map of text; unquoted null is null, an open quote is an error."""
-    names, raw = F.regexp_extract_all(fragment, F.lit(FIELD), F.lit(1)), F.regexp_extract_all(fragment, F.lit(FIELD), F.lit(3))
 
-    def value(v: Column) -> Column:
-        quoted = v.startswith("'")
-        whole = quoted & v.endswith("'") & (F.length(v) > 1)
-        inner = F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))
-        return F.when(v == "null", F.lit(None).cast("string")).when(whole, inner).when(quoted, F.raise_error(F.lit("unterminated quoted value"))).otherwise(v)
+    def of(fields: Column) -> Column:  # each whole: name[type]:value
+        names = F.transform(fields, lambda f: F.trim(F.substring_index(f, "[", 1), F.lit(" \t\n\r\x0b\x0c")))
+        raw = F.transform(fields, lambda f: F.substring(f, F.locate("]:", f) + 2, F.length(f)))
+        return F.map_from_arrays(names, F.transform(raw, _value))
 
-    bare = F.regexp_replace(fragment, QUOTED, "")
+    bare = fragment.contains(NOTHING) & F.regexp_replace(fragment, QUOTED, "").contains(NOTHING)
     nothing = F.create_map().cast("map<string,string>")
-    return F.when(bare.contains("(no-tuple-data)"), nothing).otherwise(F.map_from_arrays(names, F.transform(raw, value)))
+    return F.when(bare, nothing).otherwise(let(F.regexp_extract_all(fragment, F.lit(FIELD), F.lit(0)), of))
 
 
-def _outside(text: Column, marker: str) -> Column:
-    """Where the marker first stands outside quoted values, from 1; 0 if nowhere. Quoted values are
-    replaced by as many other characters, so that places stay."""
+def _unquoted(text: Column) -> Column:
+    """text with quoted values replaced by as many other characters, so that places stay."""
     parts = F.regexp_extract_all(text, F.lit(rf"({QUOTED}|[^']++)"), F.lit(1))
-    blank = F.transform(parts, lambda p: F.when(p.startswith("'"), F.rpad(F.lit("'"), F.length(p), "x")).otherwise(p))
-    return F.locate(marker, F.array_join(blank, ""))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("'"), F.rpad(F.lit("'"), F.length(p), "x")).otherwise(p)), "")
 
 
 def parse_lines(lines: DataFrame, column: str = "data") -> DataFrame:
-    """lines plus table, action, op, before, after; all null where the line is no row change."""
-    line = F.trim(F.col(column))
-    rest = F.regexp_extract(line, LINE, 3)
-    action = F.nullif(F.regexp_extract(line, LINE, 2), F.lit(""))
-    new = _outside(rest, "new-tuple:")
-    old = F.greatest(_outside(rest, "old-key:"), _outside(rest, "old-tuple:")) > 0
-    both = old & (new > 0)
-    none = F.lit(None).cast("map<string,string>")
-    before = F.when(both, image(F.substring(rest, F.lit(1), new - 1))).when(old | (action == "DELETE"), image(rest))
-    after = F.when(both, image(F.substring(rest, new + len("new-tuple:"), F.length(rest)))).when(old | (action == "DELETE"), none).otherwise(image(rest))
+    """lines plus table, action, op, before, after; all null where the line is no row change.
+
+    Each step is a projection of its own, so that what later ones use several times is computed once; a
+    field is searched for once in each image, and markers only in lines that hold one at all.
+    """
+    names = [c for c in lines.columns if c not in ("table", "action", "op", "before", "after")]
+    own = [F.col(f"`{c}`") for c in names]
+    step = lines.select(F.struct(*own).alias("_row"), F.trim(F.col(column)).alias("_line"))
+    step = step.select("_row", "_line", F.regexp_extract("_line", HEAD, 0).alias("_head"))
+    found = F.length("_head") > 0
+    step = step.select("_row", F.when(found, F.regexp_extract("_head", "^table ([^:]+): ", 1)).alias("table"), F.when(found, F.regexp_extract("_head", "([A-Z]+): $", 1)).alias("action"), F.when(found, F.substring(F.col("_line"), F.length("_head") + 1, F.length("_line"))).alias("_rest"))
+    marked = F.col("_rest").contains(NEW)
+    for m in OLD:
+        marked = marked | F.col("_rest").contains(m)
+    step = step.select("*", F.when(marked, _unquoted(F.col("_rest"))).otherwise("").alias("_plain"))
+    old = F.lit(False)
+    for m in OLD:
+        old = old | F.col("_plain").contains(m)
+    step = step.select("*", F.locate(NEW, F.col("_plain")).alias("_new"), (old | (F.col("action") == "DELETE")).alias("_before_only"), old.alias("_old"))
+    both, rest = F.col("_old") & (F.col("_new") > 0), F.col("_rest")
+    first = F.when(both, F.substring(rest, F.lit(1), F.col("_new") - 1)).when(F.col("_before_only"), rest)
+    second = F.when(both, F.substring(rest, F.col("_new") + len(NEW), F.length(rest))).when(~F.col("_before_only"), rest)
+    step = step.select("_row", "table", "action", first.alias("_first"), second.alias("_second"))
     op = F.lit(None).cast("string")
     for k, v in OPS.items():
-        op = F.when(action == k, F.lit(v)).otherwise(op)
-    table = F.nullif(F.regexp_extract(line, LINE, 1), F.lit(""))
-    return lines.withColumns({"table": table, "action": action, "op": op, "before": F.when(action.isNotNull(), before), "after": F.when(action.isNotNull(), after)})
+        op = F.when(F.col("action") == k, F.lit(v)).otherwise(op)
+    kept = [F.col("_row").getField(c).alias(c) for c in names]
+    return step.select(*kept, "table", "action", op.alias("op"), F.when(F.col("_first").isNotNull(), image(F.col("_first"))).alias("before"), F.when(F.col("_second").isNotNull(), image(F.col("_second"))).alias("after"))
 
 
 def changes(lines: DataFrame, column: str = "data") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,33 +45,38 @@ def identity(image: Column, columns: list[str]) -> Column:
     return F.when(image.isNotNull() & have, F.array(*[image[c] for c in columns]))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _times(x: Column) -> Column:
     return (x * F.lit(M)).bitwiseAND(F.lit(MASK))
 
 
+def _little(digits: Column) -> Column:
+    """The number of eight hexadecimal digits whose bytes come lowest first."""
+
+    def swapped(v: Column) -> Column:
+        low = F.shiftleft(v.bitwiseAND(F.lit(0xFF)), 24).bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(0xFF00)), 8))
+        return low.bitwiseOR(F.shiftright(v, 8).bitwiseAND(F.lit(0xFF00))).bitwiseOR(F.shiftright(v, 24))
+
+    return let(F.conv(digits, 16, 10).cast("long"), swapped)
+
+
 def murmur2(key: Column) -> Column:
     """Unsigned 32-bit murmur2 of the UTF-8 bytes, as the Java client computes it; null for null."""
-    raw = F.hex(F.encode(key, "utf-8"))
-    n = F.octet_length(key)
-
-    def byte(i: Column) -> Column:
-        return F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-
-    def word(acc: Column, j: Column) -> Column:
-        at = j * 4
-        k = byte(at).bitwiseOR(F.shiftleft(byte(at + 1), 8)).bitwiseOR(F.shiftleft(byte(at + 2), 16)).bitwiseOR(F.shiftleft(byte(at + 3), 24))
-        k = _times(k)
-        k = _times(k.bitwiseXOR(F.shiftrightunsigned(k, 24)))
-        return _times(acc).bitwiseXOR(k)
-
-    words = F.when(n >= 4, F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    h = F.aggregate(words, F.lit(SEED).cast("long").bitwiseXOR(n.cast("long")), word)
-    rest, at = n % 4, n - n % 4
-    t = F.when(rest == 3, F.shiftleft(byte(at + 2), 16)).otherwise(F.lit(0).cast("long"))
-    t = t.bitwiseXOR(F.when(rest >= 2, F.shiftleft(byte(at + 1), 8)).otherwise(F.lit(0).cast("long")))
-    h = F.when(rest > 0, _times(h.bitwiseXOR(t).bitwiseXOR(byte(at)))).otherwise(h)
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)))
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 15))
+
+    def of(raw: Column) -> Column:  # hexadecimal digits, two a byte
+        n = (F.length(raw) / 2).cast("long")
+        words = F.when(n >= 4, F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), lambda j: _times(_little(F.substring(raw, j * 8 + 1, F.lit(8))))))
+        h = F.aggregate(F.coalesce(words, F.array().cast("array<bigint>")), F.lit(SEED).cast("long").bitwiseXOR(n), lambda acc, k: _times(acc).bitwiseXOR(_times(k.bitwiseXOR(F.shiftrightunsigned(k, 24)))))
+        rest = _little(F.rpad(F.substring(raw, ((n - n % 4) * 2 + 1).cast("int"), F.lit(8)), 8, "0"))
+        h = F.when(n % 4 > 0, _times(h.bitwiseXOR(rest))).otherwise(h)
+        h = let(h, lambda x: _times(x.bitwiseXOR(F.shiftrightunsigned(x, 13))))
+        return let(h, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 15)))
+
+    return let(F.hex(F.encode(key, "utf-8")), of)
 
 
 def partition_for(key: Column, partitions: int) -> Column:

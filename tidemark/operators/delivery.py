@@ -5,16 +5,41 @@ Spark has no implicit order: each order is a column, arrival, numbered from 1 wh
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import partition_for
 
 
+BLOCK_BITS = 16
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str, then: list[str] | None = None, bits: int = BLOCK_BITS) -> DataFrame:
+    """Adds name, from 0: each row's place among those alike in by, in the order of a column of whole numbers,
+    and of the columns then where it is equal.
+
+    The column's range is cut into some 2 ** bits stretches; a row's place is the number of rows in earlier
+    stretches (of by) plus its place in its own, so that no task sorts all rows of a value of by.
+    """
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()  # one row
+    shift = max(0, ((ends["high"] or 0) - (ends["low"] or 0)).bit_length() - bits)
+    cut = rows.withColumn("_stretch", F.shiftright(F.col(order).cast("long"), shift))
+    at = [*by, "_stretch"]
+    counts = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    here = cut.withColumn("_here", F.row_number().over(Window.partitionBy(*at).orderBy(order, *(then or []))))
+    ahead = ahead.withColumnsRenamed({c: f"_{c}_" for c in at})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in at])
+    return here.join(ahead, same).withColumn(name, (F.col("_ahead") + F.col("_here") - 1).cast("long")).select(*rows.columns, name)
+
+
 def route(events: DataFrame, partitions: int) -> DataFrame:
     """Adds partition (by record key) and offset (from 0, in log order within the partition)."""
-    w = Window.partitionBy("partition").orderBy("seq")
-    return events.withColumn("partition", partition_for(F.col("record_key"), partitions)).withColumn("offset", F.row_number().over(w).cast("long") - 1)
+    return numbered(events.withColumn("partition", partition_for(F.col("record_key"), partitions)), ["partition"], "seq", "offset")
 
 
 def interleave(routed: DataFrame, seed: int = 0) -> DataFrame:
@@ -22,9 +47,8 @@ def interleave(routed: DataFrame, seed: int = 0) -> DataFrame:
 
     Each record draws a number; a partition's numbers are dealt to its records in order of offset.
     """
-    drawn = routed.withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), "partition", "seq"), F.lit(1 << 40)))
-    place = Window.partitionBy("partition").orderBy("_draw", "seq")
-    draws = drawn.select(F.col("partition").alias("_p"), (F.row_number().over(place) - 1).cast("long").alias("_o"), F.col("_draw").alias("arrival_key"))
+    draws = routed.select(F.col("partition").alias("_p"), F.xxhash64(F.lit(seed), "seq").alias("arrival_key"))  # of one partition all differ, or nearly
+    draws = numbered(draws, ["_p"], "arrival_key", "_o")
     return routed.join(draws, (F.col("partition") == F.col("_p")) & (F.col("offset") == F.col("_o"))).drop("_p", "_o")
 
 
@@ -69,35 +93,47 @@ def partition_spread(routed: DataFrame, partitions: int) -> DataFrame:
 
 
 def same_key_inversions(events: DataFrame, order: str = "arrival") -> DataFrame:
-    """One row: pairs of records of one (topic, record key) that arrive against their log positions.
+    """One row: pairs of records of one (topic, record_key) that arrive against their log positions.
 
-    The theta join stays within a key.
+    No pairs are made, so a key that holds a large share of all records costs no more than the others.
+    Records are numbered within their key by position, those of equal position as they arrive, and the
+    bits of these numbers are few. Keys are told apart by 96 bits of hash.
     """
-    a = events.select("topic", "record_key", F.col(order).alias("x"), F.col("lsn").alias("p"))
-    b = a.withColumnsRenamed({"x": "y", "p": "q"})
-    return a.join(b, ["topic", "record_key"]).where("x < y and p > q").agg(F.count(F.lit(1)).alias("same_key"))
+    key = [F.xxhash64("topic", "record_key").alias("k"), F.hash("record_key", "topic").alias("k2")]
+    rows = events.select(*key, F.col(order).alias("x"), "lsn")
+    ends = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.max("x").alias("y")).agg(F.max("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).first()  # one row
+    placed = numbered(rows, ["k", "k2"], "lsn", "r", then=["x"], bits=8)
+    whole = (ends["x"] or 0) >> 20 == (ends["y"] or 0) >> 20
+    return _inversions(placed, ["k", "k2"], 1 << 20, max(1, ((ends["n"] or 1) - 1).bit_length()), whole).withColumnRenamed("inversions", "same_key")
 
 
 def inversions(events: DataFrame, order: str = "arrival", width: int = 4096) -> DataFrame:
-    """One row: all pairs that arrive against their log positions, equal positions not counted.
+    """One row: all pairs that arrive against their log positions, equal positions not counted."""
+    at = F.expr(f"`{order}` div {int(width)}")
+    ends = events.agg(F.min("lsn").alias("low"), F.max("lsn").alias("high"), F.min(at).alias("first"), F.max(at).alias("last")).first()  # one row
+    rows = events.select(F.col(order).alias("x"), (F.col("lsn") - (ends["low"] or 0)).alias("r"))
+    return _inversions(rows, [], width, max(1, int((ends["high"] or 0) - (ends["low"] or 0)).bit_length()), ends["first"] == ends["last"])
+
+
+def _inversions(rows: DataFrame, within: list[str], width: int, depth: int, whole: bool) -> DataFrame:
+    """Pairs of rows (x, r and within) alike in within, of which the one of smaller x has the larger r.
 
-    One bit of the position is settled at a time: within a block of positions that agree in the higher
-    bits, records of the upper half that arrive before records of the lower half are counted. The running
-    counts are made within stretches of width arrivals and added up over the stretches before, so that no
-    task holds a whole block. It takes as many rows as records times bits, and never pairs records. order
-    is a number.
+    One bit of r is settled at a time: within a block of numbers that agree in the higher bits, rows of the
+    upper half that come before rows of the lower half are counted. The running counts are made within
+    stretches of width along x and added up over the stretches before (none if whole), so that no task holds
+    a whole block. It takes as many rows as there are rows times bits, and never pairs rows. x is a number.
     """
-    ends = events.agg(F.min("lsn").alias("low"), F.max("lsn").alias("high")).first()  # one row
-    low, depth = ends["low"] or 0, max(1, int((ends["high"] or 0) - (ends["low"] or 0)).bit_length())
-    rows = events.select(F.col(order).alias("x"), (F.col("lsn") - low).alias("r")).withColumn("stretch", F.expr(f"x div {int(width)}"))
-    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    levels = rows.withColumn("stretch", F.expr(f"x div {int(width)}")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
     levels = levels.withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("upper", F.expr("shiftright(r, level) & 1"))
-    at = ["level", "block", "stretch"]
-    sums = levels.groupBy(*at).agg(F.sum("upper").alias("n"))
-    earlier = Window.partitionBy("level", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    within = Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    counted = levels.withColumn("here", F.coalesce(F.sum("upper").over(within), F.lit(0))).join(sums, at)
+    at = [*within, "level", "block", "stretch"]
+    inside = Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    counted = levels.withColumn("here", F.coalesce(F.sum("upper").over(inside), F.lit(0)))
+    if whole:
+        counted = counted.withColumn("ahead", F.lit(0))
+    else:
+        sums = levels.groupBy(*at).agg(F.sum("upper").alias("n"))
+        earlier = Window.partitionBy(*within, "level", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.join(sums.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), at)
     return counted.agg(F.coalesce(F.sum(F.when(F.col("upper") == 0, F.col("ahead") + F.col("here"))), F.lit(0)).cast("long").alias("inversions"))
 
 

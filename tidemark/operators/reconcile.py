@@ -77,7 +77,9 @@ def rollup(reports: DataFrame) -> DataFrame:
     """The worst verdict of all; none at all is no coverage."""
     rank = F.array_position(F.array(*[F.lit(v) for v in RANK]), F.col("verdict"))
     known = F.when(rank > 0, rank).otherwise(F.raise_error(F.concat(F.lit("unknown verdict "), F.col("verdict"))))
-    return reports.agg(F.coalesce(F.element_at(F.array(*[F.lit(v) for v in RANK]), F.min(known).cast("int")), F.lit("no_coverage")).alias("verdict"))
+    worst = F.min(known).cast("int")
+    # an element of an array of literals counts as never null, so that a coalesce around it would be dropped
+    return reports.agg(F.when(worst.isNull(), "no_coverage").otherwise(F.element_at(F.array(*[F.lit(v) for v in RANK]), worst)).alias("verdict"))
 
 
 def one_line(reports: DataFrame) -> DataFrame:

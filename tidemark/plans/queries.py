@@ -33,7 +33,7 @@ def query(sql: str | None):
 def cs(key: str = "row", order: str = "shuffled", ties: bool = False) -> str:
     """Common table expressions: c, the changes, and ev, the events with tombstones."""
     of = "'{\"user_id\":' || user_id || ',\"line_no\":' || line_no || '}'" if key == "row" else "'{\"user_id\":' || user_id || '}'"
-    arrival = "(seq * 7919) % 1000003" if order == "shuffled" else "seq"
+    arrival = "(seq % 1000003 * 7919) % 1000003 * 8796093022208 + seq // 1000003" if order == "shuffled" else "seq"
     return f"""c AS (
   SELECT CAST({"event_id // 2" if ties else "event_id"} AS BIGINT) AS lsn, event_id, CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END AS op,
     user_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) % 10 AS line_no, CAST(floor(value * 100) AS BIGINT) AS cents, event_type FROM events
@@ -43,22 +43,17 @@ def cs(key: str = "row", order: str = "shuffled", ties: bool = False) -> str:
 ), ev AS (SELECT *, {arrival} AS arrival FROM e0)"""
 
 
-def dense(events: DataFrame, order: str = "shuffled") -> DataFrame:
-    """arrival as a rank from 1. No two rows have the same arrival, so ranks are counted over blocks of it:
-    rows of earlier blocks, plus the place in the own block."""
-    block = F.expr(f"arrival div {64 * delivery.PERIODS if order == 'shuffled' else 4096}")
-    counts = events.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
-    own = F.row_number().over(Window.partitionBy("_block").orderBy("arrival"))
-    met = events.withColumn("_block", block).withColumn("_r", own).join(sums, F.col("_block") == F.col("_b"))
-    return met.withColumn("arrival", (F.col("_r") + F.col("_before")).cast("long")).drop("_block", "_r", "_b", "_before")
+def dense(events: DataFrame) -> DataFrame:
+    """arrival as a rank from 1; no two rows have the same arrival."""
+    met = delivery.numbered(events, [], "arrival", "_rank")
+    return met.withColumn("arrival", F.col("_rank") + 1).drop("_rank")
 
 
 RANKED = ", rk AS (SELECT * EXCLUDE (arrival), row_number() OVER (ORDER BY arrival) AS arrival FROM ev)"
 
 
 def batched(spark: SparkSession, sf_dir: str, key: str = "row", order: str = "shuffled", size: int = 250) -> DataFrame:
-    return delivery.batches(dense(change_stream(spark, sf_dir, key, order), order), size)
+    return delivery.batches(dense(change_stream(spark, sf_dir, key, order)), size)
 
 
 def bt(key: str = "row", order: str = "shuffled", size: int = 250) -> str:
@@ -388,11 +383,11 @@ def live_rows(spark, sf_dir):
 
 # --- recovery ---
 
-GAP = """WITH {cs}, o AS (SELECT seq, row_number() OVER (ORDER BY arrival) AS x, row_number() OVER (ORDER BY (seq * {factor}) % 1000003) AS y FROM ev),
+GAP = """WITH {cs}, o AS (SELECT seq, row_number() OVER (ORDER BY arrival) AS x, row_number() OVER (ORDER BY (seq % 1000003 * {factor}) % 1000003, seq) AS y FROM ev),
 i AS (SELECT (x - 1) // 250 + 1 AS b, (y - 1) // {size} + 1 AS a FROM o)"""
 GAP_ROW = " SELECT {extra}count(*) AS records, count(*) FILTER (b < 7) AS applied, count(*) FILTER (a >= 7) AS replayed, count(*) FILTER (b >= 7 AND a < 7) AS dropped, count(*) FILTER (b < 7 AND a >= 7) AS applied_twice, count(*) FILTER (b < 7) = count(*) FILTER (a < 7) AS prefix_sizes_agree FROM i"
 SIZES = (100, 180, 250, 320, 400, 600)
-FACTORS = (7919, 104729, 15485863, 32452843)
+FACTORS = (7919, 104729, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301)
 
 
 def gap(spark, sf_dir, factor: int, size: int) -> DataFrame:
@@ -454,7 +449,7 @@ def lag_sql(f: float, excluded: bool, tail: str = " SELECT * FROM rv") -> str:
 
 
 def lagged(spark, sf_dir, f: float):
-    events = dense(change_stream(spark, sf_dir, order="log"), "log")
+    events = dense(change_stream(spark, sf_dir, order="log"))
     n = events.count()
     applied, back = delivery.prefix_cut(events, f, n)
     source = folding.fold(events, SLOT, on_tombstone="ignore").select(*COLUMNS)

@@ -44,7 +44,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def markdown(report: DataFrame, most: int = 1000) -> str:
-    """A small report as a Markdown table."""
-    rows = report.limit(most).collect()
+    """A small report as a Markdown table; one of more rows than most is an error."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows is no Markdown table; see write_report()")
     lines = ["| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
