@@ -4,8 +4,9 @@ A document's ids fill whole windows of the largest size first; what is left is r
 tier (a power of two) that holds it. Each tier is packed on its own: its pieces open windows of the
 tier's size, the gap behind a piece is filled from shorter tiers, largest fitting piece first, and
 closed by cutting a shorter piece. At the end of a partition the few pieces that fill no window are cut
-into runs whose lengths are powers of two, so nothing is padded. Sequences are dealt to step groups of
-equal token counts.
+into runs whose lengths are powers of two, so nothing is padded. Sequences are dealt to step groups, the
+longest first and each to the group with the fewest tokens, so that groups made together hold the same
+number of tokens (to a window) and the same mix of sizes.
 
 Packing runs where the rows are: no shuffle, and memory is bounded by one flush (FLUSH tokens) and one
 document. A task that is run again makes its sequences anew, under ids of its own partition.
@@ -17,6 +18,7 @@ own; a null doc_id stays null; an empty table gives no pieces; other columns are
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +36,7 @@ WINDOW = 2048
 LEAST_TIER = 256
 FLUSH = 1 << 19
 STEP_TOKENS = 1 << 17
+STEPS_AT_ONCE = 8
 CACHED_WORDS = 600_000
 
 #: Text without these characters: NFC changes nothing there, and lower() is the library's.
@@ -55,7 +58,8 @@ class WordTokenizer:
 
             path = public_tokenizers.path(TOKENIZER)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: strings that are one token wherever they stand in a text; the library finds them
+        self.added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
         # Words come in lower case and split, so that the same merges do without the regular expressions.
         self.merges = Tokenizer(self.library.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -80,8 +84,9 @@ class WordTokenizer:
         known = self.words
         found: list = []  # bytes, or the text's words
         for text in texts:
-            odd = not text.isascii() and UNUSUAL.search(text) or CONTROL.search(text)
-            found.append(self._whole(text) if odd else SPLIT.findall(text.lower()))
+            low = text.lower()
+            odd = not text.isascii() and UNUSUAL.search(text) or CONTROL.search(text) or any(t in low for t in self.added)
+            found.append(self._whole(text) if odd else SPLIT.findall(low))
         new: set[str] = set()
         for words in found:
             if isinstance(words, list):
@@ -192,6 +197,19 @@ class Packer:
         self._pack(True)
 
 
+def balanced(sizes: list[int], step: int) -> list[int]:
+    """The group of each sequence, from 0: as few groups as hold step tokens each, the longest sequences
+    first, each to the group with the fewest tokens. No group gets more than step: lengths are powers of two
+    that divide it, so a group that isn't full has room for a sequence no longer than those before."""
+    groups = [(0, g) for g in range(-(-sum(sizes) // step))]
+    found = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        filled, g = heapq.heappop(groups)
+        found[i] = g
+        heapq.heappush(groups, (filled + sizes[i], g))
+    return found
+
+
 def sum_at_least(tiers: list[list], size: int) -> bool:
     total = 0
     for tier in tiers:
@@ -208,9 +226,12 @@ PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_token
 def pack(docs: DataFrame, window: int = WINDOW, least_tier: int = LEAST_TIER, step_tokens: int = STEP_TOKENS, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece of docs (doc_id, text): where it lies. with_ids adds the ids themselves.
 
-    step_group numbers groups of sequences of step_tokens tokens each (the last of a partition may hold
-    less); tokens of one group can be one training step.
+    step_group numbers groups of sequences of at most step_tokens tokens, a multiple of the window. Groups
+    are made STEPS_AT_ONCE at a time, and those made together hold the same tokens to a window; tokens of
+    one group can be one training step.
     """
+    if step_tokens < window or step_tokens % window:
+        raise ValueError("step_tokens must be a multiple of the window")
     bounded_batches(docs.sparkSession)
     schema = PIECES_SCHEMA + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
@@ -218,22 +239,39 @@ def pack(docs: DataFrame, window: int = WINDOW, least_tier: int = LEAST_TIER, st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out = tokenizer(path), {k: [] for k in names}
         base = TaskContext.get().partitionId() << 40
-        state = {"sequence": base, "group": base, "filled": 0}
+        state = {"sequence": base, "group": base, "tokens": 0}
+        pending: list[list] = []
 
         def emit(pieces: list) -> None:
-            at, total = 0, sum(p[2] for p in pieces)
-            if state["filled"] and state["filled"] + total > step_tokens:
-                state["group"], state["filled"] = state["group"] + 1, 0
-            state["filled"] += total
-            for (doc_id, ids), start, n in pieces:
-                part = ids[start : start + n]
-                row = (doc_id, start, n, zlib.crc32(part.tobytes()), len(ids), state["sequence"], at, total, state["group"])
-                for k, v in zip(names, row, strict=False):
-                    out[k].append(v)
-                if with_ids:
-                    out["ids"].append(part.astype(np.int32))
-                at += n
-            state["sequence"] += 1
+            pending.append(pieces)
+            state["tokens"] += sum(p[2] for p in pieces)
+
+        def grouped(last: bool) -> None:
+            """Rows of the pending sequences, whole groups of them at a time."""
+            most = STEPS_AT_ONCE * step_tokens
+            while pending and (last or state["tokens"] >= most):
+                sizes, total = [], 0
+                for pieces in pending:
+                    size = sum(p[2] for p in pieces)
+                    if total + size > most:
+                        break
+                    sizes.append(size)
+                    total += size
+                of = balanced(sizes, step_tokens)
+                for pieces, size, g in zip(pending, sizes, of, strict=False):
+                    at = 0
+                    for (doc_id, ids), start, n in pieces:
+                        part = ids[start : start + n]
+                        row = (doc_id, start, n, zlib.crc32(part.tobytes()), len(ids), state["sequence"], at, size, state["group"] + g)
+                        for k, v in zip(names, row, strict=False):
+                            out[k].append(v)
+                        if with_ids:
+                            out["ids"].append(part.astype(np.int32))
+                        at += n
+                    state["sequence"] += 1
+                state["group"] += max(of) + 1
+                state["tokens"] -= total
+                del pending[: len(sizes)]
 
         def drained() -> Iterator[pa.RecordBatch]:
             if out["doc_id"]:
@@ -247,8 +285,10 @@ def pack(docs: DataFrame, window: int = WINDOW, least_tier: int = LEAST_TIER, st
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(texts), strict=True):
                 packer.add((doc_id, ids), len(ids))
+            grouped(False)
             yield from drained()
         packer.finish()
+        grouped(True)
         yield from drained()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(trimmed(run), schema)
