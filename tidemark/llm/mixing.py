@@ -6,13 +6,14 @@ uniform number hashed from seed and doc_id; the document is exploded by its coun
 shuffled globally by a hash of seed, doc_id and copy. A mean above SPLIT is the sum of several draws, so
 that the distribution function never underflows.
 
-The only thing gathered is a row a source. It is broadcast if it has at most BROADCAST_ROWS rows (they are
-counted first), else joined by shuffling, hot sources being split by adaptive execution.
+One aggregation over documents gives a row a source, written as a small table: sizes, totals and the number
+of sources are read from it. It is broadcast if it has at most BROADCAST_ROWS rows, else joined by shuffling,
+hot sources being split by adaptive execution.
 
 Defined results: null is a source of its own, and so is the empty text; a source without a target weight
 gets weight 0 where weights are given; repeated rows draw the same count, each for itself; a null doc_id
 draws as the empty text; null texts are copied as they are; an empty table gives an empty result; other
-columns are kept, whatever their names.
+columns are kept, whatever their names, but for copy and order_key where with_copy makes these.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import read, written
 
 SEED = "mix-1"
 SPLIT = 16.0
@@ -34,12 +35,16 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 13), 16, 10).cast("long")
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, size: float = 1.0) -> DataFrame:
-    """Per source (_source): its mean repetition rate, number of draws and distribution function.
+def sizes(docs: DataFrame) -> DataFrame:
+    """Per source (_source) its rows (_n), as a written table."""
+    return written(docs.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_n")), "sources")
+
+
+def rates(counts: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, size: float = 1.0) -> DataFrame:
+    """Per source of counts (sizes()): its mean repetition rate, number of draws and distribution function.
 
     The default weights are row counts to the given power; size is the length of the mix in input lengths.
     """
-    counts = docs.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         counts = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(power)) if power != 0.5 else F.sqrt(F.col("_n").cast("double")))
     else:
@@ -69,8 +74,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     """docs (doc_id, source, ...) replicated to the target weights and shuffled globally, all columns as
     they are. with_copy adds copy (from 1) and order_key, the hash that orders the shuffle."""
     spark, names = docs.sparkSession, docs.columns
-    per_source = rates(docs, weights, power, size)
-    few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counts = sizes(docs)
+    per_source = rates(counts, weights, power, size)
+    few = counts.count() <= BROADCAST_ROWS
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     own = inner.withColumn("_of", F.col("_row")["source"])
     met = own.join(F.broadcast(per_source) if few else per_source, F.col("_of").eqNullSafe(F.col("_source")))
@@ -86,17 +92,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     out = out.withColumn("_order", hashed(F.lit(seed + "-order"), doc, F.col("_copy")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = out.repartition(n, "_order").sortWithinPartitions("_order")
-    kept = [F.col("_row")[c].alias(c) for c in names]
+    kept = [F.col("_row")[c].alias(c) for c in names if not (with_copy and c.lower() in ("copy", "order_key"))]
     return out.select(*kept, *([F.col("_copy").cast("long").alias("copy"), F.col("_order").alias("order_key")] if with_copy else []))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, drawn to weights that are the square roots of the sources' sizes."""
-    return mix(read(spark, sf_dir, "documents").select("doc_id", "source"), with_copy=True)
+    """Every document, whole, drawn to weights that are the square roots of the sources' sizes."""
+    return mix(read(spark, sf_dir, "documents"), with_copy=True)
 
 
 ORACLE = f"""
-WITH RECURSIVE s AS (
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rn, * FROM documents), s AS (
   SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM documents GROUP BY source
 ), r AS (
   SELECT source, CAST((SELECT sum(n) FROM s) AS DOUBLE) * 1.0::DOUBLE * (w / (SELECT sum(w) FROM s)) / CAST(n AS DOUBLE) AS rate FROM s
@@ -110,11 +116,11 @@ WITH RECURSIVE s AS (
   SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source
 ), u AS (
   SELECT rn, doc_id, x.source, (CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(j AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM (SELECT row_number() OVER () AS rn, doc_id, source FROM documents) x JOIN d ON x.source IS NOT DISTINCT FROM d.source, unnest(range(1, draws + 1)) t(j)
+  FROM t x JOIN d ON x.source IS NOT DISTINCT FROM d.source, unnest(range(1, draws + 1)) t(j)
 ), k AS (
   SELECT rn, doc_id, u.source, CAST(sum(len(list_filter(cdf, lambda c: c <= u.u))) AS BIGINT) AS copies FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source GROUP BY ALL
 )
-SELECT doc_id, source, CAST(copy AS BIGINT) AS copy,
-  CAST(('0x' || substr(md5('{SEED}-order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)), 1, 13)) AS BIGINT) AS order_key
-FROM k, unnest(range(1, copies + 1)) t(copy)
+SELECT t.doc_id, t.text, t.lang, t.source, t.n_chars, CAST(copy AS BIGINT) AS copy,
+  CAST(('0x' || substr(md5('{SEED}-order|' || coalesce(CAST(t.doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)), 1, 13)) AS BIGINT) AS order_key
+FROM k JOIN t USING (rn), unnest(range(1, copies + 1)) c(copy)
 """
