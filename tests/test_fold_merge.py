@@ -237,3 +237,56 @@ def test_open_fold_takes_the_later_of_a_period(spark, turned):
     rows = [(10 + i, "u", 1, 1, i, False, 4 + 1_000_003 * i, None, "t", "k") for i in range(3)]
     e = spark.createDataFrame(rows[::-1] if turned else rows, SCHEMA).coalesce(1).withColumn("arrival", delivery.scattered(F.col("seq")))
     assert [r.qty for r in fold.fold(e, ["a", "b"], guard=False).collect()] == [2]
+
+
+def test_hard_deletes_in_any_order(spark):
+    """purged_state() against a loop that deletes flagged rows after each batch."""
+    rng = random.Random(4)
+    out = []
+    for i in range(400):
+        key, op = rng.randrange(25), rng.choice("cuud")
+        out.append((i, op, key, key % 3, i, False, 2 * i, rng.random(), "t", str(key)))
+        if op == "d":
+            out.append((i, op, key, key % 3, None, True, 2 * i + 1, rng.random(), "t", str(key)))
+    out.sort(key=lambda r: r[7])
+    events = [(*r[:7], n, *r[8:]) for n, r in enumerate(out, 1)]
+    held = {}
+    for at in range(0, len(events), 20):
+        part = events[at : at + 20]
+        best = {}
+        for r in part:
+            if not r[5] and r[0] >= best.get(r[9], (-1,))[0]:
+                best[r[9]] = r
+        for k, r in best.items():
+            if k not in held or r[0] > held[k][0]:
+                held[k] = (r[0], r[4], r[1], at // 20 + 1)
+        marks = {}
+        for r in part:
+            if r[5]:
+                marks[r[9]] = max(marks.get(r[9], -1), r[0])
+        held = {k: v for k, v in held.items() if v[2] != "d" and marks.get(k, -1) < v[0]}
+    e = delivery.batches(spark.createDataFrame(events, SCHEMA).repartition(3), 20)
+    got = {r.cdc_record_key: (r.cdc_lsn, r.qty, r.cdc_batch) for r in merge.purged_state(e, ["a", "b"], ["a", "b", "qty"]).collect()}
+    assert got == {k: (v[0], v[1], v[3]) for k, v in held.items()}
+    live = {r.cdc_record_key for r in merge.purge(merge.merged_state(e, ["a", "b"], ["a", "b", "qty"])).collect()}
+    assert set(got) - live  # some rows came back
+
+
+def test_merge_of_shuffled_stages_is_the_same(spark):
+    """The order in which rows were staged decides nothing, into an empty target too."""
+    target = spark.createDataFrame([(1, "k1", 5, False, 1)], "a long, cdc_record_key string, cdc_lsn long, cdc_deleted boolean, cdc_batch long")
+    rows = [(i, f"k{i}", 10 + i, False, 2) for i in range(6)]
+    for there in (target, target.limit(0)):
+        got = [sorted(map(tuple, merge.merge(there, spark.createDataFrame(r, there.schema).repartition(n), ["a"]).collect())) for r, n in ((rows, 1), (rows[::-1], 3))]
+        assert got[0] == got[1] == sorted(rows)
+
+
+def test_places_by_stretches(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["p", "q", None]), v) for v in sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)}, key=str)]
+    df = spark.createDataFrame(rows, "p string, v long").repartition(4)
+    want = {(p, v): n for p in ("p", "q", None) for n, v in enumerate(sorted(x for q, x in rows if q == p))}
+    assert {(r.p, r.v): r.n for r in delivery.numbered(df, ["p"], "v", "n").collect()} == want
+    assert delivery.numbered(df.limit(0), [], "v", "n").count() == 0
+    few = spark.createDataFrame([(1, 3), (1, 1), (0, 2)], "v long, x long")
+    assert [(r.v, r.x) for r in delivery.numbered(few, [], "v", "n", then=["x"]).orderBy("n").collect()] == [(0, 2), (1, 1), (1, 3)]

@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import reconcile, recovery
-from tidemark.sources import connector, figures, logs
-from tidemark.sources.store import SnapshotStore, Target
+from tidemark.sources import connector, figures, logs, tables
+from tidemark.sources.store import SnapshotStore, Target, build_targets
 
 COLUMNS, KEY = ["o", "l", "qty", "status"], ["o", "l"]
 
@@ -159,19 +161,105 @@ def test_streams(spark, tmp_path):
     assert seen == {'["1"]': (30, False), '["2"]': (40, True)}
 
 
-def test_figures_and_connector(spark):
+def test_figures(spark):
     text = "# A\n\n| arm | rows | bytes |\n|---|---|---|\n| x | 1,777 | `refused` |\n| y | 12 % | 5 |\n\n## B\n\n| arm | rows |\n|---|---|\n| x | 3 |\n"
     cells = figures.cells(spark, text)
     want = spark.createDataFrame([("a", "A", "x", "rows", "counted", 1777.0), ("b", "B", "x", "rows", "counted", 4.0), ("c", "A", "x", "bytes", "counted", 1.0), ("d", "A", "z", "rows", "counted", 1.0)], "name string, heading string, row string, column string, kind string, observed double")
     assert {r.name: r.verdict for r in figures.check(cells, want).collect()} == {"a": "EXACT", "b": "BROKEN", "c": "MISSING", "d": "MISSING"}
     assert tuple(figures.coverage(cells, want).first()) == (4, 2)
-    exact, heads = connector.load_keys("# c\ntopic.prefix\tstring\t\thigh\ncolumn.mask.*\tstring\t\tlow\n")
-    assert exact == {"topic.prefix"} and heads == ("column.mask.",)
-    with pytest.raises(ValueError):
-        connector.load_keys("a\tb")
-    config = connector.build("shop", ["s.t"], "p", "slot", "db")
+    graded = figures.report(spark, {"one.md": text, "two.md": "no table"}, want.withColumn("document", F.lit("one.md")))
+    assert {(r.document, r.verdict, r.figures) for r in graded.collect()} == {("one.md", "EXACT", 1), ("one.md", "BROKEN", 1), ("one.md", "MISSING", 2), ("two.md", None, 0)}
+
+
+KEYS = """# what a release of the connector declares; name, type, default, importance
+topic.prefix\tSTRING\tNO_DEFAULT\tHIGH
+table.include.list\tLIST\tnull\tHIGH
+message.prefix.(.+).limit\tINT\tnull\tLOW
+decoding.rule.[a-z]+\tSTRING\tnull\tLOW
+skipped.operations\tLIST\t[t]\tLOW
+"""
+
+
+def test_connector_keys():
+    exact, heads = connector.load_keys(KEYS)
+    assert exact == {"topic.prefix", "table.include.list", "skipped.operations"} and heads == ("decoding.rule", "message.prefix")
+    for bad in ("a\tb", "# nothing", "x\ty\tz\tv\tw"):
+        with pytest.raises(ValueError):
+            connector.load_keys(bad)
+    odd = {"message.prefix.a.limit": "1", "decoding.rule.b": "2", "errors.log.enable": "true", "producer.override.acks": "all", "topic.creation.groups": "g", "config.action.reload": "none", "odd": "2", "skipped.operation": "t"}
+    assert connector.unknown_keys(odd, exact, heads) == ["odd", "skipped.operation"]
+
+
+def test_connector_validation():
+    config = connector.build("depot", ["s.bin", "s.lot"], "pub", "depot_slot", "db")
     known = set(config)
     assert connector.validate(config, known) == []
-    assert connector.unknown_keys({"column.mask.x": "1", "odd": "2"}, set(), heads) == ["odd"]
-    assert connector.validate({**config, "topic.prefix": "a.b", "decimal.handling.mode": "precise"}, known)
-    assert '"name": "shop-source"' in connector.render(config)
+    assert config["connector.class"] == connector.CONNECTOR_CLASS and config["plugin.name"] == "pgoutput"
+    for key in ("plugin.name", "slot.name", "publication.autocreate.mode"):
+        for without in ({k: v for k, v in config.items() if k != key}, config | {key: ""}, config | {key: connector.REQUIRED[key]}):
+            assert len(connector.validate(without, known)) == 1, key
+    for change in ({"connector.class": "x"}, {"topic.prefix": "a.b"}, {"topic.prefix": ""}, {"table.include.list": "a.b.c"}, {"table.include.list": "a.b,c"}, {"table.include.list": "a."}, {"table.include.list": ""}, {"plugin.nmae": "y"}):
+        assert len(connector.validate(config | change, known)) == 1, change
+    body = json.loads(connector.render(config))
+    assert body["name"] == "depot-source" and body["config"] == config
+    for call in (lambda: connector.build("p", [], "a", "b", "c"), lambda: connector.render({})):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_jdbc_options():
+    want = {"url": "jdbc:postgresql://db.example:6543/shop?sslmode=require", "driver": "org.postgresql.Driver", "fetchsize": "10000", "user": "u@x", "password": "p:w"}
+    assert tables.jdbc_options("postgresql://u%40x:p%3Aw@db.example:6543/shop?sslmode=require") == want
+    assert tables.jdbc_options("host=h dbname=d user=u", 5) == {"url": "jdbc:postgresql://h:5432/d", "driver": "org.postgresql.Driver", "fetchsize": "5", "user": "u"}
+    for bad in ("mysql://h/d", "postgresql://h/", "host=h"):
+        with pytest.raises(ValueError):
+            tables.jdbc_options(bad)
+    assert tables.ranges("id", 1, 1000, 8) == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "1001", "numPartitions": "8"}
+    with pytest.raises(ValueError):
+        tables.ranges("id", 5, 1, 8)
+
+
+def test_catalog_and_slots(spark):
+    indexes = spark.createDataFrame([("a", True, [3, 1]), ("a", False, [2]), ("b", True, [1])], "table string, is_primary boolean, columns array<int>")
+    attributes = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "k")], "table string, number int, name string")
+    assert {r.table: r.key for r in tables.primary_keys(indexes, attributes).collect()} == {"a": ["z", "x"], "b": ["k"]}
+    published = spark.createDataFrame([("p", "s", "lot"), ("p", "s", "bin"), ("q", "s", "bin")], "pubname string, schemaname string, tablename string")
+    assert [r.tablename for r in tables.publication_tables(published, "p").collect()] == ["bin", "lot"]
+    slots = spark.createDataFrame([("one", 100, 900), ("two", 40, 950)], "slot string, restart_lsn long, confirmed_lsn long")
+    assert [tuple(r) for r in tables.slot_retention(slots, F.lit(1000)).collect()] == [("two", 960), ("one", 900)]
+    assert tables.slot_positions(slots, F.lit(1000), "one").first().unconfirmed_bytes == 100
+    with pytest.raises(KeyError):
+        tables.slot_positions(slots, F.lit(1000), "three")
+    assert tables.current_position(spark.createDataFrame([], "lsn long")).first().lsn is None
+
+
+def test_frame_files(spark, tmp_path):
+    folder = tmp_path / "frames"
+    folder.mkdir()
+    for i, raw in enumerate((b"B1", b"I\x00", b"C", b"")):
+        (folder / f"{i:03}").write_bytes(raw)
+    frames = logs.read_frames(spark, str(folder))
+    assert {r.kind: r.n for r in logs.frame_counts(frames).collect()} == {"begin": 1, "insert": 1, "commit": 1}
+    got = []
+    run = lambda: logs.stream_frames(spark, str(folder)).writeStream.foreachBatch(lambda f, _: got.extend(bytes(r.frame) for r in f.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    (folder / "004").write_bytes(b"D9")
+    run()  # what has been consumed doesn't come again
+    assert sorted(got) == [b"B1", b"C", b"D9", b"I\x00"]
+
+
+def test_targets_and_counted_topics(spark, tmp_path):
+    targets = build_targets("x", "s", {"t": ({"k": "long", "v": "string"}, ["k"]), "u": ({"k": "long"}, ["k"])})
+    assert [t.topic for t in targets] == ["x.s.t", "x.s.u"]
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", targets)
+    store.apply_batch(batch(spark, (1, "c", 1, "a", "x.s.t"), (2, "c", 2, "b", "x.s.other"), (3, "c", 3, "c", None)), 1)
+    assert [tuple(r) for r in store.ledger().collect()] == [("cdc", 1, 3, 2)]
+    assert store.read(targets[0]).count() == 1 and store.read(targets[1]).count() == 0
+
+
+def test_run_over_tables(spark):
+    a, b = rows(spark, (1, 1, 1, "a")), rows(spark, (1, 1, 2, "a"))
+    got = {r.table: r.verdict for r in reconcile.run({"same": (a, a, COLUMNS, KEY), "other": (a, b, COLUMNS, KEY)}).collect()}
+    assert got == {"same": "clean", "other": "drift"}
+    with pytest.raises(ValueError):
+        reconcile.run({})

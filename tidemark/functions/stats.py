@@ -48,6 +48,12 @@ def spread(values: DataFrame, column: str, *by: str) -> DataFrame:
     return values.groupBy(*by).agg(F.count(column).alias("n"), low.alias("least"), high.alias("most"), (high - low).alias("range"), F.round(F.try_divide((high - low).cast("double"), low.cast("double")), 6).alias("relative"))
 
 
+def spread_unrounded(values: DataFrame, column: str, *by: str) -> DataFrame:
+    """As spread(), the share of the least as it is."""
+    low, high = F.min(column), F.max(column)
+    return values.groupBy(*by).agg(F.count(column).alias("n"), low.alias("least"), high.alias("most"), (high - low).alias("range"), F.try_divide((high - low).cast("double"), low.cast("double")).alias("relative"))
+
+
 def compare_arms(arms: DataFrame, column: str, baseline: str = "default") -> DataFrame:
     """Each arm (arm, column) over the baseline arm, which must be there; the baseline is one row."""
     base = arms.where(F.col("arm") == baseline).agg(F.max(column).alias("base"), F.count(F.lit(1)).alias("found"))

@@ -41,6 +41,20 @@ def reduction_counters(events: DataFrame, slot: list[str], batch: str = "batch",
     return out.withColumn("superseded", F.col("records") - F.col("tombstones") - F.col("no_merge_key") - F.col("staged_rows"))
 
 
+def staged_twice(events: DataFrame, slot: list[str], batch: str = "batch") -> DataFrame:
+    """Per batch the slots that an unreduced stage would hold more than once, and the rows too many. A merge
+    of such a stage has no defined result, so merge() refuses it."""
+    per = events.where("not tombstone").groupBy(batch, *slot).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return per.groupBy(batch).agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("n") - 1).alias("rows_too_many"))
+
+
+def topic_counts(events: DataFrame, topics: DataFrame) -> DataFrame:
+    """One row: records, and those of topics that aren't among topics (topic), which no target takes."""
+    known = F.broadcast(topics.select(F.col("topic").alias("_t")).distinct())  # a row a target
+    met = events.select("topic").join(known, F.col("topic") == F.col("_t"), "left")
+    return met.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("_t").isNull()).alias("unknown_topic"))
+
+
 def to_target(staged: DataFrame, columns: list[str], batch) -> DataFrame:
     b = F.col(batch) if isinstance(batch, str) else F.lit(batch)
     return staged.select(*columns, F.col("record_key").alias("cdc_record_key"), F.col("lsn").cast("long").alias("cdc_lsn"), (F.col("op") == "d").alias("cdc_deleted"), b.cast("long").alias("cdc_batch"))
@@ -52,10 +66,11 @@ def one_per_slot(staged: DataFrame, slot: list[str]) -> DataFrame:
     return staged.withColumn("_ok", F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a merge key is staged twice")))).where("_ok").drop("_ok")
 
 
-def merge(target: DataFrame, staged: DataFrame, slot: list[str], guard: bool = True) -> DataFrame:
-    """target after the staged rows (both in the target's columns): a full outer join on the slot."""
+def merge(target: DataFrame, staged: DataFrame, slot: list[str], guard: bool = True, reduced: bool = False) -> DataFrame:
+    """target after the staged rows (both in the target's columns): a full outer join on the slot. Rows that
+    reduce_batch() has made are known to be one a slot."""
     columns = target.columns
-    staged = one_per_slot(staged, slot)
+    staged = staged if reduced else one_per_slot(staged, slot)
     cond = [F.col(f"t.{c}") == F.col(f"s.{c}") for c in slot]
     met = target.withColumn("_there", F.lit(True)).alias("t").join(staged.withColumn("_new", F.lit(True)).alias("s"), cond, "full_outer")
     take = F.col("_new").isNotNull() & (F.col("_there").isNull() | (F.col("s.cdc_lsn") > F.col("t.cdc_lsn") if guard else F.lit(True)))
@@ -97,6 +112,47 @@ def versioned_state(events: DataFrame, slot: list[str], columns: list[str], batc
     return to_target(reduced.withColumn("_n", F.row_number().over(w)).where("_n = 1"), columns, batch)
 
 
+def purged_state(events: DataFrame, slot: list[str], columns: list[str], batch: str = "batch", order: str = "arrival") -> DataFrame:
+    """The target if flagged rows are deleted after every batch (the losing arm): their positions go with
+    them, so a late change brings a row back. Its record key covers one slot.
+
+    What a batch does to a slot depends on the batch before, so a slot's rows are gone through in order of
+    batch: tasks get them sorted and hold one row at a time, however many a slot has.
+    """
+    staged = to_target(reduce_batch(events, slot, per=[batch], order=order), columns, batch)
+    marks = reduce_tombstones(events, per=[batch]).select(F.col("record_key").alias("cdc_record_key"), F.col(batch).cast("long").alias("cdc_batch"), "t_lsn")
+    met = staged.join(marks, ["cdc_record_key", "cdc_batch"], "left")
+    # a mark can come in a batch that brings no row of its slot
+    alone = marks.join(staged.select("cdc_record_key", "cdc_batch"), ["cdc_record_key", "cdc_batch"], "left_anti")
+    owner = staged.select("cdc_record_key", *slot).distinct()
+    met = met.unionByName(alone.join(owner, "cdc_record_key"), allowMissingColumns=True).select(*staged.columns, "t_lsn")
+    dealt = met.select(*slot, *[c for c in met.columns if c not in slot]).repartition(*slot).sortWithinPartitions(*slot, "cdc_batch")
+    names, keys = [c for c in dealt.columns if c != "t_lsn"], len(slot)
+    at = {c: names.index(c) for c in ("cdc_lsn", "cdc_deleted")}
+
+    def run(frames):
+        import pandas as pd
+
+        now, held = None, None
+        for frame in frames:
+            out = []
+            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+                if row[:keys] != now:
+                    out += [held] if held else []
+                    now, held = row[:keys], None
+                *values, mark = row
+                lsn = values[at["cdc_lsn"]]
+                if lsn is not None and (held is None or lsn > held[at["cdc_lsn"]]):
+                    held = values
+                if held and (held[at["cdc_deleted"]] or mark is not None and mark >= held[at["cdc_lsn"]]):
+                    held = None
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([held], columns=names)
+
+    return dealt.mapInPandas(run, dealt.drop("t_lsn").schema).select(*staged.columns)
+
+
 def purge(target: DataFrame) -> DataFrame:
     """Hard delete: flagged rows go, and their positions with them (the losing arm)."""
     return target.where("not cdc_deleted")

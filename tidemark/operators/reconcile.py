@@ -6,6 +6,8 @@ compares counts, never a rounded share.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,14 @@ def columns_differing(source: DataFrame, target: DataFrame, columns: list[str],
     return met.select(F.explode(F.array_compact(pairs)).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("keys"))
 
 
+def run(tables: dict[str, tuple[DataFrame, DataFrame, list[str], list[str]]], in_flight: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A report for each table (its name in table) of name: (source, target, columns, key); keys in flight by name."""
+    if not tables:
+        raise ValueError("there is no table to reconcile")
+    reports = [reconcile(s, t, columns, key, (in_flight or {}).get(name)).select(F.lit(name).alias("table"), "*") for name, (s, t, columns, key) in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def rollup(reports: DataFrame) -> DataFrame:
     """The worst verdict of all; none at all is no coverage."""
     rank = F.array_position(F.array(*[F.lit(v) for v in RANK]), F.col("verdict"))

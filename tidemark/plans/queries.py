@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import decode, stats
@@ -12,6 +12,7 @@ from tidemark.functions.keys import lsn_number, murmur2, partition_for, record_k
 from tidemark.operators import delivery, envelope, merge, reconcile, recovery
 from tidemark.operators import fold as folding
 from tidemark.plans.streams import PAYLOAD, SLOT, change_stream
+from tidemark.sources import tables
 from tidemark.sources.logs import frame_counts, frame_volume, table_as_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +351,56 @@ def merge_versioned(spark, sf_dir):
     return merge.versioned_state(batched(spark, sf_dir), SLOT, COLUMNS)
 
 
+PURGED = REDUCED + """, mk AS (SELECT batch, record_key, max(lsn) AS t FROM bt WHERE tombstone GROUP BY ALL),
+al AS (SELECT coalesce(rd.record_key, mk.record_key) AS record_key, coalesce(rd.batch, mk.batch) AS batch, lsn, op, user_id, line_no, event_type, cents, t FROM rd FULL JOIN mk ON rd.record_key = mk.record_key AND rd.batch = mk.batch),
+sq AS (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY batch) AS k FROM al),
+go AS (
+  SELECT record_key, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS lsn, CAST(NULL AS BIGINT) AS src FROM (SELECT DISTINCT record_key FROM sq)
+  UNION ALL SELECT record_key, k, CASE WHEN gone THEN NULL ELSE lsn END, CASE WHEN gone THEN NULL ELSE src END FROM
+    (SELECT record_key, k, lsn, src, coalesce((src = k AND op = 'd') OR t >= lsn, false) AS gone FROM
+      (SELECT s.record_key, s.k, s.op, s.t, CASE WHEN s.lsn IS NOT NULL AND (g.lsn IS NULL OR s.lsn > g.lsn) THEN s.lsn ELSE g.lsn END AS lsn, CASE WHEN s.lsn IS NOT NULL AND (g.lsn IS NULL OR s.lsn > g.lsn) THEN s.k ELSE g.src END AS src
+       FROM go g JOIN sq s ON s.record_key = g.record_key AND s.k = g.k + 1))
+), la AS (SELECT record_key, max(k) AS k FROM sq GROUP BY 1),
+pu AS (SELECT s.user_id, s.line_no, s.event_type, s.cents, s.record_key AS cdc_record_key, s.lsn AS cdc_lsn, s.op = 'd' AS cdc_deleted, s.batch AS cdc_batch FROM la JOIN go ON go.record_key = la.record_key AND go.k = la.k JOIN sq s ON s.record_key = go.record_key AND s.k = go.src)"""
+
+
+@query(bt().replace("WITH", "WITH RECURSIVE", 1) + PURGED + " SELECT * FROM pu")
+def merge_hard_delete_shuffled(spark, sf_dir):
+    """The losing arm: flagged rows are deleted after every batch of a shuffled stream."""
+    return merge.purged_state(batched(spark, sf_dir), SLOT, COLUMNS)
+
+
+@query(bt().replace("WITH", "WITH RECURSIVE", 1) + PURGED + MERGED.removeprefix(REDUCED) + " SELECT count(*) AS brought_back FROM pu WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.cdc_record_key = pu.cdc_record_key AND NOT st.cdc_deleted)")
+def merge_brought_back(spark, sf_dir):
+    """Rows that are there although their last change was a delete, because its position had been deleted."""
+    events = batched(spark, sf_dir)
+    live = merge.purge(merge.merged_state(events, SLOT, COLUMNS)).select("cdc_record_key")
+    return merge.purged_state(events, SLOT, COLUMNS).join(live, "cdc_record_key", "left_anti").agg(F.count(F.lit(1)).alias("brought_back"))
+
+
+@query(bt() + ", d AS (SELECT batch, user_id, line_no, count(*) AS n FROM bt WHERE NOT tombstone GROUP BY ALL HAVING count(*) > 1) SELECT batch, count(*) AS slots, CAST(sum(n - 1) AS BIGINT) AS rows_too_many FROM d GROUP BY 1")
+def merge_unreduced(spark, sf_dir):
+    """The losing arm that merge() refuses: what an unreduced stage would hold twice."""
+    return merge.staged_twice(batched(spark, sf_dir), SLOT)
+
+
+@query("SELECT true AS same_rows, true AS same_hash")
+def replay_twice(spark, sf_dir):
+    """All batches again, after all of them: not a row and not a batch number changes."""
+    once = batched(spark, sf_dir)
+    last = once.agg(F.max("batch")).first()[0] or 0  # one number
+    twice = once.unionByName(once.withColumn("batch", F.col("batch") + last))
+    a, b = (merge.fingerprint(merge.merged_state(x, SLOT, COLUMNS)) for x in (once, twice))
+    return a.crossJoin(b.select(F.col("rows").alias("r"), F.col("hash").alias("h"))).select((F.col("rows") == F.col("r")).alias("same_rows"), (F.col("hash") == F.col("h")).alias("same_hash"))
+
+
+@query(f"WITH {cs()} SELECT count(*) AS records, count(*) FILTER (user_id % 10 = 3) AS unknown_topic FROM ev")
+def unknown_topics(spark, sf_dir):
+    """Events of users ending in 3 come on a topic that no target has."""
+    events = change_stream(spark, sf_dir).withColumn("topic", F.when(F.col("user_id") % 10 == 3, "cdc.shop.other").otherwise(F.col("topic")))
+    return merge.topic_counts(events, spark.createDataFrame([("cdc.shop.event",), ("cdc.shop.user",)], "topic string"))
+
+
 @query(bt(order="log") + MERGED + " SELECT * FROM st WHERE NOT cdc_deleted")
 def merge_hard_delete(spark, sf_dir):
     """In log order hard deletes lose nothing, so what they leave are the live rows."""
@@ -491,6 +542,20 @@ ONE = """, ol AS (SELECT CAST(sum(keys_either_side) AS BIGINT) AS keys_either_si
 o2 AS (SELECT *, round(keys_checked::DOUBLE / nullif(keys_either_side, 0), 4) AS coverage, missing_in_target + extra_in_target + differing + duplicate_in_target AS mismatched FROM ol)"""
 
 
+@query("SELECT 'no_coverage' AS verdict")
+def reconcile_rollup_of_nothing(spark, sf_dir):
+    """No report at all is no coverage, never clean."""
+    return reconcile.rollup(report(spark, sf_dir, 1.0, False).where("keys_either_side < 0"))
+
+
+@query("SELECT 'even' AS \"table\", * FROM (" + lag_sql(0.5, True).replace("FROM src s FULL JOIN tg t", "FROM (SELECT * FROM src WHERE user_id % 2 = 0) s FULL JOIN (SELECT * FROM tg WHERE user_id % 2 = 0) t") + ") UNION ALL SELECT 'odd', * FROM (" + lag_sql(0.5, False).replace("FROM src s FULL JOIN tg t", "FROM (SELECT * FROM src WHERE user_id % 2 = 1) s FULL JOIN (SELECT * FROM tg WHERE user_id % 2 = 1) t") + ")")
+def reconcile_run(spark, sf_dir):
+    """Two targets at once, users by parity; of the odd ones keys in flight are not left out."""
+    source, target, flight = lagged(spark, sf_dir, 0.5)
+    tables = {name: (source.where(f"user_id % 2 = {k}"), target.where(f"user_id % 2 = {k}"), COLUMNS, SLOT) for k, name in enumerate(("even", "odd"))}
+    return reconcile.run(tables, {"even": flight})
+
+
 @query(SEVERAL + ONE + " SELECT * FROM o2")
 def reconcile_one_line(spark, sf_dir):
     return reconcile.one_line(several(spark, sf_dir))
@@ -647,9 +712,45 @@ def figure_verdicts(spark, sf_dir):
     return o.select("o_orderkey", stats.figure_verdict(F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_custkey") % 3, kind).alias("verdict"))
 
 
-@query("SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey, l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate FROM lineitem")
 def source_as_text(spark, sf_dir):
-    return table_as_text(spark.read.parquet(f"{sf_dir}/nation.parquet"), ["n_nationkey", "n_name"])
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    return table_as_text(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate"])
+
+
+SLOTS = "sl AS (SELECT 'slot_' || CAST(user_id % 6 AS VARCHAR) AS slot, min(event_id) AS restart_lsn, max(event_id) AS confirmed_lsn FROM events WHERE event_type = 'purchase' GROUP BY 1), cu AS (SELECT max(event_id) AS lsn FROM events)"
+
+
+def slots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Six consumers, each of which has confirmed its purchases up to its last one; and the log's end."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.col("event_id").alias("lsn"))
+    own = e.where("event_type = 'purchase'").groupBy(F.concat(F.lit("slot_"), (F.col("user_id") % 6).cast("string")).alias("slot")).agg(F.min("lsn").alias("restart_lsn"), F.max("lsn").alias("confirmed_lsn"))
+    return own, F.lit(tables.current_position(e).first()[0])  # one number
+
+
+@query(f"WITH {SLOTS} SELECT slot, restart_lsn, confirmed_lsn, lsn - restart_lsn AS retained_bytes, lsn - confirmed_lsn AS unconfirmed_bytes FROM sl, cu")
+def slot_positions(spark, sf_dir):
+    return tables.slot_positions(*slots(spark, sf_dir))
+
+
+@query(f"WITH {SLOTS} SELECT slot, lsn - restart_lsn AS retained_bytes FROM sl, cu")
+def slot_retention(spark, sf_dir):
+    return tables.slot_retention(*slots(spark, sf_dir))
+
+
+@query("SELECT max(event_id) AS lsn FROM events")
+def current_position(spark, sf_dir):
+    return tables.current_position(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("lsn")))
+
+
+@query("SELECT CAST(p_brand AS VARCHAR) AS \"table\", string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR) DESC) FILTER (p_size <= 9) AS key FROM part GROUP BY 1 HAVING count(*) FILTER (p_size <= 9) > 0")
+def primary_key_order(spark, sf_dir):
+    """A catalog made from parts: a brand is a table, its sizes are attributes; the key is those up to 9, the largest first."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    attributes = p.select(F.col("p_brand").alias("table"), F.col("p_size").alias("number"), F.col("p_size").alias("name")).distinct()
+    keys = p.where("p_size <= 9").groupBy(F.col("p_brand").alias("table")).agg(F.sort_array(F.collect_set("p_size"), False).alias("columns"))
+    both = keys.withColumn("is_primary", F.lit(True)).unionByName(keys.select("table", F.array(F.lit(1)).alias("columns"), F.lit(False).alias("is_primary")))
+    return tables.primary_keys(both, attributes).select("table", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
 
 
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")

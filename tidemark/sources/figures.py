@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def check(document: DataFrame, figures: DataFrame) -> DataFrame:
     return met.select("name", "published", "observed", F.when(F.col("published").isNull(), "MISSING").otherwise(figure_verdict(F.col("published"), F.col("observed"), F.col("kind"))).alias("verdict"))
 
 
+def report(spark: SparkSession, documents: dict[str, str], figures: DataFrame) -> DataFrame:
+    """figures (document, name, heading, row, column, kind, observed) graded against the documents' cells: per
+    document how many have each verdict. A document without any figure is one row of nulls."""
+    graded = [check(cells(spark, text), figures.where(F.col("document") == name).drop("document")).select(F.lit(name).alias("document"), "verdict") for name, text in sorted(documents.items())]
+    every = spark.createDataFrame([(name,) for name in sorted(documents)], "document string")
+    return every.join(reduce(DataFrame.unionByName, graded), "document", "left").groupBy("document", "verdict").agg(F.count("verdict").alias("figures"))
+
+
 def coverage(document: DataFrame, figures: DataFrame) -> DataFrame:
     """One row: numeric cells, and those that a figure grades."""
     numeric = document.where(number(F.col("value")).isNotNull() & (F.col("value") != F.col("row")))

@@ -30,6 +30,17 @@ def table_as_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).cast("string").alias(c) for c in columns]).distinct()
 
 
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Binary frames, a file each, as (path, frame): a peek, which can be repeated. An empty file is none."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("frame"))
+
+
+def stream_frames(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
+    """The same as a stream: its checkpoint is the slot, and a commit consumes."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_a_batch).load(path).select("path", F.col("content").alias("frame"))
+
+
 def frame_volume(frames: DataFrame) -> DataFrame:
     """One row over frames (frame binary): how many, and their bytes."""
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).cast("long").alias("bytes"))

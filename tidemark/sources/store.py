@@ -13,6 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import topic_name
 from tidemark.operators import merge
 from tidemark.operators.recovery import Crash
 
@@ -33,6 +34,11 @@ class Target:
         return own + ", cdc_record_key string, cdc_lsn long, cdc_deleted boolean, cdc_batch long"
 
 
+def build_targets(prefix: str, schema: str, tables: dict[str, tuple[dict[str, str], list[str]]]) -> list[Target]:
+    """A target for each table of name: (columns with their types, primary key), fed by its topic."""
+    return [Target(name, topic_name(prefix, schema, name), columns, key) for name, (columns, key) in tables.items()]
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, targets: list[Target]):
         self.spark, self.root, self.targets = spark, root.rstrip("/"), targets
@@ -92,16 +98,19 @@ class SnapshotStore:
     def apply_batch(self, events: DataFrame, batch: int, guard: bool = True, on_tombstone: str = "delete", reduce: bool = True, consumer: str = "cdc", fail_at: str | None = None, hard_delete: bool = False) -> None:
         """Reduces, merges and flags one batch for all targets, and commits it with the ledger.
 
-        Events of other topics are left out. fail_at raises Crash before the commit, which changes nothing.
+        Events of topics that no target has are left out and counted: the ledger has the batch's records and
+        how many of them were such. fail_at raises Crash before the commit, which changes nothing.
         """
         frames = {}
+        topics = self.spark.createDataFrame([(t.topic,) for t in self.targets], "topic string")
+        seen = merge.topic_counts(events, topics).first()  # one row
         for t in self.targets:
             own = events.where(F.col("topic") == t.topic)
             staged = merge.reduce_batch(own, t.key) if reduce else own.where("not tombstone")
             staged = merge.to_target(staged, list(t.columns), batch)
             if fail_at == "staged":
                 raise Crash("staged", batch)
-            frame = merge.merge(self.read(t), staged, t.key, guard)
+            frame = merge.merge(self.read(t), staged, t.key, guard, reduced=reduce)
             if fail_at == "merged":
                 raise Crash("merged", batch)
             if on_tombstone == "delete":
@@ -112,4 +121,9 @@ class SnapshotStore:
             if fail_at == "tombstoned":
                 raise Crash("tombstoned", batch)
 
-        self.commit(frames, {consumer: {"batch": max(batch, self.last_batch(consumer))}}, [crash])
+        self.commit(frames, {consumer: {"batch": max(batch, self.last_batch(consumer)), "records_in_batch": seen["records"], "unknown_topic": seen["unknown_topic"]}}, [crash])
+
+    def ledger(self) -> DataFrame:
+        """(consumer, batch, records_in_batch, unknown_topic) of the last commit of each consumer."""
+        rows = [(c, e["batch"], e.get("records_in_batch"), e.get("unknown_topic")) for c, e in sorted(self.manifest()["ledger"].items())]
+        return self.spark.createDataFrame(rows, "consumer string, batch long, records_in_batch long, unknown_topic long")

@@ -40,8 +40,8 @@ class _Fold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         import json
 
-        touched = {}
-        mark = self.marks.get()[0] if self.marks.exists() else None
+        touched = set()
+        mark = before = self.marks.get()[0] if self.marks.exists() else None
         for frame in rows:
             for r in frame.sort_values("seq").to_dict("records"):
                 if r["tombstone"]:
@@ -51,11 +51,14 @@ class _Fold(StatefulProcessor):
                 held = self.rows.getValue((slot,)) if self.rows.containsKey((slot,)) else None
                 if held is None or (r["lsn"], r["seq"]) > (held[0], held[1]):
                     self.rows.updateValue((slot,), (int(r["lsn"]), int(r["seq"]), r["op"] == "d", json.dumps({c: None if pd.isna(r[c]) else str(r[c]) for c in self.columns})))
-                    touched[slot] = True
-        if mark is not None:
+                    touched.add(slot)
+        if mark != before:
             self.marks.update((int(mark),))
+            # rows that the tombstone has reached now and hadn't before
+            touched.update(s for (s,), (lsn, _, deleted, _) in self.rows.iterator() if not deleted and lsn <= mark and (before is None or lsn > before))
         out = []
-        for (slot,), (lsn, seq, deleted, row) in list(self.rows.iterator()):
+        for slot in sorted(touched):
+            lsn, _, deleted, row = self.rows.getValue((slot,))
             out.append({"record_key": key[0], "slot": slot, "lsn": lsn, "deleted": bool(deleted or (mark is not None and mark >= lsn)), "row": row})
         yield pd.DataFrame(out, columns=["record_key", "slot", "lsn", "deleted", "row"])
 
@@ -64,7 +67,8 @@ class _Fold(StatefulProcessor):
 
 
 def keyed_state(events: DataFrame, slot: list[str], columns: list[str]) -> DataFrame:
-    """An update stream of (record_key, slot, lsn, deleted, row as JSON text), by the arrival-independent rule.
+    """An update stream of (record_key, slot, lsn, deleted, row as JSON text), by the arrival-independent rule:
+    the slots that a trigger's rows have changed.
 
     State is keyed by record key, so that tombstones meet all rows they cover; it never expires, because
     a position must outlive its row. Needs the RocksDB state store.
