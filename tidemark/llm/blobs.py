@@ -46,8 +46,9 @@ KEY_SHIFT = np.uint64(16)  # keys are compared by their upper 48 bits
 
 def keyed(keys: np.ndarray, of: np.ndarray, owners: np.ndarray, buckets: int) -> dict:
     """Rows of KEYED for keys and the places of their owners, at most 65536 owners."""
-    order = np.argsort(keys, kind="stable")
-    keys, of = keys[order], of[order]
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, of = keys[order], of[order]
     _, used, edge = dealt(keys, buckets)
     rows = {"bucket": used.astype(np.int32), "keys": [], "at": [], "owners": []}
     for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):

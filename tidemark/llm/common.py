@@ -82,13 +82,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders of tables that nothing has deleted yet, and the names of those in the catalog.
+_THERE: list[tuple[str, str | None]] = []
+
+
+def noted(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Has a folder (of a table in the catalog, if it has a name there) deleted when tidied() ends, or with the JVM."""
+    _THERE.append((path, table))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the JVM ends."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the JVM
+    ends or the tidied() call that wrote it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    noted(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def tidied(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result as a written table; the tables that were written for it are deleted."""
+    before = len(_THERE)
+    out = written(make(), name)
+    done, _THERE[before:] = _THERE[before:-1], _THERE[-1:]
+    spark = out.sparkSession
+    for path, table in done:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+

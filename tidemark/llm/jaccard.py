@@ -33,6 +33,7 @@ if its set is empty.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.blobs import KEYED, by_bucket, dealt, keyed, mix, unkeyed
-from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, trimmed, written
+from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, tidied, trimmed, written
 from tidemark.llm.graph import components, forest, small
 
 N2, K2 = 3, 1
@@ -61,13 +62,30 @@ def word_hashes(text: str) -> np.ndarray:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, np.uint64)
+    # a word is the sum of its bytes' numbers times powers of an odd number, counted from its start
+    power, inverse = powers(len(raw))
     with np.errstate(over="ignore"):
-        # a word is the sum of its bytes' hashes times powers of an odd number
-        powers = np.cumprod(np.full(int((end - start).max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-        place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(raw)]])))
-        value = np.where(space, np.uint64(0), BYTES[raw] * powers[np.minimum(place, len(powers) - 1)])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-        return mix(total[end] - total[start])
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTES[raw] * power, out=total[1:])
+        return mix((total[end] - total[start]) * inverse[start])
+
+
+BASE = 0x9E3779B97F4A7C15
+KEPT_POWERS = 1 << 20
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE, from 1 up, and those of its inverse, from 0 up; kept if they aren't many."""
+    if _POWERS and len(_POWERS[-1][0]) >= n:
+        return tuple(x[:n] for x in _POWERS[-1])
+    size = max(n, min(KEPT_POWERS, 1 << 14 if n <= 1 << 14 else 2 * n))
+    with np.errstate(over="ignore"):
+        found = tuple(np.cumprod(np.full(size, f % 2**64, dtype=np.uint64)) for f in (BASE, pow(BASE, -1, 2**64)))
+    found = found[0], np.concatenate([[np.uint64(1)], found[1][:-1]])
+    if size <= KEPT_POWERS:
+        _POWERS[:] = [found]
+    return found[0][:n], found[1][:n]
 
 
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -108,7 +126,7 @@ def sketch(elements: np.ndarray, rare: np.ndarray) -> int:
     """A hash of the least rare elements (of any, if none is rare) in SKETCH orders."""
     with np.errstate(over="ignore"):
         of = rare if len(rare) else elements
-        least = [mix(of ^ STEPS[40 + k]).min() for k in range(SKETCH)]
+        least = [(of ^ STEPS[40 + k]).min() for k in range(SKETCH)]  # elements are scattered already
         return int(mix((np.array(least, dtype=np.uint64) * STEPS[48 : 48 + SKETCH]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
@@ -123,10 +141,24 @@ class Bands:
             self.high.append(self.low[-1] * 100 // percent)
             self.low.append(self.high[-1] + 1)
         self.low.pop()
-        self.low = np.array(self.low)
+        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
 
     def of(self, size: int) -> int:
-        return int(np.searchsorted(self.low, size, side="right")) - 1
+        return bisect.bisect_right(self.low, size) - 1
+
+    def layout(self, band: int, salt: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where the parts of all groups begin, a number for each choice of each group, and the spare groups."""
+        if found := self.kept.get((band, salt)):
+            return found
+        groups, spare = self.groups(band)
+        parts = groups * N2
+        with np.errstate(over="ignore"):
+            begin = ((np.arange(parts, dtype=np.uint64) << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts) << np.uint64(32)
+            own = mix(np.array([2 * band + salt + 1], dtype=np.uint64))
+            place = mix(np.arange(1, groups + 1, dtype=np.uint64) ^ own)[:, None] + STEPS[8 : 8 + len(CHOICES)]
+        if groups <= 1 << 14:
+            self.kept[band, salt] = begin, place, spare
+        return begin, place, spare
 
     def differing(self, band: int) -> int:
         """The largest symmetric difference of similar sets that meet in this band."""
@@ -139,25 +171,23 @@ class Bands:
         return needed + spare, spare
 
 
-def _projections(elements: np.ndarray, bands: Bands, band: int, salt: np.uint64) -> tuple[np.ndarray, bool]:
-    """The signatures of a band that hold an element, and whether more groups lack one than are spare."""
-    groups, spare = bands.groups(band)
-    parts = groups * N2
-    found, bare = [], np.zeros(groups, dtype=bool)
+#: For each choice of parts, which they are, and what their sums are multiplied with.
+CHOSEN = np.array([[p in c for p in range(N2)] for c in CHOICES])
+FACTORS = np.where(CHOSEN, STEPS[16 : 16 + N2], np.uint64(0))
+
+
+def _projections(elements: np.ndarray, bands: Bands, band: int, salt: int) -> tuple[np.ndarray, bool]:
+    """The signatures of a band that hold an element, and whether more groups lack one than are spare.
+    elements are sorted and scattered: parts are ranges of them, and a part's hash is the sum of its elements."""
+    begin, place, spare = bands.layout(band, salt)
+    edge = np.append(np.searchsorted(elements, begin), len(elements))
+    total = np.zeros(len(elements) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        of = ((elements >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums, counts = np.zeros(parts, np.uint64), np.bincount(of, minlength=parts)
-        np.add.at(sums, of, mix(elements ^ salt))
-        sums, counts = sums.reshape(groups, N2), counts.reshape(groups, N2)
-        place = mix(np.arange(1, groups + 1, dtype=np.uint64) ^ salt)
-        for c, chosen in enumerate(CHOICES):
-            x = place + STEPS[8 + c]
-            for p in chosen:
-                x = x + sums[:, p] * STEPS[16 + p]
-            empty = sum(counts[:, p] for p in chosen) == 0
-            bare |= empty
-            found.append(mix(x)[~empty])
-    return np.concatenate(found), int(bare.sum()) > spare
+        np.cumsum(elements, out=total[1:])
+        sums = (total[edge[1:]] - total[edge[:-1]]).reshape(-1, 1, N2)
+        there = ((np.diff(edge) > 0).reshape(-1, 1, N2) & CHOSEN).any(2)
+        x = mix((sums * FACTORS).sum(2, dtype=np.uint64) + place)
+    return x[there], int((~there).any(1).sum()) > spare
 
 
 def signatures(elements: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
@@ -169,16 +199,15 @@ def signatures(elements: np.ndarray, bands: Bands, common: np.ndarray) -> np.nda
     for band in (own, own + 1):
         if bands.differing(band) == 0:  # equal sets only, and those are one entity
             continue
-        salt = mix(np.array([band + 1], dtype=np.uint64))[0]
-        sig, bare = _projections(rare, bands, band, salt)
+        sig, bare = _projections(rare, bands, band, 0)
         found.append(sig)
         if bare:  # what these sets share may be common elements only
-            sig, bare = _projections(elements, bands, band, ~salt)
+            sig, bare = _projections(elements, bands, band, 1)
             found.append(sig)
         if bare:
             least = -(-size * bands.percent // 100)  # what a similar set shares with this one
             with np.errstate(over="ignore"):
-                found.append(mix(np.concatenate([rare, known])[: size - least + 1] * STEPS[32] + salt))
+                found.append(mix(np.concatenate([rare, known])[: size - least + 1] * STEPS[32] + np.uint64(band)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -226,13 +255,17 @@ def described(docs: DataFrame, n: int, common: np.ndarray) -> DataFrame:
 
 
 def _starred(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys and their owners: the keys in order, the smallest owner of each, and links of the others to it."""
-    order = np.lexsort((who, keys))
+    """Of keys and their owners: the keys in order, an owner of each, and links of the others to it."""
+    order = np.argsort(keys)
     keys, who = keys[order], who[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
     pick = first != who
-    return keys[new], who[new], np.unique(np.stack([first[pick], who[pick]], 1), axis=0)
+    a, b = first[pick], who[pick]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return keys[new], who[new], np.stack([a[once], b[once]], 1)
 
 
 def _fewest(links: list[np.ndarray]) -> np.ndarray:
@@ -302,7 +335,6 @@ def candidate_links(docs: DataFrame, n: int, percent: int, total: int, common: n
                         owners.append(sketch(s, rare_of(s, common)[0]))
             if found:
                 names, of = np.unique(np.array(owners, dtype=np.int64), return_inverse=True)
-                # places of names in order of names, so that the smallest is kept
                 keys, at, own = _starred(np.concatenate(found), np.repeat(of, [len(x) for x in found]))
                 if len(own):  # what this task has linked goes by one name from here on
                     links = np.concatenate([links, names[own]])
@@ -524,7 +556,10 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
 def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, entity, class (null if the set is empty) and the component's smallest id."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    return tidied(lambda: _name(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), n, percent), "named")
+
+
+def _name(docs: DataFrame, n: int, percent: int) -> DataFrame:
     own, found = classes(docs, n, percent)
     named = own.join(small(found), "entity", "left").select("doc_id", "n_shingles", "entity", F.coalesce("class", "entity").alias("class"))
     named = written(named, "jaccard")
@@ -541,7 +576,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without those linked to a smaller doc_id and without
     repeats of a doc_id with the same text, which become one row. Of a component without any doc_id one
     row stays, of the others no row of null doc_id."""
-    ids = written(_named(docs, n, percent), "jaccard")
+    ids = _named(docs, n, percent)
     gone = small(written(ids.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard"))
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
