@@ -110,6 +110,32 @@ def test_store_crash_and_replay(spark, tmp_path):
     assert sorted(store.read(store.targets[0]).collect()) == before and store.last_batch() == 4
 
 
+def test_store_rewrites_what_a_batch_touches(spark, tmp_path):
+    import os
+
+    store = make_store(spark, tmp_path / "b")
+    store.apply_batch(batch(spark, *[(i, "c", i, "a", "x.t") for i in range(200)]), 1)
+    before = store.manifest()["tables"]["t"]
+    assert len(before) == store.buckets
+    store.apply_batch(batch(spark, (500, "u", 7, "new", "x.t"), (501, "t", 9, None, "x.t"), (502, "u", 9, "gone", "other")), 2)
+    after = store.manifest()["tables"]["t"]
+    changed = {k for k in after if after[k] != before[k]}
+    assert len(changed) == 2 and len(after) == store.buckets
+    got = {r.k: (r.v, r.cdc_deleted) for r in store.read(store.targets[0]).collect()}
+    assert len(got) == 200 and got[7] == ("new", False) and got[9] == ("a", True)
+    for n in range(3, 6):  # of what no kept version names nothing is left
+        store.apply_batch(batch(spark, (600 + n, "u", 7, str(n), "x.t")), n)
+    assert store.read(store.targets[0]).count() == 200 and store.read(store.targets[0]).where("k = 7").first().v == "5"
+    left = {f"{d}/{x}" for d, names, _ in os.walk(tmp_path / "b" / "snapshots") for x in names if x.startswith("_bucket=")}
+    used = {p.removeprefix("file://") for v in store._versions() for p in store.manifest(v)["tables"]["t"].values()}
+    assert left == used and len(store._versions()) == 2
+    store.apply_batch(batch(spark, (700, "d", 7, None, "x.t")), 6, hard_delete=True)
+    assert SnapshotStore(spark, store.root, store.targets, 3).buckets == store.buckets
+    assert store.read(store.targets[0]).where("k = 7").count() == 0
+    store.apply_batch(batch(spark, (701, "c", 1, None, "other")), 7)  # nothing of its own, but counted
+    assert store.last_batch() == 7
+
+
 def test_offsets_and_arguments(spark, tmp_path):
     def apply(s, frame, number, fail_at):
         if fail_at:

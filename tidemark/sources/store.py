@@ -1,8 +1,12 @@
 """Snapshots of target tables with a ledger, committed together.
 
+A table lies in buckets by the hash of its rows' record keys; a batch reads and writes those that its own
+record keys hash to, so its cost follows what it touches rather than the table. For that, all changes of a
+slot have one record key, which is made of its key columns.
+
 A version is written beside the others and becomes the current one when its manifest, a small JSON file
 under a name that must not exist yet, is renamed into place. A crash before that leaves the version
-before. Files are reached through Hadoop's file systems only, so the root can be any store Spark writes;
+before. A bucket's folder is deleted when no manifest that is kept names it. Files are reached through Hadoop's file systems only, so the root can be any store Spark writes;
 the rename is atomic where that store's is.
 """
 
@@ -10,13 +14,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import topic_name
 from tidemark.operators import merge
 from tidemark.operators.recovery import Crash
 
+BUCKETS = 64
 KEPT = 2  # versions, the current one and what readers of the one before may still hold
 
 
@@ -39,49 +44,64 @@ def build_targets(prefix: str, schema: str, tables: dict[str, tuple[dict[str, st
     return [Target(name, topic_name(prefix, schema, name), columns, key) for name, (columns, key) in tables.items()]
 
 
+def bucket_of(record_key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(record_key), F.lit(buckets)).cast("int")
+
+
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, targets: list[Target]):
+    """The targets' tables under root. The number of buckets is fixed by the first commit."""
+
+    def __init__(self, spark: SparkSession, root: str, targets: list[Target], buckets: int = BUCKETS):
         self.spark, self.root, self.targets = spark, root.rstrip("/"), targets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self.buckets = self.manifest().get("buckets", buckets)
 
     def _versions(self) -> list[int]:
         found = self._fs.listStatus(self._path(f"{self.root}/manifest"))
         names = [x.getPath().getName() for x in found]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self) -> dict:
+    def manifest(self, version: int | None = None) -> dict:
+        """Of a version, the current one by default."""
         versions = self._versions()
         if not versions:
             return {"version": 0, "ledger": {}, "tables": {}}
-        stream = self._fs.open(self._path(f"{self.root}/manifest/v{versions[-1]}.json"))
+        stream = self._fs.open(self._path(f"{self.root}/manifest/v{version or versions[-1]}.json"))
         try:
             raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         return json.loads(raw)
 
-    def read(self, target: Target) -> DataFrame:
-        path = self.manifest()["tables"].get(target.name)
-        return self.spark.read.schema(target.schema).parquet(path) if path else self.spark.createDataFrame([], target.schema)
+    def read(self, target: Target, only: list[int] | None = None) -> DataFrame:
+        """The target's rows, of some buckets only if these are given."""
+        paths = [p for k, p in sorted(self.manifest()["tables"].get(target.name, {}).items()) if only is None or int(k) in only]
+        return self.spark.read.schema(target.schema).parquet(*paths) if paths else self.spark.createDataFrame([], target.schema)
 
     def last_batch(self, consumer: str = "cdc") -> int:
         """The ledger's batch of a consumer, 0 if it has none. It never moves backwards."""
         return self.manifest()["ledger"].get(consumer, {}).get("batch", 0)
 
-    def commit(self, frames: dict[str, DataFrame], ledger: dict, points=()) -> int:
-        """Writes all frames as the next version and swings the manifest."""
+    def commit(self, frames: dict[str, DataFrame], ledger: dict, points=(), touched: dict[str, list[int]] | None = None) -> int:
+        """Writes frames as the next version and swings the manifest. Of a table named in touched only those
+        buckets are replaced, and its frame holds their rows."""
         now = self.manifest()
         version, tables = now["version"] + 1, dict(now["tables"])
         for name, frame in frames.items():
             path = f"{self.root}/snapshots/v{version}/{name}"
-            frame.write.mode("overwrite").parquet(path)
-            tables[name] = path
+            which = (touched or {}).get(name, list(range(self.buckets)))
+            kept = {k: p for k, p in tables.get(name, {}).items() if int(k) not in which}
+            if which:
+                frame.withColumn("_bucket", bucket_of(F.col("cdc_record_key"), self.buckets)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+                found = [x.getPath().getName() for x in self._fs.listStatus(self._path(path))]
+                kept |= {f.removeprefix("_bucket="): f"{path}/{f}" for f in found if f.startswith("_bucket=")}
+            tables[name] = kept
         for check in points:
             check()
-        body = json.dumps({"version": version, "ledger": now["ledger"] | ledger, "tables": tables, "parent": now["version"]}, sort_keys=True)
+        body = json.dumps({"version": version, "buckets": self.buckets, "ledger": now["ledger"] | ledger, "tables": tables, "parent": now["version"]}, sort_keys=True)
         temporary, final = self._path(f"{self.root}/manifest/.v{version}.tmp"), self._path(f"{self.root}/manifest/v{version}.json")
         out = self._fs.create(temporary, True)
         try:
@@ -90,27 +110,36 @@ class SnapshotStore:
             out.close()
         if self._fs.exists(final) or not self._fs.rename(temporary, final):
             raise RuntimeError(f"version {version} has been committed by another writer")
-        for old in self._versions()[:-KEPT]:
-            self._fs.delete(self._path(f"{self.root}/snapshots/v{old}"), True)
-            self._fs.delete(self._path(f"{self.root}/manifest/v{old}.json"), False)
+        self._forget()
         return version
 
+    def _forget(self) -> None:
+        """Deletes the manifests before the last KEPT, and what only they name."""
+        versions = self._versions()
+        named = lambda v: {p for t in self.manifest(v)["tables"].values() for p in t.values()}
+        used = set().union(*[named(v) for v in versions[-KEPT:]])
+        for old in versions[:-KEPT]:
+            for path in sorted(named(old) - used):
+                self._fs.delete(self._path(path), True)
+            self._fs.delete(self._path(f"{self.root}/manifest/v{old}.json"), False)
+
     def apply_batch(self, events: DataFrame, batch: int, guard: bool = True, on_tombstone: str = "delete", reduce: bool = True, consumer: str = "cdc", fail_at: str | None = None, hard_delete: bool = False) -> None:
         """Reduces, merges and flags one batch for all targets, and commits it with the ledger.
 
         Events of topics that no target has are left out and counted: the ledger has the batch's records and
         how many of them were such. fail_at raises Crash before the commit, which changes nothing.
         """
-        frames = {}
+        frames, touched = {}, {}
         topics = self.spark.createDataFrame([(t.topic,) for t in self.targets], "topic string")
         seen = merge.topic_counts(events, topics).first()  # one row
         for t in self.targets:
             own = events.where(F.col("topic") == t.topic)
+            touched[t.name] = [r[0] for r in own.select(bucket_of(F.col("record_key"), self.buckets)).distinct().collect()]  # a bucket a row
             staged = merge.reduce_batch(own, t.key) if reduce else own.where("not tombstone")
             staged = merge.to_target(staged, list(t.columns), batch)
             if fail_at == "staged":
                 raise Crash("staged", batch)
-            frame = merge.merge(self.read(t), staged, t.key, guard, reduced=reduce)
+            frame = merge.merge(self.read(t, touched[t.name]), staged, t.key, guard, reduced=reduce)
             if fail_at == "merged":
                 raise Crash("merged", batch)
             if on_tombstone == "delete":
@@ -121,7 +150,7 @@ class SnapshotStore:
             if fail_at == "tombstoned":
                 raise Crash("tombstoned", batch)
 
-        self.commit(frames, {consumer: {"batch": max(batch, self.last_batch(consumer)), "records_in_batch": seen["records"], "unknown_topic": seen["unknown_topic"]}}, [crash])
+        self.commit(frames, {consumer: {"batch": max(batch, self.last_batch(consumer)), "records_in_batch": seen["records"], "unknown_topic": seen["unknown_topic"]}}, [crash], touched)
 
     def ledger(self) -> DataFrame:
         """(consumer, batch, records_in_batch, unknown_topic) of the last commit of each consumer."""
