@@ -12,7 +12,7 @@ from tidemark.functions.keys import lsn_number, murmur2, partition_for, record_k
 from tidemark.operators import delivery, envelope, merge, reconcile, recovery
 from tidemark.operators import fold as folding
 from tidemark.plans.streams import PAYLOAD, SLOT, change_stream
-from tidemark.sources import tables
+from tidemark.sources import tables, workload
 from tidemark.sources.logs import frame_counts, frame_volume, table_as_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -718,6 +718,12 @@ def source_as_text(spark, sf_dir):
     return table_as_text(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate"])
 
 
+@query(None)
+def workload_plan(spark, sf_dir):
+    """Operations of a generated workload by table and action; it doesn't read the tables."""
+    return workload.operation_counts(spark, workload.Workload(11).seeded(40, 20).run(5000))
+
+
 SLOTS = "sl AS (SELECT 'slot_' || CAST(user_id % 6 AS VARCHAR) AS slot, min(event_id) AS restart_lsn, max(event_id) AS confirmed_lsn FROM events WHERE event_type = 'purchase' GROUP BY 1), cu AS (SELECT max(event_id) AS lsn FROM events)"
 
 
