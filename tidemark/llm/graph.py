@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import trimmed, written
 
-#: A side with at most so many rows of a few numbers is broadcast (some 10 MB); a larger one is shuffled.
-BROADCAST_ROWS = 300_000
+#: A side of at most so many bytes is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a value; a string must be a hash in hexadecimal digits.
+WIDTHS = {"bigint": 8, "int": 4, "double": 8, "boolean": 1, "string": 80}
 ONE_TASK = 1_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is counted to be small. df should be cheap to count."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, of values of WIDTHS only, marked for broadcast if it is counted to be small. df should be cheap to count."""
+    width = 16 + sum(WIDTHS[kind] for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= most else df
 
 
 def forest(links: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:

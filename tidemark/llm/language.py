@@ -15,7 +15,6 @@ table gives an empty result; other columns are ignored by predict() and kept by
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +28,6 @@ FEATURES = 1 << 15
 SAMPLE_ROWS = 3000
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-LETTER = np.zeros(1 << 16, dtype=bool)
-LETTER[[i for i in range(1 << 16) if unicodedata.category(chr(i))[0] == "L"]] = True
 
 
 def has_letter(text: str) -> bool:
