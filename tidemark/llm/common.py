@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,6 +83,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that nothing refers to any longer. A job that has just ended is
+    still referred to for a moment."""
+    gc.collect()
+    for pause in (1.0, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 #: Folders of tables that nothing has deleted yet, and the names of those in the catalog.
 _THERE: list[tuple[str, str | None]] = []
 

@@ -38,12 +38,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.blobs import KEYED, by_bucket, dealt, keyed, mix, unkeyed
-from tidemark.llm.common import batch_of, bounded_batches, map_rows, read, tidied, trimmed, written
+from tidemark.llm.blobs import KEY_SHIFT, KEYED, by_bucket, dealt, decode, encode, keyed, mix, unkeyed
+from tidemark.llm.common import batch_of, bounded_batches, let_go, map_rows, read, tidied, trimmed, written
 from tidemark.llm.graph import components, forest, small
 
 N2, K2 = 3, 1
@@ -367,19 +368,23 @@ def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return found.unionByName(nulls.join(small(bare), "entity").select("text", *members.columns))
 
 
+PIECES = "chunk long, sizes binary, owners binary, keys binary"
+
+
 def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between members that share an element of their prefixes, the elements of fewest
     members first. Similar sets share one; sets that only have a passage in common mostly don't, because
     their own elements come first.
 
-    Elements meet by bucket and are counted; those of several members go to the buckets of their owners,
-    which choose the prefixes, and these meet by bucket again.
+    Sets lie in chunks. A chunk asks once for each of its elements in how many members it is, and gets one
+    number back; so an element of very many members is one entry a chunk, and its owners never meet for it.
     """
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = buckets_for(total)
     chosen = texts_of(docs, members.select("doc_id", "entity"), n).select("text", "entity")
 
-    def deal(batches):
+    def collect(batches):
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             sets, owners = [], []
             for text, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -388,61 +393,51 @@ def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
                     sets.append(s)
                     owners.append(e)
             if sets:
-                yield batch_of(keyed(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array(owners, dtype=np.int64), buckets), KEYED)
-
-    def count(_, rows):
-        keys, who = unkeyed(rows)
-        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])
-        keys, who = keys[once], who[once]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        times = np.diff(np.append(new, len(keys)))
-        times = np.repeat(times, times)
-        keys, who, times = keys[times > 1], who[times > 1], times[times > 1]
-        home = mix(who.view(np.uint64))
-        order, used, edge = dealt(home, buckets)
-        if len(used):
-            parts = [order[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield {"bucket": used.astype(np.int32), "keys": [keys[p].astype("<u8").tobytes() for p in parts], "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [np.minimum(times[p], 2**31).astype("<u4").tobytes() for p in parts]}
-
-    sizes = members.select("entity", F.col("n_shingles").cast("long").alias("n"))
-    own = sizes.mapInArrow(lambda batches: _homes(batches, buckets), "bucket int, keys binary, who binary, times binary")
-    shared = by_bucket(chosen.mapInArrow(trimmed(deal), KEYED), count, "bucket int, keys binary, who binary, times binary")
-
-    def choose(_, rows):
-        size: dict[int, int] = {}
-        for r in rows:
-            if not r["keys"]:
-                size.update(zip(np.frombuffer(r["who"], "<i8").tolist(), np.frombuffer(r["times"], "<u4").tolist(), strict=True))
-        rows = [r for r in rows if r["keys"]]
-        if not rows:
-            return
-        keys, who, times = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("who", "<i8"), ("times", "<u4")))
-        order = np.lexsort((keys, times, who))
-        keys, who = keys[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        end = np.append(start[1:], len(who))
-        sets, owners = [], []
-        for a, b in zip(start.tolist(), end.tolist(), strict=True):
-            all_of = size.get(int(who[a]), b - a)
-            # one more than needed, in case two elements of a set have one key
-            prefix = all_of - -(-all_of * percent // 100) + 2 - (all_of - (b - a))
-            if prefix > 0:
-                sets.append(mix(keys[a : min(b, a + prefix)]))
-                owners.append(int(who[a]))
-        for at in range(0, len(sets), 60_000):
-            part = sets[at : at + 60_000]
-            yield keyed(np.concatenate(part), np.repeat(np.arange(len(part)), [len(s) for s in part]), np.array(owners[at : at + 60_000], dtype=np.int64), buckets)
-
-    return links_of(by_bucket(shared.unionByName(own), choose, KEYED))
-
-
-def _homes(batches, buckets: int):
-    """The sizes of entities, dealt to the entities' own buckets."""
-    for batch in batches:
-        who, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        order, used, edge = dealt(mix(who.view(np.uint64)), buckets)
-        parts = [order[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield batch_of({"bucket": used.astype(np.int32), "keys": [b""] * len(used), "who": [who[p].astype("<i8").tobytes() for p in parts], "times": [n[p].astype("<u4").tobytes() for p in parts]}, "bucket int, keys binary, who binary, times binary")
+                yield batch_of({"chunk": [chunk], "sizes": [np.array([len(s) for s in sets], "<i8").tobytes()], "owners": [np.array(owners, "<i8").tobytes()], "keys": [np.concatenate(sets).astype("<u8").tobytes()]}, PIECES)
+                chunk += 1
+
+    def asked(raw: bytes):
+        """The elements of a chunk, the distinct keys among them, where each is, and the buckets of the keys."""
+        elements = np.frombuffer(raw, "<u8")
+        keys, at, times = np.unique(elements >> KEY_SHIFT << KEY_SHIFT, return_inverse=True, return_counts=True)
+        _, used, edge = dealt(keys, buckets)
+        return elements, keys, at, times, used, edge
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, keys, _, times, used, edge = asked(row["keys"])
+                cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+                yield batch_of({"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [encode(keys[x:y] >> KEY_SHIFT) for x, y in cuts], "times": [times[x:y].astype("<u4").tobytes() for x, y in cuts]}, "bucket int, chunk long, keys binary, times binary")
+
+    def answer(bucket, rows):
+        keys = [decode(r["keys"]) for r in rows]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([np.frombuffer(r["times"], "<u4") for r in rows]))[at]
+        parts = np.split(np.minimum(sums, 2**32 - 1).astype("<u4"), np.cumsum([len(k) for k in keys])[:-1])
+        yield {"chunk": [r["chunk"] for r in rows], "bucket": [bucket] * len(rows), "times": [x.tobytes() for x in parts]}
+
+    pieces = written(chosen.mapInArrow(trimmed(collect), PIECES), "pieces")
+    replies = by_bucket(pieces.mapInArrow(trimmed(ask), "bucket int, chunk long, keys binary, times binary"), answer, "chunk long, bucket int, times binary")
+    lists = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "times")).alias("replies"))
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                elements, keys, at, _, used, edge = asked(row["keys"])
+                times = np.zeros(len(keys), np.int64)
+                for r, k in zip(row["replies"], np.searchsorted(used, [r["bucket"] for r in row["replies"]]).tolist(), strict=True):
+                    times[edge[k] : edge[k + 1]] = np.frombuffer(r["times"], "<u4")
+                times, sizes, owners = times[at], np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["owners"], "<i8")
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((elements, times, of))
+                place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                prefix = sizes - -(-sizes * percent // 100) + 2  # one more than needed, in case two elements have one key
+                order = order[(place < prefix[of]) & (times[order] > 1)]  # what is in one set only meets nothing
+                if len(order):
+                    yield batch_of(keyed(mix(elements[order]), of[order], owners, buckets), KEYED)
+
+    return links_of(pieces.join(lists, "chunk").select("keys", "sizes", "owners", "replies").mapInArrow(trimmed(deal), KEYED))
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -534,7 +529,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     own = written(described(docs, n, common), "shingles")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
     clusters = components(candidate_links(docs, n, percent, total, common))
-    own.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files that nothing refers to any longer
+    let_go(own.sparkSession)
     first = own.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     members = described_clusters(first, clusters, "sketch")
     large = members.where("blocks > 1")
