@@ -281,7 +281,9 @@ def test_merge_of_shuffled_stages_is_the_same(spark):
         assert got[0] == got[1] == sorted(rows)
 
 
-def test_places_by_stretches(spark):
+@pytest.mark.parametrize("stretch", [4096, 7])
+def test_places_by_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(delivery, "STRETCH_ROWS", stretch)
     rng = random.Random(2)
     rows = [(rng.choice(["p", "q", None]), v) for v in sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)}, key=str)]
     df = spark.createDataFrame(rows, "p string, v long").repartition(4)

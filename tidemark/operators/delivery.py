@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import partition_for
 
 
-BLOCK_BITS = 16
+STRETCH_ROWS = 4096
+MOST_BITS = 20
 
 
-def numbered(rows: DataFrame, by: list[str], order: str, name: str, then: list[str] | None = None, bits: int = BLOCK_BITS) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: str, name: str, then: list[str] | None = None) -> DataFrame:
     """Adds name, from 0: each row's place among those alike in by, in the order of a column of whole numbers,
     and of the columns then where it is equal.
 
-    The column's range is cut into some 2 ** bits stretches; a row's place is the number of rows in earlier
+    The column's range is cut into stretches of some STRETCH_ROWS rows (of more, if there would be over
+    2 ** MOST_BITS of them); a row's place is the number of rows in earlier
     stretches (of by) plus its place in its own, so that no task sorts all rows of a value of by.
     """
-    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()  # one row
-    shift = max(0, ((ends["high"] or 0) - (ends["low"] or 0)).bit_length() - bits)
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()  # one row
+    bits = min(MOST_BITS, (ends["n"] // STRETCH_ROWS).bit_length())
+    shift = min(63, max(0, ((ends["high"] or 0) - (ends["low"] or 0)).bit_length() - bits))
     cut = rows.withColumn("_stretch", F.shiftright(F.col(order).cast("long"), shift))
     at = [*by, "_stretch"]
     counts = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
@@ -102,7 +105,7 @@ def same_key_inversions(events: DataFrame, order: str = "arrival") -> DataFrame:
     key = [F.xxhash64("topic", "record_key").alias("k"), F.hash("record_key", "topic").alias("k2")]
     rows = events.select(*key, F.col(order).alias("x"), "lsn")
     ends = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.max("x").alias("y")).agg(F.max("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).first()  # one row
-    placed = numbered(rows, ["k", "k2"], "lsn", "r", then=["x"], bits=8)
+    placed = numbered(rows, ["k", "k2"], "lsn", "r", then=["x"])
     whole = (ends["x"] or 0) >> 20 == (ends["y"] or 0) >> 20
     return _inversions(placed, ["k", "k2"], 1 << 20, max(1, ((ends["n"] or 1) - 1).bit_length()), whole).withColumnRenamed("inversions", "same_key")
 
