@@ -12,8 +12,10 @@ also starts in a document with a smaller doc_id. Texts are packed into chunks. T
    which chunks hold a string that starts in a smaller document;
 3. each chunk marks the bytes under its answered strings.
 
-Suffixes are compared by 64-bit hashes of their bytes in place of the bytes themselves, the cover's by 40
-bits or more (a false tie only lets a unique suffix into step 2). Buckets get sorted arrays from chunks
+Suffixes are compared by hashes of their bytes in place of the bytes themselves: the cover's by 40 bits or
+more (a false tie only lets a unique suffix into step 2), the others by 64 bits and a second, independent hash
+of as many bytes as keep the chance of any false match in the whole input under one in a million, however
+large it is. Buckets get sorted arrays from chunks
 and answer with one bit a string, so that text is never shuffled: chunks are a table bucketed by chunk
 number, and the answers come to it. A bucket holds a bounded share of all suffixes, and each string once
 a chunk, however often it repeats.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blobs import by_bucket, dealt, decode, encode, mix
-from tidemark.llm.common import batch_of, bounded_batches, read, shared_dir, trimmed, written
+from tidemark.llm.common import batch_of, bounded_batches, let_go, noted, read, shared_dir, tidied, trimmed, written
 from tidemark.llm.graph import small
 
 LENGTH = 50
@@ -60,6 +62,14 @@ class Chunk:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
+    def checks(self, at: np.ndarray, length: int, width: int) -> np.ndarray:
+        """Second hashes of width bytes: sums of the strings' words times odd numbers, scattered."""
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(at), np.uint64)
+            for i, k in enumerate([*range(0, length - 7, 8), length - 8], 1):
+                h += self.words[at + k] * (mix(np.array([i * 0xA24BAED4963EE407 % 2**64], dtype=np.uint64)) | np.uint64(1))
+            return mix(h) >> np.uint64(64 - 8 * width)
+
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         """64-bit hashes of the strings of length bytes at these places."""
         with np.errstate(over="ignore"):
@@ -87,7 +97,7 @@ class Chunk:
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         number = np.zeros(len(h), np.int32)
         number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
-        last = np.append(new[1:], len(h)) - 1
+        last = np.append(new[1:], len(h))[: len(new)] - 1
         return at, number, h[new], doc[new] != doc[last]
 
     def candidates(self, tied: np.ndarray) -> np.ndarray:
@@ -98,17 +108,20 @@ class Chunk:
         at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0).astype(np.int32)
         return at[self.fits(at, self.length)]
 
-    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the candidates: place, number of the key, and of the keys, sorted: value, smallest id here."""
+    def suffixes(self, tied: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the candidates: place, number of the key, and of the keys, sorted: value, second hash, smallest id here."""
         at = self.candidates(tied)
+        more = self.checks(at, self.length, width)
         h, doc = self.hashes(at, self.length), self.doc(at).astype(np.int32)
         rank = np.argsort(np.argsort(self.ids, kind="stable")).astype(np.int32)  # of the documents by id
         order = np.lexsort((rank[doc], h))
-        h, own = h[order], self.ids[doc[order]]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if len(h) and (more[order][1:] != more[order][:-1])[h[order][1:] == h[order][:-1]].any():
+            order = np.lexsort((rank[doc], more, h))
+        h, more, own = h[order], more[order], self.ids[doc[order]]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])) if len(h) else np.zeros(0, np.int64)
         number = np.zeros(len(h), np.int32)
         number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
-        return at, number, h[new], own[new]
+        return at, number, h[new], more[new], own[new]
 
 
 def bits_by_bucket(answers: list[dict], keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,7 +136,23 @@ def bits_by_bucket(answers: list[dict], keys: np.ndarray, buckets: int) -> np.nd
 
 CHUNKS = "chunk long, n long, data binary, ends binary, ids binary"
 COVER_KEYS = "bucket int, chunk long, keys binary, more binary"
-SUFFIX_KEYS = COVER_KEYS + ", docs binary"
+SUFFIX_KEYS = COVER_KEYS + ", docs binary, checks binary"
+
+
+def check_width(total: int) -> int:
+    """Bytes of the second hash: two of n strings agree by chance in 64 bits and these with n ** 2 / 2 ** (65 + 8 width)."""
+    return min(8, max(1, -(-(2 * total.bit_length() - 45) // 8)))
+
+
+def as_bytes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of width bytes, by bytes of one place."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def as_numbers(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -159,9 +188,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    noted(spark, path, name)
     return spark.table(name)
 
 
@@ -201,19 +228,20 @@ def tied_places(chunk: Chunk, answers: list[dict] | None, buckets: int) -> np.nd
     return at[bits_by_bucket(answers or [], keys, buckets)[number]] if len(keys) else at
 
 
-def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int) -> DataFrame:
+def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["data"], row["ends"], row["ids"], length, bits)
-                _, _, keys, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets))
+                _, _, keys, checks, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets), width)
                 _, used, edge = dealt(keys, buckets)
-                out = {"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": []}
+                out = {"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": [], "checks": []}
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     docs, of = np.unique(least[x:y], return_inverse=True)
                     out["keys"].append(encode(keys[x:y]))
                     out["more"].append(of.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
                     out["docs"].append(docs.astype("<i8").tobytes())
+                    out["checks"].append(as_bytes(checks[x:y], width))
                 yield batch_of(out, SUFFIX_KEYS)
 
     return chunks.select("chunk", "data", "ends", "ids", "tied").mapInArrow(trimmed(run), SUFFIX_KEYS)
@@ -223,9 +251,10 @@ def smaller_in_bucket(bucket: int, rows: list[dict]):
     """Answers for full-depth strings: does the string start in a smaller document than here?"""
     keys = [decode(r["keys"]) for r in rows]
     docs = [np.frombuffer(r["docs"], "<i8")[np.ascontiguousarray(np.frombuffer(r["more"], np.uint8).reshape(4, -1).T).view("<u4").ravel()] for r in rows]
-    whole, own = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((own, whole))
-    new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+    checks = [as_numbers(r["checks"], len(r["checks"]) // len(k)) for k, r in zip(keys, rows, strict=True)]
+    whole, check, own = np.concatenate(keys), np.concatenate(checks), np.concatenate(docs)
+    order = np.lexsort((own, check, whole))
+    new = np.concatenate([[True], (whole[order][1:] != whole[order][:-1]) | (check[order][1:] != check[order][:-1])])
     least = np.empty_like(own)
     least[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     cut = np.cumsum([len(k) for k in keys])[:-1]
@@ -236,14 +265,14 @@ def smaller_in_bucket(bucket: int, rows: list[dict]):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def marked(chunks: DataFrame, length: int, bits: int, buckets: int, with_text: bool) -> DataFrame:
+def marked(chunks: DataFrame, length: int, bits: int, buckets: int, width: int, with_text: bool) -> DataFrame:
     schema = RESULT + ", kept binary" * with_text
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["data"], row["ends"], row["ids"], length, bits)
-                at, number, keys, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets))
+                at, number, keys, _, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets), width)
                 own = chunk.ids[chunk.doc(at)]
                 gone = at[(bits_by_bucket(row["smaller"] or [], keys, buckets)[number] | (least[number] < own)) & (own != NO_ID)]
                 edge = np.zeros(chunk.size + 1, np.int32)
@@ -273,6 +302,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_
     """Per row of docs (doc_id, text): what is removed, and the hash of the rest; with_text adds the rest."""
     if length < V + 7:
         raise ValueError(f"length must be {V + 7} at least")
+    return tidied(lambda: _dedup(docs, length, with_text, chunk_bytes), "removed")
+
+
+def _dedup(docs: DataFrame, length: int, with_text: bool, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(text, '') text")
     long_enough = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
@@ -287,13 +320,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, chunk_
     chunks = chunk_table(rest, chunk_bytes)
     total = chunks.agg(F.sum("n")).first()[0] or 0  # one number
     buckets = max(128, total * len(D) // V // BUCKET_SUFFIXES)
-    bits = min(64, max(40, total.bit_length() + 10))
+    bits, width = min(64, max(40, total.bit_length() + 10)), check_width(total)
     tied = written(by_bucket(cover_keys(chunks, length, bits, buckets), tied_in_bucket, "chunk long, bucket int, bits binary"), "tied")
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files that nothing refers to any longer
+    let_go(spark)
     chunks = with_answers(chunks, tied, "tied")
-    smaller = written(by_bucket(suffix_keys(chunks, length, bits, buckets), smaller_in_bucket, "chunk long, bucket int, bits binary"), "smaller")
-    spark.sparkContext._jvm.System.gc()
-    return marked(with_answers(chunks, smaller, "smaller"), length, bits, buckets, with_text).unionByName(whole)
+    smaller = written(by_bucket(suffix_keys(chunks, length, bits, buckets, width), smaller_in_bucket, "chunk long, bucket int, bits binary"), "smaller")
+    let_go(spark)
+    return marked(with_answers(chunks, smaller, "smaller"), length, bits, buckets, width, with_text).unionByName(whole)
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
