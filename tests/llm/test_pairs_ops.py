@@ -67,6 +67,8 @@ def test_suffixes_edges(spark):
     assert suffixes.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "x" * 49), (2, "x" * 49), (3, "x" * 50), (4, "x" * 200), (5, "a" + "x" * 49)]
     assert sorted(map(tuple, suffixes.dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == plain_dedup(rows)
+    short = [(1, "short"), (2, ""), (3, "short"), (4, None)]
+    assert sorted(map(tuple, suffixes.dedup(spark.createDataFrame(short, SCHEMA)).collect()), key=str) == plain_dedup(short)
     kept = suffixes.dedup(spark.createDataFrame(rows, SCHEMA), with_text=True).where("doc_id = 4").first()
     assert kept.kept == b""
     with pytest.raises(ValueError):
@@ -75,6 +77,42 @@ def test_suffixes_edges(spark):
     assert differences == set(range(suffixes.V))
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """Texts far longer than a chunk, a batch of words or the kept powers."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=60_000))
+    other = " ".join(rng.choices(words, k=50_000))
+    rows = [(1, long), (2, long[:150_000] + " changed " + long[150_000:]), (3, other), (4, other[1000:3000]), (5, "short one"), (6, long[-120:] + " and more")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    want = plain_components(rows, 5, 80)
+    assert sorted(map(tuple, jaccard.components_of(df).collect()), key=str) == want and (2, 1) in {(d, c) for d, _, c in want}
+    a, b = jaccard.word_hashes(long[:50_000]), jaccard.word_hashes(long)
+    monkeypatch.setattr(jaccard, "KEPT_POWERS", 1000)
+    monkeypatch.setattr(jaccard, "_POWERS", [])
+    assert (jaccard.word_hashes(long) == b).all() and (a[:-1] == b[: len(a) - 1]).all() and not jaccard._POWERS
+    assert sorted(map(tuple, suffixes.dedup(df, chunk_bytes=40_000).collect()), key=str) == plain_dedup(rows)
+
+
+def test_second_hashes():
+    raw = b"some bytes that are here twice: some bytes that are here twice: " * 3
+    chunk = suffixes.Chunk(raw, np.array([len(raw)]).tobytes(), np.array([1]).tobytes(), 50, 64)
+    at = np.arange(len(raw) - 49)
+    for width in (1, 2, 7, 8):
+        checks = chunk.checks(at, 50, width)
+        assert (suffixes.as_numbers(suffixes.as_bytes(checks, width), width) == checks).all()
+        assert checks[0] == checks[32] and len(set(checks.tolist())) > 20
+    assert [suffixes.check_width(n) for n in (1, 1 << 20, 1 << 29, 1 << 47)] == [1, 1, 2, 7]
+
+
+def test_broadcast_by_bytes(spark):
+    df = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sum"))
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in x._jdf.queryExecution().logical().toString()
+    assert hinted(graph.small(df)) and not hinted(graph.small(df, 1000 * 100))
+    with pytest.raises(KeyError):
+        graph.small(df.select(F.array("id")))
+
+
 def test_sorted_numbers_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     for v in (x, x >> np.uint64(40), x[:1], np.array([0, 0, 2**64 - 1], dtype=np.uint64)):
@@ -212,7 +250,7 @@ def plain_topk(rows, k):
 def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(np.float32(c)) for c in rng.normal(size=8)]) for i in range(400)]
-    rows += [(1000 + i, rows[20][1]) for i in range(30)] + [(500, None), (520, [1.0, None]), (540, [float("nan")]), (560, [float("inf")]), (580, [0.5]), (600, []), (None, [1.0]), (3, rows[3][1]), (20, rows[20][1])]
+    rows += [(1000 + i, rows[20][1]) for i in range(30)] + [(500, None), (520, [1.0, None]), (540, [float("nan")]), (560, [float("inf")]), (580, [0.5]), (600, []), (None, [1.0]), (3, rows[3][1]), (20, rows[20][1]), (40, rows[41][1]), (40, rows[42][1]), (43, rows[44][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("id"), F.lit(2).alias("v")).repartition(3)
     want = plain_topk(rows, 20)
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0).collect())) == want
