@@ -181,6 +181,26 @@ def test_jaccard_bridges_without_ids(spark):
     assert sorted(map(tuple, jaccard.components_of(df, 3, 80).collect()), key=str) == plain_components(rows, 3, 80)
 
 
+@pytest.mark.parametrize("joined", [0, 25])
+def test_links_outside_the_largest_component(spark, monkeypatch, joined):
+    """One cluster of all sets, whose links are all to be found but those among the first ones."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 6)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(14, 90)) if t and t.split()]
+    sets = {i: jaccard.shingles(t, 3) for i, t in rows}
+    entity = {i: jaccard.fingerprint(s) for i, s in sets.items()}
+    one = {e: i for i, e in sorted(entity.items(), reverse=True)}
+    ids = sorted(one.values())
+    own = {i: -1 if k < joined else entity[i] for k, i in enumerate(ids)}
+    members = spark.createDataFrame([(i, entity[i], len(sets[i]), 7, own[i]) for i in ids], "doc_id long, entity long, n_shingles long, cluster long, own long")
+    got = {tuple(sorted((r.a, r.b))) for r in jaccard.verified_outside(spark.createDataFrame(rows, SCHEMA).repartition(3), members, 3, 70).collect()}
+    links = {tuple(sorted((entity[i], entity[j]))) for i in ids for j in ids if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
+    first = {entity[i] for i in ids[:joined]}
+    assert got <= links and (got or not links)
+    within = [(x, next(iter(first))) for x in first]
+    roots = lambda found: {x: r for x, r in graph.forest(np.array([*found, *within, (1, 1)]))[1].items() if x != r}
+    assert roots(got) == roots(links)
+
+
 def test_links_of_in_pieces(spark, monkeypatch):
     """Rows of a bucket are merged as they come, with the same components."""
     rng = np.random.default_rng(3)

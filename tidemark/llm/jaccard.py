@@ -20,8 +20,8 @@ goes by one name in it; tasks that gather signatures keep one owner of each too,
 Sketches that share a signature form clusters (connected components of the candidate links). Clusters too
 large for one block are formed anew, by elements of the sets' prefixes, rarest first. Within a cluster the
 links are verified exactly, all pairs of a block by one matrix product; large clusters are cut into blocks
-by hash, first each block and the cluster's leader, then pairs of blocks where that has left more than one
-component. Copies (equal sets) are one entity throughout, so groups of copies never make pairs.
+by hash, first each block and the cluster's leader, then, where that has left more than one component, what
+is outside the largest one against all of the cluster. Copies (equal sets) are one entity throughout, so groups of copies never make pairs.
 
 Defined results: a null or empty text has an empty set, which links with nothing; fewer than n words make
 one shingle; repeated rows and equal sets are linked; a row with a null doc_id takes part like any other
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -351,16 +352,19 @@ def candidate_links(docs: DataFrame, n: int, percent: int, total: int, common: n
 
 def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """text and the columns of members (doc_id, entity, ...): rows of docs that may have a member's set.
-    Members without a doc_id are found by their sets."""
+    Members without a doc_id are found by their sets, in each task by the first row that has it."""
     found = docs.where("doc_id is not null").join(small(members.where("doc_id is not null")), "doc_id").select("text", *members.columns)
     bare = members.where("doc_id is null")
     if not bare.limit(1).count():
         return found
 
     def make():
+        seen = {None}  # one row of a set is enough of a task
+
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingles(t, n) for t in batch.column(0).to_pylist()]
-            return {"text": batch.column(0), "entity": [fingerprint(s) if len(s) else None for s in sets]}
+            entities = [fingerprint(s) if len(s) else None for s in sets]
+            return {"text": batch.column(0), "entity": [None if e in seen else seen.add(e) or e for e in entities]}
 
         return work
 
@@ -384,14 +388,15 @@ def prefix_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     chosen = texts_of(docs, members.select("doc_id", "entity"), n).select("text", "entity")
 
     def collect(batches):
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, seen = TaskContext.get().partitionId() << 32, set()
         for batch in batches:
             sets, owners = [], []
             for text, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, n)
+                s = shingles(text, n) if e not in seen else shingles(None, n)
                 if len(s) and fingerprint(s) == e:
                     sets.append(s)
                     owners.append(e)
+                    seen.add(e)
             if sets:
                 yield batch_of({"chunk": [chunk], "sizes": [np.array([len(s) for s in sets], "<i8").tobytes()], "owners": [np.array(owners, "<i8").tobytes()], "keys": [np.concatenate(sets).astype("<u8").tobytes()]}, PIECES)
                 chunk += 1
@@ -469,48 +474,87 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return list(zip(*(x.tolist() for x in np.nonzero(good)), strict=True))
 
 
-def verified(docs: DataFrame, members: DataFrame, n: int, percent: int, pairs_of_blocks: bool) -> DataFrame:
-    """Links (a, b) that hold, of members (doc_id, entity, cluster, leader, blocks).
-
-    Within each block, and between it and the cluster's leader; or between all pairs of blocks.
-    """
-    chosen = texts_of(docs, members, n)
+def sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """members (entity, ...) with their elements, but for doc_id."""
+    names = [c for c in members.columns if c != "doc_id"]
+    kinds = {"bigint": "long", "int": "int", "boolean": "boolean"}
+    schema = ", ".join([*(f"{c} {kinds[t]}" for c, t in members.dtypes if c != "doc_id"), "elements binary"])
 
     def make():
+        seen: set[int] = set()
+
         def work(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            own = [len(s) > 0 and fingerprint(s) == e for s, e in zip(sets, batch.column("entity").to_pylist(), strict=True)]
-            return {k: batch.column(k) for k in ("entity", "cluster", "leader", "blocks")} | {"elements": [s.tobytes() if o else None for s, o in zip(sets, own, strict=True)]}
+            found = []
+            for text, e in zip(batch.column("text").to_pylist(), batch.column("entity").to_pylist(), strict=True):
+                s = shingles(text, n) if e not in seen else shingles(None, n)
+                own = len(s) > 0 and fingerprint(s) == e
+                found.append(s.tobytes() if own else None)
+                if own:
+                    seen.add(e)
+            return {c: batch.column(c) for c in names} | {"elements": found}
 
         return work
 
-    sets = map_rows(chosen.select("text", "entity", "cluster", "leader", "blocks"), make, "entity long, cluster long, leader long, blocks int, elements binary").where("elements is not null")
-    block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
-    if pairs_of_blocks:
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        met = sets.withColumn("block", block).withColumn("other", other)
-        met = met.withColumn("side", (F.col("block") > F.col("other")).cast("int")).where("block <> other")
-        met = met.withColumn("key", F.struct("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-    else:
-        everywhere = F.when(F.col("entity") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-        met = sets.withColumn("block", F.explode(everywhere)).withColumn("side", F.lit(0)).withColumn("key", F.struct("cluster", "block"))
-    met = met.select(F.to_json("key").alias("key"), "side", "entity", "elements")
+    return map_rows(texts_of(docs, members, n).select("text", *names), make, schema).where("elements is not null")
+
+
+def links_in_blocks(met: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold, of rows (key, side, entity, elements): between the sides of a key, or within
+    the only side there is."""
 
     def check(_, rows):
         sides: tuple[dict, dict] = {}, {}
         for r in rows:
             sides[r["side"]][r["entity"]] = np.frombuffer(r["elements"], np.uint64)
-        names = [list(s) for s in sides]
-        if not pairs_of_blocks and len(names[0]) < 2 or pairs_of_blocks and not (names[0] and names[1]):
+        one, other = (list(s) for s in sides)
+        if json.loads(rows[0]["key"])["both"]:
+            if not (one and other):
+                return
+            found = linked(list(sides[0].values()), list(sides[1].values()), percent)
+        elif len(one) < 2:
             return
-        found = linked(list(sides[0].values()), list(sides[1].values()) if pairs_of_blocks else None, percent)
-        right = names[1] if pairs_of_blocks else names[0]
-        links = np.array([(names[0][i], right[j]) for i, j in found], dtype=np.int64).reshape(-1, 2)
+        else:
+            found, other = linked(list(sides[0].values()), None, percent), one
+        links = np.array([(one[i], other[j]) for i, j in found], dtype=np.int64).reshape(-1, 2)
         links = links[forest(links)[0]]
         if len(links):
             yield {"a": links[:, 0].copy(), "b": links[:, 1].copy()}
 
-    return by_bucket(met, check, "a long, b long", key="key", once=("side", "entity"))
+    dealt_out = met.select(F.to_json("key").alias("key"), "side", "entity", "elements")
+    return by_bucket(dealt_out, check, "a long, b long", key="key", once=("side", "entity"))
+
+
+def verified(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that hold, of members (doc_id, entity, cluster, leader, blocks), within each block and
+    between it and the cluster's leader."""
+    sets = sets_of(docs, members.select("doc_id", "entity", "cluster", "leader", "blocks"), n)
+    block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
+    everywhere = F.when(F.col("entity") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    met = sets.withColumn("block", F.explode(everywhere))
+    return links_in_blocks(met.select(F.struct("cluster", "block", F.lit(False).alias("both")).alias("key"), F.lit(0).alias("side"), "entity", "elements"), percent)
+
+
+def verified_outside(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links (a, b) that are left to find in clusters whose members (doc_id, entity, n_shingles, cluster,
+    own: the component so far) are of several components: between members outside the cluster's largest
+    component and all others. Within that component links decide nothing, so its members meet only those outside."""
+    load = [F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("size")]
+    each = written(members.groupBy("cluster", "own").agg(*load), "jaccard")
+    main = each.groupBy("cluster").agg(F.max(F.struct("sets", "own")).alias("m")).select("cluster", F.col("m.own").alias("main"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES))).cast("int")
+    sides = each.join(small(written(main, "jaccard")), "cluster").groupBy("cluster", "main", (F.col("own") != F.col("main")).alias("outside")).agg(blocks.alias("b"))
+    plan = sides.groupBy("cluster", "main").agg(F.max(F.when(~F.col("outside"), F.col("b"))).alias("inner"), F.max(F.when(F.col("outside"), F.col("b"))).alias("outer"))
+    own = written(members.join(small(written(plan, "jaccard")), "cluster").select("doc_id", "entity", "cluster", "inner", "outer", (F.col("own") != F.col("main")).alias("outside")), "jaccard")
+    sets = sets_of(docs, own, n).withColumn("block", F.pmod(F.xxhash64("entity"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    to = lambda x, y, within: F.struct(x.alias("x"), y.alias("y"), F.lit(within).alias("outer_only"))
+    outer, inner = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("inner") - 1)
+    block = F.col("block")
+    among = F.transform(outer, lambda j: to(F.least(block, j), F.greatest(block, j), True))
+    across = F.when(F.col("outside"), F.transform(inner, lambda j: to(block, j, False))).otherwise(F.transform(outer, lambda i: to(i, block, False)))
+    met = sets.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(among, across)).otherwise(across)))
+    both = ~F.col("at.outer_only") | (F.col("at.x") != F.col("at.y"))
+    side = F.when(F.col("at.outer_only"), (block != F.col("at.x")).cast("int")).otherwise((~F.col("outside")).cast("int"))
+    return links_in_blocks(met.select(F.struct("cluster", "at.x", "at.y", "at.outer_only", both.alias("both")).alias("key"), side.alias("side"), "entity", "elements"), percent)
 
 
 def described_clusters(members: DataFrame, clusters: DataFrame, by: str) -> DataFrame:
@@ -537,15 +581,16 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
         tight = components(prefix_links(docs, large, n, percent))
         again = described_clusters(large.select("doc_id", "entity", "n_shingles", "sketch"), tight, "entity")
         members = written(members.where("blocks = 1").unionByName(again), "jaccard")
-    links = written(verified(docs, members, n, percent, False), "jaccard")
+    links = written(verified(docs, members, n, percent), "jaccard")
     found = components(links)
     large = members.where("blocks > 1")
     if large.limit(1).count():
         rooted = large.join(small(found), F.col("entity") == F.col("node"), "left").withColumn("own", F.coalesce("root", "entity"))
         open_clusters = rooted.groupBy("cluster").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("cluster")
-        rest = written(large.join(small(written(open_clusters, "jaccard")), "cluster").select(*large.columns), "jaccard")
+        rest = rooted.join(small(written(open_clusters, "jaccard")), "cluster").select("doc_id", "entity", "n_shingles", "cluster", "own")
+        rest = written(rest, "jaccard")
         if rest.limit(1).count():
-            found = components(links.union(verified(docs, rest, n, percent, True)))
+            found = components(links.union(verified_outside(docs, rest, n, percent)))
     return own, found.select(F.col("node").alias("entity"), F.col("root").alias("class"))
 
 
