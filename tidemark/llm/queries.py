@@ -1,6 +1,7 @@
 """Names of the queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import jaccard, mixing, suffixes, topk
+from tidemark.llm import convtrie, jaccard, mixing, suffixes, topk
+from tidemark.llm.convtrie import op12_convtrie
 from tidemark.llm.html import op5_html
 from tidemark.llm.jaccard import op7_jaccard
 from tidemark.llm.language import op10_language
@@ -23,5 +24,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_language": op10_language,
+    "op12_convtrie": op12_convtrie,
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op3_suffixes": suffixes.ORACLE, "op4_topk": topk.ORACLE, "op7_jaccard": jaccard.ORACLE}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op3_suffixes": suffixes.ORACLE, "op4_topk": topk.ORACLE, "op7_jaccard": jaccard.ORACLE, "op12_convtrie": convtrie.ORACLE}
