@@ -1,10 +1,11 @@
 """Names of the queries of this subpackage, and their SQL where SQL can express them."""
 
-from tidemark.llm import convtrie, jaccard, mixing, suffixes, topk
+from tidemark.llm import convtrie, jaccard, lexical, mixing, suffixes, topk
 from tidemark.llm.convtrie import op12_convtrie
 from tidemark.llm.html import op5_html
 from tidemark.llm.jaccard import op7_jaccard
 from tidemark.llm.language import op10_language
+from tidemark.llm.lexical import op13_lexical
 from tidemark.llm.mixing import op2_mixing
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.quality import op8_quality
@@ -25,5 +26,6 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_language": op10_language,
     "op12_convtrie": op12_convtrie,
+    "op13_lexical": op13_lexical,
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op3_suffixes": suffixes.ORACLE, "op4_topk": topk.ORACLE, "op7_jaccard": jaccard.ORACLE, "op12_convtrie": convtrie.ORACLE}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op3_suffixes": suffixes.ORACLE, "op4_topk": topk.ORACLE, "op7_jaccard": jaccard.ORACLE, "op12_convtrie": convtrie.ORACLE, "op13_lexical": lexical.ORACLE}
