@@ -8,6 +8,7 @@ from tidemark.llm.language import op10_language
 from tidemark.llm.lexical import op13_lexical
 from tidemark.llm.mixing import op2_mixing
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.ppm import op11_ppm
 from tidemark.llm.quality import op8_quality
 from tidemark.llm.secrets import op1_secrets
 from tidemark.llm.suffixes import op3_suffixes
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_language": op10_language,
+    "op11_ppm": op11_ppm,
     "op12_convtrie": op12_convtrie,
     "op13_lexical": op13_lexical,
 }
