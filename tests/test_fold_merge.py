@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import delivery, envelope, fold, merge
+from tidemark.operators import delivery, envelope, fold, merge, stretches
 from tidemark.plans import queries
 
 SCHEMA = "lsn long, op string, a long, b long, qty long, tombstone boolean, seq long, arrival long, topic string, record_key string"
@@ -281,14 +281,115 @@ def test_merge_of_shuffled_stages_is_the_same(spark):
         assert got[0] == got[1] == sorted(rows)
 
 
-@pytest.mark.parametrize("stretch", [4096, 7])
-def test_places_by_stretches(spark, monkeypatch, stretch):
-    monkeypatch.setattr(delivery, "STRETCH_ROWS", stretch)
+@pytest.mark.parametrize("shifts", [(16, 32, 48), (2, 4, 6), (1,)])
+def test_running_values(spark, shifts):
+    """Places, sums, maxima and last values against a loop, over an order of any spread, with ties."""
     rng = random.Random(2)
-    rows = [(rng.choice(["p", "q", None]), v) for v in sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)}, key=str)]
-    df = spark.createDataFrame(rows, "p string, v long").repartition(4)
-    want = {(p, v): n for p in ("p", "q", None) for n, v in enumerate(sorted(x for q, x in rows if q == p))}
-    assert {(r.p, r.v): r.n for r in delivery.numbered(df, ["p"], "v", "n").collect()} == want
-    assert delivery.numbered(df.limit(0), [], "v", "n").count() == 0
-    few = spark.createDataFrame([(1, 3), (1, 1), (0, 2)], "v long, x long")
-    assert [(r.v, r.x) for r in delivery.numbered(few, [], "v", "n", then=["x"]).orderBy("n").collect()] == [(0, 2), (1, 1), (1, 3)]
+    values = [rng.randrange(-(2**62), 2**62) for _ in range(60)] + rng.sample(range(-40, 40), 60) + [2**62] * 3
+    rows = [(rng.choice(["p", "q", None]), v, i, rng.choice([None, rng.randrange(9)])) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "p string, v long, i long, x long").repartition(4)
+    want = {}
+    for p in ("p", "q", None):
+        past = []
+        for _, v, i, x in sorted((r for r in rows if r[0] == p), key=lambda r: (r[1], r[2])):
+            there = [y for y in past if y is not None]
+            want[i] = (len(past), sum(there), max(there, default=None), there[-1] if there else None)
+            past.append(x)
+    got = stretches.running(df, ["p"], "v", {"n": ("sum", F.lit(1)), "s": ("sum", F.coalesce("x", F.lit(0))), "m": ("max", F.col("x")), "l": ("last", F.col("x"))}, ["i"], shifts)
+    ties = {i for _, v, i, _ in rows if v == 2**62}
+    assert {r.i: (r.n, r.s, r.m, r.l if r.i not in ties else want[r.i][3]) for r in got.collect()} == want
+    assert {r.i: r.n for r in stretches.numbered(df, ["p"], "v", "n", ["i"], shifts).collect()} == {i: x[0] for i, x in want.items()}
+    assert stretches.numbered(df.limit(0), [], "v", "n").count() == 0
+
+
+def test_stretches_are_bounded_under_skew(spark):
+    """One outlying position doesn't put all others into one stretch."""
+    df = spark.range(100_000).select(F.col("id").alias("v")).unionByName(spark.range(1).select(F.lit(2**61).cast("long").alias("v")))
+    largest = df.groupBy(F.shiftright("v", stretches.SHIFTS[0])).count().agg(F.max("count")).first()[0]
+    assert largest <= 1 << 16
+    assert stretches.numbered(df, [], "v", "n").where("n <> least(v, 100000)").count() == 0
+
+
+def test_inversions_against_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), a, f"k{rng.randrange(3)}" if rng.random() < 0.5 else "hot", "t") for a in rng.sample(range(10**6), 400)]
+    df = spark.createDataFrame(rows, "lsn long, arrival long, record_key string, topic string").repartition(3)
+    pairs = lambda rs: sum(x[1] < y[1] and x[0] > y[0] for x in rs for y in rs)
+    by_key = {k: [r for r in rows if r[2] == k] for k in {r[2] for r in rows}}
+    want = (400, pairs(rows), sum(map(pairs, by_key.values())))
+    for low, digit in ((13, 3), (4, 2), (2, 3)):  # within tasks only, and with several passes
+        monkeypatch.setattr(delivery, "LOW_BITS", low)
+        monkeypatch.setattr(delivery, "DIGIT_BITS", digit)
+        got = delivery.disorder(df).first()
+        assert (got.records, got.inversions, got.same_key) == want, (low, digit)
+    assert delivery.inversions(df.limit(0)).first().inversions == 0
+
+
+def wide_events(seed, n=300):
+    """Changes of 12 slots under 3 record keys and tombstones, shuffled."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        a, op = rng.randrange(12), rng.choice("cuud")
+        out.append((i, op, a, 0, i, False, 2 * i, rng.random(), "t", f"K{a % 3}"))
+        if op == "d":
+            out.append((i, op, a, 0, None, True, 2 * i + 1, rng.random(), "t", f"K{a % 3}"))
+    out.sort(key=lambda r: r[7])
+    return [(*r[:7], k, *r[8:]) for k, r in enumerate(out, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hard_deletes_on_a_wide_key(spark, seed):
+    events, held = wide_events(seed), {}
+    for at in range(0, len(events), 20):
+        part, best, marks = events[at : at + 20], {}, {}
+        for r in part:
+            if r[5]:
+                marks[r[9]] = max(marks.get(r[9], -1), r[0])
+            elif r[0] >= best.get(r[2], (-1,))[0]:
+                best[r[2]] = r
+        for k, r in best.items():
+            if k not in held or r[0] > held[k][0]:
+                held[k] = (r[0], r[4], r[1], at // 20 + 1, r[9])
+        held = {k: v for k, v in held.items() if v[2] != "d" and marks.get(v[4], -1) < v[0]}
+    e = delivery.batches(spark.createDataFrame(events, SCHEMA).repartition(3), 20)
+    got = {r.a: (r.cdc_lsn, r.qty, r.cdc_batch) for r in merge.purged_state(e, ["a", "b"], ["a", "b", "qty"]).collect()}
+    assert got == {k: (v[0], v[1], v[3]) for k, v in held.items()}
+
+
+@pytest.mark.parametrize("guard", [True, False])
+def test_fold_on_a_wide_key(spark, guard):
+    events, held = wide_events(7), {}
+    for r in events:  # in order of arrival
+        if not r[5]:
+            if not guard or r[2] not in held or r[0] >= held[r[2]][0]:
+                held[r[2]] = (r[0], r[1], r[9], r[4])
+        else:
+            for k, v in held.items():
+                if v[2] == r[9] and (not guard or r[0] >= v[0]):
+                    held[k] = (v[0], "d", v[2], v[3])
+    got = {r.a: r.lsn for r in fold.fold(spark.createDataFrame(events, SCHEMA).repartition(3), ["a", "b"], guard=guard).collect()}
+    assert got == {k: v[0] for k, v in held.items() if v[1] != "d"}
+
+
+def test_rows_grow_with_slots_and_tombstones(spark):
+    """A record key with 2,000 slots and 2,000 tombstones: no operator of the fold or the merge makes their product."""
+    rows = spark.range(4000).selectExpr("id lsn", "if(id % 2 = 0, 'c', 'd') op", "id % 2000 a", "0 b", "id qty", "id % 2 = 1 tombstone", "id seq", "id arrival", "'t' topic", "'hot' record_key", "cast(id div 400 + 1 as long) batch")
+    for out in (fold.fold(rows, ["a", "b"]), merge.merged_state(rows, ["a", "b"], ["a", "b", "qty"])):
+        out.collect()
+        most = []
+
+        def walk(node):
+            for name in ("numOutputRows",):
+                if node.metrics().contains(name):
+                    most.append(node.metrics().apply(name).value())
+            if node.nodeName() == "AdaptiveSparkPlan":
+                walk(node.executedPlan())
+            if "QueryStage" in node.nodeName():
+                walk(node.plan())
+            kids = node.children()
+            for i in range(kids.size()):
+                walk(kids.apply(i))
+
+        walk(out._jdf.queryExecution().executedPlan())
+        assert max(most) < 50_000

@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import reconcile, recovery
+from tidemark.operators import merge, reconcile, recovery
 from tidemark.sources import connector, figures, logs, tables
-from tidemark.sources.store import SnapshotStore, Target, build_targets
+from tidemark.sources.store import DuplicateKeyError, SnapshotStore, Target, build_targets
 
 COLUMNS, KEY = ["o", "l", "qty", "status"], ["o", "l"]
 
@@ -94,59 +95,46 @@ def make_store(spark, path):
 
 def test_store_crash_and_replay(spark, tmp_path):
     store = make_store(spark, tmp_path / "s")
-    batches = [batch(spark, (100 + i, "c", i, str(i), "x.t"), (100, "c", 9, "stray", "other")) for i in range(1, 5)]
-
-    def apply(s, frame, number, fail_at):
-        s.apply_batch(frame, number, fail_at=fail_at)
-
-    for point in ("staged", "merged", "tombstoned"):
-        crash = recovery.drive(store, batches, apply, start_at=recovery.first_batch_to_apply(store.last_batch()), fail_at=point, fail_in_batch=3)
-        assert (crash.point, crash.batch, store.last_batch()) == (point, 3, 2)
-        assert store.read(store.targets[0]).count() == 2
-    assert recovery.drive(store, batches, apply, start_at=recovery.first_batch_to_apply(store.last_batch())) is None
-    before = sorted(store.read(store.targets[0]).collect())
-    assert len(before) == 4 and recovery.ledger_agreement(store.read(store.targets[0]), store.last_batch()).first().agrees
-    recovery.drive(store, batches, apply, start_at=recovery.first_batch_to_apply(store.last_batch(), "replay_all"))
-    assert sorted(store.read(store.targets[0]).collect()) == before and store.last_batch() == 4
-
-
-def test_store_rewrites_what_a_batch_touches(spark, tmp_path):
-    import os
-
-    store = make_store(spark, tmp_path / "b")
-    store.apply_batch(batch(spark, *[(i, "c", i, "a", "x.t") for i in range(200)]), 1)
-    before = store.manifest()["tables"]["t"]
-    assert len(before) == store.buckets
-    store.apply_batch(batch(spark, (500, "u", 7, "new", "x.t"), (501, "t", 9, None, "x.t"), (502, "u", 9, "gone", "other")), 2)
-    after = store.manifest()["tables"]["t"]
-    changed = {k for k in after if after[k] != before[k]}
-    assert len(changed) == 2 and len(after) == store.buckets
-    got = {r.k: (r.v, r.cdc_deleted) for r in store.read(store.targets[0]).collect()}
-    assert len(got) == 200 and got[7] == ("new", False) and got[9] == ("a", True)
-    for n in range(3, 6):  # of what no kept version names nothing is left
-        store.apply_batch(batch(spark, (600 + n, "u", 7, str(n), "x.t")), n)
-    assert store.read(store.targets[0]).count() == 200 and store.read(store.targets[0]).where("k = 7").first().v == "5"
-    left = {f"{d}/{x}" for d, names, _ in os.walk(tmp_path / "b" / "snapshots") for x in names if x.startswith("_bucket=")}
-    used = {p.removeprefix("file://") for v in store._versions() for p in store.manifest(v)["tables"]["t"].values()}
-    assert left == used and len(store._versions()) == 2
-    store.apply_batch(batch(spark, (700, "d", 7, None, "x.t")), 6, hard_delete=True)
-    assert SnapshotStore(spark, store.root, store.targets, 3).buckets == store.buckets
-    assert store.read(store.targets[0]).where("k = 7").count() == 0
-    store.apply_batch(batch(spark, (701, "c", 1, None, "other")), 7)  # nothing of its own, but counted
-    assert store.last_batch() == 7
-
-
-def test_offsets_and_arguments(spark, tmp_path):
-    def apply(s, frame, number, fail_at):
-        if fail_at:
-            raise recovery.Crash(fail_at, number)
-
-    for commit_before, want in ((False, 1), (True, 2)):
-        offsets = recovery.OffsetStore(commit_before)
-        recovery.drive(None, [1, 2, 3], apply, fail_at="staged", fail_in_batch=2, offsets=offsets)
-        assert offsets.batch == want
-    with pytest.raises(ValueError):
-        recovery.drive(None, [], apply, fail_at="staged")
+    frame = lambda i: batch(spark, (100 + i, "c", i, str(i), "x.t"), (100 + i, "t", i - 1, None, "x.t"), (100, "c", 9, "stray", "other"))
+    rows = lambda: sorted(store.read(store.targets[0]).collect())
+    start = lambda strategy="ledger": range(recovery.first_batch_to_apply(store.last_batch(), strategy), 5)
+    for point, written in (("staged", {"batch", "t/rows"}), ("merged", {"batch", "t/rows"}), ("tombstoned", {"batch", "t/rows", "t/marks"})):
+        *done, last = recovery.outcomes(store, frame, start(), (point, 3))
+        assert last == (3, point, 2) and all(o.fell_at is None for o in done)
+        here = tmp_path / "s" / "data" / "v3"
+        assert all(list((here / w).glob("*.parquet")) for w in written), point  # it falls with its files on disk
+        assert [r.k for r in rows()] == [1, 2] and store.last_batch() == 2
+    run = list(recovery.outcomes(store, frame, start()))
+    assert recovery.summary(run) == {"committed": 2, "last_tried": 4, "fell_at": None, "ledger": 4, "offset_after": 4, "offset_before": 4}
+    before = rows()
+    assert [(r.k, r.cdc_deleted, r.cdc_batch) for r in before] == [(1, True, 2), (2, True, 3), (3, True, 4), (4, False, 4)]
+    assert recovery.ledger_agreement(store.read(store.targets[0]), store.last_batch()).first().agrees
+    list(recovery.outcomes(store, frame, start("replay_all")))
+    assert rows() == before and store.last_batch() == 4
+    other = list(recovery.outcomes(store, frame, [1], consumer="second"))
+    assert other == [(1, None, 1)] and store.last_batch("second") == 1 and store.last_batch() == 4
+
+
+def test_outcomes_and_offsets(spark, tmp_path):
+    class Falling:
+        def apply_batch(self, frame, n, fail_at=None, consumer="cdc"):
+            if fail_at:
+                raise recovery.Crash(fail_at, n)
+            if frame is None:
+                raise KeyError(n)
+
+        def last_batch(self, consumer):
+            return 1
+
+    run = list(recovery.outcomes(Falling(), lambda n: n, (1, 2, 3), ("staged", 2)))
+    assert run == [(1, None, 1), (2, "staged", 1)]
+    assert recovery.summary(run) == {"committed": 1, "last_tried": 2, "fell_at": "staged", "ledger": 1, "offset_after": 1, "offset_before": 2}
+    assert recovery.summary([])["last_tried"] == 0
+    for numbers in ([0], [-1, 2]):
+        with pytest.raises(ValueError):
+            list(recovery.outcomes(Falling(), lambda n: n, numbers))
+    with pytest.raises(KeyError):  # other errors pass
+        list(recovery.outcomes(Falling(), lambda n: None, [1]))
     for bad in ((1, "other"), (-1, "ledger")):
         with pytest.raises(ValueError):
             recovery.first_batch_to_apply(*bad)
@@ -154,10 +142,60 @@ def test_offsets_and_arguments(spark, tmp_path):
         Target("t", "x", {"a": "long"}, ["b"])
 
 
+def files(folder):
+    return {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+
+
+def test_store_writes_what_a_batch_brings(spark, tmp_path):
+    store, target = make_store(spark, tmp_path / "b"), Target("t", "x.t", {"k": "long", "v": "string"}, ["k"])
+    many = spark.range(100_000).selectExpr("id + 1 lsn", "'c' op", "id k", "sha2(cast(id as string), 256) v", "false tombstone", "id seq", "id arrival", "'x.t' topic", "cast(id as string) record_key")
+    store.apply_batch(many, 1)
+    store.compact(target)
+    before = files(tmp_path / "b")
+    assert store.manifest()["tables"]["t"]["deltas"] == [] and store.read(target).count() == 100_000
+    store.apply_batch(many.where("k < 250").selectExpr("lsn + 1000000 lsn", "'u' op", "k", "'new' v", "tombstone", "seq", "arrival", "topic", "record_key"), 2)
+    fresh = {p: n for p, n in files(tmp_path / "b").items() if p not in before}
+    assert sum(fresh.values()) < sum(before.values()) / 100  # in proportion to 250 rows of 100,000
+    got = store.read(target)
+    assert got.count() == 100_000 and got.where("v = 'new' and cdc_batch = 2").count() == 250
+
+
+def test_store_agrees_with_batches_one_by_one(spark, tmp_path):
+    """Deltas merged on read, compacted or not, against merge() and tombstones batch by batch."""
+    rng = random.Random(8)
+    store, target = make_store(spark, tmp_path / "c"), Target("t", "x.t", {"k": "long", "v": "string"}, ["k"])
+    state = spark.createDataFrame([], target.schema)
+    for n in range(1, 8):
+        rows = []
+        for _ in range(25):
+            k = rng.randrange(12)
+            rows.append((rng.randrange(60), rng.choice("cudt"), k, str(n), "x.t"))
+        e = batch(spark, *rows).withColumn("record_key", F.expr("cast(k div 3 as string)"))  # a record key covers three slots
+        store.apply_batch(e, n)
+        staged = merge.to_target(merge.reduce_batch(e, ["k"]), ["k", "v"], n)
+        state = merge.apply_tombstones(merge.merge(state, staged, ["k"], reduced=True), merge.reduce_tombstones(e), n)
+        state = spark.createDataFrame(state.collect(), target.schema)
+        assert sorted(store.read(target).collect()) == sorted(state.collect()), n
+        if n == 3:
+            store.compact(target)
+    fork = store.fork(f"file://{tmp_path}/d")
+    fork.apply_batch(batch(spark, (99, "u", 1, "mine", "x.t")), 8)
+    assert sorted(store.read(target).collect()) == sorted(state.collect()) and fork.read(target).where("k = 1").first().v == "mine"
+    fork.apply_batch(batch(spark, (100, "d", 1, None, "x.t")), 9, hard_delete=True)
+    assert fork.read(target).where("k = 1").count() == 0 and fork.manifest()["tables"]["t"]["deltas"] == []
+    fork.apply_batch(batch(spark, (5, "u", 2, "older", "x.t")), 10, guard=False)
+    assert fork.read(target).where("k = 2").first().v == "older"
+    for n in range(11, 20):  # of what no kept version names nothing is left
+        fork.apply_batch(batch(spark, (200 + n, "u", 7, str(n), "x.t"), (1, "c", 1, None, "other")), n)
+    used = {p.removeprefix("file://") for v in fork._versions() for p in fork._named(fork.manifest(v))}
+    left = {str(p.parent) for p in (tmp_path / "d" / "data").rglob("*.parquet")}
+    assert left == used and len(fork._versions()) == 2 and fork.last_batch() == 19
+
+
 def test_unreduced_batch_changes_nothing(spark, tmp_path):
     store = make_store(spark, tmp_path / "u")
     store.apply_batch(batch(spark, (1, "c", 1, "a", "x.t")), 1)
-    with pytest.raises(Exception, match="staged twice"):
+    with pytest.raises(DuplicateKeyError):
         store.apply_batch(batch(spark, (2, "u", 1, "b", "x.t"), (3, "u", 1, "c", "x.t")), 2, reduce=False)
     assert store.last_batch() == 1 and store.read(store.targets[0]).first().v == "a"
 

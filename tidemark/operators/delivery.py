@@ -5,39 +5,16 @@ Spark has no implicit order: each order is a column, arrival, numbered from 1 wh
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import partition_for
-
-
-STRETCH_ROWS = 4096
-MOST_BITS = 20
-
-
-def numbered(rows: DataFrame, by: list[str], order: str, name: str, then: list[str] | None = None) -> DataFrame:
-    """Adds name, from 0: each row's place among those alike in by, in the order of a column of whole numbers,
-    and of the columns then where it is equal.
-
-    The column's range is cut into stretches of some STRETCH_ROWS rows (of more, if there would be over
-    2 ** MOST_BITS of them); a row's place is the number of rows in earlier
-    stretches (of by) plus its place in its own, so that no task sorts all rows of a value of by.
-    """
-    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()  # one row
-    bits = min(MOST_BITS, (ends["n"] // STRETCH_ROWS).bit_length())
-    shift = min(63, max(0, ((ends["high"] or 0) - (ends["low"] or 0)).bit_length() - bits))
-    cut = rows.withColumn("_stretch", F.shiftright(F.col(order).cast("long"), shift))
-    at = [*by, "_stretch"]
-    counts = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    here = cut.withColumn("_here", F.row_number().over(Window.partitionBy(*at).orderBy(order, *(then or []))))
-    ahead = ahead.withColumnsRenamed({c: f"_{c}_" for c in at})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in at])
-    return here.join(ahead, same).withColumn(name, (F.col("_ahead") + F.col("_here") - 1).cast("long")).select(*rows.columns, name)
+from tidemark.operators import shared
+from tidemark.operators.stretches import numbered, running, same
 
 
 def route(events: DataFrame, partitions: int) -> DataFrame:
@@ -56,6 +33,8 @@ def interleave(routed: DataFrame, seed: int = 0) -> DataFrame:
 
 
 PERIODS = 1 << 43  # of the prime, below 2**63
+#: Stretches of scattered(): a remainder's rows, a thousand remainders.
+SCATTERED = (43, 53)
 
 
 def scattered(seq: Column, prime: int = 1_000_003, factor: int = 7919) -> Column:
@@ -96,54 +75,84 @@ def partition_spread(routed: DataFrame, partitions: int) -> DataFrame:
 
 
 def same_key_inversions(events: DataFrame, order: str = "arrival") -> DataFrame:
-    """One row: pairs of records of one (topic, record_key) that arrive against their log positions.
+    """One row: pairs of records of one (topic, record_key) that arrive against their log positions, equal positions
+    not counted. Keys are told apart by 96 bits of hash."""
+    return _inversions(_keyed(events, order), ["k", "k2"]).withColumnRenamed("inversions", "same_key")
 
-    No pairs are made, so a key that holds a large share of all records costs no more than the others.
-    Records are numbered within their key by position, those of equal position as they arrive, and the
-    bits of these numbers are few. Keys are told apart by 96 bits of hash.
-    """
+
+def _keyed(events: DataFrame, order: str) -> DataFrame:
     key = [F.xxhash64("topic", "record_key").alias("k"), F.hash("record_key", "topic").alias("k2")]
-    rows = events.select(*key, F.col(order).alias("x"), "lsn")
-    ends = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.max("x").alias("y")).agg(F.max("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).first()  # one row
-    placed = numbered(rows, ["k", "k2"], "lsn", "r", then=["x"])
-    whole = (ends["x"] or 0) >> 20 == (ends["y"] or 0) >> 20
-    return _inversions(placed, ["k", "k2"], 1 << 20, max(1, ((ends["n"] or 1) - 1).bit_length()), whole).withColumnRenamed("inversions", "same_key")
+    return events.select(*key, F.col(order).alias("x"), "lsn")
 
 
-def inversions(events: DataFrame, order: str = "arrival", width: int = 4096) -> DataFrame:
+def inversions(events: DataFrame, order: str = "arrival") -> DataFrame:
     """One row: all pairs that arrive against their log positions, equal positions not counted."""
-    at = F.expr(f"`{order}` div {int(width)}")
-    ends = events.agg(F.min("lsn").alias("low"), F.max("lsn").alias("high"), F.min(at).alias("first"), F.max(at).alias("last")).first()  # one row
-    rows = events.select(F.col(order).alias("x"), (F.col("lsn") - (ends["low"] or 0)).alias("r"))
-    return _inversions(rows, [], width, max(1, int((ends["high"] or 0) - (ends["low"] or 0)).bit_length()), ends["first"] == ends["last"])
+    return _inversions(events.select(F.col(order).alias("x"), "lsn"), [])
+
+
+#: Numbers below 2 ** LOW_BITS are merged within a task, DIGIT_BITS more by each further pass.
+LOW_BITS, DIGIT_BITS = 13, 3
+
+
+def _merged(bits: np.ndarray, block: np.ndarray) -> int:
+    """Pairs of a block, in order, of which the first has the larger number (below 2 ** LOW_BITS)."""
+    key, found = (block << LOW_BITS) | bits, 0
+    for b in range(LOW_BITS - 1, -1, -1):  # key is in order of its bits above b, and of arrival where they agree
+        upper = key >> b & 1
+        ones = np.cumsum(upper) - upper
+        begin = np.flatnonzero(np.diff(key >> (b + 1), prepend=-1))
+        before = ones - np.repeat(ones[begin], np.diff(np.append(begin, len(key))))
+        found += int(before[upper == 0].sum())
+        key = key[np.argsort(key >> b, kind="stable")]
+    return found
 
 
-def _inversions(rows: DataFrame, within: list[str], width: int, depth: int, whole: bool) -> DataFrame:
-    """Pairs of rows (x, r and within) alike in within, of which the one of smaller x has the larger r.
+def _inversions(rows: DataFrame, within: list[str]) -> DataFrame:
+    """Pairs of rows (x, lsn and within) alike in within, of which the one of smaller x has the larger lsn.
 
-    One bit of r is settled at a time: within a block of numbers that agree in the higher bits, rows of the
-    upper half that come before rows of the lower half are counted. The running counts are made within
-    stretches of width along x and added up over the stretches before (none if whole), so that no task holds
-    a whole block. It takes as many rows as there are rows times bits, and never pairs rows. x is a number.
+    Rows are numbered by position (r; those of equal position as they arrive), so numbers that agree above
+    their lowest LOW_BITS bits are few: their rows come together in order of arrival, and are merged in Arrow batches.
+    Only groups of more rows go on: in each further pass, of those that agree above DIGIT_BITS more bits, running
+    counts of each digit say how many larger ones came before. No pairs are made, and no task holds a group. The
+    numbered rows are written once, as several passes read them.
     """
-    levels = rows.withColumn("stretch", F.expr(f"x div {int(width)}")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    levels = levels.withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("upper", F.expr("shiftright(r, level) & 1"))
-    at = [*within, "level", "block", "stretch"]
-    inside = Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    counted = levels.withColumn("here", F.coalesce(F.sum("upper").over(inside), F.lit(0)))
-    if whole:
-        counted = counted.withColumn("ahead", F.lit(0))
-    else:
-        sums = levels.groupBy(*at).agg(F.sum("upper").alias("n"))
-        earlier = Window.partitionBy(*within, "level", "block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        counted = counted.join(sums.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), at)
-    return counted.agg(F.coalesce(F.sum(F.when(F.col("upper") == 0, F.col("ahead") + F.col("here"))), F.lit(0)).cast("long").alias("inversions"))
+    placed = shared.kept(numbered(rows, within, "lsn", "r", then=["x"]).drop("lsn"), shared.folder(rows.sparkSession, "placed"))
+    parts = [*within, "part"]
+    low = placed.withColumn("part", F.shiftright("r", LOW_BITS)).repartition(*parts).sortWithinPartitions(*parts, "x").select(F.xxhash64(*parts).alias("h"), "part", F.col("r").bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        total = 0
+        for batch in batches:
+            held = [np.concatenate([a, b.to_numpy()]) for a, b in zip(held, batch.columns, strict=True)]
+            edge = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+            if len(edge):  # all blocks but the last one are whole
+                end = int(edge[-1]) + 1
+                block = np.zeros(end, np.int64)
+                block[edge[:-1] + 1] = 1
+                total += _merged(held[2][:end], np.cumsum(block))
+                held = [c[end:] for c in held]
+        total += _merged(held[2], np.zeros(len(held[2]), np.int64)) if len(held[2]) else 0
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+
+    sums = low.mapInArrow(run, "n long")
+    sizes = placed.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1 << LOW_BITS)  # the few large groups
+    large = placed.join(sizes.select(*[F.col(c).alias(f"_{c}") for c in within], "_n"), same(within, [f"_{c}" for c in within]) if within else F.lit(True)).select(*within, "x", "r", "_n")
+    passes = F.ceil((F.ceil(F.log2(F.col("_n").cast("double"))) - LOW_BITS) / DIGIT_BITS)
+    levels = large.withColumn("level", F.explode(F.sequence(F.lit(0), (F.greatest(passes, F.lit(1)) - 1).cast("int"))))
+    shift = F.lit(LOW_BITS) + F.col("level") * DIGIT_BITS
+    levels = levels.withColumn("block", F.call_function("shiftright", F.col("r"), (shift + DIGIT_BITS).cast("int"))).withColumn("digit", F.call_function("shiftright", F.col("r"), shift.cast("int")).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)))
+    counted = running(levels, [*within, "level", "block"], "x", {f"d{d}": ("sum", (F.col("digit") == d).cast("long")) for d in range(1, 1 << DIGIT_BITS)})
+    larger = sum((F.when(F.col("digit") < d, F.col(f"d{d}")).otherwise(0) for d in range(1, 1 << DIGIT_BITS)), F.lit(0))
+    sums = sums.unionByName(counted.select(larger.cast("long").alias("n")))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
 
 
 def disorder(events: DataFrame, order: str = "arrival") -> DataFrame:
     """One row: records, inversions, those of one key and those across keys."""
-    n = events.agg(F.count(F.lit(1)).alias("records"))
-    return n.crossJoin(inversions(events, order)).crossJoin(same_key_inversions(events, order)).withColumn("cross_key", F.col("inversions") - F.col("same_key"))
+    rows = shared.kept(_keyed(events, order), shared.folder(events.sparkSession, "disorder"))
+    both = _inversions(rows.select("x", "lsn"), []).crossJoin(_inversions(rows, ["k", "k2"]).withColumnRenamed("inversions", "same_key"))
+    return rows.agg(F.count(F.lit(1)).alias("records")).crossJoin(both).withColumn("cross_key", F.col("inversions") - F.col("same_key"))
 
 
 def fanout(keyed: DataFrame, group: list[str]) -> DataFrame:

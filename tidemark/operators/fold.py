@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.stretches import running
+
 
 def _checked(on_tombstone: str) -> None:
     if on_tombstone not in ("delete", "ignore"):
@@ -31,13 +33,23 @@ def winners(events: DataFrame, slot: list[str], guard: bool = True, order: str =
 
 
 def fold(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: str = "delete", order: str = "arrival") -> DataFrame:
-    """The live rows. Expects op, lsn, tombstone, topic, record_key, the slot columns and an arrival order."""
+    """The live rows. Expects op, lsn, tombstone, topic, record_key, the slot columns and an arrival order (whole numbers).
+
+    A row goes if a tombstone of its record key arrives later (at its position or above, if guarded): winners and
+    tombstones are lined up from the last arrival back, and the highest position seen so far decides. Rows grow with
+    winners plus tombstones, however many slots a record key covers, and no task holds a key.
+    """
     _checked(on_tombstone)
     last = winners(events, slot, guard, order)
     if on_tombstone == "delete":
-        marks = events.where("tombstone").select(F.col("topic").alias("_t"), F.col("record_key").alias("_k"), F.col("lsn").alias("_lsn"), F.col(order).alias("_at"))
-        same = (F.col("topic") == F.col("_t")) & (F.col("record_key") == F.col("_k")) & (F.col("_at") > F.col(order))
-        last = last.join(marks, same & (F.col("_lsn") >= F.col("lsn")) if guard else same, "left_anti")
+        marks = events.where("tombstone").select("topic", "record_key", "lsn", order)
+        if guard:
+            both = last.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks.withColumn("_mark", F.col("lsn").cast("long")), allowMissingColumns=True)
+            seen = running(both.withColumn("_back", -F.col(order)), ["topic", "record_key"], "_back", {"_top": ("max", F.col("_mark"))})
+            last = seen.where(F.col("_mark").isNull() & ~F.coalesce(F.col("_top") >= F.col("lsn"), F.lit(False))).drop("_mark", "_back", "_top")
+        else:
+            ends = marks.groupBy(F.col("topic").alias("_t"), F.col("record_key").alias("_k")).agg(F.max(order).alias("_at"))
+            last = last.join(ends, (F.col("topic") == F.col("_t")) & (F.col("record_key") == F.col("_k")) & (F.col("_at") > F.col(order)), "left_anti")
     return last.where("op <> 'd'")
 
 

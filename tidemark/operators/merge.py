@@ -10,7 +10,7 @@ therefore changes nothing, its number included.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 META = ["cdc_record_key", "cdc_lsn", "cdc_deleted", "cdc_batch"]
@@ -99,10 +99,22 @@ def merged_state(events: DataFrame, slot: list[str], columns: list[str], batch:
     last = to_target(reduced.withColumn("_n", F.row_number().over(w)).where("_n = 1"), columns, batch)
     if on_tombstone == "ignore":
         return last
-    marks = reduce_tombstones(events, per=[batch]).select(F.col("record_key").alias("_k"), F.col(batch).alias("_b"), "t_lsn")
-    hit = last.join(marks, (F.col("cdc_record_key") == F.col("_k")) & (F.col("_b") >= F.col("cdc_batch")) & (F.col("t_lsn") >= F.col("cdc_lsn")) & ~F.col("cdc_deleted"), "left")
-    first = hit.groupBy(*slot).agg(*[F.first(c).alias(c) for c in last.columns if c not in slot], F.min("_b").alias("_b"))
-    return first.withColumns({"cdc_deleted": F.col("cdc_deleted") | F.col("_b").isNotNull(), "cdc_batch": F.coalesce(F.col("_b"), F.col("cdc_batch")).cast("long")}).select(*last.columns)
+    first = with_first_mark(last, events, batch)
+    hit = F.col("_first").isNotNull() & ~F.col("cdc_deleted")
+    return first.withColumns({"cdc_deleted": F.col("cdc_deleted") | hit, "cdc_batch": F.when(hit, F.col("_first")).otherwise(F.col("cdc_batch")).cast("long")}).select(*last.columns)
+
+
+def with_first_mark(rows: DataFrame, events: DataFrame, batch: str = "batch") -> DataFrame:
+    """Adds _first to rows (in the target's columns): the first batch, from the row's own on, whose tombstone of the
+    row's record key has its position or a higher one.
+
+    A record key's tombstones are one a batch at most, and meet its rows as one array: whatever slots the key covers,
+    no row is made for a pair of them.
+    """
+    marks = reduce_tombstones(events, per=[batch]).groupBy(F.col("record_key").alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col(batch).cast("long").alias("b"), F.col("t_lsn").alias("t")))).alias("_marks"))
+    met = rows.join(marks, F.col("cdc_record_key") == F.col("_k"), "left")
+    reach = F.filter("_marks", lambda m: (m["b"] >= F.col("cdc_batch")) & (m["t"] >= F.col("cdc_lsn")))
+    return met.withColumn("_first", F.get(reach, F.lit(0))["b"]).drop("_k", "_marks")
 
 
 def versioned_state(events: DataFrame, slot: list[str], columns: list[str], batch: str = "batch", order: str = "arrival") -> DataFrame:
@@ -114,43 +126,26 @@ def versioned_state(events: DataFrame, slot: list[str], columns: list[str], batc
 
 def purged_state(events: DataFrame, slot: list[str], columns: list[str], batch: str = "batch", order: str = "arrival") -> DataFrame:
     """The target if flagged rows are deleted after every batch (the losing arm): their positions go with
-    them, so a late change brings a row back. Its record key covers one slot.
+    them, so a late change brings a row back. A record key may cover several slots.
 
-    What a batch does to a slot depends on the batch before, so a slot's rows are gone through in order of
-    batch: tasks get them sorted and hold one row at a time, however many a slot has.
+    Each staged row is good until a batch: its own if it is a delete, else the first one from then on whose tombstone
+    reaches it. A slot's rows, one a batch at most, are then taken in order of batch: a row is accepted if the one
+    that is held is below it or was gone before, and what is held at the end stays if nothing ends it.
     """
-    staged = to_target(reduce_batch(events, slot, per=[batch], order=order), columns, batch)
-    marks = reduce_tombstones(events, per=[batch]).select(F.col("record_key").alias("cdc_record_key"), F.col(batch).cast("long").alias("cdc_batch"), "t_lsn")
-    met = staged.join(marks, ["cdc_record_key", "cdc_batch"], "left")
-    # a mark can come in a batch that brings no row of its slot
-    alone = marks.join(staged.select("cdc_record_key", "cdc_batch"), ["cdc_record_key", "cdc_batch"], "left_anti")
-    owner = staged.select("cdc_record_key", *slot).distinct()
-    met = met.unionByName(alone.join(owner, "cdc_record_key"), allowMissingColumns=True).select(*staged.columns, "t_lsn")
-    dealt = met.select(*slot, *[c for c in met.columns if c not in slot]).repartition(*slot).sortWithinPartitions(*slot, "cdc_batch")
-    names, keys = [c for c in dealt.columns if c != "t_lsn"], len(slot)
-    at = {c: names.index(c) for c in ("cdc_lsn", "cdc_deleted")}
-
-    def run(frames):
-        import pandas as pd
-
-        now, held = None, None
-        for frame in frames:
-            out = []
-            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
-                if row[:keys] != now:
-                    out += [held] if held else []
-                    now, held = row[:keys], None
-                *values, mark = row
-                lsn = values[at["cdc_lsn"]]
-                if lsn is not None and (held is None or lsn > held[at["cdc_lsn"]]):
-                    held = values
-                if held and (held[at["cdc_deleted"]] or mark is not None and mark >= held[at["cdc_lsn"]]):
-                    held = None
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame([held], columns=names)
-
-    return dealt.mapInPandas(run, dealt.drop("t_lsn").schema).select(*staged.columns)
+    staged = with_first_mark(to_target(reduce_batch(events, slot, per=[batch], order=order), columns, batch), events, batch)
+    forever = F.lit(2**63 - 1)
+    until = F.when(F.col("cdc_deleted"), F.col("cdc_batch")).otherwise(F.coalesce("_first", forever))
+    rest = [c for c in staged.columns if c not in slot and c != "_first"]
+    row = F.struct(F.col("cdc_batch").alias("at"), F.col("cdc_lsn").alias("lsn"), until.alias("until"), F.struct(*rest).alias("row"))
+    none = F.lit(None)
+
+    def held(now: Column, new: Column) -> Column:
+        return F.when(now.isNull() | (now["until"] < new["at"]) | (new["lsn"] > now["lsn"]), new).otherwise(now)
+
+    rows = staged.groupBy(*slot).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kind = rows.schema["_rows"].dataType.elementType
+    last = rows.withColumn("_last", F.aggregate("_rows", none.cast(kind), held)).where(F.col("_last.until") == forever)
+    return last.select(*slot, *[F.col(f"_last.row.{c}").alias(c) for c in rest]).select(*[c for c in staged.columns if c != "_first"])
 
 
 def purge(target: DataFrame) -> DataFrame:

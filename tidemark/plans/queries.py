@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decode, stats
 from tidemark.functions.keys import lsn_number, murmur2, partition_for, record_key
-from tidemark.operators import delivery, envelope, merge, reconcile, recovery
+from tidemark.operators import delivery, envelope, merge, reconcile, recovery, shared
 from tidemark.operators import fold as folding
+from tidemark.operators.stretches import SHIFTS, numbered
 from tidemark.plans.streams import PAYLOAD, SLOT, change_stream
-from tidemark.sources import tables, workload
+from tidemark.sources import tables
 from tidemark.sources.logs import frame_counts, frame_volume, table_as_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +45,9 @@ def cs(key: str = "row", order: str = "shuffled", ties: bool = False) -> str:
 ), ev AS (SELECT *, {arrival} AS arrival FROM e0)"""
 
 
-def dense(events: DataFrame) -> DataFrame:
+def dense(events: DataFrame, order: str = "shuffled") -> DataFrame:
     """arrival as a rank from 1; no two rows have the same arrival."""
-    met = delivery.numbered(events, [], "arrival", "_rank")
+    met = numbered(events, [], "arrival", "_rank", shifts=delivery.SCATTERED if order == "shuffled" else SHIFTS)
     return met.withColumn("arrival", F.col("_rank") + 1).drop("_rank")
 
 
@@ -54,7 +55,7 @@ RANKED = ", rk AS (SELECT * EXCLUDE (arrival), row_number() OVER (ORDER BY arriv
 
 
 def batched(spark: SparkSession, sf_dir: str, key: str = "row", order: str = "shuffled", size: int = 250) -> DataFrame:
-    return delivery.batches(dense(change_stream(spark, sf_dir, key, order)), size)
+    return delivery.batches(dense(change_stream(spark, sf_dir, key, order), order), size)
 
 
 def bt(key: str = "row", order: str = "shuffled", size: int = 250) -> str:
@@ -87,8 +88,11 @@ LOG_FOLD = f"WITH {cs(order='log')}" + FOLDED.format(by="lsn DESC, arrival DESC"
 
 
 def interleaved(spark, sf_dir, key="row"):
-    routed = delivery.route(change_stream(spark, sf_dir, key), PARTITIONS)
-    return delivery.interleave(routed, seed=11).withColumn("arrival", F.struct("arrival_key", "partition", "offset"))
+    """Places among hashes take several passes, so what they are taken of is written between."""
+    root = shared.folder(spark, "interleaved")
+    routed = shared.kept(delivery.route(change_stream(spark, sf_dir, key), PARTITIONS), f"{root}/routed")
+    mixed = shared.kept(delivery.interleave(routed, seed=11).drop("arrival"), f"{root}/mixed")
+    return shared.kept(numbered(mixed, [], "arrival_key", "arrival", then=["partition", "offset"]), f"{root}/placed")
 
 
 @query(LOG_FOLD)
@@ -230,7 +234,8 @@ def partition_spread(spark, sf_dir):
 @query(ROUTED + " SELECT count(*) AS records, CAST(0 AS BIGINT) AS out_of_order FROM rt")
 def interleave_offsets(spark, sf_dir):
     """An interleaving keeps every partition's order: no record comes before one of a lower offset."""
-    mixed = delivery.interleave(delivery.route(change_stream(spark, sf_dir), PARTITIONS), seed=11)
+    routed = shared.kept(delivery.route(change_stream(spark, sf_dir), PARTITIONS), shared.folder(spark, "routed"))
+    mixed = delivery.interleave(routed, seed=11)
     w = Window.partitionBy("partition").orderBy("arrival_key", "offset")
     return mixed.withColumn("_prev", F.lag("offset").over(w)).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("_prev") > F.col("offset")).alias("out_of_order"))
 
@@ -475,11 +480,6 @@ def offset_before_merge(spark, sf_dir):
     return merge.merged_state(batched(spark, sf_dir).where("batch <> 7"), SLOT, COLUMNS)
 
 
-@query(bt() + MERGED + " SELECT coalesce(max(cdc_batch), 0) AS data_batch, CAST(1000000 AS BIGINT) AS ledger_batch, coalesce(max(cdc_batch), 0) <= 1000000 AS agrees FROM st")
-def ledger_agreement(spark, sf_dir):
-    return recovery.ledger_agreement(merged(spark, sf_dir), 1_000_000)
-
-
 # --- reconciliation ---
 
 LAG = """WITH {cs}{ranked}, z AS (SELECT count(*) AS n FROM rk), ap AS (SELECT rk.* FROM rk, z WHERE arrival <= round_even(n * {f}, 0)), hb AS (SELECT rk.* FROM rk, z WHERE arrival > round_even(n * {f}, 0)),
@@ -500,7 +500,7 @@ def lag_sql(f: float, excluded: bool, tail: str = " SELECT * FROM rv") -> str:
 
 
 def lagged(spark, sf_dir, f: float):
-    events = dense(change_stream(spark, sf_dir, order="log"))
+    events = dense(change_stream(spark, sf_dir, order="log"), "log")
     n = events.count()
     applied, back = delivery.prefix_cut(events, f, n)
     source = folding.fold(events, SLOT, on_tombstone="ignore").select(*COLUMNS)
@@ -718,12 +718,6 @@ def source_as_text(spark, sf_dir):
     return table_as_text(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate"])
 
 
-@query(None)
-def workload_plan(spark, sf_dir):
-    """Operations of a generated workload by table and action; it doesn't read the tables."""
-    return workload.operation_counts(spark, workload.Workload(11).seeded(40, 20).run(5000))
-
-
 SLOTS = "sl AS (SELECT 'slot_' || CAST(user_id % 6 AS VARCHAR) AS slot, min(event_id) AS restart_lsn, max(event_id) AS confirmed_lsn FROM events WHERE event_type = 'purchase' GROUP BY 1), cu AS (SELECT max(event_id) AS lsn FROM events)"
 
 
@@ -757,8 +751,3 @@ def primary_key_order(spark, sf_dir):
     keys = p.where("p_size <= 9").groupBy(F.col("p_brand").alias("table")).agg(F.sort_array(F.collect_set("p_size"), False).alias("columns"))
     both = keys.withColumn("is_primary", F.lit(True)).unionByName(keys.select("table", F.array(F.lit(1)).alias("columns"), F.lit(False).alias("is_primary")))
     return tables.primary_keys(both, attributes).select("table", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
-
-
-@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
-def workload_counts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
