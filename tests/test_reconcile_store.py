@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import merge, reconcile, recovery
+from tidemark.operators import merge, observed, reconcile, recovery
 from tidemark.sources import connector, figures, logs, tables
 from tidemark.sources.store import DuplicateKeyError, SnapshotStore, Target, build_targets
 
@@ -214,6 +214,9 @@ def test_streams(spark, tmp_path):
     into_store(stream(), store, str(tmp_path / "cp")).awaitTermination()
     got = {r.k: (r.v, r.cdc_lsn, r.cdc_deleted) for r in store.read(store.targets[0]).collect()}
     assert got[1] == ("z", 30, False) and got[2][1:] == (40, True)
+    counted = observed.counted_stream(stream(), ["k"]).writeStream.format("memory").queryName("counted").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert observed.totals(counted) == {"records": 6, "tombstones": 0, "creates": 2, "updates": 3, "deletes": 1, "changes_with_no_merge_key": 0, "first_lsn": 10, "last_lsn": 40}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     seen = {}
 
@@ -227,48 +230,74 @@ def test_streams(spark, tmp_path):
 
 def test_figures(spark):
     text = "# A\n\n| arm | rows | bytes |\n|---|---|---|\n| x | 1,777 | `refused` |\n| y | 12 % | 5 |\n\n## B\n\n| arm | rows |\n|---|---|\n| x | 3 |\n"
-    cells = figures.cells(spark, text)
-    want = spark.createDataFrame([("a", "A", "x", "rows", "counted", 1777.0), ("b", "B", "x", "rows", "counted", 4.0), ("c", "A", "x", "bytes", "counted", 1.0), ("d", "A", "z", "rows", "counted", 1.0)], "name string, heading string, row string, column string, kind string, observed double")
-    assert {r.name: r.verdict for r in figures.check(cells, want).collect()} == {"a": "EXACT", "b": "BROKEN", "c": "MISSING", "d": "MISSING"}
-    assert tuple(figures.coverage(cells, want).first()) == (4, 2)
-    graded = figures.report(spark, {"one.md": text, "two.md": "no table"}, want.withColumn("document", F.lit("one.md")))
-    assert {(r.document, r.verdict, r.figures) for r in graded.collect()} == {("one.md", "EXACT", 1), ("one.md", "BROKEN", 1), ("one.md", "MISSING", 2), ("two.md", None, 0)}
-
-
-KEYS = """# what a release of the connector declares; name, type, default, importance
+    again = text.replace("1,777", "1,778") + "| y | 3 |\n| y | 3 |\n"
+    docs = spark.createDataFrame([("one", text), ("two", "no table | here"), ("three", None), ("four", again), ("five", "")], "document string, text string")
+    rows = [("a", "A", "x", "rows", "counted", 1777.0), ("b", "B", "x", "rows", "counted", 4.0), ("c", "A", "x", "bytes", "counted", 1.0), ("d", "A", "z", "rows", "counted", 1.0), ("e", "B", "y", "rows", "timing", 3.0)]
+    want = spark.createDataFrame([(d, *r) for d in ("one", "four") for r in rows], "document string, name string, heading string, row string, column string, kind string, observed double")
+    found = figures.cells(docs)
+    assert {(r.document, r.name): r.verdict for r in figures.check(found, want).collect()} == {
+        ("one", "a"): "EXACT", ("one", "b"): "BROKEN", ("one", "c"): "MISSING", ("one", "d"): "MISSING", ("one", "e"): "MISSING",
+        ("four", "a"): "BROKEN", ("four", "b"): "BROKEN", ("four", "c"): "MISSING", ("four", "d"): "MISSING", ("four", "e"): "MISSING",  # there twice
+    }
+    assert {r.document: (r.cells, r.graded) for r in figures.coverage(docs, want).collect()} == {"one": (4, 2), "four": (6, 4), "two": (0, 0), "three": (0, 0), "five": (0, 0)}
+    graded = {(r.document, r.verdict, r.figures) for r in figures.report(docs, want).collect()}
+    assert {x for x in graded if x[0] != "four"} == {("one", "EXACT", 1), ("one", "BROKEN", 1), ("one", "MISSING", 3), ("two", None, 0), ("three", None, 0), ("five", None, 0)}
+    assert found.where("document = 'one' and line = 4").orderBy("at").select("row", "column", "value").collect() == [("x", "arm", "x"), ("x", "rows", "1,777"), ("x", "bytes", "`refused`")]
+
+
+DECLARED = """# what a release of the connector declares; name, type, default, importance
 topic.prefix\tSTRING\tNO_DEFAULT\tHIGH
-table.include.list\tLIST\tnull\tHIGH
 message.prefix.(.+).limit\tINT\tnull\tLOW
 decoding.rule.[a-z]+\tSTRING\tnull\tLOW
-skipped.operations\tLIST\t[t]\tLOW
-"""
-
-
-def test_connector_keys():
-    exact, heads = connector.load_keys(KEYS)
-    assert exact == {"topic.prefix", "table.include.list", "skipped.operations"} and heads == ("decoding.rule", "message.prefix")
-    for bad in ("a\tb", "# nothing", "x\ty\tz\tv\tw"):
-        with pytest.raises(ValueError):
-            connector.load_keys(bad)
-    odd = {"message.prefix.a.limit": "1", "decoding.rule.b": "2", "errors.log.enable": "true", "producer.override.acks": "all", "topic.creation.groups": "g", "config.action.reload": "none", "odd": "2", "skipped.operation": "t"}
-    assert connector.unknown_keys(odd, exact, heads) == ["odd", "skipped.operation"]
 
-
-def test_connector_validation():
-    config = connector.build("depot", ["s.bin", "s.lot"], "pub", "depot_slot", "db")
-    known = set(config)
-    assert connector.validate(config, known) == []
-    assert config["connector.class"] == connector.CONNECTOR_CLASS and config["plugin.name"] == "pgoutput"
+skipped.operations\tLIST\t[t]\tLOW"""
+
+
+def test_declared_and_unknown_settings(spark):
+    lines = lambda text: spark.createDataFrame([(x,) for x in text.split("\n")], "value string")
+    known = connector.declared(lines(DECLARED))
+    assert {tuple(r) for r in known.collect()} == {("topic.prefix", False), ("message.prefix", True), ("decoding.rule", True), ("skipped.operations", False)}
+    with pytest.raises(Exception, match="four cells"):
+        connector.declared(lines("a\tb")).collect()
+    keys = ["message.prefix.a.limit", "decoding.rule.b", "errors.log.enable", "producer.override.acks", "topic.creation.groups", "config.action.reload", "odd", "skipped.operation", "message.prefixes.a", "topic.prefix.more", "", None]
+    settings = spark.createDataFrame([(c, k, "1") for c in ("x", "y") for k in keys[: None if c == "x" else 3]], "connector string, key string, value string").where("key is not null")
+    got = connector.unknown(settings, known.unionByName(connector.worker_keys(spark)))
+    assert {tuple(r) for r in got.collect()} == {("x", k) for k in ("odd", "skipped.operation", "message.prefixes.a", "topic.prefix.more", "")}
+    assert {r.key: r.p for r in spark.createDataFrame([("a",), ("a.b.c",), ("",)], "key string").select("key", connector.prefixes(F.col("key")).alias("p")).collect()} == {"a": [], "a.b.c": ["a", "a.b"], "": []}
+
+
+def test_setting_problems(spark):
+    tables_of = spark.createDataFrame([("depot", "s", "bin"), ("depot", "s", "lot"), ("depot", "s", "bin")], "connector string, schema string, table string")
+    good = connector.settings_for(tables_of, {"tasks.max": "2"})
+    known = good.select(F.col("key").alias("name"), F.lit(False).alias("head")).distinct()
+    found = lambda s: {(r.key, r.problem) for r in connector.problems(s, known).collect()}
+    assert found(good) == set()
+    got = {r.key: r.value for r in good.collect()}
+    assert got["table.include.list"] == "s.bin,s.lot" and got["slot.name"] == "depot_slot" and got["tasks.max"] == "2"
+    put = lambda k, v: good.where(F.col("key") != k).unionByName(spark.createDataFrame([("depot", k, v)], "connector string, key string, value string"))
     for key in ("plugin.name", "slot.name", "publication.autocreate.mode"):
-        for without in ({k: v for k, v in config.items() if k != key}, config | {key: ""}, config | {key: connector.REQUIRED[key]}):
-            assert len(connector.validate(without, known)) == 1, key
-    for change in ({"connector.class": "x"}, {"topic.prefix": "a.b"}, {"topic.prefix": ""}, {"table.include.list": "a.b.c"}, {"table.include.list": "a.b,c"}, {"table.include.list": "a."}, {"table.include.list": ""}, {"plugin.nmae": "y"}):
-        assert len(connector.validate(config | change, known)) == 1, change
-    body = json.loads(connector.render(config))
-    assert body["name"] == "depot-source" and body["config"] == config
-    for call in (lambda: connector.build("p", [], "a", "b", "c"), lambda: connector.render({})):
-        with pytest.raises(ValueError):
-            call()
+        for changed, problem in ((good.where(F.col("key") != key), "missing"), (put(key, ""), "missing"), (put(key, None), "missing"), (put(key, dict((k, a) for k, _, a in connector.RULES)[key]), "default")):
+            assert found(changed) == {(key, problem)}
+    for key, value in (("connector.class", "x"), ("topic.prefix", "a.b"), ("table.include.list", "a.b.c"), ("table.include.list", "a.b,c"), ("table.include.list", "a.")):
+        assert found(put(key, value)) == {(key, "wrong")}
+    assert found(put("plugin.nmae", "y")) == {("plugin.nmae", "unknown")} and found(good.unionByName(good)) == {(k, "repeated") for k in got}
+    body = json.loads(connector.requests(good).first().body)
+    assert body == {"name": "depot", "config": got}
+
+
+def test_tables_over_jdbc(spark):
+    """Through the embedded database that comes with Spark: read whole, in ranges, and as a target's text."""
+    options = {"url": "jdbc:derby:memory:tidemark;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("id k", "concat('v', id % 7) v", "id * 2 more").write.format("jdbc").options(**options, dbtable="lot").save()
+    whole = tables.read_table(spark, options, "lot")
+    assert whole.count() == 100 and whole.where("k >= 90").select("v").count() == 10
+    parts = tables.read_table(spark, options, "lot", tables.ranges("k", 20, 79, 4))
+    assert parts.rdd.getNumPartitions() == 4 and parts.agg(F.sum("k")).first()[0] == 4950
+    target = Target("lot", "x.lot", {"k": "long", "v": "string"}, ["k"])
+    got = tables.read_target(whole.unionByName(whole), target)
+    assert got.columns == ["k", "v"] and got.count() == 100 and got.where("k = '8'").first().v == "v1"
+    with pytest.raises(ValueError):
+        tables.read_target(whole, Target("lot", "x.lot", {'k"; drop': "long"}, ['k"; drop']))
 
 
 def test_jdbc_options():
@@ -327,3 +356,10 @@ def test_run_over_tables(spark):
     assert got == {"same": "clean", "other": "drift"}
     with pytest.raises(ValueError):
         reconcile.run({})
+
+
+def test_observed_in_one_pass(spark, tmp_path):
+    e = batch(spark, (1, "c", 1, "a", "x.t"), (2, "u", 1, "b", "x.t"), (2, "t", 1, None, "x.t"), (3, "d", None, "b", "x.t"))
+    out, seen = observed.counted(e, ["k"])
+    out.write.parquet(str(tmp_path / "o"))
+    assert seen.get == {"records": 4, "tombstones": 1, "creates": 1, "updates": 1, "deletes": 1, "changes_with_no_merge_key": 1, "first_lsn": 1, "last_lsn": 3}
