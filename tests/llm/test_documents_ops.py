@@ -312,3 +312,14 @@ def test_mixing_reaches_its_weights(spark):
     copies = mixing.mix(docs.where("source = 'small'").limit(50), {"small": 1.0}, size=40.0, with_copy=True).groupBy("doc_id").count()
     mean = copies.agg(F.avg("count")).first()[0]
     assert abs(mean - 40) < 5
+
+
+def test_ids_of_every_code_point():
+    """Alone, within a word and beside one, as it is and in the other case: the ids that the library gives."""
+    tool = packing.tokenizer()
+    points = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}b", "x {} y", "{0}{0}1"):
+        texts = [form.format(x) for c in points for x in {c, c.upper(), c.lower()}] + ["\u0181arna \u0197an \u0198asa"]
+        want = [x.ids for x in tool.library.encode_batch_fast(texts, add_special_tokens=False)]
+        wrong = [t for t, ids, w in zip(texts, tool.ids(texts), want, strict=True) if ids.tolist() != [*w, packing.CLOSING_ID]]
+        assert not wrong, (form, wrong[:20], len(wrong))

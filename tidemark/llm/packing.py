@@ -39,7 +39,8 @@ STEP_TOKENS = 1 << 17
 STEPS_AT_ONCE = 8
 CACHED_WORDS = 600_000
 
-#: Text without these characters: NFC changes nothing there, and lower() is the library's.
+#: Text without these characters, as it is and in lower case: NFC changes nothing there, lower() is the library's, and
+#: SPLIT knows all letters.
 UNUSUAL = re.compile("[^\x00-\x7e\xa1-įı-ɏ–—‘’“”…]")
 CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 #: Fixed value: how the vocabulary file splits a lower-case text, its classes spelt out for those characters.
@@ -85,7 +86,7 @@ class WordTokenizer:
         found: list = []  # bytes, or the text's words
         for text in texts:
             low = text.lower()
-            odd = not text.isascii() and UNUSUAL.search(text) or CONTROL.search(text) or any(t in low for t in self.added)
+            odd = not text.isascii() and (UNUSUAL.search(text) or UNUSUAL.search(low)) or CONTROL.search(text) or any(t in low for t in self.added)
             found.append(self._whole(text) if odd else SPLIT.findall(low))
         new: set[str] = set()
         for words in found:
