@@ -162,3 +162,19 @@ def test_pipeline(spark, documents):
 
 def test_queries_are_registered():
     assert {re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES} == {str(n) for n in range(1, 11)}
+
+
+def test_long_hostile_pages():
+    """Open tags, quotes, comments and raw elements, and deep nesting: time in proportion to the page."""
+    import time
+
+    units = ['<a "', "<a ", "<a '", '<a ">', "<script>", "<svg><script>", "<!--", "<!", "<a b='\"", '<a x="> ', '</a "', "<a><!-- ", "<a<a", "<div></p>", "<i><li></li>", "<b><div></b>", "<svg><g></x>"]
+    for unit in units:
+        for tail in ("", ">", "</script>"):
+            page = unit * (1_000_000 // len(unit)) + tail
+            began = time.perf_counter()
+            html.blocks(page)
+            assert time.perf_counter() - began < 5, (unit, tail)
+    nested = "<div>" * 60_000 + "</p>" * 60_000 + "<i>" * 60_000 + "<li>x</li>" * 30_000 + "end"
+    began = time.perf_counter()
+    assert html.blocks(nested)[-1].text == "end" and time.perf_counter() - began < 5

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import map_rows, read
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+SPECIAL = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,6 +78,70 @@ def kinds_of(attributes: str) -> tuple[str, ...]:
     return got
 
 
+class Tags:
+    """The tags of a page in order, each part of the page looked at a bounded number of times.
+
+    A search that finds nothing finds nothing further on either, so what doesn't follow any more is remembered: a
+    comment's end, a >, either quote, and the end tag of each raw element. So are the quotes from which no end of a
+    tag was found (open)."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone, self.open = page, {}, set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of what from at on, -1 if there is none."""
+        if self.gone.get(what, len(self.page) + 1) <= at:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def close(self, tag: str, at: int) -> re.Match | None:
+        """The next end tag of a raw element."""
+        if self.gone.get("/" + tag, len(self.page) + 1) <= at:
+            return None
+        found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if not found:
+            self.gone["/" + tag] = at
+        return found
+
+    def _end(self, at: int) -> tuple[int, int]:
+        """Of a tag whose name ends at at: the place of its > and the place behind it. A > in a quoted value is not
+        its end, unless a quote stays open or no > follows the quotes: then the first > is."""
+        seen, now = [], at
+        while m := SPECIAL.search(self.page, now):
+            now = m.start()
+            if m[0] == ">":
+                return now, now + 1
+            if now in self.open:
+                break
+            seen.append(now)
+            if (close := self.find(m[0], now + 1)) < 0:
+                break
+            now = close + 1
+        self.open.update(seen)
+        first = self.find(">", at)
+        return first, first + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, / of an end tag, name, attributes) of the next tag from at on; name is empty for comments,
+        declarations and instructions."""
+        while at >= 0 and (m := OPEN.search(self.page, at)):
+            start, at = m.span()
+            if m[2]:
+                close, end = self._end(at)
+                if close >= 0:
+                    return start, end, m[1], m[2], self.page[at:close]
+            elif m[0] == "<!--":
+                end = self.find("-->", at)
+                return start, end + 3 if end >= 0 else len(self.page), "", "", ""
+            elif (end := self.find(">", at)) >= 0:
+                return start, end + 1, "", "", ""
+            at = self.find("<!--", start + 1)  # no > follows, so only a comment can
+        return None
+
+
 @dataclass
 class Block:
     text: str
@@ -91,6 +156,7 @@ class _Open:
     above: frozenset
     block: str
     root: int = 0  # the place of the svg or math it is in
+    base: int = 0  # the place of the last element up to it that isn't inline, 0 for none
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,33 +175,41 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         state["links"] = 0
 
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+
     def drop(n: int) -> None:
         for x in stack[n:]:
             state["a"] -= x.tag == "a"
+            places[x.tag].pop()
         del stack[n:]
 
-    at, size = 0, len(page)
+    def push(x: _Open) -> None:
+        k = len(stack)
+        x.base = stack[-1].base if x.tag in INLINE else k
+        places.setdefault(x.tag, []).append(k)
+        stack.append(x)
+        state["a"] += x.tag == "a"
+
+    at, size, tags = 0, len(page), Tags(page)
     while at < size:
-        m = TOKEN.search(page, at)
+        m = tags.next(at)
         if m is None:
             text, at = page[at:], size
         else:
-            text, at = page[at : m.start()], m.end()
+            text, at = page[at : m[0]], m[1]
         if text:
             parts.append(text)
             if state["a"]:
                 state["links"] += len(text)
         if m is None:
             break
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[3]:
             continue
-        tag = tag.lower()
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        closing, tag, attributes = m[2], m[3].lower(), m[4]
         closed = attributes.rstrip().endswith("/")
         root = stack[-1].root
         if root and closing:  # within svg and math no tag ends a block
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = places[tag][-1] if places.get(tag) else 0
             if k >= root:
                 drop(k)
             elif k:
@@ -147,44 +221,35 @@ def blocks(page: str) -> list[Block]:
         elif root:
             top, close = stack[-1], None
             if tag in RAW and not closed:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                close = tags.close(tag, at)
             if close:
                 at = close.end()
             elif not closed:
-                stack.append(_Open(tag, top.above, top.block, root))
-                state["a"] += tag == "a"
+                push(_Open(tag, top.above, top.block, root))
             if tag in ("text", "desc", "annotation"):
                 parts.append(" ")
             continue
         if tag not in INLINE:
             end()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    drop(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if places.get(tag) and (tag not in INLINE or places[tag][-1] > stack[-1].base):
+                drop(places[tag][-1])
             continue
         if tag == "br":
             parts.append(" ")
         if tag in VOID or closed and tag in FOREIGN:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = tags.close(tag, at)
             at = close.end() if close else size
             continue
         if tag not in INLINE and tag not in WITHIN:  # a paragraph ends where another block begins; so do items and cells
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
-                    drop(k)
-                elif stack[k].tag not in INLINE:
-                    break
+            while (k := stack[-1].base) and (stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ())):
+                drop(k)
         top, inline = stack[-1], tag in INLINE
         more = kinds_of(attributes) if attributes else ()
         above = top.above if inline and not more else top.above.union(more) if inline else top.above.union(more, ("t:" + tag,))
-        stack.append(_Open(tag, above, top.block if inline else tag, len(stack) if tag in FOREIGN else 0))
-        state["a"] += tag == "a"
+        push(_Open(tag, above, top.block if inline else tag, len(stack) if tag in FOREIGN else 0))
     end()
     return found
 
