@@ -109,16 +109,16 @@ def plain_templates(rows):
         children = defaultdict(list)
         for r in at:
             children[r[0][level]].append(r)
-        if min(labelled - bad, bad) == 0 or max(labelled - bad, bad) + 0.5 <= 4:
+        if min(labelled - bad, bad) == 0 or max(labelled - bad, bad) + 0.5 <= 2 + math.log(2):
             for r in at:
                 tail = tuple(t if {q[0][i] for q in at if len(q[0]) > i} == {t} else "*" for i, t in enumerate(r[0]) if i >= level)
                 found[r[0]] = prefix + tail
             return
         share, groups = (bad + 0.5) / (labelled + 1), defaultdict(list)
         for token, part in children.items():
-            n, lab, b = (sum(r[k] for r in part) for k in (1, 2, 3))
-            z = (b - lab * share) / math.sqrt(max(lab, 1) * share * (1 - share))
-            merged = len(children) > 2 and n < 3 or len(children) > 1 and abs(z) < 2
+            lab, b = (sum(r[k] for r in part) for k in (2, 3))
+            ratio = sum(k * math.log(k / (lab * p)) for k, p in ((b, share), (lab - b, 1 - share)) if k)
+            merged = len(children) > 1 and ratio < 2 + math.log(len(children))
             groups["*" if merged else token] += part
         for name, part in groups.items():
             go(part, (*prefix, name))
@@ -255,19 +255,26 @@ def plain_ratio(model, s):
 
 def plain_secrets(model, s):
     """The spans of a string without base spans, each as a set of places."""
-    if len(s) < 20:
+    if m := re.search("(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])", s):
+        return plain_secrets(model, s[: m.start()]) | {(x + m.end(), y + m.end()) for x, y in plain_secrets(model, s[m.end() :])}
+    if len(s) < 8:
         return set()
-    good = lambda t: any(c.isalpha() for c in t) and plain_ratio(model, t) > model.threshold
+
+    def good(t):
+        total = plain_ratio(model, t) * len(t)
+        word = t.isalpha() and (t[1:].islower() or t[1:].isupper())
+        return total / len(t) > model.threshold and total > (30 if word else 16)
+
     if good(s):
         return {(0, len(s))}
-    found = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", s) if 20 <= m.end() - m.start() < len(s) and good(m[0])]
+    found = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", s) if 8 <= m.end() - m.start() < len(s) and good(m[0])]
     ratios, a, b = [], 0, 0
     for c in s:
         k = secrets.ALPHABET.index(c) + 1
         ratios.append(float(model.ratio[a, b, k]))
         a, b = b, k
     for i in range(len(s) - 19):
-        if sum(ratios[i : i + 20]) / 20 > model.inner and any(c.isalpha() for c in s[i : i + 20]):
+        if sum(ratios[i : i + 20]) / 20 > model.inner:
             start, end = i + (s[i] in "+/_=-"), i + 20
             while start > 0 and s[start - 1] not in "+/_=-":
                 start -= 1
@@ -294,6 +301,22 @@ def test_markov_spans_against_plain():
     assert min(seen.values()) > 20
 
 
+def test_short_secrets_and_ordinary_names():
+    """Random strings from 16 characters on are found in each alphabet that mixes letters with others or cases; of
+    identifiers that the models haven't seen hardly any, and no prose."""
+    model, rng = secrets.train(), random.Random(99)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    found = lambda texts: sum(any(k == 3 for _, k, _ in secrets.all_spans(f"x: {t} .", model)[1]) for t in texts) / len(texts)
+    for alphabet in (upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_", lower + digits, upper + digits, digits + "abcdef", digits + "ABCDEF", upper + lower):
+        for n, least in ((16, 0.9), (24, 0.98)):
+            texts = ["".join(rng.choices(alphabet, k=n)) for _ in range(400)]
+            assert found([t for t in texts if not secrets.base_spans(t)] or texts[:1]) >= (least if n < 24 or alphabet != digits + "abcdef" else 0), (alphabet, n)
+    assert found([s for s, y in secrets.labelled_samples(3000, seed=123) if not y]) < 0.005
+    names = ["6feeeedf-f7bb-36b0-4466-9d5406204f68", "x86_64-pc-linux-gnu-unknown-toolchain", lower, upper, upper + lower + digits, "2024-01-31/12-30-59", "0049-171-5550123", "internationalization", "Donaudampfschifffahrtsgesellschaft", "dhthe erontihethan rheeyd"]
+    assert found(names) == 0
+    assert [k for _, k, _ in secrets.all_spans("6feeeedf-f7bb-36b0-4466-9d5406204f68-Zk3Qp9vX2mB7tL4w", model)[1]] == [3]
+
+
 # --- the pipeline ---
 
 

@@ -178,3 +178,15 @@ def test_long_hostile_pages():
     nested = "<div>" * 60_000 + "</p>" * 60_000 + "<i>" * 60_000 + "<li>x</li>" * 30_000 + "end"
     began = time.perf_counter()
     assert html.blocks(nested)[-1].text == "end" and time.perf_counter() - began < 5
+
+
+def test_a_branch_of_few_rows_is_judged_by_its_labels(spark):
+    """Two bad rows of two, where a tenth of the node is bad: the branch stands, with three children as with two."""
+    for others in (["good"], ["good", "fine"]):
+        rows = [(i, f"http://h.net/{others[i % len(others)]}/page") for i in range(40)] + [(100, "http://h.net/spam/page"), (101, "http://h.net/spam/page")]
+        labels = [(i, int(i % 40 > 1), 0) for i in range(40)] + [(100, 0, 0), (101, 0, 0)]
+        got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shows=F.col("page_id"), rules=())
+        assert {r.template for r in got.where("page_id >= 100").collect()} == {"/spam/page"}
+    many = [(i, f"http://h.net/v{chr(97 + i % 26)}{chr(97 + i // 26)}/x") for i in range(500)]  # values of a variable, a label each
+    got = urls.judge(spark.createDataFrame(many, "page_id long, url string"), spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(500)], "doc_id long, quality int, toxic int"), shows=F.col("page_id"), rules=())
+    assert {r.template for r in got.collect()} == {"/*/x"}

@@ -30,9 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ with the short ones dropped
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
-LEAST = 20  # of a candidate, of its parts and stretches
+LEAST = 8  # characters that a candidate or a part of it can have at all: fewer can't bring ODDS together
+STRETCH = 20  # characters of a stretch inside a longer string
+ODDS = 16.0  # nats against a string being a secret, before its characters are read
+WORD_ODDS = 30.0  # against one that has the form of a word: letters of one case, but the first
+WORD_FORM = re.compile("[A-Za-z]?(?:[a-z]+|[A-Z]+)")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PART = re.compile(rf"[A-Za-z0-9]{{{LEAST},}}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")  # a name, not a secret
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET) + 1  # and one symbol for the start of a string
@@ -52,6 +57,9 @@ information international development environment government university manageme
 nicht eine einen werden wurde haben sein durch zwischen geschwindigkeit verantwortung gesellschaft entwicklung
 avec dans pour cette comme mais tout plus entre gouvernement developpement connaissance para como pero desde
 sobre entre cuando tambien informacion desarrollo gobierno conocimiento""".split()
+PLATFORM = """x86_64 amd64 arm64 aarch64 i686 pc linux gnu musl unknown toolchain darwin windows msvc apple none eabi armv7 riscv64 utf8 utf-16 sha256
+md5 base64 http2 ipv4 ipv6 mp3 mp4 h264 x264 rgb24 int32 uint64 float32 py3 cp313 manylinux2014 stable nightly rc1 beta2 jdk17 gcc12 clang18""".split()
+SEQUENCES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "qwertyuiopasdfghjklzxcvbnm", "QWERTYUIOPASDFGHJKLZXCVBNM", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
 
 
 def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
@@ -61,9 +69,9 @@ def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
     alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_", lower + digits, upper + digits, "0123456789abcdef", "0123456789ABCDEF"]
     out = []
     for _ in range(n):
-        out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), 1))
-        words = rng.choices(WORDS, k=rng.randint(2, 7))
-        style = rng.randrange(7)
+        out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randint(10, 64))), 1))
+        words = rng.choices(WORDS, k=rng.randint(1, 7))
+        style = rng.randrange(10)
         if style == 0:
             s = "_".join(words)
         elif style == 1:
@@ -76,6 +84,14 @@ def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
             s = "/" + "/".join(words)
         elif style == 5:
             s = "".join(words)
+        elif style == 6:  # numbers, dates, addresses
+            s = rng.choice(["", "-", "/"]).join(str(rng.randrange(10 ** rng.randint(1, 8))) for _ in range(rng.randint(2, 8)))
+        elif style == 7:
+            s = rng.choice("-_").join(rng.choices(PLATFORM, k=rng.randint(2, 5)) + words[: rng.randint(0, 2)])
+        elif style == 8:
+            run = rng.choice(SEQUENCES) * 2
+            k = rng.randrange(len(run) // 2)
+            s = run[k : k + rng.randint(8, 40)]
         else:
             s = "_".join(words).upper()
         if rng.random() < 0.3:
@@ -108,30 +124,48 @@ class MarkovPair:
         return float(self.ratios(s).mean())
 
     def stretch_scores(self, s: str) -> np.ndarray:
-        """The mean over each stretch of LEAST characters, by its start."""
+        """The mean over each stretch of STRETCH characters, by its start."""
         sums = np.concatenate([[0.0], np.cumsum(self.ratios(s))])
-        return (sums[LEAST:] - sums[:-LEAST]) / LEAST
+        return (sums[STRETCH:] - sums[:-STRETCH]) / STRETCH
 
     def is_secret(self, s: str) -> bool:
-        """A letter at least (what has none is a number), and a mean log-likelihood ratio over the threshold."""
-        return any(c.isalpha() for c in s) and self.score(s) > self.threshold
+        """A mean log-likelihood ratio over the threshold and a sum over the odds, which asks the more of a character the
+        fewer there are."""
+        return self.decides(s, self.score(s) * len(s))
+
+    def decides(self, s: str, total: float) -> bool:
+        return total > self.threshold * len(s) and total > ODDS and (total > WORD_ODDS or not WORD_FORM.fullmatch(s))
+
+    def running(self, text: str) -> np.ndarray:
+        """Sums of the ratios of a text's characters, each candidate being a string of its own."""
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        x = np.concatenate([[0, 0], np.where(raw < 128, CODE[np.minimum(raw, 127)], 0)])
+        one = x[1:-1]
+        return np.concatenate([[0.0], np.cumsum(self.ratio[np.where(one == 0, 0, x[:-2]), one, x[2:]])])
 
     def secrets_in(self, s: str) -> list[tuple[int, int]]:
         """The whole of s if it is a secret, else the parts and stretches that are, these to the delimiters around them."""
         if len(s) < LEAST:
             return []
-        if self.is_secret(s):
+        if self.is_secret(s) and not UUID.search(s):
             return [(0, len(s))]
+        if UUID.search(s):
+            return _joined([(a + x, a + y) for a, b in _outside([m.span() for m in UUID.finditer(s)], len(s)) for x, y in self.secrets_in(s[a:b])])
         found = [m.span() for m in PART.finditer(s) if m.end() - m.start() < len(s) and self.is_secret(m.group())]
         cuts = [-1, *(i for i, c in enumerate(s) if c in "+/_=-"), len(s)]
         end = 0
         for a in np.flatnonzero(self.stretch_scores(s) > self.inner).tolist():
-            if a + LEAST > end and any(c.isalpha() for c in s[a : a + LEAST]):
-                start, end = cuts[bisect_left(cuts, a + 1) - 1] + 1, cuts[bisect_left(cuts, a + LEAST)]
+            if a + STRETCH > end:
+                start, end = cuts[bisect_left(cuts, a + 1) - 1] + 1, cuts[bisect_left(cuts, a + STRETCH)]
                 found.append((start, end))
         return _joined(found)
 
 
+def _outside(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """What spans, in order, leave of size characters."""
+    return list(zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), size], strict=True))
+
+
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """In order, overlapping ones as one."""
     out: list[tuple[int, int]] = []
@@ -165,7 +199,7 @@ def train(samples: list[tuple[str, int]] | None = None, smoothing: float = 20.0,
     pair = MarkovPair(models[1] - models[0], 0.0)
     scores = [pair.score(s) for s, y in held if not y and s]
     threshold = max(0.25, float(np.quantile(scores, quantile)) if scores else 0.25)
-    best = [float(pair.stretch_scores(s).max()) for s, y in held if not y and len(s) >= LEAST]
+    best = [float(pair.stretch_scores(s).max()) for s, y in held if not y and len(s) >= STRETCH]
     return MarkovPair(pair.ratio, threshold, max(1.0, float(np.quantile(best, quantile)) if best else 1.0))
 
 
@@ -184,11 +218,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, model: MarkovPair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     taken = _joined([(a, b) for a, _, b in base])
-    more, k = [], 0
+    more, k, sums = [], 0, None
     for m in CANDIDATE.finditer(text):
         a, end = m.span()
         while k < len(taken) and taken[k][1] <= a:
             k += 1
+        if end - a < STRETCH and m[0].isalnum() and (k >= len(taken) or end <= taken[k][0]):  # a word, most often: no part, no stretch
+            sums = model.running(text) if sums is None else sums
+            if model.decides(m[0], sums[end] - sums[a]):
+                more.append((a, 3, end))
+            continue
         free, i = [], k
         while i < len(taken) and taken[i][0] < end:
             free.append((a, taken[i][0]))

@@ -1,9 +1,11 @@
 """URL filter: fixed rules, and a tree of path templates per host.
 
 Segments of a path are generalised first by their form (runs of digits become #). Then the tree is built
-level by level over all rows: each child of a node is judged by itself, however many there are. Children
-seen hardly ever, and those whose labelled purity doesn't differ from their siblings' (a z test), are merged
-under one wildcard child; those that differ stay. A template is rejected if its share of bad labels,
+level by level over all rows: each child of a node is judged by itself, however many there are. Those
+whose labelled purity doesn't differ from the node's are merged under one wildcard child; those that differ stay. The
+test is a likelihood ratio, which holds for few labels too, against a bound that grows with the number of children, as
+so many are compared; a value of a variable segment, with its label or two, thus goes to the wildcard by itself.
+A template is rejected if its share of bad labels,
 smoothed towards its host's and that towards the share of all, is high.
 
 Everything is a DataFrame aggregation: counts by (host, template), so no host's rows meet in one task.
@@ -16,6 +18,7 @@ longer host; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import string
 from functools import reduce
 
@@ -26,8 +29,7 @@ from tidemark.llm.common import read, written
 
 # Fixed values of the contract: the rules, in order of writing.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-LEAST_ROWS = 3  # of more than two children, one with fewer rows is a value of a variable segment
-Z = 2.0
+Z = 2.0  # standard deviations at which one child alone would differ
 SMOOTHING = 8.0
 BAD_SHARE = 0.5
 WILD = "*"
@@ -92,14 +94,15 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
         child = at.groupBy("host", "template", "token").agg(*sums)
         node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = child.join(node, ["host", "template"])
-        rare = (F.col("children") > 2) & (F.col("n") < LEAST_ROWS)
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
-        z = (F.col("bad") - F.col("labelled") * share) / F.sqrt(F.greatest(F.col("labelled"), F.lit(1)) * share * (1 - share))
+        good, n = F.col("labelled") - F.col("bad"), F.greatest(F.col("labelled"), F.lit(1))
+        part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+        ratio = part(F.col("bad"), share) + part(good, 1 - share)
         # a wildcard needs no merging
-        named = F.when(rare | ((F.col("children") > 1) & (F.abs(z) < Z)), F.lit(WILD)).otherwise(F.col("token"))
-        # z**2 of any part of the node, here or deeper, is under the node's good or bad labels and a half, and under a half if it has only one sort
+        named = F.when((F.col("children") > 1) & (ratio < Z * Z / 2 + F.log(F.col("children").cast("double"))), F.lit(WILD)).otherwise(F.col("token"))
+        # the ratio of any part of the node, here or deeper, is under the node's good or bad labels and a half, and under a half if it has only one sort
         good = F.col("all_labelled") - F.col("all_bad")
-        alike = (F.least(good, F.col("all_bad")) == 0) | (F.greatest(good, F.col("all_bad")) + 0.5 <= Z * Z)
+        alike = (F.least(good, F.col("all_bad")) == 0) | (F.greatest(good, F.col("all_bad")) + 0.5 <= Z * Z / 2 + math.log(2))
         step = both.select("host", "template", "token", F.when(~alike, named).alias("next"))
         met = at.join(step, ["host", "template", "token"])
         template = F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat("template", F.array("next")))
