@@ -323,3 +323,10 @@ def test_ids_of_every_code_point():
         want = [x.ids for x in tool.library.encode_batch_fast(texts, add_special_tokens=False)]
         wrong = [t for t, ids, w in zip(texts, tool.ids(texts), want, strict=True) if ids.tolist() != [*w, packing.CLOSING_ID]]
         assert not wrong, (form, wrong[:20], len(wrong))
+
+
+def test_rows_of_one_label_are_bounded(spark):
+    """An id that was drawn on very many rows: the driver gets no more rows than it asked for."""
+    docs = spark.range(500).selectExpr("1 doc_id", "concat('word ', id, ' and more of it') text").unionByName(spark.createDataFrame([(2, "another text")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.labelled(docs, labels, 20)[1]) == 20 and len(quality.labelled(docs.where("doc_id = 2"), labels, 20)[1]) == 1

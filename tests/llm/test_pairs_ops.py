@@ -312,3 +312,16 @@ def test_topk_leaves_out(spread, most):
     want = [sorted(zip((-s[i]).tolist(), ids.tolist(), strict=True))[:20] for i in range(len(q))]
     assert [[(-int(c), int(b)) for a, b, c in zip(who, found_ids, found, strict=True) if a == i] for i in range(len(q))] == want
     assert scored <= most * s.size
+
+
+def test_a_forest_that_grows():
+    rng = random.Random(12)
+    links = np.array([(rng.randrange(80), rng.randrange(80)) for _ in range(70)])
+    trees, kept = graph.Forest(), []
+    for at in range(0, 70, 9):
+        part = links[at : at + 9]
+        kept.append(part[trees.add(part)])
+    whole, roots = graph.forest(links)
+    again = graph.forest(np.concatenate(kept))[1]
+    assert len(np.concatenate(kept)) == len(whole) and {x: trees.root(x) for x in roots} == roots == again | {x: r for x, r in roots.items() if x not in again}
+    assert trees.root(10**6) == 10**6 and 10**6 not in trees.parent

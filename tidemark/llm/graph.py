@@ -22,24 +22,38 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= most else df
 
 
-def forest(links: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
-    """Which of the links (rows of two) are needed to connect what all of them connect, and the root of
-    each node, the smallest one next to it by links."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Links as they come, and what they have connected so far."""
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(p, p)
-            x = parent[x]
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        """The smallest node that x is connected with, x itself if it has no link."""
+        parent = self.parent
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
         return x
 
-    kept = []
-    for i, (a, b) in enumerate(links.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append(i)
-    return np.array(kept, dtype=np.int64), {x: root(x) for x in list(parent)}
+    def add(self, links: np.ndarray) -> np.ndarray:
+        """Which of the links (rows of two) connect what was apart before them."""
+        kept = []
+        for i, (a, b) in enumerate(links.tolist()):
+            ra, rb = self.root(a), self.root(b)
+            self.parent.setdefault(a, ra)
+            self.parent.setdefault(b, rb)
+            if ra != rb:
+                self.parent[max(ra, rb)] = min(ra, rb)
+                self.parent.setdefault(min(ra, rb), min(ra, rb))
+                kept.append(i)
+        return np.array(kept, dtype=np.int64)
+
+
+def forest(links: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """Which of the links (rows of two) are needed to connect what all of them connect, and the root of
+    each node, the smallest one next to it by links."""
+    trees = Forest()
+    return trees.add(links), {x: trees.root(x) for x in list(trees.parent)}
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.blobs import KEY_SHIFT, KEYED, by_bucket, dealt, decode, encode, keyed, mix, unkeyed
 from tidemark.llm.common import batch_of, bounded_batches, let_go, map_rows, read, tidied, trimmed, written
-from tidemark.llm.graph import components, forest, small
+from tidemark.llm.graph import Forest, components, forest, small
 
 N2, K2 = 3, 1
 BUCKET_NUMBERS = 1 << 20
@@ -324,7 +324,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int, total: int, common: n
 
     def deal(batches):
         seen: set[int] = set()
-        links, roots = np.zeros((0, 2), np.int64), {}
+        kept, trees = [], Forest()
         for batch in batches:
             owners, found = [], []
             for text in batch.column(0).to_pylist():
@@ -339,13 +339,12 @@ def candidate_links(docs: DataFrame, n: int, percent: int, total: int, common: n
                 names, of = np.unique(np.array(owners, dtype=np.int64), return_inverse=True)
                 keys, at, own = _starred(np.concatenate(found), np.repeat(of, [len(x) for x in found]))
                 if len(own):  # what this task has linked goes by one name from here on
-                    links = np.concatenate([links, names[own]])
-                    pick, roots = forest(links)
-                    links = links[pick]
-                names = np.array([roots.get(x, x) for x in names.tolist()], dtype=np.int64)
+                    links = names[own]
+                    kept.append(links[trees.add(links)])
+                names = np.array([trees.root(x) for x in names.tolist()], dtype=np.int64)
                 yield batch_of(keyed(keys, at, names, buckets), KEYED)
-        if len(links):
-            yield batch_of(own_links(links, buckets), KEYED)
+        if any(map(len, kept)):
+            yield batch_of(own_links(np.concatenate(kept), buckets), KEYED)
 
     return links_of(docs.select("text").mapInArrow(trimmed(deal), KEYED))
 

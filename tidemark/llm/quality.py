@@ -187,22 +187,23 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...], rounds: int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and quality of at most rows labelled documents; the driver gets numbers only."""
+    """Features and quality of at most rows labelled documents; the driver gets numbers only. If an id that was drawn is
+    on many rows, those of the smallest hashes of their text are taken, as many as rows too."""
     spark = docs.sparkSession
     of = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = of.orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(rows).toArrow()
     if not picked.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     few = spark.createDataFrame(picked)  # at most rows rows of two numbers: safe to broadcast
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(few), "doc_id").select("quality", "text")
+    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(few), "doc_id").select("quality", "text", F.xxhash64("text").alias("k"))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"quality": [int(q) for q in batch.column(0).to_pylist()], "x": [list(statistics(t)[1]) for t in batch.column(1).to_pylist()]}
+            return {"quality": [int(q) for q in batch.column(0).to_pylist()], "x": [list(statistics(t)[1]) for t in batch.column(1).to_pylist()], "k": batch.column(2)}
 
         return work
 
-    got = map_rows(texts, make, "quality int, x array<double>").toArrow()
+    got = map_rows(texts, make, "quality int, x array<double>, k long").orderBy("k", "quality", "x").limit(rows).toArrow()
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return x, got["quality"].to_numpy().astype(np.float64)
 
