@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.functions import stats
 from tidemark.operators import layout
+from tidemark.sources import identity
 
 
 def lines(spark, texts):
@@ -69,3 +70,20 @@ def test_unrounded_spread(spark):
     df = spark.createDataFrame([("a", 10), ("a", 13), ("b", 0), ("b", 4), ("c", None)], "arm string, v long")
     got = {r.arm: r for r in stats.spread_unrounded(df, "v", "arm").collect()}
     assert got["a"].least == 10 and got["a"].most == 13 and got["a"].relative == 3 / 10 and got["b"].relative is None
+
+
+def test_replica_identity(spark):
+    rows = [(1, 1, "c", 5, "it's", None, 5, None, None), (2, 2, "u", 5, None, 7, 5, "it's", None), (3, 3, "d", 5, None, 7, 5, None, 7)]
+    changes = spark.createDataFrame(rows, "seq long, lsn long, op string, k long, t string, n int, old_k long, old_t string, old_n int")
+    text = lambda mode: [r.data for r in identity.log_lines(changes, "s.a", ["k"], ["k", "t", "n"], mode).orderBy("seq").collect()]
+    first = "table s.a: INSERT: k[bigint]:5 t[text]:'it''s' n[integer]:null"
+    assert text("default") == [first, "table s.a: UPDATE: k[bigint]:5 t[text]:null n[integer]:7", "table s.a: DELETE: k[bigint]:5"]
+    assert text("FULL")[1:] == ["table s.a: UPDATE: old-key: k[bigint]:5 t[text]:'it''s' n[integer]:null new-tuple: k[bigint]:5 t[text]:null n[integer]:7", "table s.a: DELETE: k[bigint]:5 t[text]:null n[integer]:7"]
+    assert text("nothing")[2] == "table s.a: DELETE: (no-tuple-data)"
+    got = {r.arm: r for r in identity.arms(changes, "s.a", ["k"], ["k", "t", "n"]).collect()}
+    assert (got["nothing"].outcome, got["nothing"].first_refused, got["nothing"].changes, got["nothing"].ratio) == ("refused", 2, None, None)
+    assert got["default"].outcome == "measured" and got["default"].ratio == 1.0 and got["full"].updates_with_before == 1 and got["full"].log_bytes > got["default"].log_bytes
+    free = {r.arm: r.outcome for r in identity.arms(changes, "s.a", ["k"], ["k", "t", "n"], published=False).collect()}
+    assert set(free.values()) == {"measured"}  # nothing is refused of a table that isn't published
+    with pytest.raises(ValueError):
+        identity.log_lines(changes, "s.a", ["k"], ["k"], "some")

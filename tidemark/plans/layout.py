@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import fold, layout, observed, shared
 from tidemark.plans.queries import SLOT, cs, query
 from tidemark.plans.streams import base_changes, change_stream
-from tidemark.sources import connector, figures, tables
+from tidemark.sources import connector, figures, identity, tables
 
 # --- transactions and publications ---
 
@@ -182,3 +182,20 @@ def observed_counts(spark, sf_dir):
     live = fold.fold(stored, SLOT).agg(F.count(F.lit(1)).alias("live"))
     row = seen.get
     return live.select(*[F.lit(v).cast("long").alias(k) for k, v in row.items()], "live")
+
+
+# --- replica identity ---
+
+IMAGES = """i AS (SELECT lsn, op, user_id, line_no, event_type, cents, coalesce(lag(event_type) OVER w, event_type) AS old_type, coalesce(lag(cents) OVER w, cents) AS old_cents FROM c WINDOW w AS (PARTITION BY user_id, line_no ORDER BY lsn)),
+t AS (SELECT op, lsn, 'user_id[bigint]:' || user_id || ' line_no[bigint]:' || line_no AS k, ' event_type[text]:''' || event_type || ''' cents[bigint]:' || cents AS n, ' event_type[text]:''' || old_type || ''' cents[bigint]:' || old_cents AS o FROM i),
+l AS (SELECT op, lsn, 'table shop.event: ' || CASE op WHEN 'c' THEN 'INSERT: ' || k || n WHEN 'u' THEN 'UPDATE: ' || k || n ELSE 'DELETE: ' || k END AS d, 'table shop.event: ' || CASE op WHEN 'c' THEN 'INSERT: ' || k || n WHEN 'u' THEN 'UPDATE: old-key: ' || k || o || ' new-tuple: ' || k || n ELSE 'DELETE: ' || k || o END AS f FROM t),
+a AS (SELECT CAST(sum(length(d)) AS BIGINT) AS db, CAST(sum(length(f)) AS BIGINT) AS fb, count(*) AS n, count(*) FILTER (op <> 'c') AS ud, count(*) FILTER (op = 'u') AS u, count(*) FILTER (op = 'd') AS dl, min(lsn) FILTER (op <> 'c') AS fr FROM l)"""
+
+
+@query(f"WITH {cs()}, {IMAGES} SELECT 'default' AS arm, 'measured' AS outcome, CAST(NULL AS BIGINT) AS first_refused, db AS log_bytes, n AS changes, dl AS before_present, u AS before_absent, CAST(0 AS BIGINT) AS updates_with_before, 1.0::DOUBLE AS ratio FROM a UNION ALL SELECT 'full', 'measured', NULL, fb, n, ud, 0, u, round(fb::DOUBLE / db, 4) FROM a UNION ALL SELECT 'nothing', CASE WHEN fr IS NULL THEN 'measured' ELSE 'refused' END, fr, NULL, NULL, NULL, NULL, NULL, NULL FROM a")
+def identity_arms(spark, sf_dir):
+    """The change stream under each replica identity; without one, the source refuses the first update or delete."""
+    w = Window.partitionBy(*SLOT).orderBy("lsn")
+    c = base_changes(spark, sf_dir).withColumn("seq", F.col("lsn"))
+    before = {f"old_{n}": F.coalesce(F.lag(n).over(w), F.col(n)) for n in ("event_type", "cents")} | {f"old_{n}": F.col(n) for n in SLOT}
+    return identity.arms(c.withColumns(before), "shop.event", SLOT, [*SLOT, "event_type", "cents"])
