@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.stretches import running
 
 
+#: Of a record key's tombstones and slots, along arrival: what a task sorts at once, and what is summed up of those.
+STRETCHES = (24, 48)
+
+
 def _checked(on_tombstone: str) -> None:
     if on_tombstone not in ("delete", "ignore"):
         raise ValueError("on_tombstone is delete or ignore")
@@ -37,7 +41,7 @@ def fold(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: s
 
     A row goes if a tombstone of its record key arrives later (at its position or above, if guarded): winners and
     tombstones are lined up from the last arrival back, and the highest position seen so far decides. Rows grow with
-    winners plus tombstones, however many slots a record key covers, and no task holds a key.
+    winners plus tombstones, however many slots a record key covers, and a task sees at most 2 ** 24 arrivals of a key.
     """
     _checked(on_tombstone)
     last = winners(events, slot, guard, order)
@@ -45,7 +49,7 @@ def fold(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: s
         marks = events.where("tombstone").select("topic", "record_key", "lsn", order)
         if guard:
             both = last.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks.withColumn("_mark", F.col("lsn").cast("long")), allowMissingColumns=True)
-            seen = running(both.withColumn("_back", -F.col(order)), ["topic", "record_key"], "_back", {"_top": ("max", F.col("_mark"))})
+            seen = running(both.withColumn("_back", -F.col(order)), ["topic", "record_key"], "_back", {"_top": ("max", F.col("_mark"))}, shifts=STRETCHES)
             last = seen.where(F.col("_mark").isNull() & ~F.coalesce(F.col("_top") >= F.col("lsn"), F.lit(False))).drop("_mark", "_back", "_top")
         else:
             ends = marks.groupBy(F.col("topic").alias("_t"), F.col("record_key").alias("_k")).agg(F.max(order).alias("_at"))
