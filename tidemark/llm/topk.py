@@ -2,16 +2,17 @@
 
 Vectors become integers, floor(64 x). Distances are angles, for which the triangle inequality holds: an inner
 product is |q| |x| cos(angle), so a lower bound of the angle is an upper bound of the score. The angles of
-each candidate to PIVOTS pivots are computed once, when its block is made, and the candidates of a block are
-put in cells by their nearest pivot. For a query and a cell, the cell's range of angles to every pivot gives
-the largest lower bound; a query goes through the cells in order of their bounds and stops when none reaches
-its k-th best score. Within a cell single candidates are left out by their own largest lower bounds, at those
-pivots that can exclude any there at all. What is left is scored by matrix products. A query's k-th best score
-among the sampled rows is a lower bound of the final one, so no block begins without one.
+each candidate to PIVOTS pivots are computed once, when its block is made, and kept in steps of a 255th of a
+half turn, a byte each. A pair's largest lower bound is taken over the pivots that say most: the TELLING ones whose
+angles to the query are farthest from a right angle, and those of the candidate. The candidates of a block are put in
+cells by their nearest pivot; a query goes through the cells in order of their best bounds and stops when none
+reaches its k-th best score, and within a cell candidates whose own bounds don't reach it are left out.
+What is left is scored by matrix products. A query's k-th best score among the sampled rows is a lower
+bound of the final one, so no block begins without one; it is computed once, when the queries' block is made.
 
 Queries and candidates meet in blocks: pairs of (block of queries, block of candidates) are dealt over
 the cluster, and each task holds one pair. Per pair and query at most k rows leave, and a window keeps
-the best k. Nothing is broadcast but the sample and its pivots, of a fixed number of rows.
+the best k. Nothing is broadcast but the sample, whose first rows are the pivots: a fixed number of rows.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter
 vector counts as filled up with zeros; ties go to the smaller vec_id; rows of the query's own vec_id are
@@ -22,6 +23,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,12 +33,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch_of, bounded_batches, read, trimmed
 
 SCALE = 64
-PIVOTS = 32
-PIVOT_SAMPLE = 512  # rows, those with the smallest hashes, of which pivots are chosen farthest first
+PIVOTS = 512
+PIVOT_SAMPLE = 2048  # rows, those with the smallest hashes
+TELLING = 8
+CELL_PIVOTS = 64  # of which the nearest one gives the cell
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
 CANDIDATES_A_SALT = 4096
-SLACK = 4e-6  # angles are kept as 32-bit numbers
+STRIP = 512  # queries whose bounds are held at a time
+STEPS = 255  # of a half turn
+SLACK = 1e-6
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -56,25 +63,29 @@ def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
-BLOCKS = "ids binary, n long, v binary, far binary"
+BLOCKS = "ids binary, n long, short boolean, v binary, far binary, reach binary"
 
 
 def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of the rows to the pivots; a vector of zeros has a right angle to everything."""
+    """Of the rows to the pivots, in STEPS; a vector of zeros has a right angle to everything."""
     x, p = fit_width(x, pivots)
     size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
-    return np.arccos(np.clip(np.divide(x @ p.T, size, out=np.zeros(size.shape), where=size > 0), -1, 1)).astype(np.float32)
+    cos = np.divide(x @ p.T, size, out=np.zeros(size.shape), where=(size > 0) & np.isfinite(size))
+    return np.rint(np.arccos(np.clip(cos, -1, 1)) * (STEPS / np.pi)).astype(np.uint8)
 
 
-def packed(df: DataFrame, size: int, pivots: np.ndarray) -> DataFrame:
-    """Blocks of at most size rows: ids, vectors and angles to the pivots, in order of the nearest pivot."""
+def packed(df: DataFrame, size: int, pivots: np.ndarray, reach_of: Callable | None = None) -> DataFrame:
+    """Blocks of at most size rows: ids, vectors and angles to the pivots, in order of their cells, and what
+    reach_of(ids, vectors) says of each row, if given."""
 
     def block(ids: list, vs: list) -> dict:
         width = max(v.shape[1] for v in vs)
         v = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in vs])
         far = angles(v, pivots)
-        order = np.argsort(far.argmin(1), kind="stable")
-        return {"ids": np.concatenate(ids)[order].astype("<i8").tobytes(), "n": len(v), "v": v[order].astype("<f8").tobytes(), "far": far[order].tobytes()}
+        order = np.argsort(nearest(far), kind="stable")
+        ids, v, short = np.concatenate(ids)[order], v[order], bool(np.abs(v).max(initial=0) < 2**15)
+        reach = reach_of(ids, v).astype("<f8").tobytes() if reach_of else None
+        return {"ids": ids.astype("<i8").tobytes(), "n": len(v), "short": short, "v": v.astype(KINDS[short]).tobytes(), "far": far[order].tobytes(), "reach": reach}
 
     def run(batches):
         ids, vs, held = [], [], 0
@@ -93,6 +104,21 @@ def packed(df: DataFrame, size: int, pivots: np.ndarray) -> DataFrame:
     return df.select("id", "v").mapInArrow(trimmed(run), BLOCKS)
 
 
+#: How vectors are written, by whether all components are short.
+KINDS = {True: "<i2", False: "<f8"}
+
+
+def unpacked(row: dict, head: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors and angles of a block."""
+    n = row[f"{head}n"]
+    v = np.frombuffer(row[f"{head}v"], KINDS[row[f"{head}short"]]).reshape(n, -1).astype(np.float64)
+    return np.frombuffer(row[f"{head}ids"], "<i8"), v, np.frombuffer(row[f"{head}far"], np.uint8).reshape(n, -1)
+
+
+def nearest(far: np.ndarray) -> np.ndarray:
+    return far[:, :CELL_PIVOTS].argmin(1)
+
+
 def fit_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = max(a.shape[1], b.shape[1])
     return np.pad(a, ((0, 0), (0, w - a.shape[1]))), np.pad(b, ((0, 0), (0, w - b.shape[1])))
@@ -115,47 +141,83 @@ def best(who: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int) -> tuple[n
     return who[place < k], ids[place < k], found[place < k]
 
 
-def highest(low: np.ndarray, q_norm: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Upper bounds of scores for angles of at least low and candidates' norms from least to most."""
-    cos = np.cos(np.minimum(np.maximum(low.astype(np.float64) - SLACK, 0), np.pi))
-    return q_norm * np.where(cos > 0, most, least) * cos * (1 + 1e-9) + q_norm * most * 1e-9 + 1e-3
+#: At an angle of at least so many steps between two rounded ones, the largest cosine: each may be off by half a step.
+COSINES = np.cos(np.maximum((np.arange(STEPS + 1) - 1) * (np.pi / STEPS) - SLACK, 0)) + 1e-9
+
+
+def telling(far: np.ndarray) -> np.ndarray:
+    """Of each row the pivots whose angles are farthest from a right one."""
+    n = far.shape[1]
+    if n <= TELLING:
+        return np.tile(np.arange(n), (len(far), 1))
+    return np.argpartition(-np.abs(2 * far.astype(np.int16) - STEPS), TELLING - 1, axis=1)[:, :TELLING]
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(a, b) - np.minimum(a, b)  # of bytes
 
 
 class Cells:
     """Candidates of a block in order of their nearest pivots, as cells."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray):
-        self.ids, self.x, self.far, self.norm = ids, x, far, np.linalg.norm(x, axis=1)
-        near = far.argmin(1)
+        self.ids, self.x, self.norm = ids, x, np.linalg.norm(x, axis=1)
+        self.by_pivot, self.telling = np.ascontiguousarray(far.T), telling(far)
+        near = nearest(far)
         self.begin = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
         self.end = np.append(self.begin[1:], len(ids))
-        self.low, self.high = np.minimum.reduceat(far, self.begin), np.maximum.reduceat(far, self.begin)
-        self.least, self.most = np.minimum.reduceat(self.norm, self.begin), np.maximum.reduceat(self.norm, self.begin)
+
+    def least_angles(self, q_far: np.ndarray) -> np.ndarray:
+        """Lower bounds of the angles of queries and candidates, in STEPS, by the pivots that say most of either."""
+        low = np.empty((len(q_far), len(self.ids)), np.uint8)
+        for i, p in enumerate(telling(q_far)):
+            low[i] = apart(self.by_pivot[p], q_far[i, p, None]).max(0)
+        by_pivot, other = np.ascontiguousarray(q_far.T), np.empty(low.shape[::-1], np.uint8)
+        for j, p in enumerate(self.telling):
+            other[j] = apart(by_pivot[p], self.by_pivot[p, j, None]).max(0)
+        return np.maximum(low, other.T, out=low)
+
+    def bounds(self, q: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores of all candidates."""
+        size = np.linalg.norm(q, axis=1)[:, None] * self.norm[None, :]
+        with np.errstate(invalid="ignore"):
+            bound = size * COSINES[low] + 1e-3
+        bound[~np.isfinite(size)] = np.inf
+        return bound
 
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, cells: Cells, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(place of the query, id, score) of the best candidates of a block that reach a query's k-th best score
     so far (reach, floats), and how many pairs were scored."""
-    q_norm, n_cells = np.linalg.norm(q, axis=1), len(cells.begin)
-    low = np.zeros((len(q), n_cells), np.float32)
-    for p in range(q_far.shape[1]):
-        own = q_far[:, p, None]
-        np.maximum(low, np.maximum(cells.low[None, :, p] - own, own - cells.high[None, :, p]), out=low)
-    bound = highest(low, q_norm[:, None], cells.least[None, :], cells.most[None, :])
-    turn = np.argsort(-bound, axis=1, kind="stable")
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)]
+    low = cells.least_angles(q_far)
+    for a in range(0, len(q), STRIP):
+        b = a + STRIP
+        who, *found = _best_of_strip(q_ids[a:b], q[a:b], cells.bounds(q[a:b], low[a:b]), cells, k, reach[a:b])
+        parts.append((who + a, *found))
+    who, ids, found = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    return who, ids, found, sum(p[3] for p in parts)
+
+
+def _best_of_strip(q_ids, q, bound, cells, k, reach):
+    first = np.maximum.reduceat(bound, cells.begin, axis=1)
+    turn, n_cells = np.argsort(-first, axis=1, kind="stable"), len(cells.begin)
     who, ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     reach, scored, at, step = reach.copy(), 0, 0, 1
     while at < n_cells:
         now = turn[:, at : at + step]
-        rows, places = np.nonzero(np.take_along_axis(bound, now, 1) >= reach[:, None])
+        rows, places = np.nonzero(np.take_along_axis(first, now, 1) >= reach[:, None])
         if not len(rows):
             break  # bounds only fall from here on
         chosen, parts = now[rows, places], [(who, ids, found)]
         for c in np.unique(chosen).tolist():
             group, inside = rows[chosen == c], slice(int(cells.begin[c]), int(cells.end[c]))
-            for hit in _scored(group, inside, q_ids, q, q_norm, q_far, cells, reach, c):
-                scored += hit[3]
-                parts.append(hit[:3])
+            pick = (bound[group, inside] >= reach[group, None]).any(0)
+            near = cells.ids[inside][pick]
+            s = scores(q[group], cells.x[inside][pick])
+            i, j = np.nonzero((s >= reach[group, None]) & (near[None, :] != q_ids[group, None]))
+            parts.append((group[i], near[j], s[i, j]))
+            scored += s.size
         who, ids, found = best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
         full = np.flatnonzero(np.bincount(who, minlength=len(q)) == k)
         last = np.searchsorted(who, full, side="right") - 1
@@ -164,41 +226,13 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, cells: Ce
     return who, ids, found, scored
 
 
-def _scored(group, inside, q_ids, q, q_norm, q_far, cells, reach, c):
-    """The candidates of one cell that reach a query of the group."""
-    x, ids = cells.x[inside], cells.ids[inside]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        need = np.arccos(np.clip(np.nan_to_num(reach[group] / (q_norm[group] * cells.most[c]), nan=-1, neginf=-1), -1, 1))
-    own = q_far[group]
-    can = np.flatnonzero((np.maximum(np.abs(own - cells.low[c]), np.abs(cells.high[c] - own)) > need[:, None]).any(0))
-    if len(can):  # pivots at which the farthest candidate of the cell would be left out
-        low = np.zeros((len(group), len(ids)), np.float32)
-        for p in can.tolist():
-            np.maximum(low, np.abs(own[:, p, None] - cells.far[None, inside, p]), out=low)
-        norm = cells.norm[None, inside]
-        open_to = highest(low, q_norm[group][:, None], norm, norm) >= reach[group][:, None]
-        left = open_to.any(1)
-        group, open_to = group[left], open_to[left]
-        pick = open_to.any(0)
-        x, ids = x[pick], ids[pick]
-        if not len(group):
-            return
-    s = scores(q[group], x)
-    i, j = np.nonzero((s >= reach[group][:, None]) & (ids[None, :] != q_ids[group][:, None]))
-    yield group[i], ids[j], s[i, j], s.size
-
-
 def choose_pivots(df: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sampled rows' ids and vectors, and those of them that are pivots, the farthest by angle first."""
+    """The sampled rows' ids and vectors, and the first n different ones of these as pivots."""
     rows = df.orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(sample).select("id", "v").toArrow()
     ids, x = rows["id"].to_numpy(), matrix(rows["v"].combine_chunks()) if rows.num_rows else np.zeros((0, 1))
     if not len(x):
         return ids, x, np.zeros((1, 1))
-    chosen, near = [0], np.full(len(x), np.inf)
-    while len(chosen) < min(n, len(x)):
-        near = np.minimum(near, angles(x, x[chosen[-1:]])[:, 0])
-        chosen.append(int(near.argmax()))
-    return ids, x, x[chosen]
+    return ids, x, x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:n]]
 
 
 def first_reach(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -210,6 +244,10 @@ def first_reach(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return np.sort(s, axis=1)[:, -k]
 
 
+#: Columns of a block, of candidates or of queries.
+PACKED = ["ids", "n", "short", "v", "far"]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """For each row of vectors (vec_id, embedding) that is_query holds for, the k best of all other rows."""
     spark = vectors.sparkSession
@@ -220,20 +258,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     n, m = base.count(), asked.count()
     blocks, salts = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // CANDIDATES_A_SALT))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * salts, 100_000))
-    candidates = packed(base, CANDIDATE_BLOCK, pivots).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts).cast("long")))
+    candidates = packed(base, CANDIDATE_BLOCK, pivots).drop("reach").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts).cast("long")))
     candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, "block", "salt")
     dealt = asked.repartition(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    queries = packed(dealt, QUERY_BLOCK, pivots).select(F.spark_partition_id().alias("block"), F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("v").alias("q_v"), F.col("far").alias("q_far"))
+    queries = packed(dealt, QUERY_BLOCK, pivots, lambda ids, q: first_reach(ids, q, sample_ids, sample, k))
+    queries = queries.select(F.spark_partition_id().alias("block"), "reach", *(F.col(c).alias(f"q_{c}") for c in PACKED))
     queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(tasks, "block", "salt")
-    pairs = candidates.join(queries.hint("shuffle_merge"), ["block", "salt"]).select("ids", "n", "v", "far", "q_ids", "q_n", "q_v", "q_far")
+    pairs = candidates.join(queries.hint("shuffle_merge"), ["block", "salt"]).select("reach", *PACKED, *(f"q_{c}" for c in PACKED))
 
     def run(batches):
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = (np.frombuffer(row[v], "<f8").reshape(row[c], -1) for v, c in (("v", "n"), ("q_v", "q_n")))
-                far, q_far = (np.frombuffer(row[v], "<f4").reshape(row[c], -1) for v, c in (("far", "n"), ("q_far", "q_n")))
-                reach = first_reach(q_ids, q, sample_ids, sample, k)
+                (ids, x, far), (q_ids, q, q_far) = unpacked(row), unpacked(row, "q_")
+                reach = np.frombuffer(row["reach"], "<f8")
                 x, q = fit_width(x, q)
                 who, found_ids, found, _ = best_of_block(q_ids, q, q_far, Cells(ids, x, far), k, reach)
                 yield batch_of({"query_id": q_ids[who], "vec_id": found_ids, "score": found}, "query_id long, vec_id long, score long")
