@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -393,3 +394,79 @@ def test_rows_grow_with_slots_and_tombstones(spark):
 
         walk(out._jdf.queryExecution().executedPlan())
         assert max(most) < 50_000
+
+
+def plain_counters(rows, guard):
+    """rows (lsn, topic, record key, slot, op or T, arrival), by the definition, an event at a time."""
+    rows, keys = sorted(rows, key=lambda r: r[5]), {}
+    for _, topic, key, slot, op, _ in rows:
+        if op != "T":
+            keys.setdefault(slot, set()).add((topic, key))
+    top, act = {}, {}
+    c = dict.fromkeys(("stale_dropped", "deletes_of_a_row_not_held", "updates_of_a_row_not_held", "rows_removed_by_tombstones"), 0)
+    for lsn, topic, key, slot, op, _ in rows:
+        if op == "T":
+            for s in (s for s, own in keys.items() if (topic, key) in own):
+                if not guard or s in top and lsn >= top[s]:
+                    c["rows_removed_by_tombstones"] += act.get(s) in ("c", "u")
+                    act[s] = "t"
+            continue
+        if guard and lsn < top.get(slot, lsn):
+            c["stale_dropped"] += 1
+            continue
+        held = act.get(slot, "d") in ("c", "u")
+        c["deletes_of_a_row_not_held"] += op == "d" and not held
+        c["updates_of_a_row_not_held"] += op == "u" and not held
+        top[slot], act[slot] = max(lsn, top.get(slot, lsn)), op
+    return c
+
+
+@pytest.mark.parametrize("guard", [True, False])
+@pytest.mark.parametrize("scale", [1, 2**51 + 12345])
+def test_counters_where_slots_have_several_keys(spark, guard, scale):
+    """Arrivals on either side of 0, dense and scattered; slots under two record keys and on two topics."""
+    rng = random.Random(5)
+    places = rng.sample(range(-800, 800), 700)
+    rows = [(rng.randint(1, 300), rng.choice("xy"), str(rng.randint(1, 4)), (rng.randint(1, 5), rng.randint(1, 4)), rng.choice("cuudTT"), p * scale) for p in places]
+    e = spark.createDataFrame([(n, t, k, *s, op if op != "T" else None, op == "T", at) for n, t, k, s, op, at in rows], "lsn long, topic string, record_key string, a long, b long, op string, tombstone boolean, arrival long")
+    want = plain_counters(rows, guard)
+    got = count(fold.counters(e, SLOT, guard))
+    assert {k: got[k] for k in want} == want and want["rows_removed_by_tombstones"] > 20
+
+
+def test_counters_of_a_hot_key(spark):
+    """5,000 slots and 5,000 tombstones of one record key: 25 million pairs, which no step makes."""
+    rng = random.Random(6)
+    at = rng.sample(range(10**6), 15_000)
+    rows = [(rng.randint(1, 10**6), "x", "hot", (1, i % 5000), "cu"[i // 5000], at[i]) for i in range(10_000)]
+    rows += [(rng.randint(1, 10**6), "x", "hot", (0, 0), "T", at[i]) for i in range(10_000, 15_000)]
+    e = spark.createDataFrame([(n, t, k, *s, op if op != "T" else None, op == "T", p) for n, t, k, s, op, p in rows], "lsn long, topic string, record_key string, a long, b long, op string, tombstone boolean, arrival long")
+    marks, by_slot, removed = sorted((r[5], r[0]) for r in rows if r[4] == "T"), {}, 0
+    for r in sorted((r for r in rows if r[4] != "T"), key=lambda r: r[5]):
+        by_slot.setdefault(r[3], []).append(r)
+    for own in by_slot.values():
+        kept = [r for i, r in enumerate(own) if r[0] >= max((x[0] for x in own[:i]), default=0)]
+        for r, then in zip(kept, [*kept[1:], None], strict=True):
+            between = marks[bisect.bisect(marks, (r[5], 10**7)) : bisect.bisect(marks, (then[5], 0)) if then else None]
+            removed += any(n >= r[0] for _, n in between)
+    got = fold.counters(e, SLOT)
+    assert got.collect()[0]["rows_removed_by_tombstones"] == removed > 1000
+    most = rows_made(got)
+    assert most < 500_000, most
+
+
+def rows_made(df):
+    """The most rows that a node of the plan that ran made."""
+    seen, most = [df._jdf.queryExecution().executedPlan()], 0
+    while seen:
+        node = seen.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            seen.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            seen.append(node.plan())
+        n = node.metrics().get("numOutputRows")
+        most = max(most, n.get().value() if n.isDefined() else 0)
+        seen += [node.children().apply(i) for i in range(node.children().size())]
+    return most

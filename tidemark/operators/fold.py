@@ -57,43 +57,69 @@ def fold(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: s
     return last.where("op <> 'd'")
 
 
-def timeline(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: str = "delete", order: str = "arrival") -> DataFrame:
-    """Changes and the tombstones that reach their slots, in arrival order: act (c, u, d or t), the mark
-    held before (hw), whether it is accepted, and the accepted act before it (prior)."""
+#: Levels of an order's bits: one for each, and the one above all of them, at which everything is in one node.
+ALL = 64
+
+
+def _reached(asked: DataFrame, marks: DataFrame, keys: list[str], guard: bool) -> DataFrame:
+    """asked (topic, record_key, since, until, lsn, keys), once each, with hit: whether a mark (topic, record_key, at,
+    lsn) comes after since and before until (null: ever), at its position or above if guarded.
+
+    The highest bit in which since and until differ is a level, at which they lie in two neighbouring nodes. What lies
+    between them comes after the one in its node, or before the other in its own, so two running maxima tell. A mark goes
+    to the nodes of the levels that its record key is asked at, at most 65 and about the logarithm of how many ask."""
+    level = F.when(F.col("until").isNull(), ALL).otherwise(F.length(F.bin(F.col("since").bitwiseXOR(F.col("until")))) - 1).cast("int")
+    one = lambda at, right: F.struct(F.col(at).alias("at"), F.lit(right).alias("right"))
+    ends = F.when(F.col("until").isNull(), F.array(one("since", False))).otherwise(F.array(one("since", False), one("until", True)))
+    sides = asked.withColumn("level", level).withColumn("_e", F.explode(ends)).select("topic", "record_key", "level", "_e.*", *keys, F.col("lsn").alias("_least"), F.lit(None).cast("long").alias("_mark"))
+    levels = sides.groupBy(F.col("topic").alias("_t"), F.col("record_key").alias("_k")).agg(F.collect_set("level").alias("_levels"))
+    near = marks.join(levels, (F.col("topic") == F.col("_t")) & (F.col("record_key") == F.col("_k"))).withColumn("level", F.explode("_levels"))
+    right = F.when(F.col("level") == ALL, False).when(F.col("level") == ALL - 1, F.col("at") >= 0).otherwise(F.expr("shiftright(at, level) & 1 = 1"))
+    both = sides.unionByName(near.select("topic", "record_key", "level", "at", right.alias("right"), F.col("lsn").cast("long").alias("_mark")), allowMissingColumns=True)
+    both = both.withColumn("_node", F.when(F.col("level") == ALL, F.lit(0).cast("long")).otherwise(F.expr("shiftright(at, level)"))).withColumn("_along", F.when(F.col("right"), F.col("at")).otherwise(-F.col("at")))
+    seen = running(both, ["topic", "record_key", "level", "_node"], "_along", {"_top": ("max", F.col("_mark"))}, ["_mark"], STRETCHES)
+    hit = F.coalesce(F.col("_top") >= F.col("_least"), F.lit(False)) if guard else F.col("_top").isNotNull()
+    return seen.where("_least is not null").groupBy(*keys).agg(F.bool_or(hit).alias("hit"))
+
+
+def counters(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: str = "delete", order: str = "arrival") -> DataFrame:
+    """One row of what the fold did.
+
+    A row is removed by the first tombstone of one of its slot's record keys that comes before the slot's next accepted
+    change (at its position or above, if guarded). Rows grow with changes, and with tombstones times the levels of
+    their order that changes ask at; slots and tombstones of a record key never meet in pairs."""
     _checked(on_tombstone)
-    rows = usable(events, slot).select(*slot, "topic", "record_key", "lsn", F.col(order).alias("at"), F.col("op").alias("act"))
-    if on_tombstone == "delete":
-        marks = events.where("tombstone").select(F.col("topic").alias("_t"), F.col("record_key").alias("_k"), F.col("lsn").alias("_lsn"), F.col(order).alias("_at"))
-        held = rows.select(*slot, "topic", "record_key").distinct()
-        reach = held.join(marks, (F.col("topic") == F.col("_t")) & (F.col("record_key") == F.col("_k")))
-        rows = rows.unionByName(reach.select(*slot, "topic", "record_key", F.col("_lsn").alias("lsn"), F.col("_at").alias("at"), F.lit("t").alias("act")))
+    rows = usable(events, slot).select(*slot, "topic", "record_key", F.col("lsn").cast("long").alias("lsn"), F.col(order).cast("long").alias("at"), F.col("op").alias("act"))
     w = Window.partitionBy(*slot).orderBy("at")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    hw = F.max(F.when(F.col("act") != "t", F.col("lsn"))).over(past)
-    rows = rows.withColumn("hw", hw).withColumn("accepted", F.lit(True) if not guard else F.col("hw").isNull() & (F.col("act") != "t") | (F.col("lsn") >= F.col("hw")))
+    line = rows.withColumn("hw", F.max("lsn").over(past)).withColumn("_held", F.col("hw") if guard else F.last("lsn", ignorenulls=True).over(past))
+    line = line.withColumn("accepted", (F.col("hw").isNull() | (F.col("lsn") >= F.col("hw"))) if guard else F.lit(True))
     prior = F.last(F.when(F.col("accepted"), F.col("act")), ignorenulls=True).over(past)
-    return rows.withColumn("prior", prior)
-
-
-def counters(events: DataFrame, slot: list[str], guard: bool = True, on_tombstone: str = "delete", order: str = "arrival") -> DataFrame:
-    """One row of what the fold did."""
-    line = timeline(events, slot, guard, on_tombstone, order)
-    change, gone = F.col("act") != "t", F.coalesce("prior", F.lit("d")).isin("d", "t")
-    last_lsn = F.last(F.when(change, F.col("lsn")), ignorenulls=True).over(Window.partitionBy(*slot).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    held = F.col("hw") if guard else F.col("_held")
-    line = line.withColumn("_held", last_lsn)
+    gone = F.coalesce("_prior", F.lit("d")) == "d"
+    done = line.withColumn("_prior", prior).agg(
+        F.count_if(~F.col("accepted")).alias("stale_dropped"),
+        F.count_if(F.col("lsn") == F.col("_held")).alias("same_position"),
+        F.count_if(F.col("accepted") & (F.col("act") == "d")).alias("deletes"),
+        F.count_if(F.col("accepted") & (F.col("act") == "d") & gone).alias("_d"),
+        F.count_if(F.col("accepted") & (F.col("act") == "u") & gone).alias("_u"),
+        F.count_if(F.col("accepted") & (F.col("act") != "d")).alias("upserts"),
+    )
+    if on_tombstone == "delete":
+        marks = events.where("tombstone").select("topic", "record_key", F.col(order).cast("long").alias("at"), "lsn")
+        of_slot = F.collect_set(F.struct("topic", "record_key")).over(Window.partitionBy(*slot))
+        held = line.withColumn("_keys", of_slot).where("accepted").withColumns({"until": F.lead("at").over(w), "_next": F.lead("act").over(w)}).where("act <> 'd'")
+        asked = held.select(*slot, F.col("at").alias("since"), "until", "lsn", "_next", F.explode("_keys").alias("_k")).select("_k.*", *slot, "since", "until", "lsn", "_next")
+        hits = _reached(asked.withColumn("_since", F.col("since")), marks, [*slot, "_since", "_next"], guard).where("hit")
+        removed = hits.agg(F.count(F.lit(1)).alias("rows_removed_by_tombstones"), F.count_if(F.col("_next") == "d").alias("_more_d"), F.count_if(F.col("_next") == "u").alias("_more_u"))
+    else:
+        removed = events.sparkSession.range(1).select(*(F.lit(0).cast("long").alias(c) for c in ("rows_removed_by_tombstones", "_more_d", "_more_u")))
     missing = F.exists(F.array(*[F.col(c).isNull() for c in slot]), lambda x: x)
     of_all = events.agg(F.count(F.lit(1)).alias("records"), F.count_if("tombstone").alias("tombstones"), F.count_if(~F.col("tombstone") & missing).alias("changes_with_no_merge_key"))
-    done = line.agg(
-        F.count_if(change & ~F.col("accepted")).alias("stale_dropped"),
-        F.count_if(change & (F.col("lsn") == held)).alias("same_position"),
-        F.count_if(change & F.col("accepted") & (F.col("act") == "d")).alias("deletes"),
-        F.count_if(change & F.col("accepted") & (F.col("act") == "d") & gone).alias("deletes_of_a_row_not_held"),
-        F.count_if(change & F.col("accepted") & (F.col("act") == "u") & gone).alias("updates_of_a_row_not_held"),
-        F.count_if(change & F.col("accepted") & (F.col("act") != "d")).alias("upserts"),
-        F.count_if(~change & F.col("accepted") & F.col("prior").isin("c", "u")).alias("rows_removed_by_tombstones"),
-    )
-    return of_all.crossJoin(done)
+    return of_all.crossJoin(done).crossJoin(removed).select(  # of one row each
+        "records", "tombstones", "changes_with_no_merge_key", "stale_dropped", "same_position", "deletes",
+        (F.col("_d") + F.col("_more_d")).alias("deletes_of_a_row_not_held"), (F.col("_u") + F.col("_more_u")).alias("updates_of_a_row_not_held"),
+        "upserts", "rows_removed_by_tombstones",
+    )
 
 
 def compare_sets(applied: DataFrame, truth: DataFrame) -> DataFrame:
