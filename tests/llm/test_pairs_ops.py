@@ -105,6 +105,67 @@ def test_second_hashes():
     assert [suffixes.check_width(n) for n in (1, 1 << 20, 1 << 29, 1 << 47)] == [1, 1, 2, 7]
 
 
+def test_suffixes_sort_keys_themselves(monkeypatch):
+    """Sorting places by their keys took most of the CPU seconds: keys are sorted, with the places in their low bits."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(20)]
+    texts += [t[:300] + " changed " + t[300:] for t in texts]
+    raw, ids = [t.encode() for t in texts], np.array(rng.sample(range(1000), len(texts)), "<i8")
+    ends = np.cumsum([len(r) for r in raw]).astype("<i8")
+    chunk = suffixes.Chunk(b"".join(raw), ends.tobytes(), ids.tobytes(), 50, 40)
+
+    def refused(*_, **__):
+        raise AssertionError("an indirect sort")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(np, "argsort", refused)
+        patched.setattr(np, "lexsort", refused)
+        at, number, keys, twice = chunk.cover()
+        assert (at[1:] > at[:-1]).all() and (keys[1:] > keys[:-1]).all()
+        assert (keys[number] == chunk.hashes(at, 30) >> np.uint64(24) << np.uint64(24)).all()
+        at, number, keys, checks, least = chunk.suffixes(at[twice[number]], 2)
+        sent = {"chunk": 1, "keys": blobs.encode(keys), "more": suffixes.as_bytes(least, 4), "docs": chunk.named.tobytes(), "checks": suffixes.as_bytes(checks, 2)}
+        other = sent | {"chunk": 2, "docs": (chunk.named - 500).tobytes()}
+        answers = next(suffixes.smaller_in_bucket(0, [sent, other]))["bits"]
+    assert [np.unpackbits(np.frombuffer(b, np.uint8), count=len(keys)).all() for b in answers] == [True, False]
+    owners = {}
+    for i, r in zip(ids.tolist(), raw, strict=True):
+        for p in range(len(r) - 49):
+            owners.setdefault(r[p : p + 50], set()).add(i)
+    assert at.tolist() == sorted(set(at.tolist())) and (checks[number] == chunk.checks(at, 50, 2)).all()
+    assert all(chunk.named[least[k]] == min(owners[chunk.raw[p : p + 50]]) for p, k in zip(at.tolist(), number.tolist(), strict=True))
+    found = {chunk.raw[p : p + 50] for p in at.tolist()}
+    assert {t for t, who in owners.items() if len(who) > 1} <= found
+
+
+def test_suffixes_orders():
+    rng = np.random.default_rng(1)
+    for h in (rng.integers(0, 2**64, 1000, dtype=np.uint64), rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(2**63, 2**63 + 9, 77, dtype=np.uint64), np.full(5, 2**64 - 1, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        order, out = suffixes.sorting(h)
+        assert (order == np.argsort(h, kind="stable")).all() and (out == np.sort(h)).all()
+        more = rng.integers(0, 3, len(h)).astype(np.uint64)
+        order, first, second, differs = suffixes.two_keys(h, more)
+        pairs = list(zip(h.tolist(), more.tolist(), strict=True))
+        assert list(zip(first.tolist(), second.tolist(), strict=True)) == sorted(pairs) == [pairs[i] for i in order]
+        new, number = suffixes.numbered(order, differs)
+        assert len(new) == len(set(pairs)) and [(first[new][k], second[new][k]) for k in number] == pairs
+    at = np.flatnonzero(rng.random(3000) < 0.02)
+    for before, after in ((20, 1), (0, 50)):
+        begin, end = suffixes.runs(at, before, after)
+        assert {p for a, b in zip(begin.tolist(), end.tolist(), strict=True) for p in range(a, b)} == {p for a in at.tolist() for p in range(max(a - before, 0), a + after)}
+        assert (begin[1:] > end[:-1]).all() and not len(suffixes.runs(at[:0], before, after)[0])
+
+
+def test_suffixes_at_borders(spark):
+    """What goes from the end of a text and from the beginning of the next is two spans; texts without an id stand between."""
+    rng = random.Random(3)
+    p, q, own = ("".join(rng.choices("abcdefghij é", k=n)) for n in (60, 70, 400))
+    rows = [(1, p + "|" + q), (2, own[:200] + p), (3, q + own[200:]), (None, p + q), (4, ""), (6, p[:49] + "!" + q), (5, q + p + p), (3, p + own[200:])]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert sorted(map(tuple, suffixes.dedup(df).collect()), key=str) == plain_dedup(rows)
+
+
 def test_broadcast_by_bytes(spark):
     df = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sum"))
     hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in x._jdf.queryExecution().logical().toString()

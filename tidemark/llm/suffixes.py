@@ -45,83 +45,138 @@ LENGTH = 50
 #: A perfect difference set: the differences of its members are all remainders by V.
 V, D = 21, (0, 1, 4, 14, 16)
 CHUNK_BYTES = 4 << 20  # places in a chunk are 32-bit numbers
+BLOCK = 1 << 15  # strings hashed at once
 BUCKET_SUFFIXES = 1 << 20
 NO_ID = 2**63 - 1
 
 
+def sorting(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of numbers, and the numbers in order. They are sorted with their places in the low bits, which
+    is several times faster; where the bits above don't tell all numbers apart, as they are."""
+    low = np.uint64((1 << max(len(h) - 1, 0).bit_length()) - 1)
+    order = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    out = h[order]
+    if (out[1:] < out[:-1]).any():
+        order = np.argsort(h, kind="stable")
+        out = h[order]
+    return order, out
+
+
+def numbered(order: np.ndarray, differs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the groups in an order, given where neighbours differ: where each begins, and of each place its group."""
+    new = np.flatnonzero(np.concatenate([[True], differs])) if len(order) else np.zeros(0, np.int64)
+    number = np.zeros(len(order), np.int32)
+    number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(order))))
+    return new, number
+
+
+def runs(at: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs that at - before up to at + after cover together, for places in order."""
+    begin, end = np.maximum(at - before, 0), at + after
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(at) else np.zeros(0, np.int64)
+    return begin[new], end[np.append(new[1:], len(at))[: len(new)] - 1]
+
+
+def at_words(length: int) -> list[int]:
+    """Where the words of eight bytes begin that cover a string."""
+    return [*range(0, length - 7, 8), length - 8]
+
+
+def first_hash(words: list[np.ndarray], length: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.full(len(words[0]), length, np.uint64)
+        for w in words:
+            h ^= w
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+        return mix(h)
+
+
+def second_hash(words: list[np.ndarray], width: int) -> np.ndarray:
+    """Hashes of width bytes: sums of words times odd numbers, scattered."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(words[0]), np.uint64)
+        for i, w in enumerate(words, 1):
+            h += w * (mix(np.array([i * 0xA24BAED4963EE407 % 2**64], dtype=np.uint64)) | np.uint64(1))
+        return mix(h) >> np.uint64(64 - 8 * width)
+
+
 class Chunk:
     """Texts one after another: data, the end of each, and their ids."""
 
     def __init__(self, data: bytes, ends: bytes, ids: bytes, length: int, cover_bits: int):
         self.raw, self.length, self.cover_bits = data, length, cover_bits
         self.ends, self.ids = np.frombuffer(ends, "<i8"), np.frombuffer(ids, "<i8")
+        self.named, self.rank = np.unique(self.ids, return_inverse=True)  # documents by id
         self.size = len(data)
         padded = np.frombuffer(data + b"\0" * 8, np.uint8)
         self.words = np.ndarray((self.size + 1,), "<u8", padded, strides=(1,))
 
     def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, side="right")
+        """The documents at places in order."""
+        return np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(np.searchsorted(at, self.ends), prepend=0))
 
     def checks(self, at: np.ndarray, length: int, width: int) -> np.ndarray:
-        """Second hashes of width bytes: sums of the strings' words times odd numbers, scattered."""
-        with np.errstate(over="ignore"):
-            h = np.zeros(len(at), np.uint64)
-            for i, k in enumerate([*range(0, length - 7, 8), length - 8], 1):
-                h += self.words[at + k] * (mix(np.array([i * 0xA24BAED4963EE407 % 2**64], dtype=np.uint64)) | np.uint64(1))
-            return mix(h) >> np.uint64(64 - 8 * width)
+        """Second hashes of the strings of length bytes at these places."""
+        return second_hash([self.words[at + k] for k in at_words(length)], width)
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         """64-bit hashes of the strings of length bytes at these places."""
-        with np.errstate(over="ignore"):
-            h = np.full(len(at), length, np.uint64)
-            for k in [*range(0, length - 7, 8), length - 8]:
-                h = (h ^ self.words[at + k]) * np.uint64(0x9FB21C651E98DF25)
-                h ^= h >> np.uint64(29)
-            return mix(h)
+        return first_hash([self.words[at + k] for k in at_words(length)], length)
 
-    def fits(self, at: np.ndarray, length: int) -> np.ndarray:
-        return at + length <= self.ends[np.minimum(self.doc(at), len(self.ends) - 1)]
+    def fits(self, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+        return at + length <= self.ends[doc]
 
     def cover(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the cover suffixes: place, number of the key, and of the keys, sorted: value, seen in two documents."""
         depth = self.length - V + 1
         at = (np.arange(0, self.size, V, dtype=np.int32)[:, None] + np.array(D, dtype=np.int32)[None, :]).ravel()
         at = at[at + depth <= self.size]
+        whole = max(0, (self.size - depth - D[-1]) // V + 1)  # periods with all their places
+        h = np.empty(len(at), np.uint64)
+        for j, d in enumerate(D):
+            h[j : whole * len(D) : len(D)] = first_hash([self.words[d + k :: V][:whole] for k in at_words(depth)], depth)
+        h[whole * len(D) :] = self.hashes(at[whole * len(D) :], depth)
         doc = self.doc(at)
-        keep = at + depth <= self.ends[np.minimum(doc, len(self.ends) - 1)]
-        at, doc = at[keep], doc[keep]
+        keep = self.fits(at, doc, depth)
+        at, doc, h = at[keep], doc[keep], h[keep]
         shift = np.uint64(64 - self.cover_bits)
-        h = self.hashes(at, depth) >> shift << shift
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        number = np.zeros(len(h), np.int32)
-        number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
+        order, h = sorting(h >> shift << shift)
+        new, number = numbered(order, h[1:] != h[:-1])
         last = np.append(new[1:], len(h))[: len(new)] - 1
+        doc = doc[order]
         return at, number, h[new], doc[new] != doc[last]
 
     def candidates(self, tied: np.ndarray) -> np.ndarray:
         """Places of full-depth strings with a tied cover suffix within their first V places."""
-        edge = np.zeros(self.size + 1, np.int32)
-        np.add.at(edge, np.maximum(tied - (V - 1), 0), 1)
-        np.add.at(edge, tied + 1, -1)
-        at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0).astype(np.int32)
-        return at[self.fits(at, self.length)]
+        begin, end = runs(tied, V - 1, 1)
+        n = end - begin
+        at = np.arange(n.sum(), dtype=np.int32) + np.repeat(begin - (np.cumsum(n) - n), n).astype(np.int32)
+        return at[self.fits(at, self.doc(at), self.length)]
 
     def suffixes(self, tied: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the candidates: place, number of the key, and of the keys, sorted: value, second hash, smallest id here."""
+        """Of the candidates: place, number of the key, and of the keys, sorted: value, second hash, rank of the smallest id here."""
         at = self.candidates(tied)
-        more = self.checks(at, self.length, width)
-        h, doc = self.hashes(at, self.length), self.doc(at).astype(np.int32)
-        rank = np.argsort(np.argsort(self.ids, kind="stable")).astype(np.int32)  # of the documents by id
-        order = np.lexsort((rank[doc], h))
-        if len(h) and (more[order][1:] != more[order][:-1])[h[order][1:] == h[order][:-1]].any():
-            order = np.lexsort((rank[doc], more, h))
-        h, more, own = h[order], more[order], self.ids[doc[order]]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])) if len(h) else np.zeros(0, np.int64)
-        number = np.zeros(len(h), np.int32)
-        number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(h))))
-        return at, number, h[new], more[new], own[new]
+        h, more = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        for x in range(0, len(at), BLOCK):
+            words = [self.words[at[x : x + BLOCK] + k] for k in at_words(self.length)]
+            h[x : x + BLOCK], more[x : x + BLOCK] = first_hash(words, self.length), second_hash(words, width)
+        order, keys, checks, differs = two_keys(h, more)
+        new, number = numbered(order, differs)
+        rank = self.rank[self.doc(at)]
+        return at, number, keys[new], checks[new], np.minimum.reduceat(rank[order], new) if len(new) else rank
+
+
+def two_keys(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by two hashes, both in order, and where neighbours differ. It is by the first if that says it all."""
+    order, first = sorting(h)
+    second = more[order]
+    differs = first[1:] != first[:-1]
+    if (second[1:] != second[:-1])[~differs].any():
+        order = np.lexsort((more, h))
+        first, second = h[order], more[order]
+        differs = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return order, first, second, differs
 
 
 def bits_by_bucket(answers: list[dict], keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -146,13 +201,15 @@ def check_width(total: int) -> int:
 
 def as_bytes(x: np.ndarray, width: int) -> bytes:
     """Numbers of width bytes, by bytes of one place."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    x = x.astype(np.uint64)
+    return b"".join((x >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width))
 
 
 def as_numbers(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+    out = np.zeros(len(raw) // width, np.uint64)
+    for i, x in enumerate(np.frombuffer(raw, np.uint8).reshape(width, -1)):
+        out |= x.astype(np.uint64) << np.uint64(8 * i)
+    return out
 
 
 def chunk_table(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -237,10 +294,11 @@ def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int, width:
                 _, used, edge = dealt(keys, buckets)
                 out = {"bucket": used.astype(np.int32), "chunk": [row["chunk"]] * len(used), "keys": [], "more": [], "docs": [], "checks": []}
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    docs, of = np.unique(least[x:y], return_inverse=True)
+                    here = np.zeros(len(chunk.named), bool)
+                    here[least[x:y]] = True
                     out["keys"].append(encode(keys[x:y]))
-                    out["more"].append(of.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-                    out["docs"].append(docs.astype("<i8").tobytes())
+                    out["more"].append(as_bytes((np.cumsum(here) - 1)[least[x:y]], 4))
+                    out["docs"].append(chunk.named[here].astype("<i8").tobytes())
                     out["checks"].append(as_bytes(checks[x:y], width))
                 yield batch_of(out, SUFFIX_KEYS)
 
@@ -250,13 +308,14 @@ def suffix_keys(chunks: DataFrame, length: int, bits: int, buckets: int, width:
 def smaller_in_bucket(bucket: int, rows: list[dict]):
     """Answers for full-depth strings: does the string start in a smaller document than here?"""
     keys = [decode(r["keys"]) for r in rows]
-    docs = [np.frombuffer(r["docs"], "<i8")[np.ascontiguousarray(np.frombuffer(r["more"], np.uint8).reshape(4, -1).T).view("<u4").ravel()] for r in rows]
-    checks = [as_numbers(r["checks"], len(r["checks"]) // len(k)) for k, r in zip(keys, rows, strict=True)]
-    whole, check, own = np.concatenate(keys), np.concatenate(checks), np.concatenate(docs)
-    order = np.lexsort((own, check, whole))
-    new = np.concatenate([[True], (whole[order][1:] != whole[order][:-1]) | (check[order][1:] != check[order][:-1])])
-    least = np.empty_like(own)
-    least[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    docs = [np.frombuffer(r["docs"], "<i8")[as_numbers(r["more"], 4).astype(np.int64)] for r in rows]
+    whole, own = np.concatenate(keys), np.concatenate(docs)
+    check = np.concatenate([as_numbers(r["checks"], len(r["checks"]) // len(k)) for k, r in zip(keys, rows, strict=True)])
+    whole -= whole.min()  # a bucket's keys are alike in their high bits, which are put to use
+    whole <<= np.uint64(min(63, 64 - int(whole.max()).bit_length()))
+    order, _, _, differs = two_keys(whole, check)
+    new, number = numbered(order, differs)
+    least = np.minimum.reduceat(own[order], new)[number]
     cut = np.cumsum([len(k) for k in keys])[:-1]
     bits = [np.packbits(a < b).tobytes() for a, b in zip(np.split(least, cut), docs, strict=True)]
     yield {"chunk": [r["chunk"] for r in rows], "bucket": [bucket] * len(rows), "bits": bits}
@@ -273,21 +332,19 @@ def marked(chunks: DataFrame, length: int, bits: int, buckets: int, width: int,
             for row in batch.to_pylist():
                 chunk = Chunk(row["data"], row["ends"], row["ids"], length, bits)
                 at, number, keys, _, least = chunk.suffixes(tied_places(chunk, row["tied"], buckets), width)
-                own = chunk.ids[chunk.doc(at)]
-                gone = at[(bits_by_bucket(row["smaller"] or [], keys, buckets)[number] | (least[number] < own)) & (own != NO_ID)]
-                edge = np.zeros(chunk.size + 1, np.int32)
-                np.add.at(edge, gone, 1)
-                np.add.at(edge, gone + length, -1)
-                cover = np.cumsum(edge[:-1], dtype=np.int32) > 0
-                start, out, data = 0, {k.split()[0]: [] for k in RESULT.split(", ")}, np.frombuffer(chunk.raw, np.uint8)
+                doc = chunk.doc(at)
+                own = chunk.rank[doc]
+                gone = at[(bits_by_bucket(row["smaller"] or [], keys, buckets)[number] | (least[number] < own)) & (chunk.ids[doc] != NO_ID)]
+                start, out = 0, {k.split()[0]: [] for k in RESULT.split(", ")}
                 kept_text = []
-                for doc_id, end in zip(chunk.ids.tolist(), chunk.ends.tolist(), strict=True):
-                    c = cover[start:end]
-                    kept = data[start:end][~c].tobytes()
+                ends = np.searchsorted(gone, chunk.ends).tolist()
+                for doc_id, end, x, y in zip(chunk.ids.tolist(), chunk.ends.tolist(), [0, *ends], ends, strict=False):
+                    begin, stop = runs(gone[x:y], 0, length) if x < y else (gone[:0], gone[:0])
+                    kept = b"".join(chunk.raw[i:j] for i, j in zip([start, *stop.tolist()], [*begin.tolist(), end], strict=True))
                     out["doc_id"].append(None if doc_id == NO_ID else doc_id)
                     out["n_bytes"].append(end - start)
                     out["n_removed"].append(end - start - len(kept))
-                    out["n_spans"].append(int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()))
+                    out["n_spans"].append(len(begin))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     kept_text.append(kept)
                     start = end
